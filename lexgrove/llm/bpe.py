@@ -25,7 +25,12 @@ from lexgrove.llm.common import arrow_column, vocabulary
 #: Fixed value: how text is split before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a Python worker remembers of pieces and of token pairs; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
@@ -66,8 +71,7 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+        return cls(_ranks(path))
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the merges of the two tokens' joined bytes give these two tokens.
@@ -78,7 +82,7 @@ class Vocabulary:
         key = left * self.size + right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) >= 2 * REMEMBERED:
+            if len(self.apart) >= REMEMBERED:
                 self.apart.clear()
             known = self.apart[key] = self._stay_apart(left, right)
         return known
@@ -180,8 +184,18 @@ class Encoder:
                 out.append(ids)
             return b"".join(out)
 
+
+class Decoder:
+    """Ids to bytes; it needs the tokens alone."""
+
+    def __init__(self, path: str):
+        ranks = _ranks(path)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str = PATTERN) -> DataFrame:
@@ -193,7 +207,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
     """Add ``decoded``, the bytes of the ids."""
     path = path or vocabulary("byte_bpe_50k.tiktoken")
-    return df.withColumn(decoded, arrow_column(lambda: Encoder(path).decode, pa.binary(), "binary", F.col(ids)))
+    return df.withColumn(decoded, arrow_column(lambda: Decoder(path).decode, pa.binary(), "binary", F.col(ids)))
 
 
 def digest(raw: Column) -> Column:

@@ -19,6 +19,17 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZERS, name)
 
 
+#: Rows of an Arrow batch: whole texts are large, and a batch is held several times over.
+BATCH_ROWS = 256
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Make Arrow batches small, unless the session sets a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def arrow_column(make: Callable[[], Callable[[str | None], dict]], kind: pa.DataType, returns: str, source: Column) -> Column:
     """A struct column computed in Arrow batches from one column, row by row.
 
@@ -34,6 +45,7 @@ def arrow_column(make: Callable[[], Callable[[str | None], dict]], kind: pa.Data
                 batch = batch.combine_chunks()
             yield pa.array([one(x.as_py()) for x in batch], kind)
 
+    bounded_batches(SparkSession.active())
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns).asNondeterministic()(source)
 
