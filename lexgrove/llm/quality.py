@@ -29,7 +29,7 @@ WORD_BITS = CHAR_BITS = 15
 #: Labelled rows that the classifier is fitted on at most.
 MAX_TRAIN = 4000
 #: Probability of good quality from which a document is kept.
-THRESHOLD = 0.5
+THRESHOLD = 0.2
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe
+from lexgrove.llm import bpe, language, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of secrets, with counts and a digest of those of the fixed patterns."""
+    out = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    return out.select("doc_id", *(secrets.number(spans, k).alias(f"n_{k}") for k in secrets.KINDS), F.sha2(secrets.joined(spans, secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents that are not held out."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(documents)
+    out = language.identify(documents.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every text."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, _table(spark, sf_dir, "labels"))
+    return quality.assess(documents, model).select("doc_id", *quality.COUNTS, "base_failed", "probability", "kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and give digests of both."""
     out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -19,7 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {f.__name__: f for f in (op2_secret_scan, op7_language_id, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
