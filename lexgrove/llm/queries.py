@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, language, quality, secrets
+from lexgrove.llm import bpe, language, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: The rules for hosts and paths.
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every url."""
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every text."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op7_language_id, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
