@@ -25,7 +25,7 @@ from lexgrove.llm.common import arrow_column, vocabulary
 #: Fixed value: how text is split before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a Python worker remembers of pieces and of token pairs; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 450_000
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +50,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
+        self.longest = max(map(len, ranks))
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -80,11 +81,9 @@ class Vocabulary:
         if no pair that faces it at any time would have been merged before one of the two was made.
         """
         key = left * self.size + right
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) >= REMEMBERED:
-                self.apart.clear()
-            known = self.apart[key] = self._stay_apart(left, right)
+        if len(self.apart) >= REMEMBERED:
+            self.apart.clear()
+        known = self.apart[key] = self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -117,19 +116,21 @@ class Prefixes:
         """Encode ``more`` after what is there; tokens that reach into it are found anew."""
         v, old = self.vocabulary, len(self.piece)
         piece = self.piece = self.piece + more
-        n, last = len(piece), self.last
+        n, last, size = len(piece), self.last, v.size
         last.extend([-1] * (n - old))
-        starts, apart = v.starts.get, v.stay_apart
-        longest = max(map(len, v.tokens)) if old else 0
-        for i in range(max(0, old - longest), n):
-            before, end = last[i], i + 1
-            while end <= n:
+        starts, apart, find = v.starts.get, v.apart.get, v.stay_apart
+        for i in range(max(0, old - v.longest) if old else 0, n):
+            before = last[i]
+            for end in range(i + 1, n + 1):
                 token = starts(piece[i:end])
                 if token is None:
                     break
-                if token >= 0 and end > old and last[end] < 0 and (i == 0 or apart(before, token)):
+                if token >= 0 and last[end] < 0 and end > old:
+                    if i:
+                        fits = apart(before * size + token)
+                        if not (find(before, token) if fits is None else fits):
+                            continue
                     last[end] = token
-                end += 1
         return self
 
     def edit(self, start: int, end: int, put: bytes) -> Prefixes:
@@ -152,37 +153,36 @@ def _loaded(path: str) -> Vocabulary:
     return Vocabulary.load(path)
 
 
+class _Pieces(dict):
+    """Ids of pieces; one that is not there is encoded."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece.encode()
+        whole = self.vocabulary.ranks.get(raw)
+        ids = np.array([whole] if whole is not None else Prefixes(self.vocabulary, raw).ids(), "<u4").tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Whole texts to ids and back; pieces that come again are looked up."""
+    """Whole texts to ids; pieces that come again are looked up."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
         import regex
 
-        self.vocabulary, self.split, self.known = _loaded(path), regex.compile(pattern).findall, {}
-
-    def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.vocabulary.ranks.get(raw)
-        ids = [whole] if whole is not None else Prefixes(self.vocabulary, raw).ids()
-        return np.array(ids, "<u4").tobytes()
+        self.vocabulary, self.split = _loaded(path), regex.compile(pattern).findall
+        self.known = _Pieces(self.vocabulary)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, pieces = self.known, self.split(text or "")
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            out = []
-            for p in pieces:
-                ids = known.get(p)
-                if ids is None:
-                    ids = self._piece(p)
-                    if len(p) <= 64:
-                        known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.split(text or "")))
 
 
 class Decoder:
