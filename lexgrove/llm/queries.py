@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, language, quality, secrets, urls
+from lexgrove.llm import bpe, language, packing, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(secrets.number(spans, k).alias(f"n_{k}") for k in secrets.KINDS), F.sha2(secrets.joined(spans, secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in windows of 2048 tokens."""
+    out = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents that are not held out."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -56,7 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
