@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, language, packing, quality, secrets, urls
+from lexgrove.llm import bpe, language, lines, packing, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,28 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(secrets.number(spans, k).alias(f"n_{k}") for k in secrets.KINDS), F.sha2(secrets.joined(spans, secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the later copies of repeated runs of lines."""
+    out = lines.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Lines to delete: the shortest runs of MIN_WORDS words from each line on, and up to it, that came before.
+LINES_SQL = f"""
+WITH raw AS (SELECT doc_id, string_split({{text}}, chr(10)) AS l FROM {{documents}} WHERE {{text}} IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM raw),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM lines),
+numbered AS (SELECT *, row_number() OVER d AS j, sum(w) OVER d AS upto, sum(w) OVER (PARTITION BY doc_id) AS total FROM worded WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+forward AS (SELECT a.doc_id, a.j, min(b.j) AS e FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.upto - a.upto + a.w >= {lines.MIN_WORDS} GROUP BY ALL),
+backward AS (SELECT a.doc_id, max(b.j) AS j, a.j AS e FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.j <= a.j AND a.upto - b.upto + b.w >= {lines.MIN_WORDS} GROUP BY ALL),
+runs AS (SELECT * FROM forward UNION SELECT * FROM backward),
+texts AS (SELECT r.doc_id, r.j, r.e, string_agg(n.line, chr(10) ORDER BY n.j) AS t FROM runs r JOIN numbered n ON n.doc_id = r.doc_id AND n.j BETWEEN r.j AND r.e GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, j) AS nth FROM texts),
+gone AS (SELECT DISTINCT n.doc_id, n.pos FROM ranked r JOIN numbered n ON n.doc_id = r.doc_id AND n.j BETWEEN r.j AND r.e WHERE r.nth > 1),
+kept AS (SELECT l.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document in windows of 2048 tokens."""
     out = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -62,8 +84,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_line_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": LINES_SQL.format(text="text", documents="documents") + "SELECT d.doc_id, coalesce(k.n_removed, 0) AS n_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE k.text END) AS n_chars, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"}
