@@ -19,15 +19,15 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZERS, name)
 
 
-#: Rows of an Arrow batch: whole texts are large, and a batch is held several times over.
-BATCH_ROWS = 256
+#: Size of an Arrow batch: whole texts are large, and a batch is held several times over.
+BATCH_BYTES = "2m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Make Arrow batches small, unless the session sets a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the bytes of Arrow batches, unless the session does so itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def arrow_column(make: Callable[[], Callable[[str | None], dict]], kind: pa.DataType, returns: str, source: Column) -> Column:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, language, lines, packing, quality, secrets, urls
+from lexgrove.llm import bpe, language, lines, packing, quality, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.cluster(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", simhash.digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans of secrets, with counts and a digest of those of the fixed patterns."""
     out = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -84,7 +90,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op4_line_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_line_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
