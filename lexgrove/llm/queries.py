@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, language, lines, packing, quality, secrets, simhash, urls
+from lexgrove.llm import bpe, embeddings, language, lines, packing, quality, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(secrets.number(spans, k).alias(f"n_{k}") for k in secrets.KINDS), F.sha2(secrets.joined(spans, secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without the later copies of repeated runs of lines."""
     out = lines.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,7 +95,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_line_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_embedding_dedup, op4_line_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
