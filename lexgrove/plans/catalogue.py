@@ -1,9 +1,244 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries over the tables, each with DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lexgrove.functions.natural_sort import natural_key
+from lexgrove.functions.text import DEFAULT, FILE_MASK, Tokenization, all_tokens, name_tokens, tokens, words_by_length
+from lexgrove.operators import facets as fc
+from lexgrove.operators import postings as inverted
+from lexgrove.operators.index import NATURAL, SNAPSHOT, SearchIndex
+from lexgrove.operators.matching import EXACT, REGEX, WITHIN
+from lexgrove.sources.store import IndexStore
+from lexgrove.streaming.ingest import Policy, publish_plan
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = " ".join(sql.split())
+
+
+# -- the same terms in SQL -------------------------------------------------------------------------
+SEPARATORS = r"[ .,;:/\\\r\n\t|\-#\[\]{}()~£$€]+"
+def sql_tokens(column: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({column}, '')), '{SEPARATORS}'), lambda t: t <> '')"
+
+
+def sql_term(column: str, how: str, word: str) -> str:
+    """exact, within, or an anchored pattern, on some token."""
+    test = {"exact": f"t = '{word}'", "within": f"contains(t, '{word}')", "glob": f"regexp_full_match(t, '{word}')", "regex": f"regexp_matches(t, '{word}', 'i')"}[how]
+    return f"(len(list_filter({sql_tokens(column)}, lambda t: {test})) > 0)"
+
+
+# -- indexes over the tables -----------------------------------------------------------------------
+def documents(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return SearchIndex.build(_table(spark, sf_dir, "documents"), id="doc_id", text="text", facets={"n_chars": F.col("n_chars")})
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """Documents with the facets of their labels; those without labels read as 0."""
+    both = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return SearchIndex.build(both, id="doc_id", text="text", facets={n: F.col(n) for n in ("quality", "toxic")})
+
+
+def parts(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return SearchIndex.build(_table(spark, sf_dir, "part"), id="p_partkey", text="p_name", sort="p_brand", facets={"size": F.col("p_size"), "cents": F.round(F.col("p_retailprice") * 100)})
+
+
+def masks(table: str, id: str, text: str) -> Callable[[SparkSession, str], SearchIndex]:
+    return lambda spark, sf_dir: SearchIndex.build(_table(spark, sf_dir, table), id=id, text=text, preset=FILE_MASK)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """Line items: flags and dates as facets."""
+    t = _table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return SearchIndex.build(t, id="line", text="l_returnflag", facets={"partkey": F.col("l_partkey"), "shipped": fc.micros(F.col("l_shipdate"))})
+
+
+def orders(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return SearchIndex.build(_table(spark, sf_dir, "orders"), id="o_orderkey", text="o_orderpriority", facets={"day": fc.micros(F.col("o_orderdate"))})
+
+
+def _finds(name: str, index, expr: str | None, where: str, table: str = "documents", id: str = "doc_id", method: str = EXACT, operators: bool = True, facets=None) -> None:
+    _add(name, lambda s, d: index(s, d).matching(expr, method, operators, facets).select("id"), f"SELECT {id} AS id FROM {table} WHERE {where}")
+
+
+def _x(word: str) -> str:
+    return sql_term("text", "exact", word)
+
+
+def _w(word: str) -> str:
+    return sql_term("text", "within", word)
+
+
+# -- scalar functions and tables -------------------------------------------------------------------
+_add("tokens_default", lambda s, d: _table(s, d, "documents").select("doc_id", F.explode(tokens("text")).alias("word")), f"SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS word FROM documents")
+_add("token_counts", lambda s, d: _table(s, d, "documents").select("doc_id", F.size(all_tokens("text")).cast("bigint").alias("n_tokens"), F.size(tokens("text")).cast("bigint").alias("n_distinct")), f"SELECT doc_id, len({sql_tokens('text')}) AS n_tokens, len(list_distinct({sql_tokens('text')})) AS n_distinct FROM documents")
+_add("tokens_file_mask", lambda s, d: _table(s, d, "pages").select("page_id", F.explode(tokens("url", FILE_MASK)).alias("word")), "SELECT page_id, lower(url) AS word FROM pages WHERE url <> ''")
+_add("tokens_custom", lambda s, d: _table(s, d, "pages").select("page_id", F.explode(tokens("url", Tokenization.create("/.", " "))).alias("word")), "SELECT DISTINCT page_id, unnest(list_filter(string_split_regex(lower(coalesce(url, '')), '[/.]+'), lambda t: t <> '')) AS word FROM pages")
+_add("words_by_length", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(words_by_length("p_name"), " ").alias("words")), f"SELECT p_partkey, coalesce(string_agg(w, ' ' ORDER BY length(w) DESC, w), '') AS words FROM (SELECT DISTINCT p_partkey, unnest({sql_tokens('p_name')}) AS w FROM part) GROUP BY p_partkey UNION ALL SELECT p_partkey, '' FROM part WHERE len({sql_tokens('p_name')}) = 0")
+_add("name_tokens", lambda s, d: _table(s, d, "pages").select("page_id", F.explode(F.filter(F.split(name_tokens("url"), "-"), lambda t: t != "")).alias("word")), r"SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(coalesce(url, '')), '([\p{L}\p{Nd}]+)', 1)) AS word FROM pages")
+NATURAL_SQL = r"array_to_string(list_transform(regexp_extract_all(coalesce({0}, ''), '(\p{{Nd}}+|\p{{L}}+|[^\- _/])', 1), lambda t: CASE WHEN regexp_matches(t, '^\p{{Nd}}') THEN '0:' || CASE WHEN length(t) < 12 THEN lpad(t, 12, '0') ELSE t END ELSE '1:' || lower(t) END), '|')"
+_add("natural_key", lambda s, d: _table(s, d, "part").select("p_partkey", natural_key("p_brand").alias("brand_key"), natural_key("p_name").alias("name_key")), f"SELECT p_partkey, {NATURAL_SQL.format('p_brand')} AS brand_key, {NATURAL_SQL.format('p_name')} AS name_key FROM part")
+_add("postings", lambda s, d: inverted.postings(documents(s, d)), f"SELECT DISTINCT unnest({sql_tokens('text')}) AS word, doc_id AS id FROM documents")
+_add("vocabulary", lambda s, d: inverted.vocabulary(documents(s, d)), f"SELECT word, length(word) AS length, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS word FROM documents) GROUP BY word")
+_add("bigrams", lambda s, d: inverted.bigram_table(inverted.vocabulary(parts(s, d))), f"SELECT DISTINCT substr(word, i, 2) AS bigram, word FROM (SELECT word, unnest(range(1, length(word))) AS i FROM (SELECT DISTINCT unnest({sql_tokens('p_name')}) AS word FROM part))")
+_add("within_by_bigram", lambda s, d: inverted.within_by_bigram(inverted.bigram_table(inverted.vocabulary(documents(s, d))), "tion"), f"SELECT DISTINCT word FROM (SELECT unnest({sql_tokens('text')}) AS word FROM documents) WHERE contains(word, 'tion')")
+_add("document_count", lambda s, d: documents(s, d).docs.agg(F.count("*").alias("documents")), "SELECT count(*) AS documents FROM documents")
+_add("unique_words", lambda s, d: inverted.postings(documents(s, d)).agg(F.count_distinct("word").alias("words")), f"SELECT count(DISTINCT w) AS words FROM (SELECT unnest({sql_tokens('text')}) AS w FROM documents)")
+
+# -- terms -----------------------------------------------------------------------------------------
+_finds("find_exact", documents, "the", _x("the"))
+_finds("find_within", documents, "tion", _w("tion"), method=WITHIN)
+_finds("find_glob", documents, "th?n*", sql_term("text", "glob", "th.n.*"))
+_finds("find_glob_prefix", documents, "ver*", sql_term("text", "glob", "ver.*"))
+_finds("find_glob_suffix", documents, "*ment", sql_term("text", "glob", ".*ment"))
+_finds("find_glob_inner", documents, "*shwh*", sql_term("text", "glob", ".*shwh.*"))
+_finds("find_glob_single", documents, "???", sql_term("text", "glob", "..."))
+_finds("find_star", documents, "*", "true")
+_finds("find_double_star", documents, "**", f"len({sql_tokens('text')}) > 0")
+_finds("find_regex", documents, "^th.*ing$", sql_term("text", "regex", "^th.*ing$"), method=REGEX)
+_finds("find_regex_class", documents, "[éè]tre", sql_term("text", "regex", "[éè]tre"), method=REGEX)
+_finds("find_regex_invalid", documents, "(unclosed", "false", method=REGEX)
+_finds("find_blank", documents, "   ", "false")
+_finds("find_none", documents, "zzzzzzzzzzzzzzzzzzzz", "false")
+
+# -- boolean language ------------------------------------------------------------------------------
+_finds("bool_and", documents, "the AND ing", f"{_w('the')} AND {_w('ing')}", method=WITHIN)
+_finds("bool_or", documents, "und OR avec", f"{_x('und')} OR {_x('avec')}")
+_finds("bool_not", documents, "NOT the", f"NOT {_x('the')}")
+_finds("bool_parens", documents, "(the OR der) AND NOT tion*", f"({_x('the')} OR {_x('der')}) AND NOT {sql_term('text', 'glob', 'tion.*')}")
+_finds("bool_precedence", documents, "und OR the AND NOT that", f"{_x('und')} OR ({_x('the')} AND NOT {_x('that')})")
+_finds("bool_nested", documents, "((the OR les) AND (of OR pour)) NOT (was OR sur)", f"({_x('the')} OR {_x('les')}) AND ({_x('of')} OR {_x('pour')}) AND NOT ({_x('was')} OR {_x('sur')})")
+_finds("implicit_and", documents, "the of that", f"{_x('the')} AND {_x('of')} AND {_x('that')}", operators=False)
+_finds("operators_off", documents, "the or and", f"{_w('the')} AND {_w('or')} AND {_w('and')}", method=WITHIN, operators=False)
+_finds("repair_double_not", documents, "NOT NOT the", f"NOT {_x('the')}")
+_finds("repair_leading_trailing", documents, "OR the AND NOT", _x("the"))
+_finds("repair_operator_run", documents, "the AND OR that", f"{_x('the')} AND {_x('that')}")
+_finds("repair_hopeless", documents, "the NOT AND that", "false")
+_finds("unbalanced_parens", documents, "(the OR der", f"{_x('the')} OR {_x('der')}")
+_finds("conversations_bool", lambda s, d: SearchIndex.build(_table(s, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), id="id", text="text"), "the AND NOT of", f"{_x('the')} AND NOT {_x('of')}", table="conversations", id="conv_id * 1000 + turn")
+
+# -- whole-name masks ------------------------------------------------------------------------------
+CUSTOMERS, SUPPLIERS, PAGES = masks("customer", "c_custkey", "c_name"), masks("supplier", "s_suppkey", "s_name"), masks("pages", "page_id", "url")
+_finds("mask_exact", CUSTOMERS, "Customer#000000007", "lower(c_name) = 'customer#000000007'", "customer", "c_custkey")
+_finds("mask_single", CUSTOMERS, "customer#00000000?", "regexp_full_match(lower(c_name), 'customer#00000000.')", "customer", "c_custkey")
+_finds("mask_prefix", SUPPLIERS, "supplier#0000000*", "starts_with(lower(s_name), 'supplier#0000000')", "supplier", "s_suppkey")
+_finds("mask_suffix", PAGES, "*.html", "ends_with(lower(url), '.html')", "pages", "page_id")
+_finds("mask_within", PAGES, "example.org", "contains(lower(url), 'example.org')", "pages", "page_id", method=WITHIN)
+_finds("mask_bool", PAGES, "*example.net* AND NOT *.html OR *#top", "(contains(lower(url), 'example.net') AND NOT ends_with(lower(url), '.html')) OR ends_with(lower(url), '#top')", "pages", "page_id")
+_finds("mask_regex", PAGES, r"^https?://m\.", r"regexp_matches(lower(url), '^https?://m\.', 'i')", "pages", "page_id", method=REGEX)
+
+# -- facets ----------------------------------------------------------------------------------------
+_finds("facet_range", documents, None, "n_chars BETWEEN 500 AND 2000", facets=fc.Range("n_chars", 500, 2000))
+_finds("facet_mask", parts, None, "p_size & 5 = 5 AND p_size & 8 = 0", "part", "p_partkey", facets=fc.Mask("size", 5, 8))
+_finds("facet_combine", parts, None, "p_size BETWEEN 10 AND 40 AND p_size & 1 = 1 AND CAST(round(p_retailprice * 100) AS BIGINT) BETWEEN 0 AND 150000", "part", "p_partkey", facets=fc.Facets.combine(fc.Range("size", 10, 40), fc.Mask("size", 1), fc.Range("cents", 0, 150000)))
+_finds("facet_none", parts, None, "false", "part", "p_partkey", facets=fc.NONE)
+_finds("facet_missing_zero", labelled, None, "coalesce(quality, 0) = 0", "documents d LEFT JOIN labels l USING (doc_id)", facets=fc.Range("quality", 0, 0))
+_finds("text_plus_facet", documents, "the AND NOT that", f"{_x('the')} AND NOT {_x('that')} AND n_chars BETWEEN 0 AND 3000", facets=fc.Range("n_chars", 0, 3000))
+_finds("exact_plus_facet", documents, "und", f"{_x('und')} AND n_chars >= 1000", facets=fc.Range("n_chars", 1000, 2**62))
+_finds("facet_lines", lines, None, "l_partkey & 3 = 1 AND epoch_us(l_shipdate) BETWEEN 820454400000000 AND 883612800000000", "lineitem", "l_orderkey * 10 + l_linenumber", facets=fc.Facets.combine(fc.Mask("partkey", 1, 2), fc.Range("shipped", 820454400000000, 883612800000000)))
+_finds("facet_dates", orders, "urgent", "contains(lower(o_orderpriority), 'urgent') AND epoch_us(o_orderdate) >= 852076800000000", "orders", "o_orderkey", method=WITHIN, facets=fc.Range("day", 852076800000000, 2**62))
+_add("date_ticks", lambda s, d: _table(s, d, "orders").select("o_orderkey", fc.ticks(F.col("o_orderdate")).alias("ticks")), "SELECT o_orderkey, epoch_us(o_orderdate) * 10 + 621355968000000000 AS ticks FROM orders")
+_add("facet_count", lambda s, d: documents(s, d).count_df(None, facets=fc.Range("n_chars", 500, 2000)), "SELECT count(*) AS matches FROM documents WHERE n_chars BETWEEN 500 AND 2000")
+
+# -- counts, orders, set operations ----------------------------------------------------------------
+_add("count_matches", lambda s, d: documents(s, d).count_df("the AND NOT that", operators=True), f"SELECT count(*) AS matches FROM documents WHERE {_x('the')} AND NOT {_x('that')}")
+_add("count_with_facet", lambda s, d: documents(s, d).count_df("the", facets=fc.Range("n_chars", 0, 3000)), f"SELECT count(*) AS matches FROM documents WHERE {_x('the')} AND n_chars BETWEEN 0 AND 3000")
+_add("natural_sort_rank", lambda s, d: parts(s, d).find_ranked("*", sort=NATURAL), f"SELECT p_partkey AS id, row_number() OVER (ORDER BY {NATURAL_SQL.format('p_brand')}, p_partkey) AS rank FROM part")
+_add("natural_sort_customers", lambda s, d: CUSTOMERS(s, d).find_ranked("*9*", sort=NATURAL), f"SELECT c_custkey AS id, row_number() OVER (ORDER BY {NATURAL_SQL.format('c_name')}, c_custkey) AS rank FROM customer WHERE contains(c_name, '9')")
+_add("snapshot_order_rank", lambda s, d: documents(s, d).find_ranked("the", sort=SNAPSHOT), f"SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE {_x('the')}")
+_add("natural_top", lambda s, d: parts(s, d).find_ranked("*", sort=NATURAL, limit=20), f"SELECT * FROM (SELECT p_partkey AS id, row_number() OVER (ORDER BY {NATURAL_SQL.format('p_brand')}, p_partkey) AS rank FROM part) WHERE rank <= 20")
+for _kind, _op in (("union", "OR"), ("intersect", "AND"), ("except", "AND NOT")):
+    _add(f"set_{_kind}", lambda s, d, k=_kind: inverted.combine(k, documents(s, d).matching("the"), documents(s, d).matching("that")), f"SELECT doc_id AS id FROM documents WHERE {_x('the')} {_op} {_x('that')}")
+
+# -- many queries in one job -----------------------------------------------------------------------
+BATCH = [
+    inverted.Query(1, "the"),
+    inverted.Query(2, "tion", WITHIN),
+    inverted.Query(3, "ver* OR *ment", EXACT, True),
+    inverted.Query(4, "the AND NOT that", EXACT, True),
+    inverted.Query(5, "NOT (the OR der OR les)", EXACT, True),
+    inverted.Query(6, "und", EXACT, False, fc.Range("n_chars", 1000, 2**62)),
+    inverted.Query(7, "^th.*ing$", REGEX),
+    inverted.Query(8, "*"),
+]
+_BATCH_SQL = [_x("the"), _w("tion"), f"{sql_term('text', 'glob', 'ver.*')} OR {sql_term('text', 'glob', '.*ment')}", f"{_x('the')} AND NOT {_x('that')}", f"NOT ({_x('the')} OR {_x('der')} OR {_x('les')})", f"{_x('und')} AND n_chars >= 1000", sql_term("text", "regex", "^th.*ing$"), "true"]
+_add("find_many", lambda s, d: inverted.Batch.of(documents(s, d)).find_many(BATCH), " UNION ALL ".join(f"SELECT CAST({q.number} AS BIGINT) AS query, doc_id AS id FROM documents WHERE {w}" for q, w in zip(BATCH, _BATCH_SQL)))
+
+
+# -- changes and publishing ------------------------------------------------------------------------
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").alias("id"), F.col("text").alias("search_text"), F.create_map(F.lit("n_chars"), F.col("n_chars")).alias("facets"), F.col("doc_id").alias("seq"))
+
+
+def upsert_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents are indexed; then every third is added or replaced by another text."""
+    docs, store = _table(spark, sf_dir, "documents"), IndexStore(spark)
+    store.rebuild(_entries(docs.where("doc_id % 2 = 0")))
+    store.upsert(_entries(docs.where("doc_id % 3 = 0")).withColumn("search_text", F.lit("replaced Entry")))
+    return store.current.matching("replaced OR the", operators=True).select("id", F.array_contains("tokens", "replaced").alias("is_new"))
+
+
+def remove_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, store = _table(spark, sf_dir, "documents"), IndexStore(spark)
+    store.rebuild(_entries(docs))
+    store.remove(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id")))
+    return store.current.matching("the").select("id")
+
+
+_add("upsert_find", upsert_find, f"SELECT doc_id AS id, doc_id % 3 = 0 AS is_new FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 2 = 0 AND {_x('the')})")
+_add("remove_find", remove_find, f"SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0 AND {_x('the')}")
+
+
+def ingest_stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through a file stream into an index; then a query on what was published."""
+    store = IndexStore(spark)
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    store.rebuild_from_stream(stream.select(F.col("event_id").alias("id"), F.col("event_type").alias("search_text"), F.col("event_id").alias("seq")))
+    return store.current.matching("*click* OR *view*", operators=True).select("id")
+
+
+_add("ingest_stream_final", ingest_stream_final, "SELECT event_id AS id FROM events WHERE regexp_matches(lower(event_type), 'click|view')")
+
+
+def _plan(policy: Policy, batch: int, growing: bool = True) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = F.col("event_id") - F.col("first") + 1  # events are numbered without gaps
+        events = _table(spark, sf_dir, "events")
+        first = events.agg(F.min("event_id").alias("first"))
+        return events.join(F.broadcast(first)).select(publish_plan(n, policy, batch, growing).alias("sequence")).groupBy("sequence").agg(F.count("*").alias("entries"))
+
+    return query
+
+
+_N = "(SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)"
+_add("ingest_plan_per_entry", _plan(Policy.PER_ENTRY, 1), f"SELECT n - 1 AS sequence, CAST(1 AS BIGINT) AS entries FROM {_N}")
+_add("ingest_plan_fixed", _plan(Policy.FIXED_BATCH, 400), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
+_add("ingest_plan_adaptive_growth", _plan(Policy.ADAPTIVE, 200), f"SELECT CAST(CASE WHEN n <= 200 THEN 0 ELSE ceil(log2(n / 200.0)) END AS BIGINT) AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
+_add("ingest_plan_adaptive_fixed", _plan(Policy.ADAPTIVE, 400, False), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+__all__ = ["BATCH", "DEFAULT", "documents", "labelled", "lines", "oracle_sql", "orders", "parts", "queries"]
