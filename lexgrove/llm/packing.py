@@ -18,6 +18,8 @@ their own; an empty table gives no pieces; columns other than the key and the te
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,7 +38,8 @@ CLOSING = 1
 #: Combinations of three lengths that are tried for each length.
 TRIPLES = 4
 #: Distinct chunks between blanks that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+BIG_ENDIAN = sys.byteorder != "little"
 
 
 @lru_cache(maxsize=2)
@@ -49,22 +52,62 @@ def _tokenizer(path: str):
     return t
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level model: itself if it prints, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class _Chunks(dict):
+    """Ids of what stands between blanks, by its bytes in small letters; a chunk that is not there is encoded.
+
+    A word of Latin letters, and one with a full stop or comma after it, is what the normalizer and
+    the splitter would make of it, so it goes to the library's model at once; all else takes the
+    library's whole way.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.whole, self.model = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, raw: bytes) -> bytes:
+        chunk = raw.decode()
+        end = chunk[-1:]
+        if (end == "." or end == ",") and chunk[-2:-1].isalpha() and chunk[-2] < "\u0100":
+            out = self[raw[:-1]] + self[raw[-1:]]
+        else:
+            low = None
+            if chunk.isalpha():
+                if chunk.isascii():
+                    low = chunk
+                elif max(chunk) < "\u0100":
+                    low = chunk.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+            out = _bytes(self.whole.encode(chunk, add_special_tokens=False).ids if low is None else [t.id for t in self.model(low)])
+        if len(raw) <= 64:
+            self[raw] = out
+        return out
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if BIG_ENDIAN else array("I", ids).tobytes()
+
+
 class Tokens:
     """Ids of whole texts. No token spans a blank or a line end, so chunks between them are encoded once."""
 
     def __init__(self, path: str, closing: int = CLOSING):
-        self.tokenizer, self.known, self.closing = _tokenizer(path), {}, np.array([closing], "<u4").tobytes()
+        self.known, self.closing = _Chunks(_tokenizer(path)), _bytes([closing])
 
-    def __call__(self, text: str | None) -> bytes:
-        known, chunks = self.known, (text or "").replace("\n", " ").split(" ")
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks)) + self.closing
+    def __call__(self, text: bytes | str | None) -> bytes:
+        """Ids of a text, or of its UTF-8 bytes. ASCII letters are made small at once, as the normalizer would."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        raw = text.encode() if isinstance(text, str) else text or b""
+        return b"".join(map(self.known.__getitem__, raw.lower().replace(b"\n", b" ").split(b" "))) + self.closing
 
 
 KIND = pa.struct([("ids", pa.binary()), ("task", pa.int64()), ("rank", pa.int64()), ("full_before", pa.int64())])
@@ -84,7 +127,7 @@ def tokenize(df: DataFrame, text: str = "text", window: int = WINDOW, path: str
         for batch in batches:
             out = []
             for x in batch:
-                ids = encode(x.as_py())
+                ids = encode(x.as_buffer().to_pybytes() if x.is_valid else None)
                 whole, rest = divmod(len(ids) // 4, window)
                 out.append({"ids": ids, "task": task, "rank": seen[rest], "full_before": full[rest]})
                 seen[rest] += 1
