@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, embeddings, language, lines, packing, quality, secrets, simhash, urls
+from lexgrove.llm import bpe, embeddings, language, lines, packing, quality, secrets, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ kept AS (SELECT l.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(l.line,
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the strings of 100 bytes that start earlier."""
+    out = substrings.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document in windows of 2048 tokens."""
     out = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -95,7 +102,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_embedding_dedup, op4_line_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_embedding_dedup, op4_line_dedup, op5_substring_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
