@@ -220,7 +220,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     tables = Tables(df.sparkSession, "simhash-kept")
     found = cluster(df, key, text)
     kept = tables.keep(found.where((F.col(key) == F.col("component_id")) | F.col(key).isNull()).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    out = df.join(kept, F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
+    # what is kept grows with the corpus, so it is never broadcast, even where it happens to be small
+    out = df.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
     if not kept.where("_kept IS NOT NULL AND _rows > 1").isEmpty():
         least = "row_number() OVER (PARTITION BY {} ORDER BY xxhash64({}))".format(f"`{key}`", f"`{text}`")
         out = out.withColumn("_nth", F.expr(least)).where(F.col(key).isNull() | (F.col("_nth") == 1)).drop("_nth")
