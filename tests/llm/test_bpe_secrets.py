@@ -1,0 +1,105 @@
+import base64
+import hashlib
+import os
+import random
+
+import numpy as np
+import pytest
+from llm_helpers import rows_of
+
+from lexgrove.llm import bpe, secrets
+from lexgrove.llm.common import vocabulary
+
+PATH = vocabulary("byte_bpe_50k.tiktoken")
+TEXTS = ["", None, "a", " ", "\n\n \t", "The the THE's don't 12345 £5 — naïve café", "ß日本語😀\x1c\x85　x", "a" * 5000, " " * 3000 + "b", "zzqx" * 700, "<|endoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(PATH)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    import tiktoken
+
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("plain", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_encoding_is_that_of_merging(encoder, plain):
+    r = random.Random(1)
+    tokens = [t.decode("utf8", "ignore") for t in encoder.vocabulary.ranks]
+    texts = TEXTS + ["".join(r.choice(tokens) for _ in range(r.randint(1, 6))) for _ in range(1500)] + ["".join(r.choice("aab  \n\x85'stréß٣😀") for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    decoder = bpe.Decoder(PATH)
+    for t in texts:
+        ids = encoder.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == plain(t or "")
+        assert decoder.decode(ids) == (t or "").encode()
+
+
+def test_appends_and_edits(encoder):
+    r = random.Random(2)
+    v = encoder.vocabulary
+    for _ in range(300):
+        a, b = (bytes(r.choice(b"abcdefgh theing") for _ in range(r.randint(0, 12))) for _ in range(2))
+        p = bpe.Prefixes(v, a).append(b)
+        assert p.ids() == bpe.Prefixes(v, a + b).ids()
+        s = r.randint(0, len(a + b))
+        e = r.randint(s, len(a + b))
+        assert p.edit(s, e, b"the").ids() == bpe.Prefixes(v, (a + b)[:s] + b"the" + (a + b)[e:]).ids()
+
+
+def test_every_prefix_has_its_last_token(encoder):
+    p = bpe.Prefixes(encoder.vocabulary, b" unbelievably-something")
+    for n in range(1, len(p.piece) + 1):
+        assert p.last[n] == bpe.Prefixes(encoder.vocabulary, p.piece[:n]).ids()[-1]
+
+
+def test_columns(spark, plain):
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate([*TEXTS, "same", "same"])], "doc_id bigint, text string, ids string")
+    out = rows_of(bpe.decode(bpe.encode(df)))
+    assert len(out) == len(TEXTS) + 2
+    for r in out:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == plain(r["text"] or "") and r["decoded"] == (r["text"] or "").encode()
+    assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+
+
+RANDOM = "kX9vQ2mZ7tLw4RbN8cYp3HsD"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("", ""), (None, ""), ('password = "hunter2"', "assign:0:19"), ("token: abc", ""), ("API_KEY='a1b2c3' apikey=zzzzzz", "assign:0:15,assign:17:30"),
+    ("token: token: abcdef", ""), ("SECRET:abcdef é PASSWD=123456", "assign:0:13,assign:16:29"), ("ſecret=abcdef toKen=abcdef", "assign:14:26"),
+    ("AKIA" + "A" * 16, "access:0:20"), ("AKIA" + "A" * 15, ""), ("xAKIAAKIA" + "B" * 12, "access:1:21"), ("a1" * 12, "hex:0:24"), ("a1" * 11 + "b", ""), ("x" + "ab" * 20 + "G", "hex:1:41"),
+    ("token=" + "0a" * 20, "assign:0:46,hex:6:46"), (f"see {RANDOM} there", "random:4:28"), ("see https://x.org/" + RANDOM, ""), ("1" * 30, "hex:0:30"), ("=" * 40, ""),
+    ("Donaudampfschifffahrtsgesellschaft", ""), ("550e8400-e29b-41d4-a716-446655440000", ""), ("D41D8CD98F00B204E9800998ECF8427E", ""), ("internationalization_of_documents", ""),
+])
+def test_spans(text, want):
+    found = secrets.Scanner(PATH).spans(text)
+    assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in found) == want
+
+
+def test_scan_and_redact(spark):
+    df = spark.createDataFrame([(1, "é token=abcdef, " + RANDOM + " x", 0), (2, None, 0), (3, "clean", 0), (3, "clean", 0), (4, "token=" + "0a" * 20, 0)], "doc_id bigint, text string, spans int")
+    out = sorted(rows_of(secrets.scan(df).select("doc_id", secrets.joined(secrets.F.col("spans")).alias("s"), secrets.number(secrets.F.col("spans"), "random").alias("n"))), key=str)
+    assert [(r["s"], r["n"]) for r in out if r["doc_id"] == 1] == [("assign:2:14,random:16:40", 1)] and [r["s"] for r in out if r["doc_id"] == 3] == ["", ""]
+    text = {r["doc_id"]: r["text"] for r in rows_of(secrets.redact(df))}
+    assert text == {1: "é [SECRET], [SECRET] x", 2: None, 3: "clean", 4: "[SECRET]"}
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_query_digest(spark):
+    from lexgrove.llm.queries import op2_secret_scan, op10_byte_bpe
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("no tables")
+    scanner = secrets.Scanner(PATH)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in op2_secret_scan(spark, small).collect():
+        base = sorted(scanner.base(texts[r.doc_id] or ""), key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+    for r in op10_byte_bpe(spark, small).collect():
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
