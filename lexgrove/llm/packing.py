@@ -198,19 +198,23 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> Plan:
         h[length] = n
     h[0] = 0
     used, slots, sequence = np.zeros(window, np.int64), [], 0
-    patterns = combinations(h, window)
-    x = repeats(h, patterns)
-    for j in np.argsort(-x, kind="stable"):
-        p = patterns[j]
-        n = min([int(x[j] + 0.5), *(int(h[a] - used[a]) // p.count(a) for a in set(p))])
-        if n <= 0:
-            continue
-        offset = 0
-        for a in p:
-            slots.append((a, int(used[a]), int(used[a]) + n, sequence, offset))
-            used[a] += n
-            offset += a
-        sequence += n
+    while True:  # what rounding leaves over is solved again, until no combination is left
+        left, before = h - used, sequence
+        patterns = combinations(left, window)
+        x = repeats(left, patterns)
+        for j in np.argsort(-x, kind="stable"):
+            p = patterns[j]
+            n = min([max(1, int(x[j] + 0.5)), *(int(h[a] - used[a]) // p.count(a) for a in set(p))])
+            if n <= 0:
+                continue
+            offset = 0
+            for a in p:
+                slots.append((a, int(used[a]), int(used[a]) + n, sequence, offset))
+                used[a] += n
+                offset += a
+            sequence += n
+        if sequence == before:
+            break
     stream, at = {}, 0
     for a in range(window - 1, 0, -1):
         if h[a] > used[a]:

@@ -1,0 +1,98 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from llm_helpers import rows_of
+
+from lexgrove.llm import packing
+from lexgrove.llm.common import vocabulary
+
+PATH = vocabulary("word_bpe_49k.json")
+
+
+def plain_ids(text):
+    return [*packing._tokenizer(PATH).encode(text or "", add_special_tokens=False).ids, packing.CLOSING]
+
+
+def test_tokens_are_the_librarys():
+    r = random.Random(5)
+    tokens = packing.Tokens(PATH)
+    letters = "aàéßñœſİΣςσµªºÀÞ×÷Åç .,;'\n\t\xa0\x85AbZ's't1２‚٣日😀´́K"
+    for t in [None, "", " ", "Word, word. WORD.. a.b,c", "x" * 3000, *("".join(r.choice(letters) for _ in range(r.randint(0, 25))) for _ in range(4000))]:
+        assert np.frombuffer(tokens(t), "<u4").tolist() == plain_ids(t)
+        assert tokens((t or "").encode()) == tokens(t)
+
+
+def check(pieces, texts, window):
+    """Each id in exactly one piece, sequences without gaps, and little padding."""
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
+    for d, text in texts.items():
+        at, ids = 0, plain_ids(text)
+        for p in sorted(by_doc[d], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids) and p["length"] > 0
+            assert np.frombuffer(p["ids"], "<u4").tolist() == ids[at : at + p["length"]]
+            at += p["length"]
+        assert at == len(ids)
+    padding = 0
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= window
+        padding += window - at if at & (at - 1) else 0
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    return padding
+
+
+@pytest.mark.parametrize("window", [16, 64, 2048])
+def test_pack(spark, window):
+    r = random.Random(window)
+    texts = {i: " ".join(r.choices(["the", "of", "and", "unknownword"], k=r.choice([0, 1, 5, 5, 5, 13, 40, 200]))) for i in range(150)} | {500: None, 501: "the " * (3 * window - 1)}
+    df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id bigint, text string, ids string").repartition(3)
+    pieces = packing.pack(df, window=window)
+    assert check(rows_of(pieces), texts, window) == 0
+    assert rows_of(packing.padding(pieces, window))[0]["padding"] == 0
+
+
+def test_repeated_rows_and_none(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a")], "doc_id bigint, text string")
+    out = rows_of(packing.pack(df, window=16))
+    assert sum(p["length"] for p in out if p["doc_id"] == 1) == 8 and sum(p["length"] for p in out) == 10
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_plan_uses_patterns():
+    r = random.Random(1)
+    counts = {n: r.randint(0, 30) for n in range(0, 64)}
+    p = packing.plan(counts, 64)
+    filled = {}
+    for length, first, end, sequence, offset in p.slots:
+        for k in range(end - first):
+            filled[sequence + k] = filled.get(sequence + k, 0) + length
+    assert set(filled.values()) == {64} and sorted(filled) == list(range(p.n_slots))
+    used = {}
+    for length, first, end, _, _ in p.slots:
+        assert first == used.get(length, 0)
+        used[length] = end
+    assert all(used.get(n, 0) <= counts[n] for n in range(1, 64))
+    # whatever is left over, no two or three of its lengths fill a window
+    left = sorted(n for n in range(1, 64) for _ in range(min(3, counts[n] - used.get(n, 0))))
+    assert not any(a + b == 64 for a, b in itertools.combinations(left, 2)) and not any(sum(c) == 64 for c in itertools.combinations(left, 3))
+    assert packing.plan({}, 64).n_stream == 0
+
+
+def test_squares_are_not_negative_and_fit():
+    h = np.zeros(16, np.int64)
+    h[[4, 12, 8]] = 30, 10, 21
+    patterns = packing.combinations(h, 16)
+    x = packing.repeats(h, patterns, 200)
+    made = np.zeros(16)
+    for n, p in zip(x, patterns):
+        for a in p:
+            made[a] += n
+    assert (x >= 0).all() and np.abs(made - h).sum() < 0.2 * h.sum() and all(sum(p) == 16 for p in patterns)
