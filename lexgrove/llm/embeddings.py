@@ -2,9 +2,9 @@
 
 A unit vector is projected on many random lines. In each of ``tables`` tables it falls into a block
 by the grid cells of some projections, and lies at a place of one more projection, by which the
-block is sorted. A block is scanned once; a pair collides in a table if one's place is within a
-window centred on the other's. Pairs are counted in the first table whose block they share, over
-the places of all tables; those with at least ``needed`` collisions are verified by their cosine.
+block is sorted. A pair collides in a table if one's place is within a window centred on the
+other's. Pairs that share a block and collide there are counted over the places of all tables, in
+the first such table; those with at least ``needed`` collisions are verified by their cosine.
 
 Grid, window and number of tables follow from the recall wanted at the least cosine, and the number
 of projections in a block's key from the number of vectors, so that blocks keep their size as the
@@ -40,6 +40,8 @@ RECALL, COUNTED = 0.97, 0.999
 #: Vectors of a block on average, and cell width and half window in units of a projection's deviation.
 OCCUPANCY, CELL, REACH = 64, 1.6, 1.0
 CHUNK = 1024
+#: Windows are looked up a little wider, so that rounding decides nothing.
+SLACK = 1e-4
 
 
 @dataclass(frozen=True)
@@ -61,9 +63,9 @@ class Design:
         same_near = 1 - s * math.sqrt(2 / math.pi) / CELL
         far = sum(max(0.0, CELL - abs(d)) / CELL * math.exp(-d * d / 4) / math.sqrt(4 * math.pi) * 0.01 for d in np.arange(-CELL, CELL, 0.01))
         keys = max(2, round(math.log(max(2.0, n / OCCUPANCY)) / -math.log(far)))
-        near = same_near**keys
-        tables = max(8, math.ceil(math.log(1 - recall) / math.log(1 - near)))
         p, q, needed = 2 * normal.cdf(REACH / s) - 1, 0.0, 0
+        near = same_near**keys * p
+        tables = max(8, math.ceil(math.log(1 - recall) / math.log(1 - near)))
         while needed < tables:
             q += math.comb(tables, needed) * p**needed * (1 - p) ** (tables - needed)
             if q > 1 - COUNTED:
@@ -113,22 +115,35 @@ def _codes(design: Design):
 
 
 def _pairs(design: Design, left: dict, right: dict | None, t: int) -> np.ndarray:
-    """Which pairs of a block (rows of ``left`` by rows of ``right`` or of itself) are links counted here."""
+    """Which pairs of a block (rows of ``left`` by rows of ``right`` or of itself) are links counted here.
+
+    The block is sorted by its table's places; only pairs within a window are looked at.
+    """
     other = right or left
-    first = np.ones((len(left["id"]), len(other["id"])), bool)
-    for s in range(t):  # counted in an earlier table
-        first &= left["codes"][:, s, None] != other["codes"][None, :, s]
+    order = np.argsort(other["places"][:, t], kind="stable")
+    sorted_places = other["places"][order, t]
     if right is None:
-        first &= np.tri(len(left["id"]), k=-1, dtype=bool).T
-    i, j = np.nonzero(first)
-    out = []
-    for at in range(0, len(i), 200_000):
-        a, b = i[at : at + 200_000], j[at : at + 200_000]
-        near = (np.abs(left["places"][a] - other["places"][b]) <= REACH).sum(axis=1) >= design.needed
-        a, b = a[near], b[near]
+        rows, low = order, np.arange(len(order)) + 1  # each pair once: the other one lies behind
+    else:
+        rows = np.arange(len(left["id"]))
+        low = np.searchsorted(sorted_places, left["places"][:, t] - np.float32(REACH + SLACK), "left")
+    high = np.searchsorted(sorted_places, left["places"][rows, t] + np.float32(REACH + SLACK), "right")
+    n = np.maximum(high - low, 0)
+    out = [np.empty((2, 0), np.int64)]
+    ends = np.cumsum(n)
+    for s in range(0, len(rows), 256):
+        m = n[s : s + 256]
+        a = np.repeat(rows[s : s + 256], m)
+        b = order[np.arange(len(a)) - np.repeat(ends[s : s + 256] - m - (ends[s - 1] if s else 0), m) + np.repeat(low[s : s + 256], m)]
+        near = np.abs(left["places"][a] - other["places"][b]) <= REACH
+        passed = near[:, t] & (near.sum(axis=1) >= design.needed)
+        a, b, near = a[passed], b[passed], near[passed]
+        # counted in an earlier table?
+        first = ~((left["codes"][a, :t] == other["codes"][b, :t]) & near[:, :t]).any(axis=1)
+        a, b = a[first], b[first]
         good = np.einsum("ij,ij->i", left["unit"][a], other["unit"][b]) >= design.least
         out.append(np.stack([a[good], b[good]]))
-    return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    return np.concatenate(out, axis=1)
 
 
 FOUND = "id bigint, links bigint, to bigint"
