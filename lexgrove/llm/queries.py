@@ -101,9 +101,62 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), bpe.digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+#: Bytes to remove: those of every window of 100 bytes, in hexadecimal digits, that is not its first.
+SUBSTRINGS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(greatest(0, CAST(length(x) // 2 AS BIGINT) - 99))) AS p FROM d)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM w),
+g AS (SELECT doc_id, p, coalesce(p - lag(p) OVER o > 100, true) AS fresh FROM r WHERE nth > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT doc_id, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM g),
+s AS (SELECT doc_id, n, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, n),
+k AS (SELECT doc_id, b AS a, lead(a, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(x, 2 * k.a + 1, 2 * (k.b - k.a)), '' ORDER BY k.a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
+def _urls_sql() -> str:
+    """The rules, the two models, the threshold and the verdicts."""
+    s, s2 = urls.SIZE, urls.SIZE**2
+    cases = {"rule": "", "verdict": ""}
+    for r in sorted(URL_RULES, key=lambda r: (-len(r.name), r.name)):
+        fits = f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN "
+        cases["rule"] += f"{fits}'{r.name}' "
+        cases["verdict"] += f"{fits}'{r.verdict}' "
+    pattern, folded = r"(?s)^.*?://([^/?#]*)([^?#]*)", f"translate(coalesce(url, ''), '{urls.UPPER}123456789', '{urls.LOWER}000000000')"
+    code = f"CASE WHEN strpos('{urls.ALPHABET}', c) > 0 THEN strpos('{urls.ALPHABET}', c) ELSE {urls.OTHER} END"
+
+    def p(k: str) -> str:
+        one = f"((coalesce(m1.{k}, 0) + 1.0) / (tot.{k} + {s}))"
+        two = f"(CASE WHEN coalesce(c2.a + c2.r, 0) >= {urls.SEEN} THEN (coalesce(m2.{k}, 0) + {urls.PRIOR} * {one}) / (coalesce(c2.{k}, 0) + {urls.PRIOR}) ELSE {one} END)"
+        return f"(CASE WHEN coalesce(c3.a + c3.r, 0) >= {urls.SEEN} THEN (coalesce(m3.{k}, 0) + {urls.PRIOR} * {two}) / (coalesce(c3.{k}, 0) + {urls.PRIOR}) ELSE {two} END)"
+
+    def model(name: str, key: str) -> str:
+        return f"{name} AS (SELECT {key} AS k, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM n GROUP BY 1)"
+
+    return f"""
+WITH h AS (SELECT row_number() OVER () AS id, page_id, url, translate(regexp_extract(coalesce(url, ''), '{pattern}', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(coalesce(url, ''), '{pattern}', 2) AS path FROM pages),
+u AS (SELECT *, CASE {cases["rule"]}END AS rule, CASE {cases["verdict"]}END AS given, CAST('0x' || substr(md5(coalesce(url, '')), 1, 4) AS BIGINT) % 5 = 0 AS held FROM h),
+q AS (SELECT id, url, given, held, [0, 0] || list_transform(list_filter(string_split({folded}, ''), lambda c: c <> ''), lambda c: CAST({code} AS INTEGER)) || [0] AS z FROM u),
+e AS (SELECT id, url, given, held, unnest(list_transform(range(1, len(z) - 1), lambda i: (z[i] * {s} + z[i + 1]) * {s} + z[i + 2])) AS g FROM q),
+n AS (SELECT g, count(*) FILTER (WHERE given = 'allow') AS a, count(*) FILTER (WHERE given = 'block') AS r FROM e WHERE given IS NOT NULL AND url IS NOT NULL AND NOT held GROUP BY g),
+{model("m3", "g")}, {model("m2", f"g % {s2}")}, {model("m1", f"g % {s}")}, {model("c3", f"g // {s}")}, {model("c2", f"(g // {s}) % {s}")},
+tot AS (SELECT CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM n),
+v AS (SELECT w.g, CAST(round({urls.PARTS} * (ln({p("a")}) - ln({p("r")}))) AS BIGINT) AS v FROM (SELECT DISTINCT g FROM e) w CROSS JOIN tot LEFT JOIN m3 ON m3.k = w.g LEFT JOIN m2 ON m2.k = w.g % {s2} LEFT JOIN m1 ON m1.k = w.g % {s} LEFT JOIN c3 ON c3.k = w.g // {s} LEFT JOIN c2 ON c2.k = (w.g // {s}) % {s}),
+t AS (SELECT e.id, CAST(sum(v.v) AS BIGINT) AS total, count(*) AS n FROM e JOIN v ON v.g = e.g GROUP BY e.id),
+b AS (SELECT CAST(floor(total / (n * {urls.BIN})) AS BIGINT) AS bin, count(*) FILTER (WHERE given = 'allow') AS a, count(*) FILTER (WHERE given = 'block') AS r FROM t JOIN u ON u.id = t.id WHERE given IS NOT NULL AND url IS NOT NULL AND held GROUP BY 1),
+o AS (SELECT bin, coalesce(sum(r) OVER x, 0) / sum(r) OVER () - coalesce(sum(a) OVER x, 0) / sum(a) OVER () AS apart FROM b WINDOW x AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT bin * {urls.BIN} AS least FROM o ORDER BY apart DESC, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN total >= n * least THEN 'allow' ELSE 'block' END) AS verdict, total / n / {urls.PARTS} AS score
+FROM u JOIN t ON t.id = u.id CROSS JOIN best
+"""
+
+
 def queries():
     return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_embedding_dedup, op4_line_dedup, op5_substring_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINES_SQL.format(text="text", documents="documents") + "SELECT d.doc_id, coalesce(k.n_removed, 0) AS n_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE k.text END) AS n_chars, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"}
+    return {"op5_substring_dedup": SUBSTRINGS_SQL, "op8_url_filter": _urls_sql(), "op4_line_dedup": LINES_SQL.format(text="text", documents="documents") + "SELECT d.doc_id, coalesce(k.n_removed, 0) AS n_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE k.text END) AS n_chars, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"}

@@ -32,7 +32,9 @@ SIZE = OTHER + 1
 SEEN = 4
 #: Weight of the shorter context's distribution, in characters.
 PRIOR = 4.0
-BIN = 0.02
+#: Differences of log-likelihoods are whole numbers of this part, so that sums are exact; and the
+#: width of the steps, in such parts, in which a threshold is looked for.
+PARTS, BIN = 10_000, 200
 
 
 @dataclass(frozen=True)
@@ -78,13 +80,13 @@ def trigrams(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood differences by trigram, and the least mean of them that is allowed."""
+    """Log-likelihood differences by trigram, and the least mean of them that is allowed, in PARTS."""
 
-    ratios: tuple[float, ...] | None
-    threshold: float
+    ratios: tuple[int, ...] | None
+    threshold: int
 
 
-def _ratios(grams: DataFrame, spark: SparkSession) -> tuple[float, ...]:
+def _ratios(grams: DataFrame, spark: SparkSession) -> tuple[int, ...]:
     """From counted trigrams (accepted, g, n) to one number for each possible trigram."""
     n = F.col("n")
     counts = grams.groupBy("g").agg(*(F.sum(F.when(F.col("accepted") == v, n).otherwise(0)).cast("double").alias(f"{k}3") for k, v in (("a", True), ("r", False))))
@@ -103,13 +105,18 @@ def _ratios(grams: DataFrame, spark: SparkSession) -> tuple[float, ...]:
         for order in "23":
             seen = F.col(f"an{order}") + F.col(f"rn{order}") >= SEEN
             p[k] = F.when(seen, (F.col(f"{k}{order}") + PRIOR * p[k]) / (F.col(f"{k}n{order}") + PRIOR)).otherwise(p[k])
-    row = whole.select("g", F.round(F.log(p["a"]) - F.log(p["r"]), 4).alias("v")).agg(F.array_sort(F.collect_list(F.struct("g", "v"))).alias("x")).select("x.v").first()
+    row = whole.select("g", F.round(PARTS * (F.log(p["a"]) - F.log(p["r"]))).cast("bigint").alias("v")).agg(F.array_sort(F.collect_list(F.struct("g", "v"))).alias("x")).select("x.v").first()
     return tuple(row[0])
 
 
-def _score(grams: Column, ratios: tuple[float, ...]) -> Column:
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast(T.ArrayType(T.DoubleType()))
-    return F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.element_at(table, g + 1)) / F.size(grams)
+def _sum(grams: Column, ratios: tuple[int, ...]) -> Column:
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast(T.ArrayType(T.LongType()))
+    return F.aggregate(grams, F.lit(0).cast("bigint"), lambda s, g: s + F.element_at(table, g + 1))
+
+
+def _left_out(url: Column) -> Column:
+    """One url of five, by its digest."""
+    return F.conv(F.substring(F.md5(url.cast("binary")), 1, 4), 16, 10).cast("bigint") % 5 == 0
 
 
 def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> Model:
@@ -121,15 +128,15 @@ def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> Mo
     spark = labelled.sparkSession
     own = labelled.where(F.col(verdict).isin("allow", "block") & F.col(url).isNotNull()).select(F.col(url).alias("_url"), (F.col(verdict) == "allow").alias("accepted"))
     if own.groupBy("accepted").count().count() < 2:
-        return Model(None, 0.0)
-    left_out = F.pmod(F.xxhash64("_url"), F.lit(5)) == 0
+        return Model(None, 0)
+    left_out = _left_out(F.col("_url"))
     grams = own.where(~left_out).select("accepted", F.explode(trigrams(F.col("_url"))).alias("g")).groupBy("accepted", "g").agg(F.count("*").alias("n"))
     ratios = _ratios(grams, spark)
-    bins = own.where(left_out).select("accepted", F.floor(_score(trigrams(F.col("_url")), ratios) / BIN).alias("bin")).groupBy("bin").agg(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("r"))
+    bins = own.where(left_out).select("accepted", F.floor(_sum(trigrams(F.col("_url")), ratios) / (F.size(trigrams(F.col("_url"))) * BIN)).alias("bin")).groupBy("bin").agg(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("r"))
     below = "coalesce(sum({0}) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / nullif(sum({0}) OVER (), 0)"
     apart = bins.selectExpr("bin", f"{below.format('r')} - {below.format('a')} AS apart")
     best = apart.where("apart IS NOT NULL").orderBy(F.desc("apart"), "bin").select("bin").first()
-    return Model(ratios, best["bin"] * BIN if best else 0.0)
+    return Model(ratios, best["bin"] * BIN if best else 0)
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", model: Model | None = None) -> DataFrame:
@@ -137,5 +144,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", model: Model | Non
     out = apply_rules(df, rules, url)
     if model is None:
         model = train(out, url)
-    score = _score(trigrams(F.col(url)), model.ratios) if model.ratios else F.lit(0.0)
-    return out.withColumn("score", score).withColumn("verdict", F.coalesce(F.col("verdict"), F.when(F.col("score") >= model.threshold, "allow").otherwise("block")))
+    grams = trigrams(F.col(url))
+    total, n = _sum(grams, model.ratios) if model.ratios else F.lit(0).cast("bigint"), F.size(grams)
+    out = out.withColumn("score", total / n / PARTS).withColumn("_allowed", total >= n * model.threshold)
+    return out.withColumn("verdict", F.coalesce(F.col("verdict"), F.when(F.col("_allowed"), "allow").otherwise("block"))).drop("_allowed")
