@@ -57,8 +57,11 @@ class IndexStore:
         out.write(bytearray(str(version).encode()))
         out.close()
         _, name = self._fs("CURRENT")
-        fs.delete(name, False)
-        fs.rename(new, name)
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs
+        over = context._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(name.toUri(), context._jsc.hadoopConfiguration()).rename(new, name, over)
         self.version, self._current = version, None
         return self.current
 
