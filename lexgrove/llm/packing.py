@@ -38,7 +38,7 @@ CLOSING = 1
 #: Combinations of three lengths that are tried for each length.
 TRIPLES = 4
 #: Distinct chunks between blanks that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 BIG_ENDIAN = sys.byteorder != "little"
 
 
@@ -256,8 +256,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = W
     schema = "rest bigint, full_base bigint, stream_rank bigint, stream_at bigint, slots array<struct<first:bigint,end:bigint,sequence:bigint,offset:bigint>>"
     table = F.broadcast(spark.createDataFrame(bases, schema))
 
-    # the cells grow with the number of tasks, so they are never broadcast, even where they are few
-    placed = rows.join(cells.select("task", "rest", "rank0", "full0").hint("merge"), ["task", "rest"]).join(table, "rest")
+    # the cells grow with the number of tasks, so they are never broadcast, even where they are few; a
+    # partition of them is small, so the rows with their ids need no sort
+    placed = rows.join(cells.select("task", "rest", "rank0", "full0").hint("shuffle_hash"), ["task", "rest"]).join(table, "rest")
     rank = F.col("rank") + F.col("rank0")
     start, rest = F.col("full") * window, F.col("rest")
     whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1), lambda i: _span(i * window, F.lit(window), F.col("full_base") + F.col("full0") + F.col("full_before") + i, F.lit(0)))).otherwise(F.array().cast(SPANS))
