@@ -1,20 +1,19 @@
 """Repeated byte strings: every byte covered by a string of ``length`` that also starts earlier.
 
-A suffix sort that is cut at ``length`` bytes and works on a difference cover. The cover is chosen
-by content: the least of the hashed ``GRAM``-byte strings in each window. Like the residues of the
-usual cover, it lets any two suffixes be compared at a sampled place at the same distance from both
-(equal windows have their sample at the same place), but it takes 3 of 100 positions, not 2 of 3.
-
-* Sampled strings are sorted and named (grouped by hash); unique names leave no work behind.
-* The names are refined by all that the windows of a sample cover. Of samples with the same refined
-  name the later ones are settled: their windows have all come before.
-* The remaining suffixes, those between samples, are merged through the sample they share: for each
-  distance from it, windows are sorted by the bytes before and after, and neighbours compared byte
-  by byte. The first of equal ones stays.
-
-Samples that a task finds again are settled there, so copies do not travel to one place. A sample
-with very many contexts, known from a look at some documents, is dealt out by its windows instead.
-That look decides the way of the work only, never the result.
+A distributed suffix sort, cut at ``length`` bytes, by difference covers.
+
+* What can repeat is brought together: in each window of ``length`` bytes the least of its hashed
+  ``GRAM``-byte strings is sampled. Equal windows have equal samples at the same place, so they meet
+  where their sample goes. Samples whose name is unique leave no work behind.
+* Of samples whose windows cover the same bytes, the later ones are settled: their windows have all
+  come before. Those that a task finds again are settled there, so copies do not travel.
+* The remaining contexts, a sample's windows with differing surroundings, are suffix-sorted in
+  parts by the skew algorithm: triples at positions 1 and 2 modulo 3 are sorted and named, the names'
+  suffixes sorted by recursion, the suffixes at positions 0 merged into them. Windows that are
+  neighbours in this order are compared byte by byte; of equal ones all but the first are removed.
+
+A sample with very many contexts is dealt out by its windows instead. It is known as such from a look
+at some documents, or when its rows arrive; that decides the way of the work only, never the result.
 
 Cases: a null text is empty; texts shorter than ``length`` have no strings; rows that agree in key
 and text are one document and fare alike; texts of one key are in the order of their hashes; rows
@@ -39,8 +38,8 @@ HELD = 400_000
 #: Of one in so many documents it is seen which samples are hot: those that hold more than one in
 #: ``HOT`` of the samples seen, and so at most ``HOT`` in number, and more than ``LEAST_HOT``.
 LOOK, HOT, LEAST_HOT = 32, 20_000, 64
-#: Rows of contexts that are sorted together at least.
-TOGETHER = 20_000
+#: Samples of one name that are held at most, and bytes of contexts that are sorted together about.
+CROWD, TOGETHER = 10_000, 2_000_000
 
 U = np.uint64
 
@@ -147,13 +146,24 @@ FOUND = "kind int, key bigint, d bigint, h bigint, at bigint"
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples sorted by key to settled ones, and to those that share their name with another context."""
+    names = ["kind", "key", "d", "h", "at"]
     held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(5)]
+    crowd: int | None = None  # the name, already passed on in part, of more samples than are held
+
+    def wide(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, _, d, h, at = rows
+        kind = np.where((at & 255) == SETTLED, SETTLED, WIDE).astype(np.int32)
+        return _batch(names, [kind, key, d, h, at])
 
     def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if crowd is not None and len(rows[0]) and rows[0][0] == crowd:
+            n = int(np.searchsorted(rows[0], crowd, "right"))
+            yield wide([x[:n] for x in rows])
+            rows = [x[n:] for x in rows]
         if not len(rows[0]):
             return
         kind = rows[4] & 255
-        # kinds never share a key but by chance; they are kept apart
+        # kinds share a key only by chance; they are kept apart
         order = np.lexsort((rows[4], rows[3], rows[2], rows[1], kind, rows[0]))
         key, fine, d, h, at = (r[order] for r in rows)
         kind = kind[order]
@@ -163,14 +173,19 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = np.bincount(run, weights=~again)[run]
         keep = again | (kind == WIDE) | (contexts > 1)
         out = np.where(again, SETTLED, kind)[keep].astype(np.int32)
-        yield _batch(["kind", "key", "d", "h", "at"], [out, key[keep], d[keep], h[keep], at[keep]])
+        yield _batch(names, [out, key[keep], d[keep], h[keep], at[keep]])
 
     for batch in batches:
         held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
-        if len(held[0]) >= TOGETHER:
-            cut = int(np.searchsorted(held[0], held[0][-1]))
+        if len(held[0]) < CROWD:
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if cut:
             yield from done([x[:cut] for x in held])
             held = [x[cut:] for x in held]
+        if len(held[0]) >= CROWD or held[0][0] == crowd:
+            yield wide(held)
+            crowd, held = held[0][0], [x[:0] for x in held]
     yield from done(held)
 
 
@@ -197,52 +212,91 @@ def _contexts(length: int) -> Callable:
 SPAN = "d bigint, h bigint, first bigint, end bigint"
 
 
-def _merge(length: int, gram: int) -> Callable:
+def suffix_order(s: np.ndarray, length: int, each: int = 1) -> np.ndarray:
+    """Positions in the order of their suffixes, as far as ``length`` bytes decide it.
+
+    ``s`` has numbers from 1 on, each of which stands for ``each`` bytes. Triples at positions 1 and
+    2 modulo 3 are named in their order. If names repeat, and triples do not reach over ``length``
+    bytes yet, the names' own suffixes are sorted. A suffix at a position 0 modulo 3 is a number and
+    a suffix that is sorted by then.
+    """
+    n = len(s)
+    if n < 3:
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
+    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    both = np.concatenate([one, two])
+    base = int(t.max()) + 1
+    if base**3 >= 2**62:
+        raise ValueError("too long a text to be sorted at once")
+    triples = (t[both] * base + t[both + 1]) * base + t[np.minimum(both + 2, n + 2)]
+    order = np.argsort(triples)
+    new = np.append(False, triples[order][1:] != triples[order][:-1])
+    names = np.empty(len(both), np.int64)
+    names[order] = np.cumsum(new) + 1
+    if names.max() < len(both) and 3 * each < length:
+        order = suffix_order(names, length, 3 * each)
+    sampled = both[order]
+    rank = np.zeros(n + 4, np.int64)
+    rank[sampled] = np.arange(1, len(sampled) + 1)
+    sampled, m = sampled[sampled < n], len(both) + 1
+    zero = np.arange(0, n, 3)
+    by_one = t[zero] * m + rank[zero + 1]
+    order = np.argsort(by_one)
+    zero, by_one = zero[order], by_one[order]
+    # a suffix at 0 is compared with one at 1 by a number and a rank, with one at 2 by two and a rank
+    first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    by_two = (t[zero] * base + t[zero + 1]) * m + rank[zero + 2]
+    behind = np.searchsorted((t[second] * base + t[second + 1]) * m + rank[second + 2], by_two)
+    # suffixes that agree in ``length`` bytes may be in any order among themselves, but in one order
+    place = np.arange(len(zero)) + np.searchsorted(t[first] * m + rank[first + 1], by_one) + np.maximum.accumulate(behind)
+    out, free = np.empty(n, np.int64), np.ones(n, bool)
+    out[place], free[place] = zero, False
+    out[free] = sampled
+    return out
+
+
+def _came_before(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at ``starts``, in order, equal an earlier one of them."""
+    valid = np.zeros(len(text), bool)
+    valid[starts] = True
+    order = suffix_order(text.astype(np.int64) + 1, length)
+    order = order[valid[order]]
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    same = np.zeros(len(order), bool)
+    for i in range(1, len(order), 50_000):
+        a = order[i : i + 50_000]
+        same[i : i + len(a)] = (windows[a] == windows[order[i - 1 : i - 1 + len(a)]]).all(axis=1)
+    run = np.flatnonzero(~same)
+    first = np.repeat(np.minimum.reduceat(order, run), np.diff(np.append(run, len(order))))
+    again = np.zeros(len(text), bool)
+    again[order] = order != first
+    return again[starts]
+
+
+def _merge(length: int) -> Callable:
     """Contexts sorted by name to spans (d, h, first byte, end) whose windows came before."""
-    before = length - gram
 
     def classes(rows: dict) -> pa.RecordBatch | None:
-        order = np.lexsort((rows["at"], rows["h"], rows["d"]))  # earliest first
-        key, d, h, at = (rows[k][order] for k in ("key", "d", "h", "at"))
-        a, first, last, _ = _unpack(at)
-        n = len(key)
-        text = np.zeros((n, before + length), np.uint8)  # the sample is at column ``before``
-        lengths = np.array([len(b) for b in rows["bytes"]])[order]
-        start = before - (a - first)
-        flat = np.frombuffer(b"".join(rows["bytes"][i] for i in order), np.uint8)
-        row = np.repeat(np.arange(n), lengths)
-        text[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths - start, lengths)] = flat
-        left, right = np.zeros((n, before + 1), U), np.zeros((n, length + 1), U)
-        for i in range(before):
-            left[:, i + 1] = (left[:, i] + text[:, before - 1 - i] + U(1)) * U(0x9E3779B97F4A7C15)
-        for i in range(length):
-            right[:, i + 1] = (right[:, i] + text[:, before + i] + U(1)) * U(0xD6E8FEB86659FD93)
-        gone = np.zeros((n, before + 2), bool)
-        for o in range(before + 1):  # windows that start ``o`` before their sample
-            own = np.flatnonzero((o <= a - first) & (o >= a - last))
-            if len(own) < 2:
-                continue
-            mixed = _mix(_mix(key[own].view(U), left[own, o]), right[own, length - o])
-            by = np.argsort(mixed, kind="stable")
-            new = np.append(True, mixed[by][1:] != mixed[by][:-1])
-            lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-            windows = text[:, before - o : before - o + length]
-            later = ~new
-            x, y = own[by[later]], own[lead[later]]
-            equal = (windows[x] == windows[y]).all(axis=1) & (key[x] == key[y])
-            if not equal.all():  # two strings with one hash: these few are compared as they are
-                exact = np.ascontiguousarray(np.concatenate([windows[own], key[own][:, None].view(np.uint8).reshape(len(own), 8)], axis=1))
-                _, lead = np.unique(exact.view(np.dtype((np.void, exact.shape[1]))).ravel(), return_inverse=True)
-                seen = np.full(lead.max() + 1, len(own))
-                np.minimum.at(seen, lead, np.arange(len(own)))
-                x = own[seen[lead] != np.arange(len(own))]
-            gone[x, o] = True
-        edge = np.diff(np.concatenate([np.zeros((n, 1), np.int8), gone.astype(np.int8)], axis=1), axis=1)
-        r, o1 = np.nonzero(edge == 1)
-        _, o2 = np.nonzero(edge == -1)
-        if not len(r):
+        # in the order of documents and positions, in which windows then follow each other in the text
+        order = np.lexsort((rows["at"], rows["h"], rows["d"]))
+        d, h, at = (rows[k][order] for k in ("d", "h", "at"))
+        _, first, last, _ = _unpack(at)
+        sizes = last - first + length
+        text = np.frombuffer(b"".join(rows["bytes"][i] for i in order), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        n = last - first + 1
+        row = np.repeat(np.arange(len(d)), n)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        gone = _came_before(text, begins[row] + inner, length)
+        # runs of such windows of one context
+        edge = np.append(True, row[1:] != row[:-1])
+        on = np.flatnonzero(gone & np.append(True, ~gone[:-1] | edge[1:]))
+        off = np.flatnonzero(gone & np.append(~gone[1:] | edge[1:], True))
+        if not len(on):
             return None
-        return _batch(["d", "h", "first", "end"], [d[r], h[r], a[r] - (o2 - 1), a[r] - o1 + length])
+        r = row[on]
+        return _batch(["d", "h", "first", "end"], [d[r], h[r], first[r] + inner[on], first[r] + inner[off] + length])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
@@ -253,7 +307,7 @@ def _merge(length: int, gram: int) -> Callable:
         for batch in batches:
             rows = {n: batch.column(i).to_numpy() for i, n in enumerate(("key", "d", "h", "at"))} | {"bytes": np.array([*batch.column(4).to_pylist(), None], object)[:-1]}
             held = rows if held is None else {k: np.concatenate([held[k], rows[k]]) for k in rows}
-            if len(held["key"]) >= TOGETHER:
+            if sum(map(len, held["bytes"])) >= TOGETHER:
                 at = int(np.searchsorted(held["key"], held["key"][-1]))
                 if at:
                     out = classes(cut(held, slice(0, at)))
@@ -312,9 +366,9 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     open_ = named.where(F.col("kind") != SETTLED).groupBy("d", "h").agg(F.collect_list(F.struct("kind", "key", "at")).alias("found"))
     contexts = tables.keep(docs.join(tables.keep(open_, "open"), ["d", "h"]).select("d", "h", "text", "found").mapInArrow(_contexts(length), CONTEXT), "contexts")
-    merged = contexts.where("NOT wide").select("key", "d", "h", "at", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(length, GRAM), SPAN)
+    merged = contexts.where("NOT wide").select("key", "d", "h", "at", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(length), SPAN)
     found = settled.union(merged)
-    if len(hot):
+    if not contexts.where("wide").isEmpty():
         windows = tables.keep(contexts.where("wide").select("d", "h", "at", "bytes").mapInArrow(_windows(length, GRAM), WINDOWS), "windows")
         first = tables.keep(windows.groupBy("x", "y").agg(F.min(F.struct("d", "h", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
         later = windows.join(first, ["x", "y"]).where(F.struct("d", "h", "p") > F.col("first")).select("d", "h", F.col("p").alias("first"), (F.col("p") + length).alias("end"))

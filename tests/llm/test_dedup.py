@@ -170,6 +170,41 @@ def test_substrings(spark, length, hot, monkeypatch):
     assert got == plain_substrings(texts, length)
 
 
+def test_suffix_order():
+    r = random.Random(11)
+    for _ in range(2000):
+        text = [r.randint(1, r.choice([1, 2, 3, 256])) for _ in range(r.randint(0, 50))]
+        length = r.choice([1, 2, 4, 10, 100])
+        order = substrings.suffix_order(np.array(text, np.int64), length).tolist()
+        heads = [text[i : i + length] for i in order]
+        assert sorted(order) == list(range(len(text))) and heads == sorted(heads)
+    text = np.tile(np.frombuffer(b"the same hundred bytes again and again, so that no name is unique for long", np.uint8), 400)
+    order = substrings.suffix_order(text.astype(np.int64) + 1, 100)
+    heads = [bytes(text[i : i + 100]) for i in order]
+    assert sorted(order.tolist()) == list(range(len(text))) and heads == sorted(heads)
+
+
+def test_crowds_of_samples_are_dealt_out_by_windows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "CROWD", 8)
+    r = random.Random(12)
+    rows = sorted((r.choice([1, 1, 1, 2, 3, 4, 5]), r.randint(0, 3), r.randint(0, 9), 0, r.randint(0, 99) << 24 | r.choice([0, 0, 0, 1])) for _ in range(200))
+    columns = [np.array(c, np.int64) for c in zip(*rows)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in columns], names=["key", "fine", "d", "h", "at"]) for i in range(0, 200, 7)]
+    out = [dict(zip(("kind", "key", "d", "h", "at"), x)) for b in substrings._name(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    wide = {x["key"] for x in out if x["kind"] == substrings.WIDE}
+    assert 1 in wide
+    for key in range(1, 6):
+        own = [x for x in rows if x[0] == key]
+        got = [x for x in out if x["key"] == key]
+        if key in wide:
+            assert len(got) == len(own)
+        else:
+            sampled = [x for x in own if not x[4] & 255]
+            assert sum(x["kind"] == substrings.SAMPLED for x in got) in (0, len({x[1] for x in sampled}))
+
+
 def test_substrings_of_repeated_rows(spark):
     t = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
     df = spark.createDataFrame([(1, t), (1, t), (1, "q" + t), (None, t), (2, t[:50])], "doc_id bigint, text string")
