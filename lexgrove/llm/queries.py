@@ -147,8 +147,8 @@ tot AS (SELECT CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM n),
 v AS (SELECT w.g, CAST(round({urls.PARTS} * (ln({p("a")}) - ln({p("r")}))) AS BIGINT) AS v FROM (SELECT DISTINCT g FROM e) w CROSS JOIN tot LEFT JOIN m3 ON m3.k = w.g LEFT JOIN m2 ON m2.k = w.g % {s2} LEFT JOIN m1 ON m1.k = w.g % {s} LEFT JOIN c3 ON c3.k = w.g // {s} LEFT JOIN c2 ON c2.k = (w.g // {s}) % {s}),
 t AS (SELECT e.id, CAST(sum(v.v) AS BIGINT) AS total, count(*) AS n FROM e JOIN v ON v.g = e.g GROUP BY e.id),
 b AS (SELECT CAST(floor(total / (n * {urls.BIN})) AS BIGINT) AS bin, count(*) FILTER (WHERE given = 'allow') AS a, count(*) FILTER (WHERE given = 'block') AS r FROM t JOIN u ON u.id = t.id WHERE given IS NOT NULL AND url IS NOT NULL AND held GROUP BY 1),
-o AS (SELECT bin, coalesce(sum(r) OVER x, 0) / sum(r) OVER () - coalesce(sum(a) OVER x, 0) / sum(a) OVER () AS apart FROM b WINDOW x AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-best AS (SELECT bin * {urls.BIN} AS least FROM o ORDER BY apart DESC, bin LIMIT 1)
+o AS (SELECT bin, coalesce(sum(r) OVER x, 0) / nullif(sum(r) OVER (), 0) - coalesce(sum(a) OVER x, 0) / nullif(sum(a) OVER (), 0) AS apart FROM b WINDOW x AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT coalesce(max(least), 0) AS least FROM (SELECT bin * {urls.BIN} AS least FROM o WHERE apart IS NOT NULL ORDER BY apart DESC, bin LIMIT 1))
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN total >= n * least THEN 'allow' ELSE 'block' END) AS verdict, total / n / {urls.PARTS} AS score
 FROM u JOIN t ON t.id = u.id CROSS JOIN best
 """
