@@ -70,6 +70,17 @@ class Batch:
     def of(cls, index: SearchIndex) -> Batch:
         return cls(index, postings(index), vocabulary(index))
 
+    def save(self, path: str) -> Batch:
+        """Write the tables sorted by word, so that a scan for few words reads few row groups."""
+        self.postings.repartitionByRange("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.vocabulary.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        return Batch.load(self.index, path)
+
+    @classmethod
+    def load(cls, index: SearchIndex, path: str) -> Batch:
+        spark = index.docs.sparkSession
+        return cls(index, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
+
     def find_many(self, queries: Sequence[Query]) -> DataFrame:
         """(query, id) of all that the queries find."""
         spark = self.index.docs.sparkSession

@@ -127,5 +127,14 @@ def test_scan_postings_and_plain_evaluation_agree(spark, method):
     i.docs.unpersist()
 
 
+def test_saved_batch(spark, tmp_path):
+    i = index(spark, WATCHES)
+    batch = inverted.Batch.of(i).save(str(tmp_path))
+    found = batch.find_many([inverted.Query(1, "digital"), inverted.Query(2, "NOT watch", EXACT, True), inverted.Query(3, " ")])
+    assert {(r["query"], r["id"]) for r in found.collect()} == {(1, 1), (1, 3), (2, 4)}
+    with pytest.raises(ValueError):
+        batch.find_many([inverted.Query(1, "a"), inverted.Query(1, "b")])
+
+
 def test_default_preset_is_the_default(spark):
     assert index(spark, {1: "a"}).preset is DEFAULT
