@@ -134,11 +134,25 @@ class Prefixes:
         return self
 
     def edit(self, start: int, end: int, put: bytes) -> Prefixes:
-        """Replace bytes ``start:end``; prefixes up to ``start`` are kept as they are."""
-        tail = self.piece[end:]
+        """Replace bytes ``start:end``. Prefixes up to ``start`` are kept as they are.
+
+        After the edit, what follows is encoded until as many last tokens in a row as the longest
+        token has bytes are what they were: from there on all of them are.
+        """
+        tail, was, reach = self.piece[end:], self.last[end:], self.vocabulary.longest
         self.piece = self.piece[:start]
         del self.last[start + 1 :]
-        return self.append(put + tail)
+        self.append(put)
+        done = 0
+        while done < len(tail):
+            part = tail[done : done + 2 * reach]
+            self.append(part)
+            done += len(part)
+            if done > reach and self.last[-reach:] == was[done + 1 - reach : done + 1]:
+                self.piece += tail[done:]
+                self.last += was[done + 1 :]
+                break
+        return self
 
     def ids(self) -> list[int]:
         out, at, tokens = [], len(self.piece), self.vocabulary.tokens

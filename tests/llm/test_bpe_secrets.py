@@ -51,6 +51,19 @@ def test_appends_and_edits(encoder):
         assert p.edit(s, e, b"the").ids() == bpe.Prefixes(v, (a + b)[:s] + b"the" + (a + b)[e:]).ids()
 
 
+def test_an_edit_stops_where_nothing_changes(encoder, monkeypatch):
+    v, r = encoder.vocabulary, random.Random(3)
+    text = "".join(r.choice(["thing", "er", "ation", "x", "qu", "the"]) for _ in range(3000)).encode()
+    p = bpe.Prefixes(v, text)
+    seen, append = [], bpe.Prefixes.append
+    monkeypatch.setattr(bpe.Prefixes, "append", lambda self, more: seen.append(len(more)) or append(self, more))
+    p.edit(100, 103, b"zebra")
+    assert sum(seen) < 20 * v.longest < len(text)
+    monkeypatch.undo()
+    fresh = bpe.Prefixes(v, text[:100] + b"zebra" + text[103:])
+    assert p.piece == fresh.piece and p.last == fresh.last and p.ids() == fresh.ids()
+
+
 def test_every_prefix_has_its_last_token(encoder):
     p = bpe.Prefixes(encoder.vocabulary, b" unbelievably-something")
     for n in range(1, len(p.piece) + 1):
