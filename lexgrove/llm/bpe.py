@@ -24,7 +24,8 @@ from lexgrove.llm.common import arrow_column, vocabulary
 
 #: Fixed value: how text is split before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that a Python worker remembers of pieces and of token pairs; beyond it starts anew.
+#: Entries that a Python worker remembers of pieces and of token pairs. Beyond it pairs start anew,
+#: and of the pieces those that come again within as many new ones stay.
 REMEMBERED = 450_000
 
 
@@ -172,12 +173,14 @@ class _Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.vocabulary.ranks.get(raw)
-        ids = np.array([whole] if whole is not None else Prefixes(self.vocabulary, raw).ids(), "<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.vocabulary.ranks.get(raw)
+            ids = np.array([whole] if whole is not None else Prefixes(self.vocabulary, raw).ids(), "<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -195,7 +198,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            full, self.known = self.known, _Pieces(self.vocabulary)
+            full.before, self.known.before = {}, full
         return b"".join(map(self.known.__getitem__, self.split(text or "")))
 
 
