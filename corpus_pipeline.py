@@ -15,32 +15,37 @@ from lexgrove.llm import language, lines, packing, secrets, simhash
 from lexgrove.llm.common import Tables
 
 
-def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """With ``n_chars`` of the text as it is now, and the columns of ``like`` in their order."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
-    return docs.select(*like.columns)
+def _carried(docs: DataFrame) -> DataFrame:
+    """Key, text and language, and all other columns in one: no operator's result can take their names."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang")]
+    return docs.select("doc_id", "text", "lang", F.struct(*rest).alias("_rest"))
+
+
+def _released(out: DataFrame, docs: DataFrame, lang: str = "lang") -> DataFrame:
+    """The columns of ``docs`` again, with ``n_chars`` of the text as it is now."""
+    now = {"text": F.col("text"), "lang": F.col(lang), "n_chars": F.length("text").cast("bigint")}
+    return out.select(*(now.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with that language; those rejected go."""
-    found = language.identify(docs, language.train(docs))
-    return found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language.identify(_carried(docs), language.train(docs))
+    return _released(found.where(~F.col("rejected")), docs, "lang_pred")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated runs of lines."""
-    return _counted(lines.remove_repeated(docs), docs)
+    return _released(lines.remove_repeated(_carried(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.deduplicate(docs).select(*docs.columns)
+    return _released(simhash.deduplicate(_carried(docs)), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by a mark."""
-    return _counted(secrets.redact(docs), docs)
+    return _released(secrets.redact(_carried(docs)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from llm_helpers import rows_of
+from pyspark.sql import functions as F
 
 from lexgrove.llm import embeddings, lines, simhash, substrings
 from lexgrove.llm.common import Tables
@@ -291,6 +292,24 @@ def test_pipeline(spark):
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in kept}
 
 
+def test_stages_with_odd_tables(spark):
+    import corpus_pipeline
+
+    text = "the thing that was over there and the other thing with them all"
+    rows = [(i, f"{text} {i} {chr(97 + i % 26) * 3}", "en", "s", 1, 0.5) for i in range(1, 30)]
+    rows += [(None, None, None, None, None, None), (None, text, None, None, None, None), (5, None, None, "x", 0, 1.0), (3, rows[2][1], "en", "s", 1, 0.5), (3, "another the text of that id", "en", "s", 1, 0.5), (40, "", "en", "s", 0, 0.5), (41, "long the text " * 20_000, "en", "s", 0, 0.5)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double").withColumns({c: F.lit("own") for c in ("rejected", "n_removed", "lang_pred", "spans", "component_id", "fingerprint", "_runs", "k", "h", "ids", "task")})
+    tables = Tables(spark, "odd")
+    for docs in (odd, odd.limit(0)):
+        docs = tables.keep(docs)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = tables.keep(stage(spark, docs, ""), name)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert out.where("rejected <> 'own' OR n_removed <> 'own' OR _runs <> 'own' OR n_chars <> length(text)").count() == 0
+            docs = out
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0) == (docs.count() > 0)
+
+
 def test_registered_queries_agree_with_brute_force(spark):
     from lexgrove.llm.queries import op1_simhash, op5_substring_dedup
 
