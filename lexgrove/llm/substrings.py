@@ -39,7 +39,7 @@ HELD = 400_000
 #: ``HOT`` of the samples seen, and so at most ``HOT`` in number, and more than ``LEAST_HOT``.
 LOOK, HOT, LEAST_HOT = 32, 20_000, 64
 #: Samples of one name that are held at most, and bytes of contexts that are sorted together about.
-CROWD, TOGETHER = 10_000, 2_000_000
+CROWD, TOGETHER = 10_000, 1_000_000
 
 U = np.uint64
 
