@@ -68,6 +68,17 @@ def term_matches(term: str, method: str, preset: Tokenization = DEFAULT, norm: s
     return text.contains((d if before else "") + core + (d if after else ""))
 
 
+def term_shape(term: str, method: str) -> tuple[str, str]:
+    """How a token is tested for a term: equal, starts, ends or contains a literal; or else a glob."""
+    if not has_wildcards(term):
+        return ("contains" if method == WITHIN else "equal"), term
+    core = term.strip("*")
+    if not core or has_wildcards(core):
+        return "glob", term
+    before, after = not term.startswith("*"), not term.endswith("*")
+    return ("starts" if before else "ends" if after else "contains"), core
+
+
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
     """Whether the engine can compile a regular expression."""
     try:

@@ -19,7 +19,7 @@ from lexgrove.functions.text import bigrams, normal_text
 from lexgrove.operators.expression import fold_tree, parse, terms
 from lexgrove.operators.facets import Facets, Mask, Range
 from lexgrove.operators.index import SearchIndex
-from lexgrove.operators.matching import EXACT, REGEX, has_wildcards, term_matches
+from lexgrove.operators.matching import EXACT, REGEX, has_wildcards, term_matches, term_shape
 
 #: Terms of a query up to which all combinations are worked out.
 MOST_TERMS = 10
@@ -60,26 +60,43 @@ class Query:
 
 @dataclass
 class Batch:
-    """The inverted tables of an index, written or persisted by the caller, and queries on them."""
+    """The inverted tables of an index, written or persisted by the caller, and queries on them.
+
+    With a table of bigrams, words that contain, start or end with a literal of two characters or
+    more are looked up by its first bigram; without one, each is tested on the whole vocabulary.
+    """
 
     index: SearchIndex
     postings: DataFrame
     vocabulary: DataFrame
+    bigrams: DataFrame | None = None
 
     @classmethod
     def of(cls, index: SearchIndex) -> Batch:
         return cls(index, postings(index), vocabulary(index))
 
+    @classmethod
+    def cached(cls, index: SearchIndex) -> Batch:
+        """In memory, with the postings partitioned by word: only the words that match are moved to them."""
+        words = vocabulary(index).persist()
+        return cls(index, postings(index).repartition("word").persist(), words, bigram_table(words).persist())
+
+    def release(self) -> None:
+        for df in (self.bigrams, self.postings, self.vocabulary):
+            if df is not None:
+                df.unpersist()
+
     def save(self, path: str) -> Batch:
         """Write the tables sorted by word, so that a scan for few words reads few row groups."""
         self.postings.repartitionByRange("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.vocabulary.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        bigram_table(self.vocabulary).repartitionByRange("bigram").sortWithinPartitions("bigram", "word").write.mode("overwrite").parquet(f"{path}/bigrams")
         return Batch.load(self.index, path)
 
     @classmethod
     def load(cls, index: SearchIndex, path: str) -> Batch:
         spark = index.docs.sparkSession
-        return cls(index, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
+        return cls(index, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocabulary", "bigrams")))
 
     def find_many(self, queries: Sequence[Query]) -> DataFrame:
         """(query, id) of all that the queries find."""
@@ -105,18 +122,34 @@ class Batch:
         each = [F.when(self.index.condition(q.text, q.method, q.operators, q.facets), F.lit(q.number).cast("bigint")) for q in queries]
         return self.index.docs.select(F.explode(F.array_compact(F.array(*each))).alias("query"), "id")
 
-    def _matching_words(self, leaves: dict[tuple[str, str], int]) -> DataFrame:
-        """(leaf, word) for the distinct terms of a batch."""
-        spark, found = self.index.docs.sparkSession, []
-        plain = [(n, w) for (w, m), n in leaves.items() if m == EXACT and not has_wildcards(w)]
-        if plain:
-            found.append(self.vocabulary.select("word").join(F.broadcast(spark.createDataFrame(plain, "leaf bigint, word string")), "word").select("leaf", "word"))
-        others = [(n, w, m) for (w, m), n in leaves.items() if m != EXACT or has_wildcards(w)]
-        words = self.vocabulary.select("word", normal_text("word", self.index.preset).alias("norm"))
+    def _hits(self, leaves: dict[tuple[str, str], int]) -> DataFrame:
+        """(leaf, id) for the distinct terms of a batch: a document for each of its words that matches."""
+        spark, literals, looked_up, others = self.index.docs.sparkSession, [], [], []
+        for (term, method), n in leaves.items():
+            kind, text = term_shape(term, method)
+            if any(c in self.index.preset.index for c in term):
+                continue  # no token has such a character
+            if kind == "equal":
+                literals.append((n, text))
+            elif kind != "glob" and len(text) > 1 and self.bigrams is not None:
+                looked_up.append((n, kind, text, text[:2]))
+            else:
+                others.append((n, term, method))
+        hits, words = [], []
+        if literals:  # as many as there are terms
+            hits.append(self.postings.join(F.broadcast(spark.createDataFrame(literals, "leaf bigint, word string")), "word").select("leaf", "id"))
+        if looked_up:
+            word, text = F.col("word"), F.col("text")
+            test = F.when(F.col("kind") == "contains", F.contains(word, text)).when(F.col("kind") == "starts", F.startswith(word, text)).otherwise(F.endswith(word, text))
+            asked = F.broadcast(spark.createDataFrame(looked_up, "leaf bigint, kind string, text string, bigram string"))
+            words.append(self.bigrams.join(asked, "bigram").where(test).select("leaf", "word"))
+        vocabulary = self.vocabulary.select("word", normal_text("word", self.index.preset).alias("norm"))
         for i in range(0, len(others), TOGETHER):
             tests = [F.when(term_matches(w, m, self.index.preset), F.lit(n).cast("bigint")) for n, w, m in others[i : i + TOGETHER]]
-            found.append(words.select(F.explode(F.array_compact(F.array(*tests))).alias("leaf"), "word"))
-        return reduce(DataFrame.union, found)
+            words.append(vocabulary.select(F.explode(F.array_compact(F.array(*tests))).alias("leaf"), "word"))
+        if words:
+            hits.append(reduce(DataFrame.union, words).join(self.postings, "word").select("leaf", "id"))
+        return reduce(DataFrame.union, hits) if hits else spark.createDataFrame([], "leaf bigint, id bigint")
 
     def _by_terms(self, queries: Sequence[tuple[Query, object]]) -> DataFrame:
         spark = self.index.docs.sparkSession
@@ -132,8 +165,7 @@ class Batch:
                 inverse.append(q)
                 true = sorted(set(range(1 << len(own))) - set(true))
             holds += [(q.number, m) for m in true]
-        hits = self._matching_words(leaves).join(self.postings, "word").select("leaf", "id")
-        has = hits.join(F.broadcast(spark.createDataFrame(uses, "leaf bigint, query bigint, bit bigint")), "leaf").groupBy("query", "id").agg(F.bit_or("bit").alias("bits"))
+        has = self._hits(leaves).join(F.broadcast(spark.createDataFrame(uses, "leaf bigint, query bigint, bit bigint")), "leaf").groupBy("query", "id").agg(F.bit_or("bit").alias("bits"))
         kept = has.join(F.broadcast(spark.createDataFrame(holds, "query bigint, bits bigint")), ["query", "bits"]).select("query", "id")
         numbers = [q.number for q in inverse]
         out = kept.where(~F.col("query").isin(numbers)) if numbers else kept

@@ -90,7 +90,7 @@ def test_tokens_of_queries():
 
 def _random_query(r, depth=3):
     if depth == 0 or r.random() < 0.3:
-        return r.choice(["ab", "b", "a*", "*c", "?b", "cab", "*", "d"])
+        return r.choice(["ab", "b", "a*", "*c", "?b", "cab", "*", "d", "ab*", "*bc", "*ca*", "a?c"])
     kind = r.choice(["and", "or", "not", "parens"])
     a, b = _random_query(r, depth - 1), _random_query(r, depth - 1)
     return {"and": f"{a} AND {b}", "or": f"{a} OR {b}", "not": f"NOT {a}", "parens": f"({a}) {b}"}[kind]
@@ -122,6 +122,9 @@ def test_scan_postings_and_plain_evaluation_agree(spark, method):
     batch = inverted.Batch.of(i)
     queries = [inverted.Query(n, q, method, True) for n, q in enumerate(texts)]
     assert {(x.query, x.id) for x in batch.find_many(queries).collect()} == want
+    cached = inverted.Batch.cached(i)
+    assert {(x.query, x.id) for x in cached.find_many(queries).collect()} == want
+    cached.release()
     scanned = batch._by_scan(queries).collect()
     assert {(x.query, x.id) for x in scanned} == want and len(scanned) == len(want)
     i.docs.unpersist()
