@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public vocabulary files lie, unless a caller names another place.
-TOKENIZERS = os.environ.get("LEXGROVE_TOKENIZERS", "/opt/tokenizers")
-
-
 def vocabulary(name: str, folder: str | None = None) -> str:
-    """Path of a vocabulary file; the folder is a parameter, the files are never copied."""
-    return os.path.join(folder or TOKENIZERS, name)
+    """Path of a public vocabulary file: in ``folder``, in LEXGROVE_TOKENIZERS, or where its package has it."""
+    folder = folder or os.environ.get("LEXGROVE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 #: Size of an Arrow batch: whole texts are large, and a batch is held several times over.
