@@ -99,14 +99,14 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return unit / np.linalg.norm(unit, axis=1)[:, None]
 
 
-def _codes(design: Design):
+def _codes(design: Design, number: str):
     """id, many, the vector's bytes, and its code in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = np.ascontiguousarray(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, design.dim), "<f4")
+                x = np.ascontiguousarray(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, design.dim), number)
                 codes, _ = design.place(_units(x))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * design.tables), pa.array(codes.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), lists], names=["id", "many", "v", "codes"])
@@ -149,11 +149,11 @@ def _pairs(design: Design, left: dict, right: dict | None, t: int) -> np.ndarray
 FOUND = "id bigint, links bigint, to bigint"
 
 
-def _scan(design: Design):
+def _scan(design: Design, number: str):
     """Blocks, or pairs of chunks, in sorted order to links of each vector and edges of forests."""
 
     def load(batch: pa.RecordBatch) -> dict:
-        unit = _units(np.frombuffer(b"".join(batch.column(7).to_pylist()), "<f4").reshape(batch.num_rows, -1))
+        unit = _units(np.frombuffer(b"".join(batch.column(7).to_pylist()), number).reshape(batch.num_rows, -1))
         codes, places = design.place(unit)
         own = {n: batch.column(c).to_numpy() for c, n in enumerate(("t", "code", "i", "j", "chunk", "id", "many"))}
         return own | {"unit": unit, "codes": codes, "places": places}
@@ -223,9 +223,11 @@ def cluster(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least
     spark = df.sparkSession
     bounded_batches(spark)
     tables = Tables(spark, "embeddings")
-    rows = df.select(F.col(key).alias("_key"), F.col(vector).cast("array<float>").alias("_v")).withColumn("_good", _usable("_v"))
+    kind = "float" if df.schema[vector].dataType.elementType.typeName() == "float" else "double"
+    number = "<f4" if kind == "float" else "<f8"
+    rows = df.select(F.col(key).alias("_key"), F.col(vector).cast(f"array<{kind}>").alias("_v")).withColumn("_good", _usable("_v"))
     # negative zeros are zeros; vectors are equal as texts of their numbers
-    rows = rows.withColumn("_v", F.when(F.col("_good"), F.transform("_v", lambda c: c + F.lit(0.0).cast("float"))))
+    rows = rows.withColumn("_v", F.when(F.col("_good"), F.transform("_v", lambda c: c + F.lit(0.0).cast(kind))))
     rows = tables.keep(rows.select("_key", "_v", "_good", F.monotonically_increasing_id().alias("_row")), "rows")
     good = rows.where("_good").withColumn("_dim", F.size("_v"))
     nodes = tables.keep(good.groupBy("_v", "_dim").agg(F.min("_row").alias("id"), F.count("*").alias("many"), F.min("_key").alias("least")), "nodes")
@@ -233,14 +235,14 @@ def cluster(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least
     links, edges = None, None
     for r in nodes.groupBy("_dim").agg(F.count("*").alias("n")).collect():  # one row for each length of vectors
         design = Design.of(r["n"], r["_dim"], least, recall)
-        placed = tables.keep(nodes.where(F.col("_dim") == r["_dim"]).select("id", "many", "_v").mapInArrow(_codes(design), "id bigint, many bigint, v binary, codes array<bigint>"), "placed")
+        placed = tables.keep(nodes.where(F.col("_dim") == r["_dim"]).select("id", "many", "_v").mapInArrow(_codes(design, number), "id bigint, many bigint, v binary, codes array<bigint>"), "placed")
         entries = placed.select("id", F.posexplode("codes").alias("t", "code"))
         sizes = tables.keep(entries.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         shared = entries.join(sizes, ["t", "code"]).withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")))
         # of k chunks, a vector meets each, and its own
         met = shared.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
         dealt = met.join(placed.select("id", "many", "v"), "id").select("t", "code", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "many", "v")
-        found = dealt.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j").mapInArrow(_scan(design), FOUND)
+        found = dealt.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j").mapInArrow(_scan(design, number), FOUND)
         found = tables.keep(found, "found")
         l, e = found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))
         links, edges = (l, e) if links is None else (links.union(l), edges.union(e))

@@ -254,6 +254,13 @@ def test_embedding_recall_against_brute_force(spark):
     assert true.sum() > 1000 and sum(got.values()) >= 0.9 * true.sum() and all(got[r.vec_id] <= t for r, t in zip(rows, true))
 
 
+def test_double_vectors(spark):
+    near = 0.9 + 1e-12
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [near, (1 - near**2) ** 0.5]), (3, [0.9 - 1e-12, (1 - (0.9 - 1e-12) ** 2) ** 0.5 * -1])], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in rows_of(embeddings.cluster(df, recall=0.999999))}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 def test_design_follows_the_numbers():
     a, b = embeddings.Design.of(10**4, 64), embeddings.Design.of(10**7, 64)
     assert a.keys < b.keys and a.tables < b.tables and 0 < a.needed <= a.tables
