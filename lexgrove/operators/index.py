@@ -42,7 +42,6 @@ def prepare(df: DataFrame, id: str = "id", text: str = "search_text", sort: str
         F.coalesce(sorted_by, F.lit("")).alias("sort_text"),
         normal_text(source, preset).alias("norm"),
         tokens(source, preset).alias("tokens"),
-        natural_key(sorted_by).alias("nat_key"),
         *(F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(PREFIX + n) for n, c in sorted(columns.items())),
     )
 
@@ -84,21 +83,24 @@ class SearchIndex:
 
     def find(self, text: str | None, method: str = EXACT, operators: bool = False, sort: str = SNAPSHOT, facets: Facets | Range | Mask | None = None) -> DataFrame:
         """Ids of the documents found, in snapshot order or in natural order with ties by id."""
-        found = self.matching(text, method, operators, facets)
-        return found.orderBy(*self._order(sort)).select("id")
+        found, order = self._ordered(self.matching(text, method, operators, facets), sort)
+        return found.orderBy(*order).select("id")
 
     def find_ranked(self, text: str | None, method: str = EXACT, operators: bool = False, sort: str = SNAPSHOT, facets: Facets | Range | Mask | None = None, limit: int | None = None) -> DataFrame:
         """Ids with their place in the order, from 1. With a limit only the first are sorted out."""
-        found = self.matching(text, method, operators, facets)
+        found, order = self._ordered(self.matching(text, method, operators, facets), sort)
         if limit is not None:
-            found = found.orderBy(*self._order(sort)).limit(limit)
-        return ranked(found, self._order(sort))
+            found = found.orderBy(*order).limit(limit)
+        return ranked(found, order)
 
     @staticmethod
-    def _order(sort: str) -> Sequence[str]:
-        if sort not in (SNAPSHOT, NATURAL):
+    def _ordered(found: DataFrame, sort: str) -> tuple[DataFrame, Sequence[str]]:
+        """What was found with the columns of an order. Natural keys, which are as long as their texts, are made for it alone."""
+        if sort == SNAPSHOT:
+            return found, ("ordinal", "id")
+        if sort != NATURAL:
             raise ValueError(f"unknown order {sort!r}")
-        return ("ordinal", "id") if sort == SNAPSHOT else ("nat_key", "id")
+        return found.select("id", natural_key("sort_text").alias("nat_key")), ("nat_key", "id")
 
     def count_df(self, text: str | None, method: str = EXACT, operators: bool = False, facets: Facets | Range | Mask | None = None) -> DataFrame:
         return self.matching(text, method, operators, facets).agg(F.count("*").alias("matches"))

@@ -20,7 +20,7 @@ from lexgrove.operators.facets import PREFIX
 from lexgrove.operators.index import SearchIndex, facet_names, prepare
 
 ENTRY = "id bigint, search_text string, sort_text string, facets map<string,bigint>"
-EMPTY = "id bigint, ordinal bigint, search_text string, sort_text string, norm string, tokens array<string>, nat_key string"
+EMPTY = "id bigint, ordinal bigint, search_text string, sort_text string, norm string, tokens array<string>"
 
 
 def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -> DataFrame:
