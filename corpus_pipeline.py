@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import language, lines, packing, secrets, simhash
+from lexgrove.llm import language, lines, near, packing, secrets
 from lexgrove.llm.common import Tables
 
 
@@ -39,8 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return _released(simhash.deduplicate(_carried(docs)), docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return _released(near.deduplicate(_carried(docs)), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The first stage's centroids and the fingerprints of the third are beyond SQL; see the tests.
+#: The first stage's centroids and the shingles of the third are beyond SQL; see the tests.
 ORACLE_SQL: str | None = None
 
 

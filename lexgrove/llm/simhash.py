@@ -211,14 +211,14 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.join(of, "fp").select(F.col("_key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """Keep one row of each component: that of the least key; all columns stay.
 
     Of rows that share that key the one with the least text hash stays. Rows without a key are
-    kept, as nothing tells them apart.
+    kept, as nothing tells them apart. ``found`` has components of another kind (key, component_id).
     """
     tables = Tables(df.sparkSession, "simhash-kept")
-    found = cluster(df, key, text)
+    found = cluster(df, key, text) if found is None else found
     kept = tables.keep(found.where((F.col(key) == F.col("component_id")) | F.col(key).isNull()).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
     # what is kept grows with the corpus, so it is never broadcast, even where it happens to be small
     out = df.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")

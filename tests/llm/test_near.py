@@ -1,0 +1,60 @@
+import random
+import re
+
+from llm_helpers import rows_of
+from test_dedup import plain_components
+
+from lexgrove.llm import near
+
+
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(texts):
+    keys = sorted(texts)
+    sets = [plain_shingles(texts[k]) for k in keys]
+    alike = [(i, j) for i in range(len(keys)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return {keys[i] for i in plain_components(len(keys), alike)}
+
+
+def copies(r, n_groups, words=400):
+    pool, texts = [f"w{i}" for i in range(5000)], []
+    for _ in range(n_groups):
+        base = r.choices(pool, k=words)
+        texts.append(" ".join(base))
+        for changed in range(1, 13):  # similarities on both sides of 0.8
+            own = list(base)
+            for i in r.sample(range(words), changed):
+                own[i] = r.choice(pool)
+            texts.append(" ".join(own))
+    return texts
+
+
+def test_the_stage_is_that_of_brute_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    texts = copies(r, 25) + ["", None, " \n", "one two", "One  TWO", "one two three", "x y z v w u"]
+    # pairs apart from all others, so that nothing is reached by a way round
+    for changed in range(1, 13):
+        for _ in range(6):
+            own = [f"p{r.randrange(10**6)}" for _ in range(400)]
+            other = list(own)
+            for i in r.sample(range(400), changed):
+                other[i] = "q"
+            texts += [" ".join(own), " ".join(other)]
+    r.shuffle(texts)
+    texts = dict(enumerate(texts))
+    df = spark.createDataFrame([(k, t, "en", len(t or "")) for k, t in texts.items()], "doc_id bigint, text string, lang string, n_chars bigint")
+    assert {x["doc_id"] for x in rows_of(corpus_pipeline.near_dedup(spark, df, ""))} == plain_kept(texts)
+
+
+def test_no_key_and_repeated_keys(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, long), (1, "another text of the same key"), (None, long), (None, None), (2, long + " more"), (3, "another text of the same key"), (4, "apart from all of the others here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(x["doc_id"], x["component_id"]) for x in rows_of(near.cluster(df))} == {(1, 1), (None, None), (2, 1), (3, 1), (4, 4)}
+    assert sorted(str(x["doc_id"]) for x in rows_of(near.deduplicate(df))) == ["1", "4", "None", "None"]
+    assert near.deduplicate(df.limit(0)).count() == 0
