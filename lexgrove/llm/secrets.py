@@ -33,7 +33,10 @@ HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-ADDRESS = re.compile(r"(?:://|www\.|@)\S*\Z")
+# What is before a part of an address, up to its query; and a login, with what ends it.
+ADDRESS = re.compile(r"""(?:://|www\.|@)[^\s"'`,;{}\[\]()<>|?#]*\Z""")
+LOGIN = re.compile(r"""://[^\s"'`,;{}\[\]()<>|?#/@]*\Z""")
+LOGIN_END = re.compile(r"""[^\s"'`,;{}\[\]()<>|?#/@]*@""")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 #: Characters a token, below which a run counts as random.
 RATIO = 2.0
@@ -63,7 +66,9 @@ class Scanner:
         run = text[start:end]
         if len(set(run)) < DISTINCT or run.isdigit() or DIGEST.match(run) or UUID.match(run):
             return False
-        if ADDRESS.search(text[max(0, start - 200) : start]):
+        at = end - len(run.lstrip("/"))  # the slashes before a host are part of a run
+        before = text[max(0, at - 200) : at]
+        if ADDRESS.search(before) and not (LOGIN.search(before) and LOGIN_END.match(text, end)):
             return False
         return len(run) < self.ratio * len(self.tokens(run))
 
