@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and random strings found by how badly they tokenize.
 
 A vocabulary learned from text needs few tokens for words and many for random characters. A run of
-token characters that costs more than one token for each ``ratio`` characters is reported, unless
-it is a known digest (hex of a usual length, UUID) or an identifier (part of an address, a number,
+token characters that costs more than one token for each ``ratio`` characters is reported, or the pieces between
+its '=', '/', '_' and '-' that do, unless it is a known digest (hex of a usual length, UUID) or an identifier (part of an address, a number,
 a run of few distinct characters). The fixed patterns' spans are always reported.
 
 Cases: a null or empty text has no spans; spans are code points, end exclusive; equal rows give
@@ -33,6 +33,8 @@ HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+UUID_INSIDE = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9+]+")
 # What is before a part of an address, up to its query; and a login, with what ends it.
 ADDRESS = re.compile(r"""(?:://|www\.|@)[^\s"'`,;{}\[\]()<>|?#]*\Z""")
 LOGIN = re.compile(r"""://[^\s"'`,;{}\[\]()<>|?#/@]*\Z""")
@@ -40,6 +42,8 @@ LOGIN_END = re.compile(r"""[^\s"'`,;{}\[\]()<>|?#/@]*@""")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 #: Characters a token, below which a run counts as random.
 RATIO = 2.0
+#: Characters of a run, and of one part at least that is random by itself in a piece of a run.
+LEAST, PART_LEAST = 20, 8
 #: Distinct characters that a random run of 20 and more has at least.
 DISTINCT = 8
 
@@ -62,22 +66,57 @@ class Scanner:
         # greedy runs of one class: the runs of enough characters are the long ones of all runs
         return found + [(m.start(), m.end(), "hex") for m in HEX_RUN.finditer(text)]
 
-    def is_random(self, text: str, start: int, end: int) -> bool:
-        run = text[start:end]
+    def is_random(self, run: str) -> bool:
         if len(set(run)) < DISTINCT or run.isdigit() or DIGEST.match(run) or UUID.match(run):
             return False
-        at = end - len(run.lstrip("/"))  # the slashes before a host are part of a run
-        before = text[max(0, at - 200) : at]
-        if ADDRESS.search(before) and not (LOGIN.search(before) and LOGIN_END.match(text, end)):
-            return False
+        return self.is_dense(run)
+
+    def is_dense(self, run: str) -> bool:
         return len(run) < self.ratio * len(self.tokens(run))
 
+    def in_address(self, text: str, start: int, end: int) -> bool:
+        at = end - len(text[start:end].lstrip("/"))  # the slashes before a host are part of a run
+        before = text[max(0, at - 200) : at]
+        return bool(ADDRESS.search(before)) and not (LOGIN.search(before) and LOGIN_END.match(text, end))
+
+    def pieces(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Random pieces of a run: from each part on, as many parts as make LEAST characters."""
+        known = [m.span() for m in UUID_INSIDE.finditer(text, start, end)]
+        parts = [m.span() for m in PART.finditer(text, start, end)]
+        parts = [(s, e, e - s >= PART_LEAST and not text[s:e].isdigit() and self.is_dense(text[s:e])) for s, e in parts if not DIGEST.match(text[s:e])]
+        found: list[tuple[int, int]] = []
+        j = 0
+        for i, (s, _, _) in enumerate(parts):
+            j = max(i, j)
+            while j < len(parts) and parts[j][1] - s < LEAST:
+                j += 1
+            if j == len(parts):
+                break
+            e = parts[j][1]
+            if not any(p[2] for p in parts[i : j + 1]) or any(a < e and s < b for a, b in known) or not self.is_random(text[s:e]):
+                continue
+            # what is random on its own and adjoins belongs to it
+            k = j + 1
+            while k < len(parts) and self.is_dense(text[parts[k][0] : parts[k][1]]) and self.is_random(text[s : parts[k][1]]) and not any(a < parts[k][1] and s < b for a, b in known):
+                e, k = parts[k][1], k + 1
+            if found and s < found[-1][1]:
+                found[-1] = (found[-1][0], max(e, found[-1][1]))
+            else:
+                found.append((s, e))
+        return found
+
     def spans(self, text: str | None) -> list[dict]:
         text = text or ""
         found = self.base(text)
         for m in RUN.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e, _ in found) and self.is_random(text, m.start(), m.end()):
-                found.append((m.start(), m.end(), "random"))
+            start, end = m.span()
+            if any(s < end and start < e for s, e, _ in found) or self.in_address(text, start, end):
+                continue
+            whole = text[start:end]
+            if self.is_random(whole):
+                found.append((start, end, "random"))
+            elif not UUID.match(whole) and not whole.isalnum():
+                found += [(s, e, "random") for s, e in self.pieces(text, start, end)]
         found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
         return [{"kind": k, "start": s, "end": e} for s, e, k in found]
 

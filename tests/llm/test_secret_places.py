@@ -34,3 +34,24 @@ def test_an_address_before_hides_nothing(before, after, n):
 @pytest.mark.parametrize("before,after", [("https://x.org/", ""), ("see www.x.org/a/", "/b"), ("git@x.org:a/", ".git"), ("https://", ".x.org/")])
 def test_hosts_and_paths_are_left_out(before, after):
     assert share(before, after) == 0
+
+
+@pytest.mark.parametrize("before,after", [("authorization=", ""), ("connection_string_for_production=", ""), ("config/production/service-account/", ""), ("config/production/", "/service-account/documents")])
+@pytest.mark.parametrize("n", [20, 24, 32, 40])
+def test_words_before_a_secret_hide_nothing(before, after, n):
+    assert share(before, after, n) > 0.95
+
+
+@pytest.mark.parametrize("alphabet", [LETTERS + "-_", LETTERS + "+/"])
+def test_secrets_with_separators_after_words(alphabet):
+    found = 0
+    for i in range(200):
+        x = "q" + drawn(i, 30, alphabet) + "Z"
+        text = "connection_string_for_production=" + x
+        found += any(s["kind"] == "random" for s in SCANNER.spans(text))
+    assert found > 190
+
+
+@pytest.mark.parametrize("text", ["connection_string_for_production/internationalization_of_documents/service-account/550e8400-e29b-41d4-a716-446655440000", "internationalization_of_documents/production", "the/well_known-names/of_all-things", "connection_string_for_production/internationalization_of_documents/service-account/" + "D41D8CD98F00B204E9800998ECF8427E", "documents_of_2024-01-02_production"])
+def test_parts_of_words_and_known_kinds_are_left_out(text):
+    assert SCANNER.spans(text) == []
