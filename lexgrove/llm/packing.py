@@ -63,7 +63,10 @@ BYTE_LETTERS = _byte_letters()
 
 
 class _Chunks(dict):
-    """Ids of what stands between blanks, by its bytes in small letters; a chunk that is not there is encoded.
+    """Ids of what stands between blanks, by its bytes; a chunk that is not there is encoded.
+
+    Only chunks that are all ASCII are made small before the library sees them: the normalizer composes
+    letters and marks first, and small letters may compose where capitals do not.
 
     A word of Latin letters, and one with a full stop or comma after it, is what the normalizer and
     the splitter would make of it, so it goes to the library's model at once; all else takes the
@@ -77,7 +80,9 @@ class _Chunks(dict):
     def __missing__(self, raw: bytes) -> bytes:
         chunk = raw.decode()
         end = chunk[-1:]
-        if (end == "." or end == ",") and chunk[-2:-1].isalpha() and chunk[-2] < "\u0100":
+        if chunk.isascii() and (small := raw.lower()) != raw:
+            out = self[small]
+        elif (end == "." or end == ",") and chunk[-2:-1].isalpha() and chunk[-2] < "\u0100":
             out = self[raw[:-1]] + self[raw[-1:]]
         else:
             low = None
@@ -103,11 +108,13 @@ class Tokens:
         self.known, self.closing = _Chunks(_tokenizer(path)), _bytes([closing])
 
     def __call__(self, text: bytes | str | None) -> bytes:
-        """Ids of a text, or of its UTF-8 bytes. ASCII letters are made small at once, as the normalizer would."""
+        """Ids of a text, or of its UTF-8 bytes. A text that is all ASCII is made small at once, as the normalizer would."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         raw = text.encode() if isinstance(text, str) else text or b""
-        return b"".join(map(self.known.__getitem__, raw.lower().replace(b"\n", b" ").split(b" "))) + self.closing
+        if raw.isascii():
+            raw = raw.lower()
+        return b"".join(map(self.known.__getitem__, raw.replace(b"\n", b" ").split(b" "))) + self.closing
 
 
 KIND = pa.struct([("ids", pa.binary()), ("task", pa.int64()), ("rank", pa.int64()), ("full_before", pa.int64())])

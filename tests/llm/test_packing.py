@@ -96,3 +96,11 @@ def test_squares_are_not_negative_and_fit():
         for a in p:
             made[a] += n
     assert (x >= 0).all() and np.abs(made - h).sum() < 0.2 * h.sum() and all(sum(p) == 16 for p in patterns)
+
+
+def test_capitals_with_marks_are_the_librarys():
+    tokens, r = packing.Tokens(PATH), random.Random(7)
+    marked = ["J\u030c", "T\u0308", "W\u030a", "H\u0331", "Y\u030a", "j\u030c", "A\u0308", "É", "é"]
+    for t in [*marked, *("".join(r.choice([*marked, "A", "b", " ", ".", "T", "\n"]) for _ in range(r.randint(1, 12))) for _ in range(2000))]:
+        assert np.frombuffer(tokens(t), "<u4").tolist() == plain_ids(t)
+        assert tokens(t.encode()) == tokens(t)
