@@ -1,21 +1,28 @@
-"""Near-duplicates by five-word shingles: candidates by MinHash bands, each checked by its exact Jaccard similarity.
-
-A text is the set of its shingles of five words, ASCII letters made small. Texts with equal sets are
-one node. A node has 24 bands of 6 MinHash values; two nodes of similarity 0.8 share a band with a
-probability of 0.9993, more similar ones with a higher one. Nothing else is lost: every candidate
-is checked on the whole sets, and no band is capped.
-
-In a first round a band's nodes are compared with its least node only, so a large group of copies
-costs what it has rows. A second round compares all nodes of a band that the first one has not
-connected.
-
-Cases: a text with fewer than five words is one shingle; null, empty and blank texts have no
-shingle and are equal to each other; a null key links nothing.
+"""Near-duplicates by their similarity: SimHash candidates by deletion-variant signatures, each checked exactly.
+
+This is operator 1's method for texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+There about 15 of 100 bits of two SimHash fingerprints differ, so a fingerprint is as wide as it takes:
+it is cut into segments, and two texts are candidates if some segment differs by at most one bit.
+A segment is indexed by its one-wildcard variants: a variant with its wildcard in one half keeps the other
+half whole, so rows meet by that half, and the variants of the rest are made and joined where they met.
+Segments have a few bits more than the number of texts has, so that chance brings together a few texts
+each at any size; their number follows from the recall wanted at the least similarity. 64 bits outside
+the segments tell most chance pairs apart, and what is left is checked on the whole sets of shingles.
+
+Texts with equal sets are one node. A variant that many nodes share is not compared pair by pair: they
+are compared with its least node first, and then with those that this has not connected them to.
+
+Cases: ASCII letters are made small; a text with fewer than five words is one shingle; null, empty and
+blank texts have no shingle and are equal to each other; a pair at exactly the least similarity is linked;
+a long text is hashed whole, in parts; repeated rows fare alike; a null key links nothing; an empty table
+gives none; columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +34,37 @@ from lexgrove.llm.common import Tables, arrow_column, bounded_batches
 from lexgrove.llm.graph import components
 
 SHINGLE, SEED = 5, 42
-#: Least similarity of a link, as a fraction.
-LEAST = (4, 5)
-BANDS, ROWS = 24, 6
-SIGNATURE = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: Least similarity of a link, as a fraction, and recall of the candidates there.
+LEAST, RECALL = (4, 5), 0.999
+#: Nodes of a variant that are compared pair by pair at most.
+CROWD = 32
+SIGNATURE = pa.struct([("node", pa.int64()), ("segments", pa.list_(pa.int64())), ("check", pa.int64())])
 SET = pa.struct([("node", pa.int64()), ("shingles", pa.binary())])
 
 
+@dataclass(frozen=True)
+class Design:
+    """``segments`` of ``width`` bits (an even number), and different bits of 64 that a candidate has at most."""
+
+    width: int
+    segments: int
+    allowed: int
+
+    @classmethod
+    def of(cls, n: int, least: float = LEAST[0] / LEAST[1], recall: float = RECALL) -> Design:
+        """For ``n`` texts. Sets of one size with Jaccard similarity j have cosine 2j / (1 + j); of others, more."""
+        differ = math.acos(2 * least / (1 + least)) / math.pi
+        width = 2 * math.ceil((math.log2(max(n, 2**12)) + 2) / 2)
+        found = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+        segments = math.ceil(math.log(1 - recall) / math.log(1 - found))
+        return cls(width, segments, math.ceil(64 * differ + 4.5 * math.sqrt(64 * differ * (1 - differ))))
+
+    @property
+    def words(self) -> int:
+        """64-bit words of a fingerprint: the check, then the segments."""
+        return 1 + -(-self.width * self.segments // 64)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
     from xxhash import xxh64_intdigest
@@ -55,25 +86,37 @@ def _node(h: np.ndarray) -> int:
     return x - 2**64 if x >> 63 else x
 
 
-def _signatures():
-    from xxhash import xxh64_intdigest
+def fingerprint(h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Bits of the SimHash of a set of hashes, 64 for each column of ``times`` (2, words)."""
+    ones = np.zeros(64 * times.shape[1], np.int64)
+    for i in range(0, len(h), 255 * 16):
+        x = h[i : i + 255 * 16, None] * times[0]
+        x ^= x >> np.uint64(32)
+        x *= times[1]
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return 2 * ones > len(h)
 
-    draw = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
-    times, plus = draw[0] | np.uint64(1), draw[1]
 
-    def one(text: str | None) -> dict:
-        h = shingles(text)
-        if not len(h):
-            return {"node": _node(h), "bands": []}
-        least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-        for i in range(0, len(h), 512):
-            x = times * h[i : i + 512] + plus
-            x ^= x >> np.uint64(32)
-            least = np.minimum(least, (x * times[::-1]).min(axis=1))
-        bands = least.reshape(BANDS, ROWS)
-        return {"node": _node(h), "bands": np.array([xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64).tolist()}
+def _signatures(design: Design):
+    def make():
+        times = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, design.words), np.uint64) | np.uint64(1)
+        place = np.int64(1) << np.arange(design.width, dtype=np.int64)
+        numbers = np.arange(design.segments, dtype=np.int64) << design.width
 
-    return one
+        def one(text: str | None) -> dict:
+            h = shingles(text)
+            if not len(h):
+                return {"node": _node(h), "segments": [], "check": 0}
+            bits = fingerprint(h, times)
+            values = bits[64 : 64 + design.width * design.segments].reshape(design.segments, -1) @ place
+            return {"node": _node(h), "segments": (numbers + values).tolist(), "check": int(np.packbits(bits[:64], bitorder="little").view("<i8")[0])}
+
+        return one
+
+    return make
 
 
 def _sets():
@@ -84,6 +127,76 @@ def _sets():
     return one
 
 
+MET = "entry bigint, a bigint, b bigint"
+
+
+def _entry(variant: np.ndarray, bit: int) -> np.ndarray:
+    x = (variant.view(np.uint64) ^ np.uint64(bit + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)).view(np.int64)
+
+
+def _meet(design: Design, crowd: int):
+    """Sorted rows (k, node, check) to candidate pairs (null, a, b), and members of crowded variants (entry, node, check).
+
+    The upper bits of k are a half that rows share; each bit of the lower half in turn is the wildcard. A half
+    with more than ``crowd`` rows is never held: its rows' variants are passed on as they come.
+    """
+    half = design.width // 2
+
+    def crowded(k: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for bit in range(half):
+            yield pa.RecordBatch.from_arrays([pa.array(_entry(k & ~np.int64(1 << bit), bit)), pa.array(node), pa.array(check)], names=["entry", "a", "b"])
+
+    def done(k: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for bit in range(half):
+            variant = k & ~np.int64(1 << bit)
+            order = np.argsort(variant, kind="stable")
+            v, n, c = variant[order], node[order], check[order]
+            start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            size = np.diff(np.append(start, len(v)))
+            large = np.repeat(size > CROWD, size)
+            if large.any():
+                yield pa.RecordBatch.from_arrays([pa.array(_entry(v[large], bit)), pa.array(n[large]), pa.array(c[large])], names=["entry", "a", "b"])
+                order, v, n, c = order[~large], v[~large], n[~large], c[~large]
+            for lag in range(1, CROWD):
+                at = np.flatnonzero(v[lag:] == v[:-lag]) if lag < len(v) else ()
+                if not len(at):
+                    break
+                # equal halves are met with the first wildcard only
+                at = at[(np.bitwise_count((c[at] ^ c[at + lag]).view(np.uint64)) <= design.allowed) & ((k[order[at]] != k[order[at + lag]]) | (bit == 0))]
+                if len(at):
+                    a, b = np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["entry", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, held = None, [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            if not len(held[0]):
+                continue
+            shared = held[0] >> half
+            if hot is not None:
+                n = int(np.searchsorted(shared, hot, "right"))
+                yield from crowded(*(x[:n] for x in held))
+                held, shared = [x[n:] for x in held], shared[n:]
+                if not len(shared):
+                    continue
+                hot = None
+            cut = int(np.searchsorted(shared, shared[-1]))
+            for s in range(0, cut, 65_536):  # halves that one part cuts in two are met again in the next
+                begin = int(np.searchsorted(shared, shared[s]))
+                yield from done(*(x[begin : int(np.searchsorted(shared, shared[min(cut, s + 65_536) - 1], "right"))] for x in held))
+            held = [x[cut:] for x in held]
+            if len(held[0]) > crowd:
+                hot = held[0][0] >> half
+                yield from crowded(*held)
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from done(*held)
+
+    return run
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of hashes, in order, have the least similarity."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -103,7 +216,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tab
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
     made = source.join(tables.keep(wanted, "wanted"), F.col("_key") == F.col("least")).select("node", arrow_column(_sets, SET, "struct<node:bigint,shingles:binary>", F.col("_text")).alias("s"))
     # rows may share a key; only a node's own text counts
-    sets = tables.keep(tables.keep(made, "made").where("node = s.node").select("node", "s.shingles"), "sets")
+    sets = tables.keep(tables.keep(made, "made").where("node = s.node").select("node", "s.shingles").dropDuplicates(["node"]), "sets")
     of = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     bounded_batches(pairs.sparkSession)
     return tables.keep(pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "sa", "sb").mapInArrow(_check, "a bigint, b bigint"), "links")
@@ -111,27 +224,45 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tab
 
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id): the least key reachable by links, for every row; null for null keys."""
-    tables = Tables(df.sparkSession, "near")
+    spark = df.sparkSession
+    tables = Tables(spark, "near")
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    signed = source.select("_key", arrow_column(_signatures, SIGNATURE, "struct<node:bigint,bands:array<bigint>>", F.col("_text")).alias("s"))
-    rows = tables.keep(signed.select("_key", "s.node", "s.bands"), "signatures")
+    n = df.count()
+    design = Design.of(n)
+    signed = source.select("_key", arrow_column(_signatures(design), SIGNATURE, "struct<node:bigint,segments:array<bigint>,check:bigint>", F.col("_text")).alias("s"))
+    rows = tables.keep(signed.select("_key", "s.node", "s.segments", "s.check"), "signatures")
     keyed = rows.where("_key IS NOT NULL")
-    nodes = tables.keep(keyed.groupBy("node").agg(F.min("_key").alias("least")), "nodes")
-    entries = tables.keep(keyed.select("node", F.explode("bands").alias("band")).distinct(), "entries")
-    several = entries.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
-    shared = tables.keep(entries.join(tables.keep(several.select("band", "leader"), "several"), "band"), "shared")
-    links = _verified(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, source, tables)
+    nodes = tables.keep(keyed.groupBy("node").agg(F.min("_key").alias("least"), F.any_value("segments").alias("segments"), F.any_value("check").alias("check")), "nodes")
+
+    # each segment twice: with its upper half above its lower one, and the other way round
+    width, half = design.width, design.width // 2
+    low, twice = F.lit(2**half - 1), F.lit(2 ** (width + 1))
+    number = lambda s: F.shiftright(s, width)
+    value = lambda s: s.bitwiseAND(F.lit(2**width - 1))
+    turned = lambda s: F.shiftleft(value(s).bitwiseAND(low), half) + F.shiftright(value(s), half)
+    both = F.concat(F.transform("segments", lambda s: number(s) * twice + value(s)), F.transform("segments", lambda s: number(s) * twice + F.lit(2**width) + turned(s)))
+    entries = nodes.select(F.explode(both).alias("k"), "node", "check")
+    bounded_batches(spark)
+    met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 8 * (n >> half) + 1024), MET)
+    met = tables.keep(met, "met")
+    crowds = met.where("entry IS NOT NULL").select("entry", F.col("a").alias("node"), F.col("b").alias("check"))
+    several = crowds.groupBy("entry").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
+    shared = tables.keep(crowds.join(tables.keep(several.select("entry", "leader"), "several"), "entry").distinct(), "shared")
+    least = nodes.select("node", "least")
+    led = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    links = _verified(met.where("entry IS NULL").select("a", "b").union(led).distinct(), least, source, tables)
+
     roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
-    rooted = tables.keep(shared.join(roots, F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    apart = tables.keep(rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "apart")
-    left = tables.keep(rooted.join(apart, "band"), "left")
-    a, b = (left.select("band", F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    more = a.join(b, "band").where("a < b AND ra <> rb").select("a", "b").distinct()
-    links = links.union(_verified(more, nodes, source, tables))
+    rooted = tables.keep(shared.join(roots, F.col("node") == F.col("n"), "left").select("entry", "node", "check", F.coalesce("root", "node").alias("root")), "rooted")
+    apart = tables.keep(rooted.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry"), "apart")
+    left = tables.keep(rooted.join(apart, "entry"), "left")
+    a, b = (left.select("entry", *(F.col(c).alias(c + s) for c in ("node", "root", "check"))) for s in "ab")
+    more = a.join(b, "entry").where(f"nodea < nodeb AND roota <> rootb AND bit_count(checka ^ checkb) <= {design.allowed}").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    links = links.union(_verified(more, least, source, tables))
     roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
-    joined = tables.keep(nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
-    least = tables.keep(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    of = tables.keep(joined.join(least, "root").select("node", "component_id"), "components")
+    joined = tables.keep(least.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
+    first = tables.keep(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    of = tables.keep(joined.join(first, "root").select("node", "component_id"), "components")
     found = keyed.join(of, "node").select(F.col("_key").alias(key), "component_id")
     return found.union(rows.where("_key IS NULL").select("_key", F.lit(None).cast(found.schema["component_id"].dataType)))
 
