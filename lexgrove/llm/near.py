@@ -9,8 +9,11 @@ Segments have a few bits more than the number of texts has, so that chance bring
 each at any size; their number follows from the recall wanted at the least similarity. 64 bits outside
 the segments tell most chance pairs apart, and what is left is checked on the whole sets of shingles.
 
-Texts with equal sets are one node. A variant that many nodes share is not compared pair by pair: they
-are compared with its least node first, and then with those that this has not connected them to.
+Texts with equal sets are one node. A variant that many nodes share is not compared pair by pair. Its
+nodes are first compared with few leaders, which connects a tight group in rows that are linear in it.
+Variants that this leaves apart are put together with those that share a node; such a group is dealt out
+as pairs of parts of bounded bytes, compared where they meet, and only a forest of the links comes back.
+That work grows with the square of the nodes in a group, its rows with the square of its parts.
 
 Cases: ASCII letters are made small; a text with fewer than five words is one shingle; null, empty and
 blank texts have no shingle and are equal to each other; a pair at exactly the least similarity is linked;
@@ -36,8 +39,10 @@ from lexgrove.llm.graph import components
 SHINGLE, SEED = 5, 42
 #: Least similarity of a link, as a fraction, and recall of the candidates there.
 LEAST, RECALL = (4, 5), 0.999
-#: Nodes of a variant that are compared pair by pair at most.
-CROWD = 32
+#: Nodes of a variant that are compared pair by pair at most; leaders that a node of a larger one is compared with first.
+CROWD, LEADERS = 32, 4
+#: Shingles of a part of a group.
+PART = 500_000
 SIGNATURE = pa.struct([("node", pa.int64()), ("segments", pa.list_(pa.int64())), ("check", pa.int64())])
 SET = pa.struct([("node", pa.int64()), ("shingles", pa.binary())])
 
@@ -210,18 +215,87 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
+def _sets_of(wanted: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
+    """(node, shingles) of the wanted (node, least)."""
+    made = source.join(tables.keep(wanted, "wanted"), F.col("_key") == F.col("least")).select("node", arrow_column(_sets, SET, "struct<node:bigint,shingles:binary>", F.col("_text")).alias("s"))
+    # rows may share a key; only a node's own text counts
+    made = tables.keep(made, "made").where("node = s.node").select("node", "s.shingles")
+    return tables.keep(made.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (a, b) of nodes that are similar."""
     pairs = tables.keep(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-    made = source.join(tables.keep(wanted, "wanted"), F.col("_key") == F.col("least")).select("node", arrow_column(_sets, SET, "struct<node:bigint,shingles:binary>", F.col("_text")).alias("s"))
-    # rows may share a key; only a node's own text counts
-    sets = tables.keep(tables.keep(made, "made").where("node = s.node").select("node", "s.shingles").dropDuplicates(["node"]), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node"), source, tables)
     of = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     bounded_batches(pairs.sparkSession)
     return tables.keep(pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "sa", "sb").mapInArrow(_check, "a bigint, b bigint"), "links")
 
 
+def _forest(part: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]) -> tuple[list[int], list[int]]:
+    """Links (a, b) between two parts, or within one, that connect what was apart. A part: nodes, sets, roots."""
+    left, right = part[0], part[-1]
+    joined = np.concatenate(right[1])
+    sizes = np.array([len(x) for x in right[1]])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(joined, kind="stable")
+    joined, owner = joined[order], owner[order]
+    names = {r: i for i, r in enumerate(np.unique(np.concatenate([left[2], right[2]])).tolist())}
+    mine, theirs = (np.array([names[r] for r in x[2].tolist()]) for x in (left, right))
+    label = np.arange(len(names))
+    a, b = [], []
+    for i, h in enumerate(left[1]):
+        low, high = np.searchsorted(joined, h, "left"), np.searchsorted(joined, h, "right")
+        n = high - low
+        at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        near = np.flatnonzero((LEAST[1] * both >= LEAST[0] * (len(h) + sizes - both)) & (label[theirs] != label[mine[i]]))
+        for j in near.tolist():
+            x, y = label[mine[i]], label[theirs[j]]
+            if x != y:
+                a.append(int(left[0][i]))
+                b.append(int(right[0][j]))
+                label[label == y] = x
+    return a, b
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (group, i, j, part, node, root, shingles) to links that connect what was apart."""
+    block, rows = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        parts = [(np.array([r[1] for r in own]), [r[3] for r in own], np.array([r[2] for r in own])) for p in sorted({r[0] for r in rows}) if (own := [r for r in rows if r[0] == p])]
+        if len(parts) == (1 if block[1] == block[2] else 2):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _forest(parts)], names=["a", "b"])
+
+    for batch in batches:
+        numbers = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
+        for x, s in zip(numbers, batch.column(6)):
+            if x[:3] != block:
+                if rows:
+                    yield from done()
+                block, rows = x[:3], []
+            rows.append((*x[3:], np.frombuffer(s.as_buffer().to_pybytes(), np.uint64)))
+    if rows:
+        yield from done()
+
+
+def _grouped(left: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
+    """Links among the nodes of variants (entry, node, root) that have several roots."""
+    first = left.groupBy("entry").agg(F.min("node").alias("first"))
+    met = components(left.join(tables.keep(first, "first"), "entry").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), tables)
+    group = tables.keep(met.withColumnRenamed("root", "group"), "groups")
+    own = tables.keep(left.select("node", "root").distinct().join(group, "node"), "grouped")
+    sets = _sets_of(own.select("node").join(nodes, "node"), source, tables)
+    sized = tables.keep(own.join(sets, "node").withColumn("n", F.length("shingles") / 8), "sized")
+    parts = tables.keep(sized.groupBy("group").agg(F.ceil(F.sum("n") / PART).alias("k")), "parts")
+    dealt = sized.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), "k"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    dealt = dealt.select("group", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "node", "root", "shingles")
+    found = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "part").mapInArrow(_blocks, "a bigint, b bigint")
+    return tables.keep(found, "found")
+
+
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id): the least key reachable by links, for every row; null for null keys."""
     spark = df.sparkSession
@@ -245,21 +319,22 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     bounded_batches(spark)
     met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 8 * (n >> half) + 1024), MET)
     met = tables.keep(met, "met")
-    crowds = met.where("entry IS NOT NULL").select("entry", F.col("a").alias("node"), F.col("b").alias("check"))
+    crowds = met.where("entry IS NOT NULL").select("entry", F.col("a").alias("node"))
     several = crowds.groupBy("entry").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
     shared = tables.keep(crowds.join(tables.keep(several.select("entry", "leader"), "several"), "entry").distinct(), "shared")
     least = nodes.select("node", "least")
-    led = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    ranked = shared.where("node <> leader").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("leader")), 1, LEADERS).alias("leaders"))
+    led = ranked.select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
     links = _verified(met.where("entry IS NULL").select("a", "b").union(led).distinct(), least, source, tables)
 
     roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
-    rooted = tables.keep(shared.join(roots, F.col("node") == F.col("n"), "left").select("entry", "node", "check", F.coalesce("root", "node").alias("root")), "rooted")
-    apart = tables.keep(rooted.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry"), "apart")
-    left = tables.keep(rooted.join(apart, "entry"), "left")
-    a, b = (left.select("entry", *(F.col(c).alias(c + s) for c in ("node", "root", "check"))) for s in "ab")
-    more = a.join(b, "entry").where(f"nodea < nodeb AND roota <> rootb AND bit_count(checka ^ checkb) <= {design.allowed}").select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    links = links.union(_verified(more, least, source, tables))
-    roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
+    rooted = tables.keep(shared.join(roots, F.col("node") == F.col("n"), "left").select("entry", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    apart = rooted.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
+    left = tables.keep(rooted.join(tables.keep(apart, "apart"), "entry"), "left")
+    if not left.isEmpty():
+        more = _grouped(left, least, source, tables)
+        links = roots.select(F.col("n").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
+        roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
     joined = tables.keep(least.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
     first = tables.keep(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = tables.keep(joined.join(first, "root").select("node", "component_id"), "components")

@@ -58,3 +58,30 @@ def test_no_key_and_repeated_keys(spark):
     assert {(x["doc_id"], x["component_id"]) for x in rows_of(near.cluster(df))} == {(1, 1), (None, None), (2, 1), (3, 1), (4, 4)}
     assert sorted(str(x["doc_id"]) for x in rows_of(near.deduplicate(df))) == ["1", "4", "None", "None"]
     assert near.deduplicate(df.limit(0)).count() == 0
+
+
+def test_large_groups_about_the_least_similarity(spark, monkeypatch):
+    monkeypatch.setattr(near, "PART", 4000)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = {}
+    for k in range(260):  # two of them share 0.4 to 1.0 of their shingles
+        own = list(base)
+        for i in r.sample(range(120), r.randrange(0, 6)):
+            own[i] = f"x{r.randrange(10**6)}"
+        texts[k] = " ".join(own)
+    for k in range(260, 300):
+        texts[k] = " ".join(f"y{r.randrange(10**6)}" for _ in range(120))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    sets = [plain_shingles(texts[k]) for k in range(300)]
+    alike = [(i, j) for i in range(300) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert [x["component_id"] for x in sorted(rows_of(near.cluster(df)), key=lambda x: x["doc_id"])] == plain_components(300, alike)
+
+
+def test_recall_of_candidates_by_the_formula():
+    for n in (1, 10**4, 10**7, 10**11):
+        d = near.Design.of(n)
+        assert d.width % 2 == 0 and 2**d.width >= 4 * n
+        differ = 0.15147
+        found = (1 - differ) ** d.width + d.width * differ * (1 - differ) ** (d.width - 1)
+        assert 1 - (1 - found) ** d.segments >= 0.998
