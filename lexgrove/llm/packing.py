@@ -11,8 +11,11 @@ Documents of one length are interchangeable, so the plan is a small table of ran
 place follows from its rank among those of its length, which is its rank within its task plus the
 number in earlier tasks. No group of documents is ever brought together.
 
-Cases: a null text is an empty one, which has the closing id alone; repeated rows are documents of
-their own; an empty table gives no pieces; columns other than the key and the text are not read.
+Cases: a null text is an empty one, which has the closing id alone; a special token's string in a text
+is that token, as in the library's default call; a text of any length is tokenized whole, and its full
+windows are pieces of their own; documents of equal length are placed in the order of tasks and rows;
+repeated rows are documents of their own; an empty table gives no pieces; columns other than the key
+and the text are not read.
 """
 
 from __future__ import annotations
@@ -47,9 +50,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,17 +71,25 @@ class _Chunks(dict):
 
     A word of Latin letters, and one with a full stop or comma after it, is what the normalizer and
     the splitter would make of it, so it goes to the library's model at once; all else takes the
-    library's whole way.
+    library's whole way. So does a chunk with a special token's string, which the library gives that
+    token's id if its letters are as large as the token's.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.whole, self.model = tokenizer, tokenizer.model.tokenize
+        self.special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def has_special(self, low: bytes) -> bool:
+        """Whether small letters have a special token's string."""
+        return any(s in low for s in self.special)
 
     def __missing__(self, raw: bytes) -> bytes:
         chunk = raw.decode()
         end = chunk[-1:]
-        if chunk.isascii() and (small := raw.lower()) != raw:
+        if self.has_special(small := raw.lower()):
+            out = _bytes(self.whole.encode(chunk, add_special_tokens=False).ids)
+        elif small != raw and chunk.isascii():
             out = self[small]
         elif (end == "." or end == ",") and chunk[-2:-1].isalpha() and chunk[-2] < "\u0100":
             out = self[raw[:-1]] + self[raw[-1:]]
@@ -112,8 +121,8 @@ class Tokens:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         raw = text.encode() if isinstance(text, str) else text or b""
-        if raw.isascii():
-            raw = raw.lower()
+        if raw.isascii() and not self.known.has_special(low := raw.lower()):
+            raw = low
         return b"".join(map(self.known.__getitem__, raw.replace(b"\n", b" ").split(b" "))) + self.closing
 
 

@@ -1,9 +1,11 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
 from llm_helpers import rows_of
+from tokenizers import Tokenizer
 
 from lexgrove.llm import packing
 from lexgrove.llm.common import vocabulary
@@ -11,8 +13,11 @@ from lexgrove.llm.common import vocabulary
 PATH = vocabulary("word_bpe_49k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def plain_ids(text):
-    return [*packing._tokenizer(PATH).encode(text or "", add_special_tokens=False).ids, packing.CLOSING]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, packing.CLOSING]
 
 
 def test_tokens_are_the_librarys():
@@ -24,6 +29,41 @@ def test_tokens_are_the_librarys():
         assert tokens((t or "").encode()) == tokens(t)
 
 
+def test_special_tokens_are_the_librarys():
+    r = random.Random(6)
+    tokens = packing.Tokens(PATH)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "endoftext", "|>", "<|", " ", "\n", "a", "Word", ".", ",", "é", "É", "J̌"]
+    found = 0
+    for _ in range(6000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 8)))
+        ids = np.frombuffer(tokens(t), "<u4").tolist()
+        assert ids == plain_ids(t)
+        found += 49407 in ids
+    assert found > 500
+
+
+def test_the_query_has_the_librarys_ids(spark, tmp_path):
+    from lexgrove.llm.queries import op6_packing
+
+    r = random.Random(7)
+    words = ["Some", "words", "<|endoftext|>", "naïve", "x1", "--", "\n"]
+    texts = {i: " ".join(r.choices(words, k=r.choice([0, 1, 50, 700, 2500]))) for i in range(60)} | {60: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = rows_of(op6_packing(spark, str(tmp_path)))
+    places = {}
+    for p in pieces:
+        ids = plain_ids(texts[p["doc_id"]])
+        assert p["doc_tokens"] == len(ids)
+        own = ids[p["start"] : p["start"] + p["length"]]
+        assert len(own) == p["length"] > 0 and p["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+        places.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert sum(p["length"] for p in pieces) == sum(len(plain_ids(t)) for t in texts.values())
+    assert sorted(places) == list(range(len(places)))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
 def check(pieces, texts, window):
     """Each id in exactly one piece, sequences without gaps, and little padding."""
     by_doc, by_sequence = {}, {}
