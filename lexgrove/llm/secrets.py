@@ -1,18 +1,24 @@
 """Secret scans: fixed patterns, and random strings found by how badly they tokenize.
 
 A vocabulary learned from text needs few tokens for words and many for random characters. A run of
-token characters that costs more than one token for each ``ratio`` characters is reported, or the pieces between
-its '=', '/', '_' and '-' that do, unless it is a known digest (hex of a usual length, UUID) or an identifier (part of an address, a number,
-a run of few distinct characters). The fixed patterns' spans are always reported.
-
-Cases: a null or empty text has no spans; spans are code points, end exclusive; equal rows give
-equal results; a column that has the name of the result is replaced, others pass through.
+token characters that costs more than one token for each ``ratio`` characters is reported, or the pieces
+between its '=', '/', '_' and '-' that do, unless it is a known digest (hex of a usual length, UUID) or an
+identifier (part of an address, a number, a run of few distinct characters). The fixed patterns' spans are
+always reported.
+
+Cases: a null or empty text has no spans; a text of any length is scanned whole, in one pass over its
+spans, runs and address marks (characters are tokenized in slices of SLICE, so a run of any length takes
+time in proportion); spans are code points, end exclusive; of spans that start together the kinds are in
+the order of KINDS; a run that touches a fixed pattern's span is not reported again; equal rows give equal
+results; an empty table gives none; a column that has the name of the result is replaced, others pass
+through.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,10 +41,9 @@ DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-f
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 UUID_INSIDE = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
 PART = re.compile(r"[A-Za-z0-9+]+")
-# What is before a part of an address, up to its query; and a login, with what ends it.
-ADDRESS = re.compile(r"""(?:://|www\.|@)[^\s"'`,;{}\[\]()<>|?#]*\Z""")
-LOGIN = re.compile(r"""://[^\s"'`,;{}\[\]()<>|?#/@]*\Z""")
-LOGIN_END = re.compile(r"""[^\s"'`,;{}\[\]()<>|?#/@]*@""")
+# What ends an address, or its host or login; and what makes one of what comes before.
+DELIMITER = re.compile(r"""[\s"'`,;{}\[\]()<>|?#/@]""")
+MARK = re.compile(DELIMITER.pattern + r"|www\.")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 #: Characters a token, below which a run counts as random.
 RATIO = 2.0
@@ -46,6 +51,41 @@ RATIO = 2.0
 LEAST, PART_LEAST = 20, 8
 #: Distinct characters that a random run of 20 and more has at least.
 DISTINCT = 8
+#: Characters that are tokenized at once.
+SLICE = 4096
+
+
+class _Addresses:
+    """Whether what starts at a place belongs to a host or path of an address; asked in the order of places."""
+
+    def __init__(self, text: str):
+        self.text, self.marks = text, MARK.finditer(text)
+        self.mark = next(self.marks, None)
+        self.inside, self.last, self.next = False, -1, -1
+
+    def __call__(self, at: int, end: int) -> bool:
+        """``at`` to ``end``: a run without the slashes before it. The part of a login before its '@' does not belong."""
+        text = self.text
+        while self.mark and self.mark.end() <= at:
+            found, place = self.mark[0], self.mark.start()
+            if found == "www." or found == "@":
+                self.inside = True
+            elif found == "/":
+                self.inside = self.inside or self._scheme(place)
+            else:
+                self.inside = False
+            if found != "www.":
+                self.last = place
+            self.mark = next(self.marks, None)
+        if not self.inside or not self._scheme(self.last):
+            return self.inside
+        if self.next < end:
+            m = DELIMITER.search(text, end)
+            self.next = m.start() if m else len(text)
+        return text[self.next : self.next + 1] != "@"
+
+    def _scheme(self, slash: int) -> bool:
+        return slash >= 2 and self.text[slash - 2 : slash + 1] == "://"
 
 
 class Scanner:
@@ -72,18 +112,18 @@ class Scanner:
         return self.is_dense(run)
 
     def is_dense(self, run: str) -> bool:
-        return len(run) < self.ratio * len(self.tokens(run))
-
-    def in_address(self, text: str, start: int, end: int) -> bool:
-        at = end - len(text[start:end].lstrip("/"))  # the slashes before a host are part of a run
-        before = text[max(0, at - 200) : at]
-        return bool(ADDRESS.search(before)) and not (LOGIN.search(before) and LOGIN_END.match(text, end))
+        return len(run) < self.ratio * sum(len(self.tokens(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
 
     def pieces(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
-        """Random pieces of a run: from each part on, as many parts as make LEAST characters."""
+        """Random pieces of a run: from each part on, as many parts as make LEAST characters, and the dense parts that adjoin."""
         known = [m.span() for m in UUID_INSIDE.finditer(text, start, end)]
         parts = [m.span() for m in PART.finditer(text, start, end)]
-        parts = [(s, e, e - s >= PART_LEAST and not text[s:e].isdigit() and self.is_dense(text[s:e])) for s, e in parts if not DIGEST.match(text[s:e])]
+        parts = [(s, e, self.is_dense(text[s:e])) for s, e in parts if not DIGEST.match(text, s, e)]
+
+        def is_known(s: int, e: int) -> bool:
+            i = bisect_left(known, (e,)) - 1  # the last one that starts before e; they do not overlap
+            return i >= 0 and known[i][1] > s
+
         found: list[tuple[int, int]] = []
         j = 0
         for i, (s, _, _) in enumerate(parts):
@@ -93,31 +133,37 @@ class Scanner:
             if j == len(parts):
                 break
             e = parts[j][1]
-            if not any(p[2] for p in parts[i : j + 1]) or any(a < e and s < b for a, b in known) or not self.is_random(text[s:e]):
+            if found and e <= found[-1][1]:
+                continue
+            if not any(d and b - a >= PART_LEAST and not text[a:b].isdigit() for a, b, d in parts[i : j + 1]) or is_known(s, e) or not self.is_random(text[s:e]):
                 continue
-            # what is random on its own and adjoins belongs to it
             k = j + 1
-            while k < len(parts) and self.is_dense(text[parts[k][0] : parts[k][1]]) and self.is_random(text[s : parts[k][1]]) and not any(a < parts[k][1] and s < b for a, b in known):
+            while k < len(parts) and parts[k][2] and not is_known(s, parts[k][1]):
                 e, k = parts[k][1], k + 1
             if found and s < found[-1][1]:
-                found[-1] = (found[-1][0], max(e, found[-1][1]))
+                found[-1] = (found[-1][0], e)
             else:
                 found.append((s, e))
         return found
 
     def spans(self, text: str | None) -> list[dict]:
         text = text or ""
-        found = self.base(text)
+        found = sorted(self.base(text), key=lambda x: (x[0], KINDS.index(x[2])))
+        in_address, more, i, reached = _Addresses(text), [], 0, 0
         for m in RUN.finditer(text):
             start, end = m.span()
-            if any(s < end and start < e for s, e, _ in found) or self.in_address(text, start, end):
+            while i < len(found) and found[i][0] < end:
+                reached, i = max(reached, found[i][1]), i + 1
+            if reached > start:
                 continue
             whole = text[start:end]
+            if in_address(end - len(whole.lstrip("/")), end):
+                continue
             if self.is_random(whole):
-                found.append((start, end, "random"))
+                more.append((start, end, "random"))
             elif not UUID.match(whole) and not whole.isalnum():
-                found += [(s, e, "random") for s, e in self.pieces(text, start, end)]
-        found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+                more += [(s, e, "random") for s, e in self.pieces(text, start, end)]
+        found = sorted(found + more, key=lambda x: (x[0], KINDS.index(x[2])))
         return [{"kind": k, "start": s, "end": e} for s, e, k in found]
 
 

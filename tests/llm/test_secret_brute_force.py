@@ -1,0 +1,143 @@
+"""The registered scan against a plain one: every run is looked at alone, with the whole text before it."""
+
+import base64
+import hashlib
+import random
+import re
+import string
+import time
+
+import tiktoken
+from llm_helpers import rows_of
+
+from lexgrove.llm import secrets
+from lexgrove.llm.common import vocabulary
+from lexgrove.llm.queries import op2_secret_scan
+
+PATH = vocabulary("byte_bpe_50k.tiktoken")
+KINDS = ["assign", "access", "hex", "random"]
+END = r"""[^\s"'`,;{}\[\]()<>|?#]*"""
+
+with open(PATH, "rb") as f:
+    ENCODING = tiktoken.Encoding("plain", pat_str=secrets.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}, special_tokens={})
+
+
+def dense(x):
+    return len(x) < 2 * len(ENCODING.encode_ordinary(x))
+
+
+def digest(x):
+    return len(x) in (32, 40, 56, 64, 96, 128) and all(c in string.hexdigits for c in x)
+
+
+def uuid(x):
+    return [len(p) for p in x.split("-")] == [8, 4, 4, 4, 12] and all(c in string.hexdigits for c in x.replace("-", ""))
+
+
+def is_random(x):
+    return len(set(x)) >= 8 and not x.isdigit() and not digest(x) and not uuid(x) and dense(x)
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return found
+
+
+def plain_spans(text):
+    base = plain_base(text)
+    found = list(base)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        s, e = m.span()
+        if any(a < e and s < b for a, _, b in base):
+            continue
+        at = s
+        while at < e and text[at] == "/":
+            at += 1
+        address = re.search(r"(?:://|www\.|@)" + END + r"\Z", text[:at])
+        login = re.search(r"""://[^\s"'`,;{}\[\]()<>|?#/@]*\Z""", text[:at]) and re.match(r"""[^\s"'`,;{}\[\]()<>|?#/@]*@""", text[e:])
+        if address and not login:
+            continue
+        if is_random(m[0]):
+            found.append((s, 3, e))
+        elif not uuid(m[0]) and not m[0].isalnum():
+            found += [(a, 3, b) for a, b in plain_pieces(text, s, e)]
+    return sorted(found)
+
+
+def plain_pieces(text, s, e):
+    parts = [(s + m.start(), s + m.end()) for m in re.finditer(r"[A-Za-z0-9+]+", text[s:e]) if not digest(m[0])]
+    known = [(s + m.start(), s + m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])", text[s:e])]
+    covered = set()
+    for i, (a, _) in enumerate(parts):
+        j = next((j for j in range(i, len(parts)) if parts[j][1] - a >= 20), None)
+        if j is None:
+            break
+        b = parts[j][1]
+        alone = any(y - x >= 8 and not text[x:y].isdigit() and dense(text[x:y]) for x, y in parts[i : j + 1])
+        clash = lambda b: any(x < b and a < y for x, y in known)  # noqa: B023, E731
+        if not alone or clash(b) or not is_random(text[a:b]):
+            continue
+        for x, y in parts[j + 1 :]:
+            if not dense(text[x:y]) or clash(y):
+                break
+            b = y
+        covered |= set(range(a, b))
+    out = []
+    for p in sorted(covered):
+        if p - 1 in covered:
+            out[-1][1] = p + 1
+        else:
+            out.append([p, p + 1])
+    return out
+
+
+def texts(r, n):
+    letters = string.ascii_letters + string.digits
+    pieces = [
+        lambda: "".join(r.choices(letters, k=r.choice([8, 12, 20, 24, 40]))),
+        lambda: "".join(r.choices("0123456789abcdef", k=r.choice([8, 23, 24, 32, 40]))),
+        lambda: "AKIA" + "".join(r.choices(string.ascii_uppercase + string.digits, k=r.choice([15, 16]))),
+        lambda: "550e8400-e29b-41d4-a716-446655440000",
+        lambda: r.choice(["password", "Token", "API_KEY", "apikey", "secret"]) + r.choice(["=", ": ", '": "', " "]),
+        lambda: r.choice(["https://", "www.", "@", "://", "user:", "x.org", "/a/b", "?sig=", "#"]),
+        lambda: r.choice([" ", "\n", ",", ";", '"', "{", "}", "=", "/", "_", "-", ".", "é"]),
+        lambda: r.choice(["production", "connection_string", "the words of a text", "internationalization", "2024", "12345678"]),
+    ]
+    return ["".join(r.choice(pieces)() for _ in range(r.randint(1, 14))) for _ in range(n)]
+
+
+def test_spans_are_those_of_a_plain_scan():
+    scan, found = secrets.Scanner(PATH).spans, 0
+    for t in texts(random.Random(11), 6000):
+        spans = [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in scan(t)]
+        assert spans == plain_spans(t), t
+        found += any(k == 3 for _, k, _ in spans)
+    assert found > 1000
+
+
+def test_the_query_is_a_plain_scan(spark, tmp_path):
+    own = dict(enumerate([None, "", *texts(random.Random(12), 300), "x://" + "a." * 400 + "".join(random.Random(1).choices(string.ascii_letters, k=30))]))
+    spark.createDataFrame(list(own.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = rows_of(op2_secret_scan(spark, str(tmp_path)))
+    assert len(out) == len(own)
+    for x in out:
+        spans = plain_spans(own[x["doc_id"]] or "")
+        said = lambda own: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in own)
+        assert x["spans"] == said(spans)
+        assert x["base_sha256"] == hashlib.sha256(said([y for y in spans if y[1] < 3]).encode()).hexdigest()
+        assert [x[f"n_{k}"] for k in KINDS] == [sum(y[1] == i for y in spans) for i in range(4)]
+
+
+def test_long_texts_take_time_in_proportion():
+    r, scan = random.Random(13), secrets.Scanner(PATH).spans
+    letters = string.ascii_letters + string.digits
+    drawn = lambda n: "".join(r.choices(letters, k=n))
+    for t, least in ((" ".join("token=" + drawn(30) for _ in range(15_000)), 15_000), (" ".join(drawn(30) for _ in range(15_000)), 14_000), ("/".join(drawn(30) for _ in range(15_000)), 1), ("abcdefghij" * 50_000, 0), ("https://a." + ".".join(drawn(30) for _ in range(15_000)), 0), ("a-b-" * 120_000, 0)):
+        began = time.process_time()
+        assert len(scan(t)) >= least
+        assert time.process_time() - began < 10
