@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def vocabulary(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary file: in ``folder``, in LEXGROVE_TOKENIZERS, or where its package has it."""
     folder = folder or os.environ.get("LEXGROVE_TOKENIZERS")
@@ -51,6 +54,60 @@ def arrow_column(make: Callable[[], Callable[[str | None], dict]], kind: pa.Data
     return F.arrow_udf(run, returns).asNondeterministic()(source)
 
 
+#: Characters or bytes of a long text that are turned into objects at once.
+PART = 1 << 20
+BLANK, BLANK_BYTE = re.compile(r"[\x20\x09-\x0D]"), re.compile(rb"[\x20\x09-\x0D]")
+
+
+def parts(text, size: int = PART) -> Iterator:
+    """A text, or bytes, in parts of about ``size`` that no word spans."""
+    blank, at = BLANK if isinstance(text, str) else BLANK_BYTE, 0
+    while at < len(text):
+        found = blank.search(text, at + size) if at + size < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles in order, in parts; ASCII letters are made small; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    held: list[bytes] = []
+    made = False
+    for part in parts((text or "").encode()):
+        words = held + part.lower().split()  # only ASCII letters and blanks are meant
+        n = len(words) - shingle + 1
+        if n < 1:
+            held = words
+            continue
+        joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+        begins, stops = [0, *ends[: n - 1].tolist()], (ends[shingle - 1 :] - 1).tolist()
+        yield np.array([xxh64_intdigest(joined[b:e], seed) for b, e in zip(begins, stops)], "<u8")
+        held, made = words[n:], True
+    if held and not made:
+        yield np.array([xxh64_intdigest(b" ".join(held), seed)], "<u8")
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows (n, words) of 64-bit words, least bit first."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for i in range(0, len(hashes), 255 * 16):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[i : i + 255 * 16]).view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return ones
+
+
+def trigram_counts(raw: np.ndarray, bits: int) -> np.ndarray:
+    """Counts of the hashed byte trigrams of ``raw``, in parts."""
+    n = np.zeros(1 << bits, np.int64)
+    for i in range(0, max(0, len(raw) - 2), PART):
+        x = raw[i : i + PART + 2].astype(np.uint32)
+        n += np.bincount(((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(32 - bits), minlength=1 << bits)
+    return n
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, below ``spark.checkpoint.dir``.
 

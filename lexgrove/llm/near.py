@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm import simhash
-from lexgrove.llm.common import Tables, arrow_column, bounded_batches
+from lexgrove.llm.common import Tables, arrow_column, bit_sums, bounded_batches, shingle_hashes
 from lexgrove.llm.graph import components
 
 SHINGLE, SEED = 5, 42
@@ -72,16 +72,8 @@ class Design:
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()  # only ASCII letters and blanks are meant
-    if not words:
-        return np.empty(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    begins = [0, *ends[: n - 1].tolist()]
-    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[b:e], SEED) for b, e in zip(begins, stops)], np.uint64))
+    found = [np.empty(0, np.uint64), *map(np.unique, shingle_hashes(text, SHINGLE, SEED))]
+    return np.unique(np.concatenate(found))
 
 
 def _node(h: np.ndarray) -> int:
@@ -94,14 +86,12 @@ def _node(h: np.ndarray) -> int:
 def fingerprint(h: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Bits of the SimHash of a set of hashes, 64 for each column of ``times`` (2, words)."""
     ones = np.zeros(64 * times.shape[1], np.int64)
-    for i in range(0, len(h), 255 * 16):
-        x = h[i : i + 255 * 16, None] * times[0]
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096, None] * times[0]
         x ^= x >> np.uint64(32)
         x *= times[1]
         x ^= x >> np.uint64(32)
-        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+        ones += bit_sums(x)
     return 2 * ones > len(h)
 
 

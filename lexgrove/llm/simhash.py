@@ -13,7 +13,8 @@ Equal fingerprints are one node, so copies cost one row each. A link found in se
 reported in one of them.
 
 Cases: a null or empty text, or one without words, has fingerprint zero, which is linked like any
-other; a text with fewer words than a shingle is one shingle; repeated rows are rows of their own
+other; a text with fewer words than a shingle is one shingle; a long text is hashed whole, in parts; a bit
+set in exactly half the hashes is 0; repeated rows are rows of their own
 with equal results; a null key never names a component that has another key; an empty table gives
 none; columns other than the key and the text are not read.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import Tables, arrow_column
+from lexgrove.llm.common import Tables, arrow_column, bit_sums, shingle_hashes
 from lexgrove.llm.graph import components
 
 #: Words of a shingle, hash seed, and bits that may differ.
@@ -42,20 +43,10 @@ LEFT_OUT = list(combinations(range(SEGMENTS), 3))
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()  # only ASCII letters and blanks are meant
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    begins = [0, *ends[: n - 1].tolist()]
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    h = np.array([xxh64_intdigest(joined[b:e], seed) for b, e in zip(begins, stops)], "<u8")
-    # in parts, so that a long text does not need 64 bytes for each shingle at once
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
-        ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, shingle, seed):
+        n += len(h)
+        ones += bit_sums(h[:, None])
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
