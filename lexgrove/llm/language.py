@@ -6,8 +6,10 @@ text gets the language of the centroid with the greatest cosine. A text farther
 all training texts of about its length is rejected.
 
 Cases: a null text, or one without a letter, is ``und`` and is rejected; rows without a label are
-never trained on; with no labelled rows at all everything is ``und``; equal rows give equal
-results; extra columns pass through, and columns that have the names of results are replaced.
+never trained on; texts that come again, under one key, under none or under many, are learned from once;
+with no labelled rows at all everything is ``und``; of equal cosines the first language by name holds; a
+text of any length is read whole, its trigrams counted in parts; equal rows give equal results; an empty
+table gives none; extra columns pass through, and columns that have the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import arrow_column
+from lexgrove.llm.common import arrow_column, trigram_counts
 
 BITS = 15
 #: Training texts for each language at most.
 PER_LANGUAGE = 1000
+#: Languages that are learned at most: those with the most texts.
+LANGUAGES = 200
 CENTROIDS = 4
 #: Share of training texts, of about a text's length, that would be rejected; and what is allowed
 #: beyond their cosine, for texts unlike those seen.
@@ -34,9 +38,7 @@ FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)],
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of the lower-case UTF-8 bytes with their counts."""
-    raw = FOLD[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)].astype(np.uint32)
-    codes = ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-    n = np.bincount(codes, minlength=1 << BITS)
+    n = trigram_counts(FOLD[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)], BITS)
     at = np.flatnonzero(n)
     return at, n[at]
 
@@ -113,21 +115,23 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from labelled documents that are not held out, ``per_language`` of each language at most.
+def train(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Learn from labelled documents that are not held out: ``per_language`` texts of each of ``languages`` languages at most.
 
-    Languages are counted first; then each row's hash decides, so that about a third more rows than
-    wanted are collected, wherever they lie, and no group of rows meets in one task.
+    Distinct texts are counted by sketches first; then each text's hash decides, so that about a third
+    more texts than wanted are left, wherever they lie, and rows of equal text become one before they
+    are collected.
     """
-    own = documents.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(~held_out(F.col("_key")) & F.col("_lang").isNotNull())
-    sizes = {r._lang: r.n for r in own.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    own = documents.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(~held_out(F.col("_key")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    own = own.select("_lang", "_text", F.xxhash64("_text").alias("_h"))
+    sizes = own.groupBy("_lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("_h").alias("n")).orderBy(F.desc("rows"), "_lang").limit(languages).collect()
     share = F.lit(0.0)
-    for g, n in sorted(sizes.items()):
-        share = F.when(F.col("_lang") == g, min(1.0, 1.3 * per_language / n)).otherwise(share)
-    unit = F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) / 1_000_003.0
-    got = own.where(unit < share).select("_lang", "_text", unit.alias("_u"), "_key").toPandas().sort_values(["_u", "_key"], kind="stable")
-    got = got.groupby("_lang", sort=False).head(per_language)
-    return Model([t if isinstance(t, str) else "" for t in got._text], list(got._lang))
+    for r in sorted(sizes, key=lambda r: r._lang):
+        share = F.when(F.col("_lang") == r._lang, min(1.0, 1.3 * per_language / max(r.n, 1))).otherwise(share)
+    unit = F.pmod("_h", F.lit(1_000_003)) / 1_000_003.0
+    got = own.where(unit < share).groupBy("_lang", "_h").agg(F.min("_text").alias("_text")).withColumn("_u", unit).toPandas()
+    got = got.sort_values(["_u", "_h", "_lang"], kind="stable").groupby("_lang", sort=False).head(per_language)
+    return Model(list(got._text), list(got._lang))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
