@@ -5,9 +5,10 @@ logarithmic counts. It is trained on labelled rows, and a two-parameter logistic
 of the training makes its score a probability. Scoring runs in Arrow batches.
 
 Cases: a null text has no words; labels that are null are no labels; of several labels of one
-document the largest holds; with no labels of both classes the verdict is that of the counts;
-equal rows give equal results; extra columns pass through, and columns that have the names of
-results are replaced.
+document the largest holds, and of several texts that with the least hash; with no labels of both
+classes the verdict is that of the counts; a probability at the threshold is kept; a text of any length is
+read whole, its words and trigrams as numbers, in parts; equal rows give equal results; an empty table
+gives none; extra columns pass through, and columns that have the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import arrow_column
+from lexgrove.llm.common import arrow_column, parts, trigram_counts
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -35,36 +36,53 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def counts(text: str | None) -> tuple[tuple[int, ...], list[str]]:
+class Words:
+    """A text's words as numbers, in order, and its distinct words."""
+
+    def __init__(self, text: str):
+        known: dict[str, int] = {}
+        found = []
+        for part in parts(text):
+            words = WORDS.findall(part)
+            new = set(words).difference(known)
+            if new:
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+            found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        self.distinct = list(known)
+        self.ids = np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def counts(text: str | None) -> tuple[tuple[int, ...], Words]:
     """The COUNTS of a text, and its words."""
     text = text or ""
-    words = WORDS.findall(text)
+    words = Words(text)
     lines, seen, dup = text.split("\n"), set(), 0
     for x in lines:
         if x in seen:
             dup += bool(WORDS.search(x))
         seen.add(x)
-    return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated(words)), words
+    chars = int(np.fromiter(map(len, words.distinct), np.int64, len(words.distinct))[words.ids].sum())
+    return (len(words.ids), chars, sum(map(text.count, SYMBOLS)), dup, repeated(words.ids)), words
 
 
-def repeated(words: list[str]) -> int:
+def repeated(ids: np.ndarray) -> int:
     """Words in windows that are found twice or more."""
-    n = len(words) - WINDOW + 1
-    windows = list(zip(*(words[i:] for i in range(WINDOW))))
-    if n < 2 or len(set(windows)) == n:
+    n = len(ids) - WINDOW + 1
+    if n < 2:
         return 0
-    first: dict[tuple, int] = {}
-    twice: list[int] = []
-    for i, w in enumerate(windows):
-        j = first.setdefault(w, i)
-        if j != i:
-            twice += [i] if j < 0 else [j, i]
-            first[w] = -1
-    covered, end = 0, 0
-    for i in sorted(twice):
-        covered += i + WINDOW - max(i, end)
-        end = i + WINDOW
-    return covered
+    mixed = np.zeros(n, np.uint64)  # equal windows have equal sums
+    for i in range(WINDOW):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + n].astype(np.uint64)
+    mixed.sort()
+    if not (mixed[1:] == mixed[:-1]).any():
+        return 0
+    names, base = ids[:n], int(ids.max()) + 1
+    for i in range(1, WINDOW):  # exact names of ever longer windows
+        _, names = np.unique(names * base + ids[i : i + n], return_inverse=True)
+    twice = np.flatnonzero(np.bincount(names)[names] > 1)
+    if not len(twice):
+        return 0
+    return int(WINDOW + np.minimum(np.diff(twice), WINDOW).sum())
 
 
 class Features:
@@ -79,23 +97,17 @@ class Features:
         b = self.buckets[word] = zlib.crc32(word.lower().encode()) & ((1 << WORD_BITS) - 1)
         return b
 
-    def __call__(self, text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
         if len(self.buckets) > self.remembered:
             self.buckets.clear()
         known = self.buckets
-        try:
-            b = [known[w] for w in words]
-        except KeyError:
-            b = [known[w] if w in known else self._bucket(w) for w in words]
-        raw = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
-        tri = ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS) if len(raw) > 2 else raw[:0]
-        parts = []
-        for codes, bits, base in ((np.array(b, np.int64), WORD_BITS, 0), (tri, CHAR_BITS, 1 << WORD_BITS)):
-            n = np.bincount(codes, minlength=1 << bits)
+        b = np.array([known[w] if w in known else self._bucket(w) for w in words.distinct], np.int64)
+        found = []
+        for n, base in ((np.bincount(b[words.ids], minlength=1 << WORD_BITS), 0), (trigram_counts(np.frombuffer(text.lower().encode(), np.uint8), CHAR_BITS), 1 << WORD_BITS)):
             at = np.flatnonzero(n)
             x = np.log1p(n[at])
-            parts.append((at + base, x / max(np.sqrt(x @ x), 1e-12)))
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            found.append((at + base, x / max(np.sqrt(x @ x), 1e-12)))
+        return np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
 
 
 def _descend(rows: list, y: np.ndarray, size: int, rounds: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -132,7 +144,7 @@ def fit(texts: list[str], quality: np.ndarray) -> dict | None:
     if len(y) < 8 or y.min() == y.max():
         return None
     features = Features()
-    rows = [features(t or "", WORDS.findall(t or "")) for t in texts]
+    rows = [features(t or "", Words(t or "")) for t in texts]
     held = np.arange(len(y)) % 4 == 3
     if y[~held].min() == y[~held].max() or y[held].min() == y[held].max():
         held[:] = False
@@ -144,13 +156,17 @@ def fit(texts: list[str], quality: np.ndarray) -> dict | None:
 
 
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN) -> dict | None:
-    """Fit on at most ``max_train`` labelled documents, those whose keys have the smallest hashes."""
+    """Fit on at most ``max_train`` labelled documents, those whose keys have the smallest hashes.
+
+    Of the rows that share a key the text with the least hash is learned from; the others never leave their tasks.
+    """
     labelled = labels.select(F.col(key).alias("_key"), F.col(label).alias("_y")).where("_key IS NOT NULL AND _y IS NOT NULL").groupBy("_key").agg(F.max("_y").alias("_y"))
-    order = F.xxhash64(F.col("_key"))
-    few = labelled.orderBy(order, "_key").limit(max_train)
-    got = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), "_key").toPandas()
-    got = got.assign(h=[zlib.crc32(str(k).encode()) for k in got._key]).sort_values(["h", "_key"], kind="stable").drop_duplicates("_key")
-    return fit([t if isinstance(t, str) else "" for t in got._text], got._y.to_numpy())
+    few = labelled.orderBy(F.xxhash64(F.col("_key")), "_key").limit(max_train)
+    found = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), "_key")
+    least = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("text"))).alias("_least")
+    got = found.groupBy("_key").agg(F.max("_y").alias("_y"), least).select("_key", "_y", "_least.text").toPandas()
+    got = got.assign(h=[zlib.crc32(str(k).encode()) for k in got._key]).sort_values(["h", "_key"], kind="stable")
+    return fit([t if isinstance(t, str) else "" for t in got.text], got._y.to_numpy())
 
 
 FIELDS = [*((n, pa.int64()) for n in COUNTS), ("base_failed", pa.bool_()), ("probability", pa.float64())]
