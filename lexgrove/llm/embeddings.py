@@ -1,21 +1,25 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-A unit vector is projected on many random lines. In each of ``tables`` tables it falls into a block
-by the grid cells of some projections, and lies at a place of one more projection, by which the
-block is sorted. A pair collides in a table if one's place is within a window centred on the
-other's. Pairs that share a block and collide there are counted over the places of all tables, in
-the first such table; those with at least ``needed`` collisions are verified by their cosine.
-
-Grid, window and number of tables follow from the recall wanted at the least cosine, and the number
-of projections in a block's key from the number of vectors, so that blocks keep their size as the
-input grows. ``needed`` is a quantile of the collisions that a pair at the least cosine has.
+A unit vector is projected on many random lines. In each of ``tables`` tables all vectors are sorted by the
+grid cells of some projections and, within equal cells (a block), by their place on one more projection. A
+pair collides in a table if it shares the block and one's place is within a window centred on the other's.
+Each pair's collisions are counted over all tables; pairs with at least ``needed`` of them are verified by
+their cosine, in the first table where they collide.
+
+The cells are there because the windows of a bare projection cannot be narrow: places of vectors of
+cosine 0.9 differ by 0.45 deviations, those of any two by 1.41, so a window that finds the former holds
+a constant share of all vectors, and counting would take time in the square of their number. With cells, a
+window holds a bounded number of vectors at any size. Grid and window follow from the least cosine, the
+number of cells from the number of vectors, and the tables from the recall wanted: they are as many as give
+a pair at the least cosine ``needed`` collisions with that probability.
 
 Equal vectors are one node with a number. A block larger than ``CHUNK`` is dealt out as pairs of
 chunks, each a task's unit of work: no pair is emitted, only each vector's number of links and the
 edges of a spanning forest.
 
 Cases: a vector that is null or zero, or has a null or non-finite component, links with nothing, as
-do vectors of another length; a null id is a row of its own that names no component; repeated rows
+do vectors of another length; components of any finite size count, as vectors are scaled before their
+norm is taken; a pair at exactly the least cosine is linked; a null id is a row of its own that names no component; repeated rows
 are vectors of their own; an empty table gives none; other columns are not read.
 """
 
@@ -35,8 +39,8 @@ from lexgrove.llm.common import Tables, bounded_batches
 from lexgrove.llm.graph import components
 
 LEAST = 0.9
-#: Recall at the least cosine that the tables are made for, and that of the count.
-RECALL, COUNTED = 0.97, 0.999
+#: Recall at the least cosine that the tables are made for, and collisions that a pair needs.
+RECALL, NEEDED = 0.97, 2
 #: Vectors of a block on average, and cell width and half window in units of a projection's deviation.
 OCCUPANCY, CELL, REACH = 64, 1.6, 1.0
 CHUNK = 1024
@@ -63,14 +67,10 @@ class Design:
         same_near = 1 - s * math.sqrt(2 / math.pi) / CELL
         far = sum(max(0.0, CELL - abs(d)) / CELL * math.exp(-d * d / 4) / math.sqrt(4 * math.pi) * 0.01 for d in np.arange(-CELL, CELL, 0.01))
         keys = max(2, round(math.log(max(2.0, n / OCCUPANCY)) / -math.log(far)))
-        p, q, needed = 2 * normal.cdf(REACH / s) - 1, 0.0, 0
-        near = same_near**keys * p
-        tables = max(8, math.ceil(math.log(1 - recall) / math.log(1 - near)))
-        while needed < tables:
-            q += math.comb(tables, needed) * p**needed * (1 - p) ** (tables - needed)
-            if q > 1 - COUNTED:
-                break
-            needed += 1
+        near = same_near**keys * (2 * normal.cdf(REACH / s) - 1)
+        tables, needed = max(8, math.ceil(math.log(1 - recall) / math.log(1 - near))), NEEDED
+        while sum(math.comb(tables, i) * near**i * (1 - near) ** (tables - i) for i in range(needed)) > 1 - recall:
+            tables += 1
         return cls(dim, tables, keys, needed, least)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,9 @@ class Design:
 
 
 def _units(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors; first scaled by a power of two, which is exact, so that no square is too large or small."""
     unit = raw.astype(np.float64)
+    unit = np.ldexp(unit, -np.frexp(np.abs(unit).max(axis=1, initial=0))[1][:, None])
     return unit / np.linalg.norm(unit, axis=1)[:, None]
 
 
@@ -135,12 +137,10 @@ def _pairs(design: Design, left: dict, right: dict | None, t: int) -> np.ndarray
         m = n[s : s + 256]
         a = np.repeat(rows[s : s + 256], m)
         b = order[np.arange(len(a)) - np.repeat(ends[s : s + 256] - m - (ends[s - 1] if s else 0), m) + np.repeat(low[s : s + 256], m)]
-        near = np.abs(left["places"][a] - other["places"][b]) <= REACH
-        passed = near[:, t] & (near.sum(axis=1) >= design.needed)
-        a, b, near = a[passed], b[passed], near[passed]
-        # counted in an earlier table?
-        first = ~((left["codes"][a, :t] == other["codes"][b, :t]) & near[:, :t]).any(axis=1)
-        a, b = a[first], b[first]
+        met = (left["codes"][a] == other["codes"][b]) & (np.abs(left["places"][a] - other["places"][b]) <= REACH)
+        # enough collisions, the first of them here
+        passed = met[:, t] & (met.sum(axis=1) >= design.needed) & ~met[:, :t].any(axis=1)
+        a, b = a[passed], b[passed]
         good = np.einsum("ij,ij->i", left["unit"][a], other["unit"][b]) >= design.least
         out.append(np.stack([a[good], b[good]]))
     return np.concatenate(out, axis=1)

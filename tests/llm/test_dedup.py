@@ -261,6 +261,31 @@ def test_double_vectors(spark):
     assert got == {1: 1, 2: 1, 3: 0}
 
 
+def test_embedding_recall_of_planted_pairs(spark):
+    """Pairs at the least cosine are the hardest ones; no two others are near."""
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((4000, 64))
+    y -= (y * x).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cosine = rng.uniform(0.9001, 0.92, 4000)[:, None]
+    vectors = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y]) * rng.uniform(0.1, 9, (8000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r for r in rows_of(embeddings.cluster(df))}
+    assert len(got) == 8000 and all(r["n_links"] <= 1 for r in got.values())
+    found = sum(got[i + 4000]["component_id"] == i for i in range(4000))
+    assert found >= 0.94 * 4000, found
+
+
+def test_vectors_of_any_size(spark):
+    tiny = 5e-324
+    rows = [[1e200, 1e200], [2e200, 2e200], [1.0, 1.0], [tiny, tiny], [1e-200, 0.0], [3e-200, 0.0], [1.7e308, 1.0], [-1e-200, 0.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows_of(embeddings.cluster(df))}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}
+
+
 def test_design_follows_the_numbers():
     a, b = embeddings.Design.of(10**4, 64), embeddings.Design.of(10**7, 64)
     assert a.keys < b.keys and a.tables < b.tables and 0 < a.needed <= a.tables
