@@ -6,8 +6,8 @@ it is cut into segments, and two texts are candidates if some segment differs by
 A segment is indexed by its one-wildcard variants: a variant with its wildcard in one half keeps the other
 half whole, so rows meet by that half, and the variants of the rest are made and joined where they met.
 Segments have a few bits more than the number of texts has, so that chance brings together a few texts
-each at any size; their number follows from the recall wanted at the least similarity. 64 bits outside
-the segments tell most chance pairs apart, and what is left is checked on the whole sets of shingles.
+each at any size; their number follows from the recall wanted at the least similarity. 128 bits outside
+the segments tell chance pairs apart, and what is left is checked on the whole sets of shingles.
 
 Texts with equal sets are one node. A variant that many nodes share is not compared pair by pair. Its
 nodes are first compared with few leaders, which connects a tight group in rows that are linear in it.
@@ -41,15 +41,17 @@ SHINGLE, SEED = 5, 42
 LEAST, RECALL = (4, 5), 0.999
 #: Nodes of a variant that are compared pair by pair at most; leaders that a node of a larger one is compared with first.
 CROWD, LEADERS = 32, 4
+#: Bits that are compared outside the segments, in two words.
+CHECK = 128
 #: Shingles of a part of a group.
 PART = 500_000
-SIGNATURE = pa.struct([("node", pa.int64()), ("segments", pa.list_(pa.int64())), ("check", pa.int64())])
+SIGNATURE = pa.struct([("node", pa.int64()), ("segments", pa.list_(pa.int64())), ("check", pa.int64()), ("more", pa.int64())])
 SET = pa.struct([("node", pa.int64()), ("shingles", pa.binary())])
 
 
 @dataclass(frozen=True)
 class Design:
-    """``segments`` of ``width`` bits (an even number), and different bits of 64 that a candidate has at most."""
+    """``segments`` of ``width`` bits (an even number), and different bits of CHECK that a candidate has at most."""
 
     width: int
     segments: int
@@ -62,12 +64,12 @@ class Design:
         width = 2 * math.ceil((math.log2(max(n, 2**12)) + 2) / 2)
         found = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
         segments = math.ceil(math.log(1 - recall) / math.log(1 - found))
-        return cls(width, segments, math.ceil(64 * differ + 4.5 * math.sqrt(64 * differ * (1 - differ))))
+        return cls(width, segments, math.ceil(CHECK * differ + 4.5 * math.sqrt(CHECK * differ * (1 - differ))))
 
     @property
     def words(self) -> int:
         """64-bit words of a fingerprint: the check, then the segments."""
-        return 1 + -(-self.width * self.segments // 64)
+        return CHECK // 64 + -(-self.width * self.segments // 64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -104,10 +106,11 @@ def _signatures(design: Design):
         def one(text: str | None) -> dict:
             h = shingles(text)
             if not len(h):
-                return {"node": _node(h), "segments": [], "check": 0}
+                return {"node": _node(h), "segments": [], "check": 0, "more": 0}
             bits = fingerprint(h, times)
-            values = bits[64 : 64 + design.width * design.segments].reshape(design.segments, -1) @ place
-            return {"node": _node(h), "segments": (numbers + values).tolist(), "check": int(np.packbits(bits[:64], bitorder="little").view("<i8")[0])}
+            check, more = np.packbits(bits[:CHECK], bitorder="little").view("<i8").tolist()
+            values = bits[CHECK : CHECK + design.width * design.segments].reshape(design.segments, -1) @ place
+            return {"node": _node(h), "segments": (numbers + values).tolist(), "check": check, "more": more}
 
         return one
 
@@ -131,40 +134,41 @@ def _entry(variant: np.ndarray, bit: int) -> np.ndarray:
 
 
 def _meet(design: Design, crowd: int):
-    """Sorted rows (k, node, check) to candidate pairs (null, a, b), and members of crowded variants (entry, node, check).
+    """Sorted rows (k, node, check, more) to candidate pairs (null, a, b), and members of crowded variants (entry, node, node).
 
     The upper bits of k are a half that rows share; each bit of the lower half in turn is the wildcard. A half
     with more than ``crowd`` rows is never held: its rows' variants are passed on as they come.
     """
     half = design.width // 2
 
-    def crowded(k: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def crowded(k: np.ndarray, node: np.ndarray, *_: np.ndarray) -> Iterator[pa.RecordBatch]:
         for bit in range(half):
-            yield pa.RecordBatch.from_arrays([pa.array(_entry(k & ~np.int64(1 << bit), bit)), pa.array(node), pa.array(check)], names=["entry", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(_entry(k & ~np.int64(1 << bit), bit)), pa.array(node), pa.array(node)], names=["entry", "a", "b"])
 
-    def done(k: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(k: np.ndarray, node: np.ndarray, check: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
         for bit in range(half):
             variant = k & ~np.int64(1 << bit)
             order = np.argsort(variant, kind="stable")
-            v, n, c = variant[order], node[order], check[order]
+            v, n, c, d = variant[order], node[order], check[order], more[order]
             start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             size = np.diff(np.append(start, len(v)))
             large = np.repeat(size > CROWD, size)
             if large.any():
-                yield pa.RecordBatch.from_arrays([pa.array(_entry(v[large], bit)), pa.array(n[large]), pa.array(c[large])], names=["entry", "a", "b"])
-                order, v, n, c = order[~large], v[~large], n[~large], c[~large]
+                yield pa.RecordBatch.from_arrays([pa.array(_entry(v[large], bit)), pa.array(n[large]), pa.array(n[large])], names=["entry", "a", "b"])
+                order, v, n, c, d = (x[~large] for x in (order, v, n, c, d))
             for lag in range(1, CROWD):
                 at = np.flatnonzero(v[lag:] == v[:-lag]) if lag < len(v) else ()
                 if not len(at):
                     break
                 # equal halves are met with the first wildcard only
-                at = at[(np.bitwise_count((c[at] ^ c[at + lag]).view(np.uint64)) <= design.allowed) & ((k[order[at]] != k[order[at + lag]]) | (bit == 0))]
+                differ = sum(np.bitwise_count((x[at] ^ x[at + lag]).view(np.uint64)).astype(int) for x in (c, d))
+                at = at[(differ <= design.allowed) & ((k[order[at]] != k[order[at + lag]]) | (bit == 0))]
                 if len(at):
                     a, b = np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag])
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["entry", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, held = None, [np.empty(0, np.int64)] * 3
+        hot, held = None, [np.empty(0, np.int64)] * 4
         for batch in batches:
             held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
             if not len(held[0]):
@@ -209,8 +213,10 @@ def _sets_of(wanted: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
     """(node, shingles) of the wanted (node, least)."""
     made = source.join(tables.keep(wanted, "wanted"), F.col("_key") == F.col("least")).select("node", arrow_column(_sets, SET, "struct<node:bigint,shingles:binary>", F.col("_text")).alias("s"))
     # rows may share a key; only a node's own text counts
-    made = tables.keep(made, "made").where("node = s.node").select("node", "s.shingles")
-    return tables.keep(made.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+    made = tables.keep(made.where("node = s.node").select("node", "s.shingles"), "made")
+    sets = tables.keep(made.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+    tables.drop(made)
+    return sets
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
@@ -219,7 +225,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tab
     sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node"), source, tables)
     of = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     bounded_batches(pairs.sparkSession)
-    return tables.keep(pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "sa", "sb").mapInArrow(_check, "a bigint, b bigint"), "links")
+    links = tables.keep(pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "sa", "sb").mapInArrow(_check, "a bigint, b bigint"), "links")
+    tables.drop(sets)
+    return links
 
 
 def _forest(part: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]) -> tuple[list[int], list[int]]:
@@ -293,10 +301,10 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     n = df.count()
     design = Design.of(n)
-    signed = source.select("_key", arrow_column(_signatures(design), SIGNATURE, "struct<node:bigint,segments:array<bigint>,check:bigint>", F.col("_text")).alias("s"))
-    rows = tables.keep(signed.select("_key", "s.node", "s.segments", "s.check"), "signatures")
+    signed = source.select("_key", arrow_column(_signatures(design), SIGNATURE, "struct<node:bigint,segments:array<bigint>,check:bigint,more:bigint>", F.col("_text")).alias("s"))
+    rows = tables.keep(signed.select("_key", "s.node", "s.segments", "s.check", "s.more"), "signatures")
     keyed = rows.where("_key IS NOT NULL")
-    nodes = tables.keep(keyed.groupBy("node").agg(F.min("_key").alias("least"), F.any_value("segments").alias("segments"), F.any_value("check").alias("check")), "nodes")
+    nodes = tables.keep(keyed.groupBy("node").agg(F.min("_key").alias("least"), F.any_value("segments").alias("segments"), F.any_value("check").alias("check"), F.any_value("more").alias("more")), "nodes")
 
     # each segment twice: with its upper half above its lower one, and the other way round
     width, half = design.width, design.width // 2
@@ -305,7 +313,7 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     value = lambda s: s.bitwiseAND(F.lit(2**width - 1))
     turned = lambda s: F.shiftleft(value(s).bitwiseAND(low), half) + F.shiftright(value(s), half)
     both = F.concat(F.transform("segments", lambda s: number(s) * twice + value(s)), F.transform("segments", lambda s: number(s) * twice + F.lit(2**width) + turned(s)))
-    entries = nodes.select(F.explode(both).alias("k"), "node", "check")
+    entries = nodes.select(F.explode(both).alias("k"), "node", "check", "more")
     bounded_batches(spark)
     met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 8 * (n >> half) + 1024), MET)
     met = tables.keep(met, "met")
