@@ -9,11 +9,12 @@ Segments have a few bits more than the number of texts has, so that chance bring
 each at any size; their number follows from the recall wanted at the least similarity. 128 bits outside
 the segments tell chance pairs apart, and what is left is checked on the whole sets of shingles.
 
-Texts with equal sets are one node. A variant that many nodes share is not compared pair by pair. Its
-nodes are first compared with few leaders, which connects a tight group in rows that are linear in it.
-Variants that this leaves apart are put together with those that share a node; such a group is dealt out
-as pairs of parts of bounded bytes, compared where they meet, and only a forest of the links comes back.
-That work grows with the square of the nodes in a group, its rows with the square of its parts.
+Texts with equal sets are one node. A variant that more than a few nodes share is not compared pair by
+pair: it connects each of them with its least node, their leader, and groups are what is so connected. A
+node is first compared with few of its leaders, which links a tight group in rows that are linear in it.
+A group that this leaves apart is dealt out as pairs of parts of bounded bytes, compared where they meet,
+and only a forest of the links comes back. That work grows with the square of the nodes in a group, its
+rows with the square of its parts.
 
 Cases: ASCII letters are made small; a text with fewer than five words is one shingle; null, empty and
 blank texts have no shingle and are equal to each other; a pair at exactly the least similarity is linked;
@@ -40,11 +41,11 @@ SHINGLE, SEED = 5, 42
 #: Least similarity of a link, as a fraction, and recall of the candidates there.
 LEAST, RECALL = (4, 5), 0.999
 #: Nodes of a variant that are compared pair by pair at most; leaders that a node of a larger one is compared with first.
-CROWD, LEADERS = 32, 4
+CROWD, LEADERS = 4, 4
 #: Bits that are compared outside the segments, in two words.
 CHECK = 128
 #: Shingles of a part of a group.
-PART = 500_000
+PART = 100_000
 SIGNATURE = pa.struct([("node", pa.int64()), ("segments", pa.list_(pa.int64())), ("check", pa.int64()), ("more", pa.int64())])
 SET = pa.struct([("node", pa.int64()), ("shingles", pa.binary())])
 
@@ -125,27 +126,34 @@ def _sets():
     return one
 
 
-MET = "entry bigint, a bigint, b bigint"
+#: What met: candidate pairs (a, b), nodes with their leaders (a, b), members (b) of variants (a) that are not held.
+PAIR, LED, MEMBER = 0, 1, 2
+MET = "kind int, a bigint, b bigint"
 
 
-def _entry(variant: np.ndarray, bit: int) -> np.ndarray:
+def _met(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+
+def _variant_names(variant: np.ndarray, bit: int) -> np.ndarray:
     x = (variant.view(np.uint64) ^ np.uint64(bit + 1)) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
-def _meet(design: Design, crowd: int):
-    """Sorted rows (k, node, check, more) to candidate pairs (null, a, b), and members of crowded variants (entry, node, node).
+def _meet(design: Design, held_at_most: int):
+    """Sorted rows (k, node, check, more) to what met there.
 
     The upper bits of k are a half that rows share; each bit of the lower half in turn is the wildcard. A half
-    with more than ``crowd`` rows is never held: its rows' variants are passed on as they come.
+    with more than ``held_at_most`` rows is never held: its rows are passed on as members of their variants.
     """
     half = design.width // 2
 
-    def crowded(k: np.ndarray, node: np.ndarray, *_: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def members(k: np.ndarray, node: np.ndarray, *_: np.ndarray) -> Iterator[pa.RecordBatch]:
         for bit in range(half):
-            yield pa.RecordBatch.from_arrays([pa.array(_entry(k & ~np.int64(1 << bit), bit)), pa.array(node), pa.array(node)], names=["entry", "a", "b"])
+            yield _met(MEMBER, _variant_names(k & ~np.int64(1 << bit), bit), node)
 
     def done(k: np.ndarray, node: np.ndarray, check: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        led = [np.empty((0, 2), np.int64)]
         for bit in range(half):
             variant = k & ~np.int64(1 << bit)
             order = np.argsort(variant, kind="stable")
@@ -154,7 +162,8 @@ def _meet(design: Design, crowd: int):
             size = np.diff(np.append(start, len(v)))
             large = np.repeat(size > CROWD, size)
             if large.any():
-                yield pa.RecordBatch.from_arrays([pa.array(_entry(v[large], bit)), pa.array(n[large]), pa.array(n[large])], names=["entry", "a", "b"])
+                pairs = np.stack([np.repeat(np.minimum.reduceat(n, start), size)[large], n[large]], axis=1)
+                led.append(pairs[pairs[:, 0] != pairs[:, 1]])
                 order, v, n, c, d = (x[~large] for x in (order, v, n, c, d))
             for lag in range(1, CROWD):
                 at = np.flatnonzero(v[lag:] == v[:-lag]) if lag < len(v) else ()
@@ -164,8 +173,12 @@ def _meet(design: Design, crowd: int):
                 differ = sum(np.bitwise_count((x[at] ^ x[at + lag]).view(np.uint64)).astype(int) for x in (c, d))
                 at = at[(differ <= design.allowed) & ((k[order[at]] != k[order[at + lag]]) | (bit == 0))]
                 if len(at):
-                    a, b = np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["entry", "a", "b"])
+                    yield _met(PAIR, np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag]))
+        found = np.concatenate(led)
+        if len(found):
+            found = found[np.lexsort((found[:, 1], found[:, 0]))]
+            found = found[np.append(True, (found[1:] != found[:-1]).any(axis=1))]
+            yield _met(LED, found[:, 0].copy(), found[:, 1].copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held = None, [np.empty(0, np.int64)] * 4
@@ -176,7 +189,7 @@ def _meet(design: Design, crowd: int):
             shared = held[0] >> half
             if hot is not None:
                 n = int(np.searchsorted(shared, hot, "right"))
-                yield from crowded(*(x[:n] for x in held))
+                yield from members(*(x[:n] for x in held))
                 held, shared = [x[n:] for x in held], shared[n:]
                 if not len(shared):
                     continue
@@ -186,9 +199,9 @@ def _meet(design: Design, crowd: int):
                 begin = int(np.searchsorted(shared, shared[s]))
                 yield from done(*(x[begin : int(np.searchsorted(shared, shared[min(cut, s + 65_536) - 1], "right"))] for x in held))
             held = [x[cut:] for x in held]
-            if len(held[0]) > crowd:
+            if len(held[0]) > held_at_most:
                 hot = held[0][0] >> half
-                yield from crowded(*held)
+                yield from members(*held)
                 held = [x[:0] for x in held]
         if len(held[0]):
             yield from done(*held)
@@ -278,12 +291,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-def _grouped(left: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
-    """Links among the nodes of variants (entry, node, root) that have several roots."""
-    first = left.groupBy("entry").agg(F.min("node").alias("first"))
-    met = components(left.join(tables.keep(first, "first"), "entry").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), tables)
-    group = tables.keep(met.withColumnRenamed("root", "group"), "groups")
-    own = tables.keep(left.select("node", "root").distinct().join(group, "node"), "grouped")
+def _grouped(own: DataFrame, nodes: DataFrame, source: DataFrame, tables: Tables) -> DataFrame:
+    """Links within groups (node, group, root) that connect several roots."""
     sets = _sets_of(own.select("node").join(nodes, "node"), source, tables)
     sized = tables.keep(own.join(sets, "node").withColumn("n", F.length("shingles") / 8), "sized")
     parts = tables.keep(sized.groupBy("group").agg(F.ceil(F.sum("n") / PART).alias("k")), "parts")
@@ -317,18 +326,19 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     bounded_batches(spark)
     met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 8 * (n >> half) + 1024), MET)
     met = tables.keep(met, "met")
-    crowds = met.where("entry IS NOT NULL").select("entry", F.col("a").alias("node"))
-    several = crowds.groupBy("entry").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
-    shared = tables.keep(crowds.join(tables.keep(several.select("entry", "leader"), "several"), "entry").distinct(), "shared")
+    members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("entry"), F.col("b").alias("node"))
+    leaders = tables.keep(members.groupBy("entry").agg(F.min("node").alias("leader")), "leaders")
+    led = met.where(F.col("kind") == LED).select("a", "b").union(members.join(leaders, "entry").where("node <> leader").select("leader", "node"))
+    led = tables.keep(led.distinct(), "led")
     least = nodes.select("node", "least")
-    ranked = shared.where("node <> leader").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("leader")), 1, LEADERS).alias("leaders"))
-    led = ranked.select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
-    links = _verified(met.where("entry IS NULL").select("a", "b").union(led).distinct(), least, source, tables)
+    few = led.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a")).select(F.explode("a").alias("a"), "b")
+    links = _verified(met.where(F.col("kind") == PAIR).select("a", "b").union(few).distinct(), least, source, tables)
 
     roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
-    rooted = tables.keep(shared.join(roots, F.col("node") == F.col("n"), "left").select("entry", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    apart = rooted.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
-    left = tables.keep(rooted.join(tables.keep(apart, "apart"), "entry"), "left")
+    groups = components(led, tables).withColumnRenamed("root", "group")
+    rooted = tables.keep(groups.join(roots, F.col("node") == F.col("n"), "left").select("node", "group", F.coalesce("root", "node").alias("root")), "rooted")
+    apart = rooted.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("group")
+    left = tables.keep(rooted.join(tables.keep(apart, "apart"), "group"), "left")
     if not left.isEmpty():
         more = _grouped(left, least, source, tables)
         links = roots.select(F.col("n").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
