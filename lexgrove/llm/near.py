@@ -10,7 +10,7 @@ each at any size; their number follows from the recall wanted at the least simil
 the segments tell chance pairs apart, and what is left is checked on the whole sets of shingles.
 
 Texts with equal sets are one node. A variant that more than a few nodes share is not compared pair by
-pair: it connects each of them with its least node, their leader, and groups are what is so connected. A
+pair: its nodes that are candidates are connected with a leader, and groups are what is so connected. A
 node is first compared with few of its leaders, which links a tight group in rows that are linear in it.
 A group that this leaves apart is dealt out as pairs of parts of bounded bytes, compared where they meet,
 and only a forest of the links comes back. That work grows with the square of the nodes in a group, its
@@ -140,6 +140,23 @@ def _variant_names(variant: np.ndarray, bit: int) -> np.ndarray:
     return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
+def _connected(node: np.ndarray, check: np.ndarray, allowed: int) -> Iterator[np.ndarray]:
+    """Edges (leader, node) that connect whatever nodes of a variant are candidates, and only those."""
+    while len(node) > 1:
+        first = int(node.argmin())
+        near = np.bitwise_count(check ^ check[first]).sum(axis=1) <= allowed
+        near[first] = False
+        yield np.stack([np.full(int(near.sum()), node[first]), node[near]], axis=1)
+        left = ~near
+        left[first] = False
+        mine = np.flatnonzero(near)
+        for x in np.flatnonzero(left).tolist() if len(mine) else ():
+            also = mine[np.bitwise_count(check[mine] ^ check[x]).sum(axis=1) <= allowed]
+            if len(also):
+                yield np.array([[node[also].min(), node[x]]])
+        node, check = node[left], check[left]
+
+
 def _meet(design: Design, held_at_most: int):
     """Sorted rows (k, node, check, more) to what met there.
 
@@ -162,8 +179,8 @@ def _meet(design: Design, held_at_most: int):
             size = np.diff(np.append(start, len(v)))
             large = np.repeat(size > CROWD, size)
             if large.any():
-                pairs = np.stack([np.repeat(np.minimum.reduceat(n, start), size)[large], n[large]], axis=1)
-                led.append(pairs[pairs[:, 0] != pairs[:, 1]])
+                for i, m in zip(start[size > CROWD].tolist(), size[size > CROWD].tolist()):
+                    led += _connected(n[i : i + m], np.stack([c[i : i + m], d[i : i + m]], axis=1).view(np.uint64), design.allowed)
                 order, v, n, c, d = (x[~large] for x in (order, v, n, c, d))
             for lag in range(1, CROWD):
                 at = np.flatnonzero(v[lag:] == v[:-lag]) if lag < len(v) else ()
@@ -324,7 +341,7 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     both = F.concat(F.transform("segments", lambda s: number(s) * twice + value(s)), F.transform("segments", lambda s: number(s) * twice + F.lit(2**width) + turned(s)))
     entries = nodes.select(F.explode(both).alias("k"), "node", "check", "more")
     bounded_batches(spark)
-    met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 8 * (n >> half) + 1024), MET)
+    met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 16 * (n >> half) + 65_536), MET)
     met = tables.keep(met, "met")
     members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("entry"), F.col("b").alias("node"))
     leaders = tables.keep(members.groupBy("entry").agg(F.min("node").alias("leader")), "leaders")
