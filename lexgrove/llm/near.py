@@ -126,13 +126,17 @@ def _sets():
     return one
 
 
-#: What met: candidate pairs (a, b), nodes with their leaders (a, b), members (b) of variants (a) that are not held.
+#: What met: nodes (b) that are candidates with a node (a), that have a leader (a), or are members of a variant (a) that is not held.
 PAIR, LED, MEMBER = 0, 1, 2
-MET = "kind int, a bigint, b bigint"
+MET = "kind int, a bigint, b array<bigint>"
 
 
 def _met(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    start = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(b)).astype(np.int32)), pa.array(b))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int32)), pa.array(a[start]), lists], names=["kind", "a", "b"])
 
 
 def _variant_names(variant: np.ndarray, bit: int) -> np.ndarray:
@@ -157,6 +161,26 @@ def _connected(node: np.ndarray, check: np.ndarray, allowed: int) -> Iterator[np
         node, check = node[left], check[left]
 
 
+def _spanning(edges: np.ndarray) -> np.ndarray:
+    """A spanning forest of edges (leader, node), from the least leaders on."""
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+    names, ends = np.unique(edges, return_inverse=True)
+    root, kept = list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, (x, y) in enumerate(ends.reshape(-1, 2).tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return edges[kept]
+
+
 def _meet(design: Design, held_at_most: int):
     """Sorted rows (k, node, check, more) to what met there.
 
@@ -191,11 +215,9 @@ def _meet(design: Design, held_at_most: int):
                 at = at[(differ <= design.allowed) & ((k[order[at]] != k[order[at + lag]]) | (bit == 0))]
                 if len(at):
                     yield _met(PAIR, np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag]))
-        found = np.concatenate(led)
+        found = _spanning(np.concatenate(led))
         if len(found):
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            found = found[np.append(True, (found[1:] != found[:-1]).any(axis=1))]
-            yield _met(LED, found[:, 0].copy(), found[:, 1].copy())
+            yield _met(LED, found[:, 0], found[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held = None, [np.empty(0, np.int64)] * 4
@@ -343,13 +365,14 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     bounded_batches(spark)
     met = entries.repartition(F.shiftright("k", half)).sortWithinPartitions("k").mapInArrow(_meet(design, 16 * (n >> half) + 65_536), MET)
     met = tables.keep(met, "met")
-    members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("entry"), F.col("b").alias("node"))
+    of = lambda kind, a, b: met.where(F.col("kind") == kind).select(F.col("a").alias(a), F.explode("b").alias(b))
+    members = of(MEMBER, "entry", "node")
     leaders = tables.keep(members.groupBy("entry").agg(F.min("node").alias("leader")), "leaders")
-    led = met.where(F.col("kind") == LED).select("a", "b").union(members.join(leaders, "entry").where("node <> leader").select("leader", "node"))
+    led = of(LED, "a", "b").union(members.join(leaders, "entry").where("node <> leader").select("leader", "node"))
     led = tables.keep(led.distinct(), "led")
     least = nodes.select("node", "least")
     few = led.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a")).select(F.explode("a").alias("a"), "b")
-    links = _verified(met.where(F.col("kind") == PAIR).select("a", "b").union(few).distinct(), least, source, tables)
+    links = _verified(of(PAIR, "a", "b").union(few).distinct(), least, source, tables)
 
     roots = tables.keep(components(links, tables).withColumnRenamed("node", "n"), "roots")
     groups = components(led, tables).withColumnRenamed("root", "group")
