@@ -30,38 +30,71 @@ def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -
     return spark.createDataFrame([(*r, n) for n, r in enumerate(full)], ENTRY + ", seq bigint")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a session on one machine has one without naming it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
+    return (base or "/tmp/checkpoints").rstrip("/")
+
+
 class IndexStore:
     """An index that can be changed; ``current`` is the published version."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, preset: Tokenization = DEFAULT):
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
         self.spark, self.preset = spark, preset
-        self.path = (path or f"{base.rstrip('/')}/lexgrove-index-{uuid.uuid4().hex}").rstrip("/")
+        self.path = (path or f"{shared_folder(spark)}/lexgrove-index-{uuid.uuid4().hex}").rstrip("/")
         self._lock, self._current = threading.RLock(), None
         self.version = self._published()
 
     # -- files -------------------------------------------------------------------------------------
     def _fs(self, name: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _published(self) -> int:
-        fs, p = self._fs("CURRENT")
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0]) if fs.exists(p) else -1
+        return int(self.read("CURRENT")) if self.exists("CURRENT") else -1
 
-    def _publish(self, docs: DataFrame) -> SearchIndex:
-        version = self.version + 1
-        docs.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        fs, new = self._fs(f".CURRENT-{version}")
+    def exists(self, name: str) -> bool:
+        fs, p = self._fs(name)
+        return fs.exists(p)
+
+    def numbers(self, name: str, before: str = "") -> list[int]:
+        """The numbers that follow ``before`` in the names within a folder."""
+        fs, p = self._fs(name)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(n[len(before) :]) for n in names if n.startswith(before) and n[len(before) :].isdigit()]
+
+    def read(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+
+    def write(self, name: str, text: str) -> None:
+        """A small file that is there as a whole or not at all."""
+        fs, new = self._fs(f"{name.rpartition('/')[0]}/.new-{uuid.uuid4().hex}".lstrip("/"))
         out = fs.create(new, True)
-        out.write(bytearray(str(version).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        _, name = self._fs("CURRENT")
+        _, last = self._fs(name)
         context = self.spark.sparkContext
         hadoop = context._jvm.org.apache.hadoop.fs
         over = context._gateway.new_array(hadoop.Options.Rename, 1)
         over[0] = hadoop.Options.Rename.OVERWRITE
-        hadoop.FileContext.getFileContext(name.toUri(), context._jsc.hadoopConfiguration()).rename(new, name, over)
+        hadoop.FileContext.getFileContext(last.toUri(), context._jsc.hadoopConfiguration()).rename(new, last, over)
+
+    def delete(self, name: str) -> None:
+        fs, p = self._fs(name)
+        fs.delete(p, True)
+
+    def expire(self, keep: int = 2) -> None:
+        """Remove all but the last versions; readers of removed ones fail."""
+        for version in self.numbers("", "v="):
+            if version <= self.version - keep:
+                self.delete(f"v={version}")
+
+    def _publish(self, docs: DataFrame) -> SearchIndex:
+        version = self.version + 1
+        docs.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        self.write("CURRENT", str(version))
         self.version, self._current = version, None
         return self.current
 

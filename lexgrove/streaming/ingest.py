@@ -1,12 +1,18 @@
 """Progressive publishing of a live feed: when to make what has arrived searchable.
 
-A streaming query lands each micro-batch in a table of pending entries; a controller says when
-they become a new version of the index, by number or by time. Pending entries that a batch bound
-splits are published in arrival order. The source's own limits bound what is pending.
+A streaming query lands each micro-batch as a table in arrival order; a controller says when pending
+entries become a new version of the index, by number or by time. A timer asks it also when nothing
+arrives. Pending entries that a batch bound splits are published in arrival order: a landed row has its
+place, so a slice is a filter. The source's own limits bound what is pending.
+
+What has been published is written down under the number of the version it became, before that version
+is named. A run that starts again on the same store goes on from there: landed entries are pending again,
+and a micro-batch that comes again is known by its number.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import threading
 import time
@@ -106,6 +112,15 @@ class Controller:
             return math.inf
         return max(0.0, self.interval() - (self.now() - self.last_publish))
 
+    def wait(self, pending: int, oldest: float | None) -> float:
+        """Seconds until time may say to publish what is pending since ``oldest``, if nothing else arrives."""
+        if not pending or oldest is None:
+            return math.inf
+        left = self.options.max_staleness - (self.now() - oldest)
+        if self.options.policy is Policy.TIME_DEBOUNCE or (self.options.policy is Policy.ADAPTIVE and pending >= self.options.min_timer_batch):
+            left = min(left, self.delay(pending))
+        return max(0.0, left)
+
     def due(self, pending: int, oldest: float | None) -> bool:
         """Whether time says to publish what is pending since ``oldest``."""
         if not pending or oldest is None:
@@ -122,15 +137,31 @@ class Controller:
             self.cap = max(self.options.batch_size, indexed)
 
 
+@dataclass
+class _Part:
+    """Rows ``first`` to ``size`` of a landed micro-batch are pending since ``at``."""
+
+    number: int
+    first: int
+    size: int
+    at: float
+
+
 class Ingestion:
-    """Feeds a stream (id, search_text[, sort_text, facets]) into a store; one run at a time."""
+    """Feeds a stream (id, search_text[, sort_text, facets]) into a store; one run at a time.
+
+    The landed tables, the checkpoint and what has been published lie in the store's folder, so that a
+    new object on the same store goes on where a run has ended, in whatever way.
+    """
 
     def __init__(self, store: IndexStore, options: Options | None = None, on_published: Callable[[Published], None] | None = None, on_progress: Callable[[Progress], None] | None = None, now: Callable[[], float] = time.monotonic):
         self.store, self.options, self.now = store, options or Options(), now
         self.on_published, self.on_progress = on_published, on_progress
         self._query: StreamingQuery | None = None
         self._lock = threading.RLock()
-        self._started = False
+        self._changed = threading.Condition(self._lock)
+        self._started = self._closed = False
+        self._failure: BaseException | None = None
 
     def start(self, stream: DataFrame, checkpoint: str | None = None, available_now: bool = False, trigger: str | None = None) -> StreamingQuery:
         """Begin; by default micro-batches follow each other as fast as they can."""
@@ -141,57 +172,130 @@ class Ingestion:
         self.controller = Controller(self.options, self.now)
         self.accepted = self.published = self.publishes = self.pending = 0
         self.rebuild_seconds = self.worst = 0.0
-        self._parts: list[tuple[str, int, float]] = []  # landed table, entries, time of arrival
+        self._parts: list[_Part] = []
+        self._last = -1  # number of the last micro-batch that has landed
         self._base = f"{self.store.path}/pending"
+        self._recover()
         writer = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint or f"{self._base}-checkpoint")
         if available_now:
             writer = writer.trigger(availableNow=True)
         elif trigger:
             writer = writer.trigger(processingTime=trigger)
         self._query = writer.start()
+        self._timer = threading.Thread(target=self._watch, name="lexgrove-ingestion-timer", daemon=True)
+        self._timer.start()
         return self._query
 
+    # -- what has landed ---------------------------------------------------------------------------
+    def _path(self, number: int) -> str:
+        return f"{self._base}/batch={number}"
+
+    def _recover(self) -> None:
+        """Pending entries of earlier runs: what has landed and is not in the published version."""
+        done = {"batch": 0, "row": 0, "published": 0, "publishes": 0}
+        said = [v for v in self.store.numbers("pending-progress") if v <= self.store.version]
+        if said:
+            done = json.loads(self.store.read(f"pending-progress/{max(said)}"))
+        self.published, self.publishes = done["published"], done["publishes"]
+        for number in sorted(n for n in self.store.numbers("pending", "batch=") if self.store.exists(f"pending/batch={n}/_SUCCESS")):
+            self._last = max(self._last, number)
+            first = done["row"] if number == done["batch"] else 0
+            if number >= done["batch"]:
+                size = self._sizes(number)[1]
+                if size > first:
+                    self._parts.append(_Part(number, first, size, self.now()))
+                    self.pending += size - first
+        self._last = max(self._last, done["batch"] - 1)
+        self.accepted = self.published + self.pending
+
+    def _sizes(self, number: int) -> tuple[list[tuple[int, int]], int]:
+        """(task, rows of the tasks before it) of a landed table, and its rows."""
+        before, total = [], 0
+        for r in self.store.spark.read.parquet(self._path(number)).groupBy("_task").agg(F.count("*").alias("n")).orderBy("_task").collect():  # a row for each task
+            before.append((r["_task"], total))
+            total += r["n"]
+        return before, total
+
+    def _land(self, batch: DataFrame, number: int) -> int:
+        """Write a micro-batch in arrival order; a row's place is its task and its place there."""
+        if "seq" not in batch.columns:
+            batch = batch.withColumn("seq", F.monotonically_increasing_id())
+        placed = batch.repartitionByRange("seq", "id").sortWithinPartitions("seq", "id").withColumn("_at", F.monotonically_increasing_id())
+        placed.withColumns({"_task": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit(2**33 - 1))}).drop("_at").write.mode("overwrite").parquet(self._path(number))
+        return self._sizes(number)[1]
+
+    def _slice(self, part: _Part, end: int) -> DataFrame:
+        """Rows from the part's first one to ``end``, with their place in the whole feed as ``seq``."""
+        spark = self.store.spark
+        before = F.broadcast(spark.createDataFrame(self._sizes(part.number)[0], "_task bigint, _before bigint"))  # a row for each task
+        rows = spark.read.parquet(self._path(part.number)).join(before, "_task").withColumn("_place", F.col("_before") + F.col("_nth"))
+        rows = rows.where(F.col("_place").between(part.first, end - 1))
+        return rows.withColumn("seq", F.lit(part.number).cast("bigint") * 2**40 + F.col("_place")).drop("_task", "_nth", "_before", "_place")
+
+    # -- when to publish ---------------------------------------------------------------------------
+    def _oldest(self) -> float | None:
+        return self._parts[0].at if self._parts else None
+
     def _batch(self, batch: DataFrame, number: int) -> None:
         with self._lock:
-            path = f"{self._base}/{number}"
-            if "seq" not in batch.columns:
-                batch = batch.withColumn("seq", F.monotonically_increasing_id())
-            batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(path)
-            n = self.store.spark.read.parquet(path).count()
-            self.accepted += n
-            if n:
-                self._parts.append((path, n, self.now()))
-                self.pending += n
+            if self._failure:
+                raise self._failure
+            if number > self._last:
+                n = self._land(batch, number)
+                self._last = number
+                self.accepted += n
+                if n:
+                    self._parts.append(_Part(number, 0, n, self.now()))
+                    self.pending += n
             bound = self.controller.bound()
             while bound is not None and self.pending >= bound:
-                self._publish(bound if self.options.policy is not Policy.ADAPTIVE else max(bound, 1))
+                self._publish(bound)
                 bound = self.controller.bound()
-            if self.controller.due(self.pending, self._parts[0][2] if self._parts else None):
+            if self.controller.due(self.pending, self._oldest()):
                 self._publish(self.pending)
+            self._changed.notify_all()
             if self.on_progress:
                 self.on_progress(Progress(self.accepted, self.published, self.publishes, self.pending))
 
-    def _take(self, n: int) -> DataFrame:
-        """The first ``n`` pending entries by arrival; whole landed tables, and the first part of one."""
-        spark, out, rest = self.store.spark, None, n
-        while rest:
-            path, size, at = self._parts.pop(0)
-            self.worst = max(self.worst, self.now() - at)
-            part = spark.read.parquet(path)
-            if size > rest:
-                ahead = part.orderBy("_batch", "seq").limit(rest)
-                left = f"{path}-{rest}"
-                order = part.orderBy("_batch", "seq").offset(rest)
-                order.write.mode("overwrite").parquet(left)
-                self._parts.insert(0, (left, size - rest, at))
-                part, size = ahead, rest
-            out = part if out is None else out.unionByName(part)
-            rest -= size
-        return out.withColumn("seq", F.col("_batch") * 2**40 + F.col("seq")).drop("_batch")
+    def _watch(self) -> None:
+        """Publish what time makes due while nothing arrives."""
+        with self._lock:
+            while not self._closed:
+                left = self.controller.wait(self.pending, self._oldest())
+                # the clock may be another than the machine's, so it is asked again from time to time
+                self._changed.wait(None if left == math.inf else min(left, 0.5))
+                try:
+                    if not self._closed and self.controller.due(self.pending, self._oldest()):
+                        self._publish(self.pending)
+                except Exception as e:
+                    self._failure = e  # the next micro-batch, or the end, raises it
+                    return
 
     def _publish(self, n: int) -> None:
-        began = self.now()
-        self.store.upsert(self._take(n))
+        """Make the first ``n`` pending entries searchable."""
+        began, rest, slices, taken = self.now(), n, [], list(self._parts)
+        while rest:
+            part = taken[0]
+            m = min(rest, part.size - part.first)
+            slices.append(self._slice(part, part.first + m))
+            self.worst = max(self.worst, began - part.at)
+            rest -= m
+            taken[0] = _Part(part.number, part.first + m, part.size, part.at)
+            if taken[0].first == part.size:
+                del taken[0]
+        at = (taken[0].number, taken[0].first) if taken else (self._last + 1, 0)
+        said = {"batch": at[0], "row": at[1], "published": self.published + n, "publishes": self.publishes + 1}
+        self.store.write(f"pending-progress/{self.store.version + 1}", json.dumps(said))
+        out = slices[0]
+        for s in slices[1:]:
+            out = out.unionByName(s)
+        self.store.upsert(out)
+        for old in {p.number for p in self._parts} - {p.number for p in taken}:
+            self.store.delete(f"pending/batch={old}")
+        for old in self.store.numbers("pending-progress"):
+            if old < self.store.version:
+                self.store.delete(f"pending-progress/{old}")
+        self._parts = taken
         took = self.now() - began
         self.pending -= n
         self.published += n
@@ -203,6 +307,7 @@ class Ingestion:
         if self.on_published:
             self.on_published(event)
 
+    # -- the end -----------------------------------------------------------------------------------
     def finish(self, timeout: float | None = None) -> Result:
         """Wait for the end of a bounded stream, publish the rest, and report."""
         self._query.awaitTermination(timeout)
@@ -215,6 +320,10 @@ class Ingestion:
 
     def _close(self, stopped: bool, flush: bool) -> Result:
         with self._lock:
+            self._closed = True
+            self._changed.notify_all()
+            if self._failure:
+                raise self._failure
             if flush and self.pending:
                 self._publish(self.pending)
             return Result(self.accepted, self.published, self.publishes, self.store.entry_count(), self.rebuild_seconds, self.worst, stopped)

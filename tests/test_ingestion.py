@@ -92,3 +92,67 @@ def test_growing_cap_plan(spark, n, batch, publishes):
     assert seq.agg(F.count_distinct("s")).first()[0] == publishes
     fixed = spark.range(1, n + 1).select(publish_plan(F.col("id"), Policy.ADAPTIVE, batch, False).alias("s"))
     assert fixed.agg(F.count_distinct("s")).first()[0] == n // batch
+
+
+def waiting(condition, seconds=60):
+    end = time.time() + seconds
+    while not condition() and time.time() < end:
+        time.sleep(0.1)
+    return condition()
+
+
+@pytest.mark.parametrize("options", [Options(Policy.TIME_DEBOUNCE, min_interval=2.0, max_staleness=1000), Options(Policy.ADAPTIVE, batch_size=1000, max_staleness=2.0), Options(Policy.FIXED_BATCH, batch_size=1000, max_staleness=2.0), Options(Policy.ADAPTIVE, batch_size=1000, min_interval=2.0, min_timer_batch=5, max_staleness=1000)])
+def test_a_quiet_feed_is_published_by_time(spark, tmp_path, options):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    ingestion = Ingestion(store, options)
+    ingestion.start(feed(spark, tmp_path / "feed", 20, files=1))
+    assert waiting(lambda: ingestion.accepted == 20) and waiting(lambda: ingestion.published == 20, 30)
+    assert store.entry_count() == 20  # no more entries came, and nobody stopped it
+    assert ingestion.stop().published == 20
+
+
+def test_few_entries_wait_for_staleness(spark, tmp_path):
+    ingestion = Ingestion(IndexStore(spark, str(tmp_path / "index")), Options(Policy.ADAPTIVE, batch_size=1000, min_interval=0.1, min_timer_batch=200, max_staleness=1000))
+    ingestion.start(feed(spark, tmp_path / "feed", 20, files=1))
+    assert waiting(lambda: ingestion.accepted == 20)
+    time.sleep(2)
+    assert ingestion.published == 0 and ingestion.stop().published == 20
+
+
+def test_a_run_goes_on_where_one_was_lost(spark, tmp_path):
+    """Landed entries that were not published are pending again; nothing is lost or counted twice."""
+    store = IndexStore(spark, str(tmp_path / "index"))
+    first = Ingestion(store, Options(Policy.FIXED_BATCH, batch_size=12, max_staleness=1000, flush_on_stop=False))
+    stream = feed(spark, tmp_path / "feed", 30, files=1)
+    first.start(stream)
+    assert waiting(lambda: first.accepted == 30) and waiting(lambda: first.published == 24)
+    first.stop()  # six are left out, and the checkpoint has moved on
+
+    again = IndexStore(spark, str(tmp_path / "index"))
+    assert again.entry_count() == 24
+    spark.createDataFrame([(100 + i, f"late{i}", {"size": i}, 100 + i) for i in range(5)], "id bigint, search_text string, facets map<string,bigint>, seq bigint").write.mode("append").parquet(str(tmp_path / "feed"))
+    events = []
+    second = Ingestion(again, Options(Policy.FIXED_BATCH, batch_size=12, max_staleness=1000), on_published=events.append)
+    second.start(stream, available_now=True)
+    result = second.finish()
+    assert result.accepted == result.published == 35 == again.entry_count()
+    assert sum(e.entries for e in events) == 11 and events[0].sequence == 2
+    assert {r.id for r in again.current.docs.select("id").collect()} == {*range(30), *range(100, 105)}
+
+
+def test_a_repeated_batch_is_taken_once(spark, tmp_path):
+    ingestion = Ingestion(IndexStore(spark, str(tmp_path / "index")), Options(Policy.FIXED_BATCH, batch_size=1000, max_staleness=1000))
+    ingestion.start(feed(spark, tmp_path / "feed", 10, files=1), available_now=True)
+    ingestion._query.awaitTermination()
+    batch = spark.createDataFrame([(1, "a", {"size": 1}, 1)], "id bigint, search_text string, facets map<string,bigint>, seq bigint")
+    ingestion._batch(batch, 0)
+    assert ingestion.accepted == ingestion.pending == 10
+    assert ingestion.finish().published == 10
+
+
+def test_versions_expire(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    for i in range(4):
+        store.add_entry(i, f"word{i}")
+    store.expire(2)
+    assert sorted(store.numbers("", "v=")) == [2, 3] and store.entry_count() == 4 and IndexStore(spark, store.path).entry_count() == 4
