@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.natural_sort import natural_key
-from lexgrove.functions.text import DEFAULT, FILE_MASK, Tokenization, all_tokens, name_tokens, tokens, words_by_length
+from lexgrove.functions.text import DEFAULT, FILE_MASK, Tokenization, all_tokens, is_separator, name_tokens, tokens, words_by_length
 from lexgrove.operators import facets as fc
 from lexgrove.operators import postings as inverted
-from lexgrove.operators.index import NATURAL, SNAPSHOT, SearchIndex
+from lexgrove.operators.index import NATURAL, SNAPSHOT, SearchIndex, ranked
 from lexgrove.operators.matching import EXACT, REGEX, WITHIN
-from lexgrove.sources.store import IndexStore
-from lexgrove.streaming.ingest import Policy, publish_plan
+from lexgrove.sources.store import IndexStore, Registry
+from lexgrove.streaming.ingest import Ingestion, Options, Policy, publish_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -219,10 +219,8 @@ _add("ingest_stream_final", ingest_stream_final, "SELECT event_id AS id FROM eve
 
 def _plan(policy: Policy, batch: int, growing: bool = True) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = F.col("event_id") - F.col("first") + 1  # events are numbered without gaps
-        events = _table(spark, sf_dir, "events")
-        first = events.agg(F.min("event_id").alias("first"))
-        return events.join(F.broadcast(first)).select(publish_plan(n, policy, batch, growing).alias("sequence")).groupBy("sequence").agg(F.count("*").alias("entries"))
+        numbered = ranked(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), ["id"])
+        return numbered.select(publish_plan(F.col("rank"), policy, batch, growing).alias("sequence")).groupBy("sequence").agg(F.count("*").alias("entries"))
 
     return query
 
@@ -234,6 +232,83 @@ _add("ingest_plan_adaptive_growth", _plan(Policy.ADAPTIVE, 200), f"SELECT CAST(C
 _add("ingest_plan_adaptive_fixed", _plan(Policy.ADAPTIVE, 400, False), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
 
 
+def _run(table: str, id: str, text: str, options: Options) -> Query:
+    """The engine itself over a table as a stream: each publish with its entries and what is then indexed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stream = spark.readStream.schema(_table(spark, sf_dir, table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+        store, events = IndexStore(spark), []
+        ingestion = Ingestion(store, options, on_published=events.append)
+        ingestion.start(stream.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("search_text"), F.col(id).cast("bigint").alias("seq")), available_now=True)
+        ingestion.finish()
+        said = spark.createDataFrame([(e.sequence, e.entries, e.indexed) for e in events], "sequence bigint, entries bigint, indexed bigint")
+        # what is found is read from the published version
+        return said.crossJoin(store.current.docs.agg(F.count("*").alias("found"), F.min("id").alias("first"), F.max("id").alias("last")))  # a row for each publish, and one
+
+    return query
+
+
+def _run_sql(table: str, id: str, sequence: str) -> str:
+    return f"""WITH n AS (SELECT row_number() OVER (ORDER BY {id}) AS n FROM {table}), p AS (SELECT {sequence} AS sequence, count(*) AS entries FROM n GROUP BY 1)
+    SELECT sequence, entries, CAST(sum(entries) OVER (ORDER BY sequence) AS BIGINT) AS indexed, (SELECT count(*) FROM {table}) AS found, (SELECT min({id}) FROM {table}) AS first, (SELECT max({id}) FROM {table}) AS last FROM p"""
+
+
+_LATE = {"max_staleness": 1e6}
+for _name, _of, _how, _sequence in (
+    ("per_entry", ("region", "r_regionkey", "r_name"), Options(Policy.PER_ENTRY, **_LATE), "n - 1"),
+    ("fixed", ("supplier", "s_suppkey", "s_name"), Options(Policy.FIXED_BATCH, batch_size=30, **_LATE), "(n - 1) // 30"),
+    ("adaptive_growth", ("supplier", "s_suppkey", "s_name"), Options(batch_size=5, min_interval=1e6, **_LATE), "CAST(CASE WHEN n <= 5 THEN 0 ELSE ceil(log2(n / 5.0)) END AS BIGINT)"),
+    ("adaptive_fixed", ("supplier", "s_suppkey", "s_name"), Options(batch_size=30, growing_cap=False, min_interval=1e6, **_LATE), "(n - 1) // 30"),
+    ("time_debounce", ("nation", "n_nationkey", "n_name"), Options(Policy.TIME_DEBOUNCE, min_interval=1e6, **_LATE), "0"),
+    ("staleness", ("nation", "n_nationkey", "n_name"), Options(Policy.FIXED_BATCH, batch_size=10**6, max_staleness=1e-6), "0"),
+):
+    _add(f"ingest_run_{_name}", _run(*_of, _how), _run_sql(_of[0], _of[1], _sequence))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> IndexStore:
+    store = IndexStore(spark)
+    store.rebuild(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("search_text"), F.col("n_nationkey").cast("bigint").alias("seq")))
+    return store
+
+
+def entry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single entries added, replaced and removed."""
+    store = _nations(spark, sf_dir)
+    store.add_entry(100, "ADDED LAND")
+    said = [store.refresh_entry(3, "OTHER LAND"), store.refresh_entry(101, "NEW LAND"), store.remove_entry(5), store.remove_entry(500), store.contains(3), store.contains(5)]
+    return store.current.docs.select("id", "search_text").withColumns({n: F.lit(x) for n, x in zip(("replaced", "refreshed_new", "removed", "removed_none", "holds_3", "holds_5"), said)})
+
+
+_add("entry_changes", entry_changes, """SELECT *, true AS replaced, false AS refreshed_new, true AS removed, false AS removed_none, true AS holds_3, false AS holds_5
+    FROM (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'OTHER LAND' ELSE n_name END AS search_text FROM nation WHERE n_nationkey <> 5 UNION ALL VALUES (100, 'ADDED LAND'), (101, 'NEW LAND'))""")
+
+
+def clear_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries before and after everything is removed, and of a transient index beside it."""
+    store = _nations(spark, sf_dir)
+    before, found = store.entry_count(), store.current.count("united", WITHIN)
+    store.clear()
+    return spark.createDataFrame([(before, found, store.entry_count(), store.current.count("*"))], "entries bigint, found bigint, cleared bigint, left_over bigint")
+
+
+_add("clear_and_count", clear_and_count, "SELECT count(*) AS entries, count(*) FILTER (WHERE contains(lower(n_name), 'united')) AS found, CAST(0 AS BIGINT) AS cleared, CAST(0 AS BIGINT) AS left_over FROM nation")
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named indexes, one of them with initial entries, and a transient one: changes of one are not seen in the others."""
+    known = Registry(spark)
+    first, second, third = known.register("first"), known.register("second", initial={1: "one", 2: "two"}), known.transient()
+    first.upsert(_nations(spark, sf_dir).current.docs.select("id", "search_text"))
+    second.remove_entry(1)
+    third.add_entry(7, "seven")
+    rows = [(n, known[n].entry_count()) for n in ("first", "second")] + [("transient", third.entry_count())]
+    return spark.createDataFrame(rows, "name string, entries bigint")
+
+
+_add("registry", registry, "SELECT 'first' AS name, count(*) AS entries FROM nation UNION ALL VALUES ('second', 1), ('transient', 1)")
+_add("separators", lambda s, d: _table(s, d, "part").select("p_partkey", F.explode(F.split("p_name", "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n")).withColumns({"by_default": is_separator(F.col("letter")), "in_masks": is_separator(F.col("letter"), FILE_MASK)}), f"SELECT letter, count(*) AS n, regexp_full_match(letter, '{SEPARATORS}') AS by_default, false AS in_masks FROM (SELECT unnest(string_split(p_name, '')) AS letter FROM part) GROUP BY letter")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
