@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrove.sources.store import shared_folder
+
 
 def vocabulary(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary file: in ``folder``, in LEXGROVE_TOKENIZERS, or where its package has it."""
@@ -109,14 +111,8 @@ def trigram_counts(raw: np.ndarray, bits: int) -> np.ndarray:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, below ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine), a local folder is set for it.
-    """
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir("/tmp/checkpoints/lexgrove")
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; a cluster has to name that."""
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/lexgrove-{name}-{uuid.uuid4().hex}"
 
 
