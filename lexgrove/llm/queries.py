@@ -119,32 +119,35 @@ FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 
 def _urls_sql() -> str:
     """The rules, the two models, the threshold and the verdicts."""
-    s, s2 = urls.SIZE, urls.SIZE**2
+    order = urls.ORDER
     cases = {"rule": "", "verdict": ""}
     for r in sorted(URL_RULES, key=lambda r: (-len(r.name), r.name)):
         fits = f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN "
         cases["rule"] += f"{fits}'{r.name}' "
         cases["verdict"] += f"{fits}'{r.verdict}' "
-    pattern, folded = r"(?s)^.*?://([^/?#]*)([^?#]*)", f"translate(coalesce(url, ''), '{urls.UPPER}123456789', '{urls.LOWER}000000000')"
-    code = f"CASE WHEN strpos('{urls.ALPHABET}', c) > 0 THEN strpos('{urls.ALPHABET}', c) ELSE {urls.OTHER} END"
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
-    def p(k: str) -> str:
-        one = f"((coalesce(m1.{k}, 0) + 1.0) / (tot.{k} + {s}))"
-        two = f"(CASE WHEN coalesce(c2.a + c2.r, 0) >= {urls.SEEN} THEN (coalesce(m2.{k}, 0) + {urls.PRIOR} * {one}) / (coalesce(c2.{k}, 0) + {urls.PRIOR}) ELSE {one} END)"
-        return f"(CASE WHEN coalesce(c3.a + c3.r, 0) >= {urls.SEEN} THEN (coalesce(m3.{k}, 0) + {urls.PRIOR} * {two}) / (coalesce(c3.{k}, 0) + {urls.PRIOR}) ELSE {two} END)"
+    def p(c: str) -> str:
+        out = f"((coalesce(m1.{c}, 0) + 1.0) / (tot.{c} + {urls.SYMBOLS}))"
+        for k in range(2, order + 1):
+            out = f"(CASE WHEN coalesce(c{k}.a + c{k}.r, 0) >= {urls.SEEN} THEN (coalesce(m{k}.{c}, 0) + {urls.PRIOR} * {out}) / (coalesce(c{k}.{c}, 0) + {urls.PRIOR}) ELSE {out} END)"
+        return out
 
-    def model(name: str, key: str) -> str:
-        return f"{name} AS (SELECT {key} AS k, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM n GROUP BY 1)"
+    def model(name: str, start: int, length: int) -> str:
+        return f"{name} AS (SELECT substr(g, {start}, {length}) AS k, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM n GROUP BY 1)"
 
+    whole = [model(f"m{k}", order + 1 - k, k) for k in range(1, order + 1)]
+    before = [model(f"c{k}", order + 1 - k, k - 1) for k in range(2, order + 1)]
+    joins = " ".join(f"LEFT JOIN m{k} ON m{k}.k = substr(w.g, {order + 1 - k}, {k})" for k in range(1, order + 1)) + " " + " ".join(f"LEFT JOIN c{k} ON c{k}.k = substr(w.g, {order + 1 - k}, {k - 1})" for k in range(2, order + 1))
     return f"""
 WITH h AS (SELECT row_number() OVER () AS id, page_id, url, translate(regexp_extract(coalesce(url, ''), '{pattern}', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(coalesce(url, ''), '{pattern}', 2) AS path FROM pages),
 u AS (SELECT *, CASE {cases["rule"]}END AS rule, CASE {cases["verdict"]}END AS given, CAST('0x' || substr(md5(coalesce(url, '')), 1, 4) AS BIGINT) % 5 = 0 AS held FROM h),
-q AS (SELECT id, url, given, held, [0, 0] || list_transform(list_filter(string_split({folded}, ''), lambda c: c <> ''), lambda c: CAST({code} AS INTEGER)) || [0] AS z FROM u),
-e AS (SELECT id, url, given, held, unnest(list_transform(range(1, len(z) - 1), lambda i: (z[i] * {s} + z[i + 1]) * {s} + z[i + 2])) AS g FROM q),
+q AS (SELECT id, url, given, held, repeat(chr(1), {order - 1}) || coalesce(url, '') || chr(1) AS z FROM u),
+e AS (SELECT id, url, given, held, unnest(list_transform(range(1, length(z) - {order - 2}), lambda i: substr(z, i, {order}))) AS g FROM q),
 n AS (SELECT g, count(*) FILTER (WHERE given = 'allow') AS a, count(*) FILTER (WHERE given = 'block') AS r FROM e WHERE given IS NOT NULL AND url IS NOT NULL AND NOT held GROUP BY g),
-{model("m3", "g")}, {model("m2", f"g % {s2}")}, {model("m1", f"g % {s}")}, {model("c3", f"g // {s}")}, {model("c2", f"(g // {s}) % {s}")},
+{", ".join(whole + before)},
 tot AS (SELECT CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM n),
-v AS (SELECT w.g, CAST(round({urls.PARTS} * (ln({p("a")}) - ln({p("r")}))) AS BIGINT) AS v FROM (SELECT DISTINCT g FROM e) w CROSS JOIN tot LEFT JOIN m3 ON m3.k = w.g LEFT JOIN m2 ON m2.k = w.g % {s2} LEFT JOIN m1 ON m1.k = w.g % {s} LEFT JOIN c3 ON c3.k = w.g // {s} LEFT JOIN c2 ON c2.k = (w.g // {s}) % {s}),
+v AS (SELECT w.g, CAST(round({urls.PARTS} * (ln({p("a")}) - ln({p("r")}))) AS BIGINT) AS v FROM (SELECT DISTINCT g FROM e) w CROSS JOIN tot {joins}),
 t AS (SELECT e.id, CAST(sum(v.v) AS BIGINT) AS total, count(*) AS n FROM e JOIN v ON v.g = e.g GROUP BY e.id),
 b AS (SELECT CAST(floor(total / (n * {urls.BIN})) AS BIGINT) AS bin, count(*) FILTER (WHERE given = 'allow') AS a, count(*) FILTER (WHERE given = 'block') AS r FROM t JOIN u ON u.id = t.id WHERE given IS NOT NULL AND url IS NOT NULL AND held GROUP BY 1),
 o AS (SELECT bin, coalesce(sum(r) OVER x, 0) / nullif(sum(r) OVER (), 0) - coalesce(sum(a) OVER x, 0) / nullif(sum(a) OVER (), 0) AS apart FROM b WINDOW x AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -2,32 +2,35 @@
 
 Two variable-order Markov models over characters are counted, one on the urls that the rules allow
 and one on those they block. A character's probability is taken from the longest context of up to
-two characters that was seen often enough in either class, smoothed by that of the next shorter
-context. The mean over a url's characters of the difference of log-likelihoods is compared with a
-threshold, calibrated on labelled urls that the counts leave out.
-
-The alphabet is folded to ``SIZE`` symbols, so the model has ``SIZE ** 3`` numbers whatever the
-input; they are gathered once and enter the scoring as one constant array. Scoring is a projection
-of the pages: no shuffle, no join, and a url that many pages share is no hot key.
-
-Cases: a null url, or one without ``://``, has an empty host and path; without labelled urls of
-both classes everything undecided is allowed; equal rows give equal results; extra columns pass
-through, and columns that have the names of results are replaced.
+four characters that was seen often enough in either class, smoothed by that of the next shorter
+context, and so on. The mean over a url's characters of the difference of log-likelihoods is compared
+with a threshold, calibrated on labelled urls that the counts leave out.
+
+Characters are taken as they are. The counts are a table of strings of five characters, which grows with
+the labelled urls; scores are sums over a join with it. Equal urls are one row with a weight until their
+verdict is known, so a url that many pages share is no hot key of the counts; a string that most urls
+have is split by the join.
+
+Cases: a null url, or one without ``://``, has an empty host and path; a null url is scored as an empty one
+and never learned from; a url of any length is read whole; a mean at exactly the threshold is allowed;
+without labelled urls of both classes everything undecided is allowed; equal rows give equal results; an
+empty table gives none; extra columns pass through, and columns that have the names of results are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lexgrove.llm.common import Tables
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ALPHABET = LOWER + "0./-_?=&#%:@"
-#: Symbols: 0 is the border of a url, the last one is any other character.
-OTHER = len(ALPHABET) + 1
-SIZE = OTHER + 1
+#: The border of a url, and characters of a string: a context and what follows it.
+BORDER, ORDER = "\x01", 5
+#: Characters that are thought possible where nothing is known.
+SYMBOLS = 256
 #: Labelled characters after a context from which the context is used.
 SEEN = 4
 #: Weight of the shorter context's distribution, in characters.
@@ -69,49 +72,53 @@ def apply_rules(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame
     return out.withColumns({"rule": rule, "verdict": verdict})
 
 
-def trigrams(url: Column) -> Column:
-    """Numbers of a url's trigrams: for each character, and the end, its two before and itself."""
-    folded = F.translate(F.coalesce(url, F.lit("")), UPPER + "123456789", LOWER + "000000000")
-    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c)).otherwise(OTHER))
-    zero = F.array(F.lit(0))
-    pairs = F.zip_with(F.concat(zero, zero, codes), F.concat(zero, codes, zero), lambda a, b: a * SIZE + b)
-    return F.filter(F.zip_with(pairs, F.concat(codes, zero), lambda p, c: p * SIZE + c), lambda g: g.isNotNull())
+def grams(url: Column) -> Column:
+    """For each character of a url, and its end: the four before and itself."""
+    text = F.coalesce(url, F.lit(""))
+    padded = F.concat(F.lit(BORDER * (ORDER - 1)), text, F.lit(BORDER))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood differences by trigram, and the least mean of them that is allowed, in PARTS."""
+    """Characters counted by class (gram, a, r), or none without both; and the least mean that is allowed, in PARTS."""
 
-    ratios: tuple[int, ...] | None
+    counts: DataFrame | None
     threshold: int
 
 
-def _ratios(grams: DataFrame, spark: SparkSession) -> tuple[int, ...]:
-    """From counted trigrams (accepted, g, n) to one number for each possible trigram."""
-    n = F.col("n")
-    counts = grams.groupBy("g").agg(*(F.sum(F.when(F.col("accepted") == v, n).otherwise(0)).cast("double").alias(f"{k}3") for k, v in (("a", True), ("r", False))))
-    whole = spark.range(SIZE**3).withColumnRenamed("id", "g").join(counts, "g", "left").na.fill(0.0)
-    whole = whole.withColumns({"bc": F.col("g") % SIZE**2, "ab": F.floor(F.col("g") / SIZE), "c": F.col("g") % SIZE})
-    pairs = whole.groupBy("bc").agg(F.sum("a3").alias("a2"), F.sum("r3").alias("r2"))
-    singles = whole.groupBy("c").agg(F.sum("a3").alias("a1"), F.sum("r3").alias("r1"))
-    after_two = whole.groupBy("ab").agg(F.sum("a3").alias("an3"), F.sum("r3").alias("rn3"))
-    after_one = pairs.groupBy(F.floor(F.col("bc") / SIZE).alias("b")).agg(F.sum("a2").alias("an2"), F.sum("r2").alias("rn2"))
-    total = singles.agg(F.sum("a1").alias("an1"), F.sum("r1").alias("rn1")).withColumn("one", F.lit(1))
-    one = singles.withColumn("one", F.lit(1)).join(total, "one").drop("one")
-    whole = whole.join(pairs, "bc").join(one, "c").join(after_two, "ab").withColumn("b", F.floor(F.col("bc") / SIZE)).join(after_one, "b")
-    p: dict[str, Column] = {}
-    for k in "ar":
-        p[k] = (F.col(f"{k}1") + 1) / (F.col(f"{k}n1") + SIZE)
-        for order in "23":
-            seen = F.col(f"an{order}") + F.col(f"rn{order}") >= SEEN
-            p[k] = F.when(seen, (F.col(f"{k}{order}") + PRIOR * p[k]) / (F.col(f"{k}n{order}") + PRIOR)).otherwise(p[k])
-    row = whole.select("g", F.round(PARTS * (F.log(p["a"]) - F.log(p["r"]))).cast("bigint").alias("v")).agg(F.array_sort(F.collect_list(F.struct("g", "v"))).alias("x")).select("x.v").first()
-    return tuple(row[0])
-
-
-def _sum(grams: Column, ratios: tuple[int, ...]) -> Column:
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast(T.ArrayType(T.LongType()))
-    return F.aggregate(grams, F.lit(0).cast("bigint"), lambda s, g: s + F.element_at(table, g + 1))
+def _values(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, v): the difference of log-likelihoods of each wanted string's last character, in PARTS."""
+    both = [F.sum(c).cast("double").alias(c) for c in "ar"]
+    total = counts.agg(*both).first()
+    out, p = wanted, {}
+    for k in range(1, ORDER + 1):
+        whole, before = F.substring("gram", ORDER + 1 - k, k), F.substring("gram", ORDER + 1 - k, k - 1)
+        of = counts.groupBy(whole.alias(f"w{k}")).agg(*both).withColumnsRenamed({c: f"{c}{k}" for c in "ar"})
+        out = out.withColumn(f"w{k}", whole).join(of, f"w{k}", "left").drop(f"w{k}")
+        if k > 1:
+            after = counts.groupBy(before.alias(f"b{k}")).agg(*both).withColumnsRenamed({c: f"{c}n{k}" for c in "ar"})
+            out = out.withColumn(f"b{k}", before).join(after, f"b{k}", "left").drop(f"b{k}")
+    out = out.na.fill(0.0)
+    for c in "ar":
+        p[c] = (F.col(f"{c}1") + 1) / (total[c] + SYMBOLS)
+        for k in range(2, ORDER + 1):
+            seen = F.col(f"an{k}") + F.col(f"rn{k}") >= SEEN
+            p[c] = F.when(seen, (F.col(f"{c}{k}") + PRIOR * p[c]) / (F.col(f"{c}n{k}") + PRIOR)).otherwise(p[c])
+    return out.select("gram", F.round(PARTS * (F.log(p["a"]) - F.log(p["r"]))).cast("bigint").alias("v"))
+
+
+def _scores(distinct: DataFrame, counts: DataFrame, tables: Tables) -> DataFrame:
+    """(u, total, n) of urls (u, url): sum of the differences, and characters."""
+    places = distinct.select("u", F.explode(grams(F.col("url"))).alias("gram"))
+    values = tables.keep(_values(tables.keep(places.select("gram").distinct(), "grams"), counts), "values")
+    return tables.keep(places.join(values, "gram").groupBy("u").agg(F.sum("v").alias("total"), F.count("*").alias("n")), "scores")
+
+
+def _distinct(df: DataFrame, url: str, tables: Tables) -> DataFrame:
+    """Urls with a number, the rows that have each, and their verdict, which is the same for all of them."""
+    found = df.groupBy(F.col(f"`{url}`").alias("url")).agg(F.count("*").alias("m"), F.min("verdict").alias("given"))
+    return tables.keep(found.withColumn("u", F.monotonically_increasing_id()), "urls")
 
 
 def _left_out(url: Column) -> Column:
@@ -119,32 +126,47 @@ def _left_out(url: Column) -> Column:
     return F.conv(F.substring(F.md5(url.cast("binary")), 1, 4), 16, 10).cast("bigint") % 5 == 0
 
 
+def _train(distinct: DataFrame, tables: Tables) -> tuple[Model, DataFrame | None]:
+    """The model, and the scores of all urls by it."""
+    own = distinct.where(F.col("given").isin("allow", "block") & F.col("url").isNotNull()).withColumn("out", _left_out(F.col("url")))
+    if own.select("given").distinct().count() < 2:
+        return Model(None, 0), None
+    seen = own.where("NOT out").select("m", "given", F.explode(grams(F.col("url"))).alias("gram"))
+    counts = tables.keep(seen.groupBy("gram").agg(*(F.sum(F.when(F.col("given") == v, F.col("m")).otherwise(0)).alias(c) for c, v in (("a", "allow"), ("r", "block")))), "counts")
+    if counts.isEmpty():
+        return Model(None, 0), None
+    scores = _scores(distinct, counts, tables)
+    bins = own.where("out").join(scores, "u").withColumn("bin", F.floor(F.col("total") / (F.col("n") * BIN)))
+    bins = bins.groupBy("bin").agg(*(F.sum(F.when(F.col("given") == v, F.col("m")).otherwise(0)).alias(c) for c, v in (("a", "allow"), ("r", "block"))))
+    below = "coalesce(sum({0}) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / nullif(sum({0}) OVER (), 0)"
+    apart = bins.selectExpr("bin", f"{below.format('r')} - {below.format('a')} AS apart")
+    best = apart.where("apart IS NOT NULL").orderBy(F.desc("apart"), "bin").select("bin").first()
+    return Model(counts, best["bin"] * BIN if best else 0), scores
+
+
 def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> Model:
     """Models and threshold from urls whose verdict is allow or block; every fifth one calibrates.
 
     A url's part is decided by its hash. The threshold is the one at which the shares of accepted
     and of rejected urls above it lie farthest apart, to the nearest ``BIN``.
     """
-    spark = labelled.sparkSession
-    own = labelled.where(F.col(verdict).isin("allow", "block") & F.col(url).isNotNull()).select(F.col(url).alias("_url"), (F.col(verdict) == "allow").alias("accepted"))
-    if own.groupBy("accepted").count().count() < 2:
-        return Model(None, 0)
-    left_out = _left_out(F.col("_url"))
-    grams = own.where(~left_out).select("accepted", F.explode(trigrams(F.col("_url"))).alias("g")).groupBy("accepted", "g").agg(F.count("*").alias("n"))
-    ratios = _ratios(grams, spark)
-    bins = own.where(left_out).select("accepted", F.floor(_sum(trigrams(F.col("_url")), ratios) / (F.size(trigrams(F.col("_url"))) * BIN)).alias("bin")).groupBy("bin").agg(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("r"))
-    below = "coalesce(sum({0}) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / nullif(sum({0}) OVER (), 0)"
-    apart = bins.selectExpr("bin", f"{below.format('r')} - {below.format('a')} AS apart")
-    best = apart.where("apart IS NOT NULL").orderBy(F.desc("apart"), "bin").select("bin").first()
-    return Model(ratios, best["bin"] * BIN if best else 0)
+    tables = Tables(labelled.sparkSession, "urls")
+    own = labelled.select(F.col(f"`{url}`").alias("url"), F.col(f"`{verdict}`").alias("verdict"))
+    return _train(_distinct(own, "url", tables), tables)[0]
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", model: Model | None = None) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``score`` and ``verdict`` (allow or block)."""
+    tables = Tables(df.sparkSession, "urls")
     out = apply_rules(df, rules, url)
+    distinct = _distinct(out.select(F.col(f"`{url}`").alias("url"), "verdict"), "url", tables)
     if model is None:
-        model = train(out, url)
-    grams = trigrams(F.col(url))
-    total, n = _sum(grams, model.ratios) if model.ratios else F.lit(0).cast("bigint"), F.size(grams)
-    out = out.withColumn("score", total / n / PARTS).withColumn("_allowed", total >= n * model.threshold)
+        model, scores = _train(distinct, tables)
+    else:
+        scores = _scores(distinct, model.counts, tables) if model.counts is not None else None
+    if scores is None:
+        decided = distinct.select(F.col("url").alias("_url"), F.lit(0.0).alias("score"), F.lit(True).alias("_allowed"))
+    else:
+        decided = distinct.join(scores, "u").select(F.col("url").alias("_url"), (F.col("total") / F.col("n") / PARTS).alias("score"), (F.col("total") >= F.col("n") * model.threshold).alias("_allowed"))
+    out = out.drop("score").join(decided, F.col(f"`{url}`").eqNullSafe(F.col("_url"))).drop("_url")
     return out.withColumn("verdict", F.coalesce(F.col("verdict"), F.when(F.col("_allowed"), "allow").otherwise("block"))).drop("_allowed")
