@@ -79,15 +79,16 @@ class _Chunks(dict):
         super().__init__()
         self.whole, self.model = tokenizer, tokenizer.model.tokenize
         self.special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)  # what all of them begin with
 
     def has_special(self, low: bytes) -> bool:
         """Whether small letters have a special token's string."""
-        return any(s in low for s in self.special)
+        return self.mark in low and any(s in low for s in self.special)
 
     def __missing__(self, raw: bytes) -> bytes:
         chunk = raw.decode()
         end = chunk[-1:]
-        if self.has_special(small := raw.lower()):
+        if self.mark in (small := raw.lower()) and self.has_special(small):
             out = _bytes(self.whole.encode(chunk, add_special_tokens=False).ids)
         elif small != raw and chunk.isascii():
             out = self[small]
