@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from lexgrove.functions.natural_sort import natural_key
 from lexgrove.functions.text import DEFAULT, Tokenization, normal_text, tokens
 from lexgrove.operators.facets import NONE, PREFIX, Facets, Mask, Range
 from lexgrove.operators.matching import EXACT, matches
+from lexgrove.shared import shared_folder
 
 SNAPSHOT, NATURAL = "snapshot", "natural"
 
@@ -119,12 +121,15 @@ def ranked(found: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows numbered in a total order without bringing them into one task.
 
     The rows are range-partitioned and sorted; a row's rank is its place in its partition plus the
-    rows of the partitions before, of which there is one number each.
+    rows of the partitions before, of which there is one number each. The places are written down:
+    a range partitioning that is worked out again may cut elsewhere.
     """
     spark = found.sparkSession
     placed = found.select(*dict.fromkeys([*order, "id"])).repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit(2**33 - 1))}).persist()
+    path = f"{shared_folder(spark)}/lexgrove-ranks-{uuid.uuid4().hex}"
+    placed.select("id", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**33 - 1)).alias("_nth")).write.parquet(path)
+    placed = spark.read.schema("id bigint, _part bigint, _nth bigint").parquet(path)
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     before, bases = 0, []
     for part in sorted(sizes):

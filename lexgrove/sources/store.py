@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions.text import DEFAULT, Tokenization
 from lexgrove.operators.facets import PREFIX
 from lexgrove.operators.index import SearchIndex, facet_names, prepare
+from lexgrove.shared import shared_folder
 
 ENTRY = "id bigint, search_text string, sort_text string, facets map<string,bigint>"
 EMPTY = "id bigint, ordinal bigint, search_text string, sort_text string, norm string, tokens array<string>"
@@ -30,14 +31,6 @@ def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -
     return spark.createDataFrame([(*r, n) for n, r in enumerate(full)], ENTRY + ", seq bigint")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session on one machine has one without naming it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
-    return (base or "/tmp/checkpoints").rstrip("/")
-
-
 class IndexStore:
     """An index that can be changed; ``current`` is the published version."""
 
