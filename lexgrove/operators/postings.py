@@ -12,19 +12,28 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import bigrams, normal_text
 from lexgrove.operators.expression import fold_tree, parse, terms
 from lexgrove.operators.facets import Facets, Mask, Range
 from lexgrove.operators.index import SearchIndex
-from lexgrove.operators.matching import EXACT, REGEX, has_wildcards, term_matches, term_shape
+from lexgrove.operators.matching import EXACT, REGEX, has_wildcards, least_length, term_matches, term_shape
 
 #: Terms of a query up to which all combinations are worked out.
 MOST_TERMS = 10
 #: Predicates evaluated in one projection.
 TOGETHER = 50
+#: Bytes, about, of what a batch of queries says that are sent to all executors.
+MOST_SENT = 8 << 20
+
+
+def _asked(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of what the queries ask for: broadcast up to ``MOST_SENT``; how a larger one is joined is left to Spark."""
+    table = spark.createDataFrame(rows, schema)
+    size = sum(len(x) * 4 if isinstance(x, str) else 8 for r in rows for x in r)
+    return F.broadcast(table) if size <= MOST_SENT else table
 
 
 def postings(index: SearchIndex) -> DataFrame:
@@ -87,9 +96,9 @@ class Batch:
                 df.unpersist()
 
     def save(self, path: str) -> Batch:
-        """Write the tables sorted by word, so that a scan for few words reads few row groups."""
+        """Write the tables sorted, so that a scan for few words, or for long enough ones, reads few row groups."""
         self.postings.repartitionByRange("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocabulary.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        self.vocabulary.repartitionByRange("length", "word").sortWithinPartitions("length", "word").write.mode("overwrite").parquet(f"{path}/vocabulary")
         bigram_table(self.vocabulary).repartitionByRange("bigram").sortWithinPartitions("bigram", "word").write.mode("overwrite").parquet(f"{path}/bigrams")
         return Batch.load(self.index, path)
 
@@ -136,16 +145,18 @@ class Batch:
             else:
                 others.append((n, term, method))
         hits, words = [], []
-        if literals:  # as many as there are terms
-            hits.append(self.postings.join(F.broadcast(spark.createDataFrame(literals, "leaf bigint, word string")), "word").select("leaf", "id"))
+        if literals:
+            hits.append(self.postings.join(_asked(spark, literals, "leaf bigint, word string"), "word").select("leaf", "id"))
         if looked_up:
             word, text = F.col("word"), F.col("text")
             test = F.when(F.col("kind") == "contains", F.contains(word, text)).when(F.col("kind") == "starts", F.startswith(word, text)).otherwise(F.endswith(word, text))
-            asked = F.broadcast(spark.createDataFrame(looked_up, "leaf bigint, kind string, text string, bigram string"))
+            asked = _asked(spark, looked_up, "leaf bigint, kind string, text string, bigram string")
             words.append(self.bigrams.join(asked, "bigram").where(test).select("leaf", "word"))
-        vocabulary = self.vocabulary.select("word", normal_text("word", self.index.preset).alias("norm"))
+        others.sort(key=lambda x: least_length(x[1]))  # terms that short words cannot match are tested together
         for i in range(0, len(others), TOGETHER):
-            tests = [F.when(term_matches(w, m, self.index.preset), F.lit(n).cast("bigint")) for n, w, m in others[i : i + TOGETHER]]
+            group = others[i : i + TOGETHER]
+            vocabulary = self.vocabulary.where(F.col("length") >= least_length(group[0][1])).select("word", "length", normal_text("word", self.index.preset).alias("norm"))
+            tests = [F.when((F.col("length") >= least_length(w)) & term_matches(w, m, self.index.preset), F.lit(n).cast("bigint")) for n, w, m in group]
             words.append(vocabulary.select(F.explode(F.array_compact(F.array(*tests))).alias("leaf"), "word"))
         if words:
             hits.append(reduce(DataFrame.union, words).join(self.postings, "word").select("leaf", "id"))
@@ -165,8 +176,8 @@ class Batch:
                 inverse.append(q)
                 true = sorted(set(range(1 << len(own))) - set(true))
             holds += [(q.number, m) for m in true]
-        has = self._hits(leaves).join(F.broadcast(spark.createDataFrame(uses, "leaf bigint, query bigint, bit bigint")), "leaf").groupBy("query", "id").agg(F.bit_or("bit").alias("bits"))
-        kept = has.join(F.broadcast(spark.createDataFrame(holds, "query bigint, bits bigint")), ["query", "bits"]).select("query", "id")
+        has = self._hits(leaves).join(_asked(spark, uses, "leaf bigint, query bigint, bit bigint"), "leaf").groupBy("query", "id").agg(F.bit_or("bit").alias("bits"))
+        kept = has.join(_asked(spark, holds, "query bigint, bits bigint"), ["query", "bits"]).select("query", "id")
         numbers = [q.number for q in inverse]
         out = kept.where(~F.col("query").isin(numbers)) if numbers else kept
         if numbers:

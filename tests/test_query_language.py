@@ -2,8 +2,10 @@ import random
 
 import pytest
 from helpers import ids, index
+from pyspark.sql import functions as F
 
 from lexgrove.functions.text import DEFAULT, FILE_MASK, Tokenization
+from lexgrove.operators import patterns
 from lexgrove.operators import postings as inverted
 from lexgrove.operators.expression import Both, Either, Not, Op, Term, balanced, fold_tree, lex, parse, repair, single_term, terms
 from lexgrove.operators.matching import EXACT, REGEX, WITHIN, glob_pattern, has_star, has_wildcards, least_length
@@ -141,3 +143,42 @@ def test_saved_batch(spark, tmp_path):
 
 def test_default_preset_is_the_default(spark):
     assert index(spark, {1: "a"}).preset is DEFAULT
+
+
+@pytest.mark.parametrize(
+    "query,want",
+    [
+        (r"(a+)+$", {2}),  # linear engine
+        (r"^(\w\d?)+é$", {3}),
+        (r"^(?:[^\W\d]|z)+$", {2, 3, 4}),
+        (r"(A|aa)+$", {2}),
+        (r"(b)(?=c)(\1|c)+d", {4}),  # the engine with a limit
+        (r"(?!x)(\w+\w+)+\by$", set()),  # reaches the limit or fails
+        (r"(ab|cd){2}", set()),
+    ],
+)
+def test_regex_of_repeated_groups_ends(spark, query, want, monkeypatch):
+    monkeypatch.setattr(patterns, "SECONDS", 0.2)
+    rows = {1: "a" * 5000 + "!", 2: "x aaa", 3: "z1é zé", 4: "bccd", 5: "", 6: None}
+    assert patterns.repeats_groups(query)
+    assert set(ids(index(spark, rows).matching(query, REGEX))) == want
+    batch = inverted.Batch.of(index(spark, rows))
+    assert {r.id for r in batch.find_many([inverted.Query(1, query, REGEX), inverted.Query(2, "aaa")]).where("query = 1").collect()} == want
+
+
+def test_regex_engines_agree(spark):
+    tokens = ["", "a", "ab", "abab", "é1", "x_y", "12", "ǅ", "a!b", "abc9", "\u0663"]
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate(tokens)], "id int, tokens array<string>")
+    for query in [r"^(ab)+$", r"^(\w)+$", r"^([\w!])+$", r"(\d)+", r"^(\D)*$", r"(é|[^a-z\d])+", r"^(?:a|b)+$", r"(\p{L}\p{Nd})+", r"(A){1}b"]:
+        assert patterns.repeats_groups(query) and patterns.linear(query) is not None
+        found = df.select("tokens", patterns.bounded(query)("tokens").alias("own"), F.exists("tokens", lambda t: t.rlike("(?iuU)" + query)).alias("java"))
+        assert [r for r in found.collect() if r.own != r.java] == []
+    assert not any(patterns.repeats_groups(q) for q in (r"^th.*ing$", r"(a|b)?c", r"\)+", "[)]+", "(ab)"))
+    assert [patterns.linear(q) for q in ("[a-z&&[^b]]", "[[a]]", r"\bx", r"(a)\1", "(a++)+")] == [None] * 5
+
+
+def test_large_batches_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "MOST_SENT", 0)
+    batch = inverted.Batch.of(index(spark, {1: "red digital watch", 2: "watch", 3: "red", 4: None}))
+    queries = [inverted.Query(1, "red AND watch", EXACT, True), inverted.Query(2, "NOT red", EXACT, True), inverted.Query(3, "w?tch OR dig?tal*", EXACT, True)]
+    assert {(r.query, r.id) for r in batch.find_many(queries).collect()} == {(1, 1), (2, 2), (2, 4), (3, 1), (3, 2)}
