@@ -33,15 +33,17 @@ from pyspark.sql import functions as F
 from lexgrove.llm.common import Tables, bounded_batches
 
 LENGTH, GRAM = 100, 32
-#: Samples that a task holds before it settles the copies among them.
-HELD = 400_000
+#: Samples that a task holds before it settles the copies among them, and bytes of texts that are sampled at once about.
+HELD, CHUNK = 400_000, 100_000
 #: Of one in so many documents it is seen which samples are hot: those that hold more than one in
 #: ``HOT`` of the samples seen, and so at most ``HOT`` in number, and more than ``LEAST_HOT``.
 LOOK, HOT, LEAST_HOT = 32, 20_000, 64
-#: Samples of one name that are held at most, and bytes of contexts that are sorted together about.
-CROWD, TOGETHER = 10_000, 1_000_000
+#: Samples of one name that are held at most, and bytes of contexts that are sorted together about: few enough for a CPU's cache.
+CROWD, TOGETHER = 10_000, 130_000
 
 U = np.uint64
+#: Lower bits of a hash that make room for a position.
+PLACE = U(2**31 - 1)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,26 +61,33 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def samples(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Sampled positions with the first and last start of the windows that have their sample there, name and refined name."""
+def samples(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, sizes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sampled positions with the first and last start of the windows that have their sample there, name and refined name.
+
+    ``raw`` may hold several texts in a row, whose ``sizes`` are given; windows do not cross them. Of
+    hashes that agree in their upper bits the leftmost is sampled.
+    """
     none = np.empty(0, np.int64)
     if len(raw) < length:
         return none, none, none, none.view(U), none.view(U)
     h = gram_hashes(raw, gram)
-    least, at, size = h, np.arange(len(h)), 1
+    least, size = (h & ~PLACE) | np.arange(len(h), dtype=U), 1
     width = length - gram + 1
-
-    def smaller(v: np.ndarray, i: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-        left = v[:-by] <= v[by:]
-        return np.where(left, v[:-by], v[by:]), np.where(left, i[:-by], i[by:])
-
     while 2 * size <= width:
-        least, at = smaller(least, at, size)
+        least = np.minimum(least[:-size], least[size:])
         size *= 2
     if width > size:
-        least, at = smaller(least, at, width - size)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        least = np.minimum(least[: size - width], least[width - size :])
+    at = (least & PLACE).view(np.int64)
+    new = np.append(True, at[1:] != at[:-1])
+    if sizes is not None:
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        within = text[: len(at)] == text[length - 1 :]
+        new |= np.append(True, within[1:] != within[:-1])
+    first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
+    if sizes is not None:
+        first, last = first[within[first]], last[within[first]]
     a = at[first]
     # all bytes from the first window's start to the last one's end, by strings of ``gram`` bytes
     end = last + length - gram
@@ -115,26 +124,46 @@ def _sample(hot: np.ndarray, length: int) -> Callable:
 
         def settle() -> pa.RecordBatch:
             d, h, a, first, last, name, fine = (np.concatenate(x) for x in held)
-            order = np.lexsort((a, h, d, fine, name))
-            d, h, a, first, last, name, fine = (x[order] for x in (d, h, a, first, last, name, fine))
-            again = np.append(False, (name[1:] == name[:-1]) & (fine[1:] == fine[:-1]))
+            # only names that occur twice need an order
+            order = np.argsort(name)
+            same = name[order][1:] == name[order][:-1]
+            twice = order[np.append(False, same) | np.append(same, False)]
+            twice = twice[np.lexsort((a[twice], h[twice], d[twice], fine[twice], name[twice]))]
+            again = np.zeros(len(name), bool)
+            again[twice[1:]] = (name[twice][1:] == name[twice][:-1]) & (fine[twice][1:] == fine[twice][:-1])
             wide = np.isin(name, hot) & ~again
             key = np.where(again, _mix(d.astype(U), a.astype(U)), np.where(wide, _mix(name, fine), name))
             kind = np.where(again, SETTLED, np.where(wide, WIDE, SAMPLED))
             return _batch(["key", "fine", "d", "h", "at"], [key.view(np.int64), fine.view(np.int64), d, h, _pack(a, first, last, kind)])
 
+        def add(ds: list[int], hs: list[int], raws: list[np.ndarray]) -> int:
+            sizes = np.array([len(raw) for raw in raws])
+            found = samples(np.concatenate(raws), length, sizes=sizes)
+            ends = np.cumsum(sizes)
+            text = np.searchsorted(ends, found[0], "right")
+            places = [x - (ends - sizes)[text] for x in found[:3]]
+            if len(text):
+                for x, v in zip(held, (np.array(ds)[text], np.array(hs)[text], *places, *found[3:])):
+                    x.append(v)
+            return len(text)
+
         for batch in batches:
+            together: tuple[list, list, list] = ([], [], [])
+            size = 0
             for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.empty(0, np.uint8)
-                found = samples(raw, length)
-                m = len(found[0])
-                if m:
-                    for x, v in zip(held, (np.full(m, d), np.full(m, h), *found)):
-                        x.append(v)
-                    n += m
+                if not text.is_valid or len(text.as_buffer()) < length:
+                    continue
+                for x, v in zip(together, (d, h, np.frombuffer(text.as_buffer(), np.uint8))):
+                    x.append(v)
+                size += len(together[2][-1])
+                if size >= CHUNK:
+                    n += add(*together)
+                    together, size = ([], [], []), 0
                 if n >= HELD:
                     yield settle()
                     held, n = [[] for _ in range(7)], 0
+            if size:
+                n += add(*together)
         if n:
             yield settle()
 

@@ -206,6 +206,30 @@ def test_crowds_of_samples_are_dealt_out_by_windows(monkeypatch):
             assert sum(x["kind"] == substrings.SAMPLED for x in got) in (0, len({x[1] for x in sampled}))
 
 
+def test_texts_are_sampled_together():
+    import time
+
+    r = random.Random(13)
+    texts = ["".join(r.choices("abcd ", k=r.choice([0, 99, 100, 101, 300, 3000]))).encode() for _ in range(200)] + [b"a" * 500, b"ab" * 200]
+    raws = [np.frombuffer(t, np.uint8) for t in texts]
+    begins = np.cumsum([0, *map(len, raws)])
+    want = [np.concatenate(x) for x in zip(*((a + b, first + b, last + b, name, fine) for b, (a, first, last, name, fine) in zip(begins, map(substrings.samples, raws))))]
+    got = substrings.samples(np.concatenate(raws), sizes=np.diff(begins))
+    assert all(np.array_equal(x, y) for x, y in zip(got, want))
+    # each window has its sample, the same wherever the window stands
+    starts = np.sort(np.concatenate([np.arange(f, e + 1) for f, e in zip(got[1], got[2])]))
+    assert np.array_equal(starts, np.concatenate([b + np.arange(max(0, len(t) - 99)) for b, t in zip(begins, texts)]))
+    # 2 MB of short texts: a pass for each text took several times as long as one for many
+    raws = [np.frombuffer(r.randbytes(1000), np.uint8) for _ in range(2000)]
+    t = time.process_time()
+    for raw in raws:
+        substrings.samples(raw)
+    each, t = time.process_time() - t, time.process_time()
+    for i in range(0, len(raws), 100):
+        substrings.samples(np.concatenate(raws[i : i + 100]), sizes=np.full(100, 1000))
+    assert 1.5 * (time.process_time() - t) < each
+
+
 def test_substrings_of_repeated_rows(spark):
     t = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
     df = spark.createDataFrame([(1, t), (1, t), (1, "q" + t), (None, t), (2, t[:50])], "doc_id bigint, text string")
