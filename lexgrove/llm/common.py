@@ -116,17 +116,24 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lexgrove-{name}-{uuid.uuid4().hex}"
 
 
+#: How working tables are written. For each file and folder that it makes Hadoop's local file system starts a process, in which
+#: all memory of the JVM counts a second time until the program is loaded; so no files of checksums and no marks of success.
+#: Other file systems do not read the options of the local one.
+WRITE = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Tables:
     """Intermediate tables in the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, workspace(spark, name), 0
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "t", few: bool = False) -> DataFrame:
+        """Write and read again. ``few``: rows are dealt anew to files by their size, where many tasks have few rows each."""
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{label}"
         schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        (df.hint("rebalance") if few else df).write.mode("overwrite").options(**WRITE).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._lexgrove_path = path
         return out

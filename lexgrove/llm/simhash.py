@@ -183,7 +183,7 @@ def links(nodes: DataFrame, tables: Tables, name: str = "fp") -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect whatever links connect."""
     fp = F.col(name)
     entries = nodes.select(F.explode(_half_entries(fp)).alias("key"), fp.alias("fp"))
-    found = tables.keep(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_halves, EDGES), "halves")
+    found = tables.keep(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_halves, EDGES), "halves", few=True)
     crowded = tables.keep(found.where("a = b").select("a").distinct(), "crowded")
     finer = crowded.mapInArrow(_segment_entries, "which bigint, kept bigint, fp bigint")
     more = finer.repartition("which", "kept").sortWithinPartitions("which", "kept").mapInArrow(_compare_segments, EDGES)
@@ -193,7 +193,7 @@ def links(nodes: DataFrame, tables: Tables, name: str = "fp") -> DataFrame:
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id): the least key reachable by links, for every row."""
     tables = Tables(df.sparkSession, "simhash")
-    rows = tables.keep(fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "fp").select("_key", "fp"), "fingerprints")
+    rows = tables.keep(fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "fp").select("_key", "fp"), "fingerprints", few=True)
     nodes = tables.keep(rows.groupBy("fp").agg(F.min("_key").alias("least")), "nodes")
     roots = tables.keep(components(links(nodes, tables), tables), "roots")
     joined = tables.keep(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")

@@ -57,6 +57,20 @@ def test_fingerprints():
         assert simhash.fingerprint(t) & (2**64 - 1) == plain_fingerprint(t)
 
 
+def test_working_tables_of_few_rows_have_few_files(spark):
+    import glob
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    rows = spark.range(0, 400, 1, 16).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "id", F.hex(F.xxhash64("id")), F.lit("of one")).alias("text"))
+    before = set(glob.glob(f"{base}/lexgrove-simhash-*"))
+    assert {r["doc_id"]: int(r["fingerprint"]) & (2**64 - 1) for r in rows_of(simhash.cluster(rows))} == {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows_of(rows)}
+    (folder,) = set(glob.glob(f"{base}/lexgrove-simhash-*")) - before
+    for label in ("fingerprints", "halves"):
+        (table,) = glob.glob(f"{folder}/*-{label}")
+        assert len(os.listdir(table)) == 1  # no checksums, no mark of success, not a file for each task
+
+
 def signed(x):
     return x - 2**64 if x >> 63 else x
 
