@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, embeddings, language, lines, packing, quality, secrets, simhash, substrings, urls
+from lexgrove.llm import bpe, codes, embeddings, language, lines, negatives, packing, quality, secrets, simhash, substrings, subwords, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,9 +157,63 @@ FROM u JOIN t ON t.id = u.id CROSS JOIN best
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, the errors of its label, and a digest of the codebooks."""
+    return codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def _codes_sql() -> str:
+    """Codebooks of the first vectors, two rounds, and the last assignment; ``w`` is the width of a part."""
+    steps = ""
+    for r in range(codes.ROUNDS + 1):
+        steps += f"""a{r} AS MATERIALIZED (SELECT id, p, arg_min(e, far * {codes.ENTRIES} + e) AS e, min(far) AS far FROM (SELECT v.id, v.p, c.e, CAST(list_sum(list_transform(range(1, w.w + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS far FROM parts v JOIN c{r} c ON c.p = v.p CROSS JOIN w) GROUP BY id, p),
+"""
+        if r < codes.ROUNDS:
+            steps += f"""m{r} AS (SELECT p, e, i, sum(n) // count(*) - CASE WHEN sum(n) < 0 AND sum(n) % count(*) <> 0 THEN 1 ELSE 0 END AS mean FROM (SELECT v.p, a.e, unnest(range(1, w.w + 1)) AS i, unnest(v.x) AS n FROM parts v JOIN a{r} a ON a.id = v.id AND a.p = v.p CROSS JOIN w) GROUP BY p, e, i),
+n{r} AS (SELECT p, e, list(CAST(mean AS BIGINT) ORDER BY i) AS x FROM m{r} GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN n{r} n ON n.p = c.p AND n.e = c.e),
+"""
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT CAST(max(len(x)) // {codes.PARTS} AS BIGINT) AS w FROM kept),
+parts AS MATERIALIZED (SELECT id, p, x[p * w.w + 1 : p * w.w + w.w] AS x FROM kept CROSS JOIN w CROSS JOIN (SELECT unnest(range({codes.PARTS})) AS p)),
+c0 AS MATERIALIZED (SELECT p, id - 1 AS e, x FROM parts WHERE id <= {codes.ENTRIES}),
+{steps}d AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{last} GROUP BY id),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS s FROM c{last})
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, b.s AS codebooks_sha256 FROM kept JOIN d ON d.id = kept.id CROSS JOIN b
+"""
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every text, learned from the labels of the documents that are not held out."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = subwords.train(documents, _table(spark, sf_dir, "labels"))
+    return subwords.assess(documents, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor, with some labels moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+#: All scores of the anchors; the first rows of the same label, and for each the first of other labels in its window.
+NEGATIVES_SQL = f"""
+WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({codes.SCALE} * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY rank <= {negatives.NEGATIVES}
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_embedding_dedup, op4_line_dedup, op5_substring_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_embedding_dedup, op4_line_dedup, op5_substring_dedup, op6_packing, op7_language_id, op8_url_filter, op9_quality, op10_byte_bpe, op11_vector_codes, op12_quality_classifier, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": SUBSTRINGS_SQL, "op8_url_filter": _urls_sql(), "op4_line_dedup": LINES_SQL.format(text="text", documents="documents") + "SELECT d.doc_id, coalesce(k.n_removed, 0) AS n_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE k.text END) AS n_chars, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"}
+    return {"op11_vector_codes": _codes_sql(), "op13_hard_negatives": NEGATIVES_SQL, "op5_substring_dedup": SUBSTRINGS_SQL, "op8_url_filter": _urls_sql(), "op4_line_dedup": LINES_SQL.format(text="text", documents="documents") + "SELECT d.doc_id, coalesce(k.n_removed, 0) AS n_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE k.text END) AS n_chars, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"}

@@ -1,0 +1,126 @@
+"""The subword classifier against a plain version of its features and scores, its accuracy, and its cases."""
+
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from llm_helpers import rows_of
+
+from lexgrove.llm import subwords
+from lexgrove.llm.queries import op12_quality_classifier
+
+
+def plain_score(text, model):
+    """Each word's vector, and as much of the mean of its runs, averaged over the words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    total, weight = np.zeros(subwords.DIMENSIONS), 0.0
+    for i, w in enumerate(words):
+        if i and words[i - 1] == w:
+            total += 2 * model.vectors[subwords.AGAIN].astype(float)
+            weight += 2
+            continue
+        total += model.vectors[zlib.crc32(w.encode()) % 2**16]
+        marked, rows = f"<{w}>", []
+        for n in (3, 4, 5):
+            for j in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[j : j + n]:
+                    h = (h * 16777619 % 2**32) ^ (ord(c) * 2654435761 % 2**32)
+                rows.append(2**16 + (h * 2246822519 % 2**32 >> 16))
+        total += model.vectors[rows].astype(float).mean(axis=0)
+        weight += 2
+    out = model.layer.astype(float) @ (total / max(weight, 1)) + model.bias
+    e = np.exp(out - out.max())
+    return e[1] / e.sum()
+
+
+def prose(r, n):
+    return " ".join("".join(r.choices("abcdefgé", k=r.randint(1, 9))) for _ in range(n))
+
+
+def junk(r, n):
+    return " ".join(x + r.choice(["###", "$$$"]) if r.random() < 0.8 else x for x in prose(r, n).split())
+
+
+def repeats(r, n):
+    return " ".join(x for w in prose(r, max(1, n // 9)).split() for x in [w] * 9)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    r, folder = random.Random(3), str(tmp_path_factory.mktemp("subwords"))
+    docs, labels = [], []
+    for i in range(700):
+        good = r.random() < 0.7
+        docs.append((i, (prose if good else r.choice([junk, repeats]))(r, r.choice([3, 20, 90]))))
+        labels += [(i, int(good), 0)] if i % 4 else []
+    copy = docs[5][1]
+    docs += [(700 + i, copy) for i in range(200)] + [(900, None), (901, ""), (902, " \n"), (903, "A"), (7, "again under a key"), (None, "no key")]
+    labels += [(700, 1, 0), (900, 1, 0), (8, None, 0), (9, 0, 0), (9, 1, 0), (None, 1, 0), (5000, 1, 0)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{folder}/labels.parquet")
+    return folder, docs, dict((k, q) for k, q, _ in labels if q is not None)
+
+
+def test_scores_are_those_of_the_plain_version(spark, tables):
+    folder, docs, _ = tables
+    model = subwords.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    out = rows_of(op12_quality_classifier(spark, folder))
+    key = lambda k: -1 if k is None else k
+    want = sorted((key(k), plain_score(t, model)) for k, t in docs)
+    got = sorted((key(x["doc_id"]), x["score"]) for x in out)
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
+    for x in out:
+        assert x["predicted"] == int(x["score"] >= 0.3) and 0 <= x["score"] <= 1
+        assert x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0)
+
+
+def test_held_out_rows_are_told_apart_and_never_learned_from(spark, tables):
+    folder, docs, labels = tables
+    documents, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    out = {x["doc_id"]: x for x in rows_of(op12_quality_classifier(spark, folder))}
+    held = [k for k, q in labels.items() if k is not None and k < 700 and out[k]["held_out"] and k not in (7, 8, 9)]
+    for q, least in ((0, 0.85), (1, 0.95)):
+        right = [out[k]["predicted"] == q for k in held if labels[k] == q]
+        assert len(right) > 20 and sum(right) / len(right) >= least
+    turned = marks.selectExpr("doc_id", "IF(crc32(CAST(doc_id AS STRING)) % 5 = 0, 1 - quality, quality) AS quality")
+    a, b = subwords.train(documents, marks), subwords.train(documents, turned)
+    assert (a.vectors == b.vectors).all() and (a.layer == b.layer).all()
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(subwords.Model, "learn", lambda self, texts, classes, *a: taken.append((texts, classes)) or self)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('word', id, ' and another') AS text")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 AS quality")
+    subwords.train(docs, labels, max_train=50)
+    assert len(taken[0][0]) == len(taken[0][1]) == 50
+    most = sum(len(r) for r, _ in taken[0][0]) // 2
+    subwords.train(docs, labels, max_train=50, max_rows=most)
+    assert 10 < len(taken[1][0]) < 50 and sum(len(r) for r, _ in taken[1][0]) <= most
+
+
+def test_without_labels_and_with_one_class(spark):
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert {x["score"] for x in rows_of(subwords.assess(docs, subwords.train(docs, none)))} == {0.5}
+    one = subwords.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, quality int"), rounds=50)
+    assert all(x["score"] < 0.5 for x in rows_of(subwords.assess(docs, one)))
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert subwords.assess(empty, subwords.train(empty, none)).count() == 0
+    clash = docs.selectExpr("*", "'x' AS score", "1 AS predicted", "5 AS extra")
+    out = subwords.assess(clash, one)
+    assert out.columns == ["doc_id", "text", "score", "predicted", "extra"] and out.schema["score"].dataType.typeName() == "double"
+
+
+def test_long_texts_and_parts_change_nothing(monkeypatch):
+    r = random.Random(5)
+    text = prose(r, 3000) + " " + "".join(r.choices("abcé𝒳", k=5000)) + " x x x"
+    model = (np.random.default_rng(1).standard_normal(subwords.AGAIN + 1), 0.1)
+    want = subwords.score(text, model)
+    monkeypatch.setattr(subwords, "PART", 777)
+    assert math.isclose(subwords.score(text, model), want, rel_tol=1e-9)
+    assert subwords.score("a " * 1_000_000 + "b" * 3_000_000, model) >= 0
