@@ -33,8 +33,8 @@ from lexgrove.llm.common import Tables, bounded_batches
 POSITIVES, NEGATIVES = 5, 3
 #: Anchors of a block, rows of a slice at most, on average, and the cells (anchor, row) whose bounds are held at once.
 ANCHORS, SLICE, ROWS, CELLS = 8192, 65536, 2048, 1 << 19
-#: Pairs whose vectors are multiplied at once.
-PAIRS = 1 << 16
+#: Pairs whose vectors are multiplied at once, and the share of a block, as 1 in so many, from which all of it is.
+PAIRS, DENSE = 1 << 16, 32
 
 
 def limit(width: int) -> int:
@@ -78,7 +78,9 @@ class _Anchors:
     def __init__(self, rows: _Rows, at: slice, books: np.ndarray):
         self.key, self.label, self.row, self.v = rows.key[at], rows.label[at], rows.row[at], rows.v[at].astype(np.int64)
         parts = self.v.reshape(len(self.v), codes.PARTS, -1)
-        self.tables = np.ascontiguousarray(np.einsum("apw,pew->pea", parts, books))  # an entry's scores lie together
+        tables = np.ascontiguousarray(np.einsum("apw,pew->pea", parts, books))  # an entry's scores lie together
+        self.most = sum(int(np.abs(t).max(initial=0)) for t in tables)
+        self.tables = tables.astype(np.int32) if self.most < 2**31 else tables
         self.norms = np.sqrt((parts.astype(np.float64) ** 2).sum(axis=2))
 
     def bounds(self, rows: _Rows, at: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +90,30 @@ class _Anchors:
         for p in range(1, codes.PARTS):
             score += self.tables[p][code[:, p]]
         off = rows.left[at].astype(np.float64) @ self.norms.T
-        score = score.astype(np.float64)
-        off += 1 + (np.abs(score) + off) * 1e-9  # more than any rounding
+        off += 1 + (self.most + off.max(initial=0)) * 1e-9  # more than any rounding
         return score - off, score + off
 
-    def exact(self, rows: _Rows, r: np.ndarray, a: np.ndarray) -> np.ndarray:
-        out = np.empty(len(r), np.int64)
+    def pairs(self, rows: _Rows, at: slice, able: np.ndarray, least: np.ndarray, most: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, score) of the able pairs whose scores are from ``least`` to ``most``.
+
+        The bounds drop the others; what they leave is scored in whole numbers, by one product of
+        matrices where that is much of the block.
+        """
+        low, high = self.bounds(rows, at)
+        left = able & (high >= least) & (low <= most)
+        r, a = np.nonzero(left)
+        if len(r) * DENSE > left.size:
+            x, y = rows.v[at], self.v
+            fits = int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) * x.shape[1] < 2**53
+            kind = np.float64 if fits else np.int64  # whole numbers either way
+            scores = x.astype(kind) @ y.astype(kind).T
+            r, a = np.nonzero(left & (scores >= least) & (scores <= most))
+            return r + at.start, a, scores[r, a].astype(np.int64)
+        r += at.start
+        got = np.empty(len(r), np.int64)
         for i in range(0, len(r), PAIRS):
-            out[i : i + PAIRS] = np.einsum("ij,ij->i", rows.v[r[i : i + PAIRS]].astype(np.int64), self.v[a[i : i + PAIRS]])
-        return out
+            got[i : i + PAIRS] = np.einsum("ij,ij->i", rows.v[r[i : i + PAIRS]].astype(np.int64), self.v[a[i : i + PAIRS]])
+        return r, a, got
 
 
 class _Best:
@@ -119,45 +136,31 @@ class _Best:
         self.least[a[full]] = score[full]
 
 
-def _nth_highest(low: np.ndarray, able: np.ndarray, n: int) -> np.ndarray:
-    """For each column the n-th highest of the lower bounds of rows that are able: as many scores reach it."""
-    if len(low) < n:
-        return np.full(low.shape[1], -np.inf)
-    return np.partition(np.where(able, low, -np.inf), len(low) - n, axis=0)[len(low) - n]
-
-
 def _positives(anchors: _Anchors, rows: _Rows, most: int) -> Iterator[dict]:
     best = _Best(len(anchors.key), most)
     for at in range(0, len(rows), ROWS):
         part = slice(at, at + ROWS)
         able = (rows.label[part][:, None] == anchors.label) & (rows.row[part][:, None] != anchors.row)
-        low, high = anchors.bounds(rows, part)
-        least = np.maximum(best.least, _nth_highest(low, able, most))
-        r, a = np.nonzero(able & (high >= least))
-        r += at
-        best.add(a, anchors.exact(rows, r, a), rows.key[r], rows.row[r])
+        r, a, got = anchors.pairs(rows, part, able, best.least, np.inf)
+        best.add(a, got, rows.key[r], rows.row[r])
     yield {"anchor_id": anchors.key[best.a], "anchor_row": anchors.row[best.a], "other_id": best.key, "other_row": best.row, "score": best.score}
 
 
 def _negatives(anchors: _Anchors, rows: _Rows, known: dict[str, np.ndarray], most: int) -> Iterator[dict]:
     """``known`` has the positives of each anchor (anchors, n): key, row, score, and whether there is one."""
-    n = known["there"].shape[1]
-    best = [_Best(len(anchors.key), most) for _ in range(n)]
+    score, there = known["score"], known["there"]
+    best = [_Best(len(anchors.key), most) for _ in range(there.shape[1])]
+    # all windows of an anchor together, a little wider than they are
+    slack = 1 + np.abs(score) * 1e-9
+    bottom, top = np.where(there, score / 2 - slack, np.inf), np.where(there, 0.95 * score + slack, -np.inf).max(axis=1)
     for at in range(0, len(rows), ROWS):
         part = slice(at, at + ROWS)
         able = rows.label[part][:, None] != anchors.label
-        low, high = anchors.bounds(rows, part)
-        for j in range(n):
-            score, there = known["score"][:, j], known["there"][:, j]
-            bottom, top = score / 2 - 1, 0.95 * score + 1  # a little wider than the window
-            within = able & there & (low <= top + np.abs(top) * 1e-9) & (high >= bottom - np.abs(bottom) * 1e-9)
-            sure = within & (low >= bottom + 2) & (high <= top - 2)
-            least = np.maximum(best[j].least, _nth_highest(low, sure, most))
-            r, a = np.nonzero(within & (high >= least))
-            r += at
-            got = anchors.exact(rows, r, a)
-            inside = (2 * got >= score[a]) & (20 * got <= 19 * score[a])
-            best[j].add(a[inside], got[inside], rows.key[r[inside]], rows.row[r[inside]])
+        least = np.maximum(bottom, np.stack([b.least for b in best], axis=1)).min(axis=1)
+        r, a, got = anchors.pairs(rows, part, able, least, top)
+        for j, b in enumerate(best):
+            inside = there[a, j] & (got >= b.least[a]) & (2 * got >= score[a, j]) & (20 * got <= 19 * score[a, j])
+            b.add(a[inside], got[inside], rows.key[r[inside]], rows.row[r[inside]])
     for j, b in enumerate(best):
         yield {"anchor_id": anchors.key[b.a], "anchor_row": anchors.row[b.a], "other_id": b.key, "other_row": b.row, "score": b.score, "positive_id": known["key"][b.a, j], "positive_row": known["row"][b.a, j], "positive_score": known["score"][b.a, j]}
 
