@@ -35,6 +35,8 @@ WORD_ROWS = RUN_ROWS = 1 << 16
 AGAIN = WORD_ROWS + RUN_ROWS
 SHORTEST, LONGEST = 3, 5
 DIMENSIONS, ROUNDS, RATE, SEED = 16, 3, 0.5, 11
+#: Steps of the descent at least: small samples are gone through more often.
+STEPS = 10_000
 #: Labelled documents, and distinct rows of all of them together, that are learned from at most.
 MAX_TRAIN, MAX_ROWS = 4000, 8_000_000
 #: Score from which a text is predicted to be of class 1.
@@ -86,6 +88,7 @@ class Model:
 
     def learn(self, texts: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED) -> Model:
         """Gradient descent, a text at a time; the rate falls in a straight line to zero."""
+        rounds = max(rounds, -(-STEPS // max(1, len(texts))))
         rng, done, steps = np.random.default_rng(seed), 0, max(1, rounds * len(texts))
         for _ in range(rounds):
             for i in rng.permutation(len(texts)):
