@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexgrove.functions.natural_sort import natural_key
 from lexgrove.functions.text import DEFAULT, Tokenization, normal_text, tokens
 from lexgrove.operators.facets import NONE, PREFIX, Facets, Mask, Range
 from lexgrove.operators.matching import EXACT, matches
-from lexgrove.shared import shared_folder
+from lexgrove.operators.natural_order import WholeOrder
+from lexgrove.operators.ranks import ranked
 
 SNAPSHOT, NATURAL = "snapshot", "natural"
 
@@ -54,6 +52,7 @@ class SearchIndex:
 
     docs: DataFrame
     preset: Tokenization = DEFAULT
+    natural: object = None  # who has the natural order; by default it is worked out when first asked for
     _known: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
@@ -95,14 +94,14 @@ class SearchIndex:
             found = found.orderBy(*order).limit(limit)
         return ranked(found, order)
 
-    @staticmethod
-    def _ordered(found: DataFrame, sort: str) -> tuple[DataFrame, Sequence[str]]:
-        """What was found with the columns of an order. Natural keys, which are as long as their texts, are made for it alone."""
+    def _ordered(self, found: DataFrame, sort: str) -> tuple[DataFrame, Sequence[str]]:
+        """What was found with the columns of an order."""
         if sort == SNAPSHOT:
             return found, ("ordinal", "id")
         if sort != NATURAL:
             raise ValueError(f"unknown order {sort!r}")
-        return found.select("id", natural_key("sort_text").alias("nat_key")), ("nat_key", "id")
+        order = self.natural or self._known.setdefault("natural", WholeOrder(self.docs))
+        return order.ordered(found)
 
     def count_df(self, text: str | None, method: str = EXACT, operators: bool = False, facets: Facets | Range | Mask | None = None) -> DataFrame:
         return self.matching(text, method, operators, facets).agg(F.count("*").alias("matches"))
@@ -117,26 +116,4 @@ class SearchIndex:
         return self.docs.select(F.explode("tokens").alias("word")).agg(F.count_distinct("word")).first()[0]
 
 
-def ranked(found: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows numbered in a total order without bringing them into one task.
-
-    The rows are range-partitioned and sorted; a row's rank is its place in its partition plus the
-    rows of the partitions before, of which there is one number each. The places are written down:
-    a range partitioning that is worked out again may cut elsewhere.
-    """
-    spark = found.sparkSession
-    placed = found.select(*dict.fromkeys([*order, "id"])).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("_at", F.monotonically_increasing_id())
-    path = f"{shared_folder(spark)}/lexgrove-ranks-{uuid.uuid4().hex}"
-    placed.select("id", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**33 - 1)).alias("_nth")).write.parquet(path)
-    placed = spark.read.schema("id bigint, _part bigint, _nth bigint").parquet(path)
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, bases = 0, []
-    for part in sorted(sizes):
-        bases.append((part, before))
-        before += sizes[part]
-    table = spark.createDataFrame(bases, T.StructType([T.StructField("_part", T.LongType()), T.StructField("_before", T.LongType())]))
-    return placed.join(F.broadcast(table), "_part").select("id", (F.col("_before") + F.col("_nth") + 1).alias("rank"))
-
-
 __all__ = ["NATURAL", "NONE", "SNAPSHOT", "SearchIndex", "facet_names", "prepare", "ranked"]

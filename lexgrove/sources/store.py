@@ -1,27 +1,51 @@
 """Versions of an index in a shared folder, and changes that publish new ones.
 
-A version is written in full and then named in a small file, which is replaced at once; readers
-keep the version they started with. A change recomputes derived columns for its own rows only.
-Documents keep their place in the snapshot order when they are updated; one that comes again after
-a removal is appended.
+An index is a list of segments, oldest first. A segment has rows of its own and the ids of older rows that are
+gone since it came; rows are never written again but by a merge. A version is a small file
+that names the segments, made only if no other writer has made that version: of writers that meet one
+succeeds, and the others do their change again on what it left. Readers look for newer versions when
+they ask for the current one, and keep what they have asked for.
+
+A change reads keys and places of the rows it may replace, within the range of its own keys, and writes its own
+rows. When enough segments of a size have gathered they become one (``merged``), so that a row is
+written again as often as the logarithm of the number of rows. Documents keep their place in the snapshot
+order when they are updated; one that comes again after a removal is appended. Places come from a counter in
+the version.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import random
+import re
 import threading
+import time
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.functions.text import DEFAULT, Tokenization
 from lexgrove.operators.facets import PREFIX
-from lexgrove.operators.index import SearchIndex, facet_names, prepare
+from lexgrove.operators.index import SearchIndex, prepare, ranked
+from lexgrove.operators.natural_order import SegmentOrders
 from lexgrove.shared import shared_folder
+from lexgrove.sources.files import Folder
 
 ENTRY = "id bigint, search_text string, sort_text string, facets map<string,bigint>"
-EMPTY = "id bigint, ordinal bigint, search_text string, sort_text string, norm string, tokens array<string>"
+ROW = "id bigint, ordinal bigint, search_text string, sort_text string, norm string, tokens array<string>"
+GONE = "id bigint, ordinal bigint"
+#: Segments of a size that become one, and rows up to which segments are of the least size.
+FANOUT, LEAST = 8, 1000
+#: Ids of removed rows, up to which they are broadcast to where rows are read.
+MOST_SENT = 500_000
+#: Sequence numbers of a change that are far apart become dense ones beyond this range.
+SPREAD = 1 << 40
+ATTEMPTS = 40
 
 
 def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -> DataFrame:
@@ -31,92 +55,240 @@ def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -
     return spark.createDataFrame([(*r, n) for n, r in enumerate(full)], ENTRY + ", seq bigint")
 
 
-class IndexStore:
+@dataclass(frozen=True)
+class Segment:
+    """Rows of one change or merge, and the number of older rows that it took away."""
+
+    name: str
+    rows: int
+    gone: int = 0
+    facets: tuple[str, ...] = ()
+
+    @property
+    def level(self) -> int:
+        return int(math.log(max(self.rows + self.gone, LEAST) / LEAST, FANOUT))
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a version's file says. ``next`` is the place of the next new document; ``ledger`` is what feeds have published."""
+
+    number: int = -1
+    segments: tuple[Segment, ...] = ()
+    entries: int = 0
+    next: int = 0
+    ledger: dict[str, dict] = field(default_factory=dict)
+
+    @property
+    def facets(self) -> list[str]:
+        return sorted({f for s in self.segments for f in s.facets})
+
+    def text(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def of(cls, text: str) -> Version:
+        said = json.loads(text)
+        return cls(**said | {"segments": tuple(Segment(**s | {"facets": tuple(s["facets"])}) for s in said["segments"])})
+
+
+def due_for_merge(segments: tuple[Segment, ...]) -> int | None:
+    """The first of the newest segments that are to become one: those of a level, and smaller ones after them."""
+    for level in sorted({s.level for s in segments}):
+        at = len(segments)
+        while at and segments[at - 1].level <= level:
+            at -= 1
+        if sum(s.level == level for s in segments[at:]) >= FANOUT:
+            return at
+    return None
+
+
+class IndexStore(Folder):
     """An index that can be changed; ``current`` is the published version."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, preset: Tokenization = DEFAULT):
-        self.spark, self.preset = spark, preset
-        self.path = (path or f"{shared_folder(spark)}/lexgrove-index-{uuid.uuid4().hex}").rstrip("/")
-        self._lock, self._current = threading.RLock(), None
-        self.version = self._published()
-
-    # -- files -------------------------------------------------------------------------------------
-    def _fs(self, name: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _published(self) -> int:
-        return int(self.read("CURRENT")) if self.exists("CURRENT") else -1
-
-    def exists(self, name: str) -> bool:
-        fs, p = self._fs(name)
-        return fs.exists(p)
-
-    def numbers(self, name: str, before: str = "") -> list[int]:
-        """The numbers that follow ``before`` in the names within a folder."""
-        fs, p = self._fs(name)
-        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-        return [int(n[len(before) :]) for n in names if n.startswith(before) and n[len(before) :].isdigit()]
-
-    def read(self, name: str) -> str:
-        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
-
-    def write(self, name: str, text: str) -> None:
-        """A small file that is there as a whole or not at all."""
-        fs, new = self._fs(f"{name.rpartition('/')[0]}/.new-{uuid.uuid4().hex}".lstrip("/"))
-        out = fs.create(new, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        _, last = self._fs(name)
-        context = self.spark.sparkContext
-        hadoop = context._jvm.org.apache.hadoop.fs
-        over = context._gateway.new_array(hadoop.Options.Rename, 1)
-        over[0] = hadoop.Options.Rename.OVERWRITE
-        hadoop.FileContext.getFileContext(last.toUri(), context._jsc.hadoopConfiguration()).rename(new, last, over)
-
-    def delete(self, name: str) -> None:
-        fs, p = self._fs(name)
-        fs.delete(p, True)
+        super().__init__(spark, path or f"{shared_folder(spark)}/lexgrove-index-{uuid.uuid4().hex}")
+        self.preset = preset
+        self._lock, self._writing, self._written = threading.RLock(), threading.RLock(), []
+        self._version, self._current = Version(), None
+        self.refresh()
+
+    # -- versions ----------------------------------------------------------------------------------
+    def refresh(self) -> Version:
+        """Look for newer versions."""
+        with self._lock:
+            at = newest = self._version.number
+            if at < 0 or not self.exists(f"v={at}"):  # the first time, or where versions have been removed
+                newest = max(self.numbers("", "v="), default=-1)
+            while self.exists(f"v={newest + 1}"):
+                newest += 1
+            if newest > at:
+                self._adopt(Version.of(self.read(f"v={newest}")))
+            return self._version
+
+    def _adopt(self, version: Version) -> None:
+        with self._lock:
+            if version.number > self._version.number:
+                self._version, self._current = version, None
 
-    def expire(self, keep: int = 2) -> None:
-        """Remove all but the last versions; readers of removed ones fail."""
-        for version in self.numbers("", "v="):
-            if version <= self.version - keep:
-                self.delete(f"v={version}")
-
-    def _publish(self, docs: DataFrame) -> SearchIndex:
-        version = self.version + 1
-        docs.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.write("CURRENT", str(version))
-        self.version, self._current = version, None
-        return self.current
+    @property
+    def version(self) -> int:
+        return self.refresh().number
 
     @property
     def current(self) -> SearchIndex:
         """The published version. It stays readable when newer ones come."""
         with self._lock:
+            version = self.refresh()
             if self._current is None:
-                docs = self.spark.createDataFrame([], EMPTY) if self.version < 0 else self.spark.read.parquet(f"{self.path}/v={self.version}")
-                self._current = SearchIndex(docs, self.preset)
+                held = [s.name for s in version.segments if s.rows]
+                self._current = SearchIndex(self._docs(version.segments), self.preset, SegmentOrders(self, held) if held else None)
             return self._current
 
+    def _change(self, make: Callable[[Version], Version | None]) -> Version | None:
+        """Publish what ``make`` makes of the newest version; again, if another writer came before."""
+        with self._writing:
+            for attempt in range(ATTEMPTS):
+                self._written, old = [], self.refresh()
+                new, kept = make(old), set()
+                try:
+                    if new is None:
+                        return None
+                    new = replace(new, number=old.number + 1)
+                    if self.claim(f"v={new.number}", new.text()):
+                        self._adopt(new)
+                        kept = {s.name for s in new.segments}
+                        return new
+                finally:
+                    for name in set(self._written) - kept:  # of an attempt that lost, or merged at once
+                        self.delete(f"segments/{name}")
+                time.sleep(random.random() * min(2.0, 0.02 * 2**attempt))
+            raise RuntimeError(f"{self.path}: other writers came before {ATTEMPTS} times")
+
+    def expire(self, keep: int = 2) -> None:
+        """Remove all but the last versions, and segments that only they had; readers of removed ones fail."""
+        newest = self.refresh().number
+        numbers = self.numbers("", "v=")
+        known = {n: Version.of(self.read(f"v={n}")) for n in numbers}
+        held = {s.name for n, v in known.items() if n > newest - keep for s in v.segments}
+        for n, v in known.items():
+            if n <= newest - keep:
+                self.delete(f"v={n}")
+                for name in {s.name for s in v.segments} - held:
+                    for what in (f"segments/{name}", f"order/{name}", f"order/{name}.json"):
+                        self.delete(what)
+
+    # -- segments ----------------------------------------------------------------------------------
+    def _where(self, name: str, what: str = "rows") -> str:
+        return f"{self.path}/segments/{name}/{what}"
+
+    def _docs(self, segments: tuple[Segment, ...]) -> DataFrame:
+        """The rows that are there: those of each segment without what later ones took away."""
+        facets = sorted({f for s in segments for f in s.facets})
+        shape = T.StructType([*T.StructType.fromDDL(ROW).fields, *(T.StructField(PREFIX + f, T.LongType()) for f in facets)])
+        groups: list[tuple[list[Segment], list[Segment]]] = []  # segments, and those that took rows of them away
+        later: list[Segment] = []
+        for s in reversed(segments):
+            if s.rows:
+                if not groups or len(groups[-1][1]) != len(later):
+                    groups.append(([], list(later)))
+                groups[-1][0].append(s)
+            if s.gone:
+                later.append(s)
+        out = None
+        for held, takers in groups:
+            rows = self.spark.read.schema(shape).parquet(*(self._where(s.name) for s in held))
+            name = F.lit(held[0].name) if len(held) == 1 else F.regexp_extract("_metadata.file_path", "/segments/([0-9a-f]+)/rows/", 1)
+            rows = rows.withColumn("segment", name)
+            lacking = [f for f in facets if any(f not in s.facets for s in held)]
+            rows = rows.withColumns({PREFIX + f: F.coalesce(F.col(f"`{PREFIX}{f}`"), F.lit(0).cast("bigint")) for f in lacking})
+            if takers:
+                gone = self.spark.read.schema(GONE).parquet(*(self._where(s.name, "gone") for s in takers)).select("id")
+                few = sum(s.gone for s in takers) <= MOST_SENT
+                rows = rows.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], T.StructType([*shape.fields, T.StructField("segment", T.StringType())])) if out is None else out
+
+    def _write(self, df: DataFrame, name: str, what: str) -> int:
+        """Write a table of a segment; its rows."""
+        self._written.append(name)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(self._where(name, what))
+        return seen.get.get("rows", 0)
+
+    def _merged(self, segments: tuple[Segment, ...]) -> tuple[Segment, ...]:
+        """The segments, the newest of them as one if it is time."""
+        first = due_for_merge(segments)
+        if first is None:
+            return segments
+        newest, name = segments[first:], uuid.uuid4().hex
+        rows = self._docs(newest).drop("segment").sortWithinPartitions("id")
+        n = self._write(rows, name, "rows") if any(s.rows for s in newest) else 0
+        takers, gone = [s for s in newest if s.gone], 0
+        if takers and first:  # without older segments nothing is left to take away
+            gone = self._write(self.spark.read.schema(GONE).parquet(*(self._where(s.name, "gone") for s in takers)).dropDuplicates(["id"]), name, "gone")
+        facets = tuple(sorted({f for s in newest for f in s.facets}))
+        return self._merged((*segments[:first], Segment(name, n, gone, facets)) if n or gone else segments[:first])
+
     # -- changes -----------------------------------------------------------------------------------
-    def _rows(self, new: DataFrame, known: Iterable[str] = ()) -> DataFrame:
-        """Prepared rows of entries, the last of each id, in the order of first arrival."""
-        if "seq" not in new.columns:
-            new = new.withColumn("seq", F.monotonically_increasing_id())
+    @staticmethod
+    def _entries(new: DataFrame) -> DataFrame:
+        seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(0).cast("bigint")) if "seq" in new.columns else F.monotonically_increasing_id()
+        new = new.withColumn("seq", seq)
         for name, kind in (("sort_text", "string"), ("facets", "map<string,bigint>")):
             if name not in new.columns:
                 new = new.withColumn(name, F.lit(None).cast(kind))
+        return new
+
+    @staticmethod
+    def _told(new: DataFrame):
+        """Range of ids and sequence numbers, and the names of facets, of which there are few by nature."""
+        names = F.array_distinct(F.flatten(F.collect_set(F.map_keys("facets"))))
+        return new.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("seq").alias("first"), F.max("seq").alias("last"), names.alias("facets")).first()
+
+    def _dense(self, new: DataFrame) -> DataFrame:
+        """Entries with dense sequence numbers in the same order."""
+        order = new.groupBy("id").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+        places = ranked(order.select("id", "_first"), ["_first", "id"])
+        last = new.join(order, "id").where(F.col("seq").eqNullSafe(F.col("_last")))
+        return last.join(places, "id").withColumn("seq", F.col("rank")).drop("_first", "_last", "rank")
+
+    def _append(self, old: Version, new: DataFrame, told, base: tuple[Segment, ...], entries: int, next: int) -> Version:
+        """A version with a segment of the entries after ``base``."""
+        name, names = uuid.uuid4().hex, tuple(sorted(told.facets))
         held = [c for c in new.columns if c != "id"]
-        last = new.groupBy("id").agg(F.max_by(F.struct(*held), "seq").alias("e"), F.min("seq").alias("first")).select("id", "e.*", "first")
-        names = sorted({*facet_names(last, "facets"), *known})
-        return prepare(last, sort="sort_text", facets="facets", ordinal="first", preset=self.preset, names=names)
+        last = new.groupBy("id").agg(F.max_by(F.struct(*held), "seq").alias("e"), F.min("seq").alias("first")).select("id", "e.*", F.col("first"))
+        last, gone = last.withColumn("place", F.col("first") - F.lit(told.first) + F.lit(next)), 0
+        if base:
+            there = self._docs(base).where(F.col("id").between(told.low, told.high)).select("id", "ordinal")
+            gone = self._write(there.join(new.select("id").distinct(), "id", "left_semi"), name, "gone")
+            if gone:
+                places = self.spark.read.schema(GONE).parquet(self._where(name, "gone")).withColumnRenamed("ordinal", "_old")
+                last = last.join(places, "id", "left").withColumn("place", F.coalesce("_old", "place"))
+        rows = prepare(last, sort="sort_text", facets="facets", ordinal="place", preset=self.preset, names=names)
+        n = self._write(rows.sortWithinPartitions("id"), name, "rows")
+        segments = self._merged((*base, Segment(name, n, gone, names)))
+        return replace(old, segments=segments, entries=entries + n - gone, next=next + told.last - told.first + 1)
 
     def rebuild(self, new: DataFrame) -> SearchIndex:
         """Replace everything by the entries (id, search_text[, sort_text, facets, seq])."""
-        with self._lock:
-            return self._publish(self._rows(new))
+        new, told = self._ready(new)
+
+        def make(old: Version) -> Version:
+            if told.low is None:
+                return replace(old, segments=(), entries=0, next=0)
+            return self._append(old, new, told, (), 0, 0)
+
+        self._change(make)
+        return self.current
+
+    def _ready(self, new: DataFrame):
+        new = self._entries(new.where("id IS NOT NULL"))
+        told = self._told(new)
+        if told.low is not None and told.last - told.first >= SPREAD:
+            new = self._dense(new)
+            told = self._told(new)
+        return new, told
 
     def rebuild_from_stream(self, stream: DataFrame) -> SearchIndex:
         """Drain what a streaming source has, and rebuild once from it; the last entry of an id holds."""
@@ -128,33 +300,38 @@ class IndexStore:
         stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{landed}-checkpoint").trigger(availableNow=True).start().awaitTermination()
         return self.rebuild(self.spark.read.parquet(landed).drop("batch"))
 
-    def upsert(self, new: DataFrame) -> SearchIndex:
-        """Add or replace entries; one publish."""
-        with self._lock:
-            old = self.current.docs
-            fresh = self._rows(new, self.current.facets)
-            last = old.agg(F.coalesce(F.max("ordinal"), F.lit(-1))).first()[0]
-            place = old.select("id", F.col("ordinal").alias("_old"))
-            fresh = fresh.join(place, "id", "left").withColumn("ordinal", F.coalesce("_old", F.col("ordinal") + last + 1)).drop("_old")
-            kept = old.join(new.select("id").distinct(), "id", "left_anti")
-            for c in fresh.columns:
-                if c.startswith(PREFIX) and c not in kept.columns:
-                    kept = kept.withColumn(c, F.lit(0).cast("bigint"))
-            return self._publish(kept.select(*fresh.columns).union(fresh))
+    def upsert(self, new: DataFrame, note: tuple[str, dict] | None = None) -> SearchIndex:
+        """Add or replace entries; one publish. ``note`` is what a feed has published with it, by the feed's name."""
+        new, told = self._ready(new)
+
+        def make(old: Version) -> Version:
+            out = old if told.low is None else self._append(old, new, told, old.segments, old.entries, old.next)
+            return replace(out, ledger=old.ledger | {note[0]: note[1]}) if note else out
+
+        self._change(make)
+        return self.current
 
     def remove(self, ids: Iterable[int] | DataFrame) -> int:
         """Delete entries; the number that there were. Nothing is published for none."""
-        with self._lock:
-            gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(int(i),) for i in ids], "id bigint")
-            old = self.current.docs
-            n = old.join(gone.select("id").distinct(), "id", "left_semi").count()
-            if n:
-                self._publish(old.join(gone.select("id"), "id", "left_anti"))
-            return n
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(int(i),) for i in ids], "id bigint")
+        gone, took = gone.select(F.col("id").cast("bigint").alias("id")).distinct(), [0]
+
+        def make(old: Version) -> Version | None:
+            took[0] = 0
+            if not old.segments:
+                return None
+            name = uuid.uuid4().hex
+            took[0] = self._write(self._docs(old.segments).select("id", "ordinal").join(gone, "id", "left_semi"), name, "gone")
+            if not took[0]:
+                return None
+            return replace(old, segments=self._merged((*old.segments, Segment(name, 0, took[0]))), entries=old.entries - took[0])
+
+        self._change(make)
+        return took[0]
 
     def clear(self) -> SearchIndex:
-        with self._lock:
-            return self._publish(self.spark.createDataFrame([], EMPTY))
+        self._change(lambda old: replace(old, segments=(), entries=0, next=0))
+        return self.current
 
     # -- single entries ----------------------------------------------------------------------------
     def rebuild_from(self, rows: Mapping[int, object]) -> SearchIndex:
@@ -168,7 +345,7 @@ class IndexStore:
 
     def refresh_entry(self, id: int, entry: object) -> bool:
         """Add or replace an entry; whether it was there."""
-        with self._lock:
+        with self._writing:
             was = self.contains(id)
             self.add_entry(id, entry)
             return was
@@ -180,31 +357,57 @@ class IndexStore:
         return self.remove(ids)
 
     def entry_count(self) -> int:
-        return self.current.docs.count()
+        return self.refresh().entries
 
     def contains(self, id: int) -> bool:
-        return not self.current.docs.where(F.col("id") == id).isEmpty()
+        return not self.current.docs.where(F.col("id") == id).select("id").isEmpty()
 
 
 class Registry:
-    """Independent indexes by name; an index is made when first asked for."""
+    """Independent indexes by name. With a folder names are kept there: another driver opens an index by its name."""
 
     def __init__(self, spark: SparkSession, base: str | None = None):
         self.spark, self.base, self._stores, self._lock = spark, base, {}, threading.Lock()
+        self._names = Folder(spark, f"{base}/.names") if base else None
+
+    @staticmethod
+    def _file(name: str) -> str:
+        return "index-" + name.encode().hex()
+
+    def _path(self, name: str) -> str | None:
+        plain = name or "default"
+        return f"{self.base}/{plain if re.fullmatch('[A-Za-z0-9_-][A-Za-z0-9_.-]*', plain) else self._file(name)}" if self.base else None
 
     def register(self, name: str = "", preset: Tokenization = DEFAULT, initial: Mapping[int, object] | None = None) -> IndexStore:
         """A new index under a name; later changes start from the initial entries."""
         with self._lock:
-            if name in self._stores:
+            taken = name in self._stores
+            if self._names and not taken:
+                said = {"name": name, "index": preset.index, "query": preset.query, "path": self._path(name)}
+                taken = not self._names.claim(self._file(name), json.dumps(said))
+            if taken:
                 raise ValueError(f"there is an index {name!r}")
-            store = self._stores[name] = IndexStore(self.spark, f"{self.base}/{name or 'default'}" if self.base else None, preset)
+            store = self._stores[name] = IndexStore(self.spark, self._path(name), preset)
         if initial:
             store.rebuild_from(initial)
         return store
 
     def __getitem__(self, name: str) -> IndexStore:
-        return self._stores[name]
+        with self._lock:
+            if name not in self._stores:
+                if not self._names or not self._names.exists(self._file(name)):
+                    raise KeyError(name)
+                said = json.loads(self._names.read(self._file(name)))
+                self._stores[name] = IndexStore(self.spark, said["path"], Tokenization(said["index"], said["query"]))
+            return self._stores[name]
+
+    def names(self) -> list[str]:
+        kept = [bytes.fromhex(n.removeprefix("index-")).decode() for n in self._names.names() if n.startswith("index-")] if self._names else []
+        return sorted({*self._stores, *kept})
 
     def transient(self, preset: Tokenization = DEFAULT) -> IndexStore:
         """An index that no one else sees."""
         return IndexStore(self.spark, None, preset)
+
+
+__all__ = ["ENTRY", "IndexStore", "Registry", "Segment", "Version", "due_for_merge", "entries", "shared_folder"]

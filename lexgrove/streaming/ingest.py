@@ -5,14 +5,15 @@ entries become a new version of the index, by number or by time. A timer asks it
 arrives. Pending entries that a batch bound splits are published in arrival order: a landed row has its
 place, so a slice is a filter. The source's own limits bound what is pending.
 
-What has been published is written down under the number of the version it became, before that version
-is named. A run that starts again on the same store goes on from there: landed entries are pending again,
-and a micro-batch that comes again is known by its number.
+What has been published of a feed is said in the version that has it, by the id of the streaming query and the number of
+the micro-batch. A run that starts again on the same store and checkpoint goes on from there: landed entries are pending
+again, and a micro-batch that comes again is known by its number. Another feed, or another
+checkpoint, is another query. Entries wait from when they came: a feed may say so in a column ``arrived``; otherwise it is
+when they landed.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import threading
 import time
@@ -139,19 +140,26 @@ class Controller:
 
 @dataclass
 class _Part:
-    """Rows ``first`` to ``size`` of a landed micro-batch are pending since ``at``."""
+    """Rows ``first`` to ``size`` of a landed micro-batch are pending. ``tasks`` has the number of each task that wrote it, the rows of those before, and when its oldest entry came."""
 
     number: int
     first: int
     size: int
-    at: float
+    tasks: list[tuple[int, int, float]]
+
+    @property
+    def at(self) -> float:
+        """When the oldest of its pending entries came, to the task."""
+        return min(at for (_, _, at), (_, end, _) in zip(self.tasks, [*self.tasks[1:], (0, self.size, 0.0)]) if end > self.first)
 
 
 class Ingestion:
-    """Feeds a stream (id, search_text[, sort_text, facets]) into a store; one run at a time.
+    """Feeds a stream (id, search_text[, sort_text, facets, arrived]) into a store; one run at a time.
 
-    The landed tables, the checkpoint and what has been published lie in the store's folder, so that a
-    new object on the same store goes on where a run has ended, in whatever way.
+    The landed tables and the checkpoint lie in the store's folder, by the id that the checkpoint gives the
+    query, and what has been published of each query is in the store's versions. So a new object on the same store goes on where
+    a run has ended, in whatever way, and another feed, or the same one read from its beginning under another
+    checkpoint, has its own numbers.
     """
 
     def __init__(self, store: IndexStore, options: Options | None = None, on_published: Callable[[Published], None] | None = None, on_progress: Callable[[Progress], None] | None = None, now: Callable[[], float] = time.monotonic):
@@ -160,11 +168,15 @@ class Ingestion:
         self._query: StreamingQuery | None = None
         self._lock = threading.RLock()
         self._changed = threading.Condition(self._lock)
+        self._ready = threading.Event()
         self._started = self._closed = False
         self._failure: BaseException | None = None
 
-    def start(self, stream: DataFrame, checkpoint: str | None = None, available_now: bool = False, trigger: str | None = None) -> StreamingQuery:
-        """Begin; by default micro-batches follow each other as fast as they can."""
+    def start(self, stream: DataFrame, checkpoint: str | None = None, available_now: bool = False, trigger: str | None = None, source: str = "default") -> StreamingQuery:
+        """Begin; by default micro-batches follow each other as fast as they can.
+
+        Without a checkpoint of its own a feed has one in the store by the name of the ``source``.
+        """
         with self._lock:
             if self._started:
                 raise RuntimeError("this ingestion has run or is running")
@@ -174,79 +186,105 @@ class Ingestion:
         self.rebuild_seconds = self.worst = 0.0
         self._parts: list[_Part] = []
         self._last = -1  # number of the last micro-batch that has landed
-        self._base = f"{self.store.path}/pending"
-        self._recover()
-        writer = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint or f"{self._base}-checkpoint")
+        writer = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint or f"{self.store.path}/feeds/{source}")
         if available_now:
             writer = writer.trigger(availableNow=True)
         elif trigger:
             writer = writer.trigger(processingTime=trigger)
         self._query = writer.start()
+        try:
+            self._id = str(self._query.id)
+            self._recover()
+        except BaseException as e:
+            self._failure = e
+            raise
+        finally:
+            self._ready.set()  # micro-batches have waited for this
         self._timer = threading.Thread(target=self._watch, name="lexgrove-ingestion-timer", daemon=True)
         self._timer.start()
         return self._query
 
     # -- what has landed ---------------------------------------------------------------------------
+    def _name(self, number: int) -> str:
+        return f"pending/{self._id}/batch={number}"
+
     def _path(self, number: int) -> str:
-        return f"{self._base}/batch={number}"
+        return f"{self.store.path}/{self._name(number)}"
 
     def _recover(self) -> None:
-        """Pending entries of earlier runs: what has landed and is not in the published version."""
-        done = {"batch": 0, "row": 0, "published": 0, "publishes": 0}
-        said = [v for v in self.store.numbers("pending-progress") if v <= self.store.version]
-        if said:
-            done = json.loads(self.store.read(f"pending-progress/{max(said)}"))
+        """Pending entries of earlier runs of this query: what has landed and is not in the published version."""
+        done = {"batch": 0, "row": 0, "published": 0, "publishes": 0} | self.store.refresh().ledger.get(self._id, {})
         self.published, self.publishes = done["published"], done["publishes"]
-        for number in sorted(n for n in self.store.numbers("pending", "batch=") if self.store.exists(f"pending/batch={n}/_SUCCESS")):
+        for number in sorted(n for n in self.store.numbers(f"pending/{self._id}", "batch=") if self.store.exists(f"{self._name(n)}/_SUCCESS")):
             self._last = max(self._last, number)
-            first = done["row"] if number == done["batch"] else 0
-            if number >= done["batch"]:
-                size = self._sizes(number)[1]
-                if size > first:
-                    self._parts.append(_Part(number, first, size, self.now()))
-                    self.pending += size - first
+            if number < done["batch"]:
+                self.store.delete(self._name(number))  # published, and then the run was lost
+                continue
+            part = self._landed(number, done["row"] if number == done["batch"] else 0)
+            if part.size > part.first:
+                self._parts.append(part)
+                self.pending += part.size - part.first
         self._last = max(self._last, done["batch"] - 1)
         self.accepted = self.published + self.pending
 
-    def _sizes(self, number: int) -> tuple[list[tuple[int, int]], int]:
-        """(task, rows of the tasks before it) of a landed table, and its rows."""
-        before, total = [], 0
-        for r in self.store.spark.read.parquet(self._path(number)).groupBy("_task").agg(F.count("*").alias("n")).orderBy("_task").collect():  # a row for each task
-            before.append((r["_task"], total))
+    def _landed(self, number: int, first: int = 0) -> _Part:
+        """A landed table as what is pending."""
+        tasks, total, wall = [], 0, time.time()
+        for r in self.store.spark.read.parquet(self._path(number)).groupBy("_task").agg(F.count("*").alias("n"), F.min("_arrived").alias("at")).orderBy("_task").collect():  # a row for each task
+            tasks.append((r["_task"], total, self.now() - max(0.0, wall - r["at"])))
             total += r["n"]
-        return before, total
+        return _Part(number, first, total, tasks)
 
-    def _land(self, batch: DataFrame, number: int) -> int:
+    def _land(self, batch: DataFrame, number: int) -> _Part:
         """Write a micro-batch in arrival order; a row's place is its task and its place there."""
         if "seq" not in batch.columns:
             batch = batch.withColumn("seq", F.monotonically_increasing_id())
+        came = F.lit(time.time())
+        batch = batch.withColumn("_arrived", F.coalesce(F.unix_micros(F.col("arrived").cast("timestamp")) / 1e6, came) if "arrived" in batch.columns else came).drop("arrived")
         placed = batch.repartitionByRange("seq", "id").sortWithinPartitions("seq", "id").withColumn("_at", F.monotonically_increasing_id())
         placed.withColumns({"_task": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit(2**33 - 1))}).drop("_at").write.mode("overwrite").parquet(self._path(number))
-        return self._sizes(number)[1]
-
-    def _slice(self, part: _Part, end: int) -> DataFrame:
-        """Rows from the part's first one to ``end``, with their place in the whole feed as ``seq``."""
-        spark = self.store.spark
-        before = F.broadcast(spark.createDataFrame(self._sizes(part.number)[0], "_task bigint, _before bigint"))  # a row for each task
-        rows = spark.read.parquet(self._path(part.number)).join(before, "_task").withColumn("_place", F.col("_before") + F.col("_nth"))
-        rows = rows.where(F.col("_place").between(part.first, end - 1))
-        return rows.withColumn("seq", F.lit(part.number).cast("bigint") * 2**40 + F.col("_place")).drop("_task", "_nth", "_before", "_place")
+        return self._landed(number)
+
+    def _slice(self, part: _Part, end: int, before: int) -> DataFrame:
+        """Rows from the part's first one to ``end``, with ``seq`` counting them after ``before`` others.
+
+        What is asked for is a range within a task, or of tasks, so that a scan reads no more than that.
+        """
+        spans = []  # task, its first and last wanted rows, and what its rows are counted from
+        for (task, base, _), (_, stop, _) in zip(part.tasks, [*part.tasks[1:], (0, part.size, 0.0)]):
+            low, high = max(part.first, base), min(end, stop)
+            if low < high:
+                spans.append((task, low - base, high - 1 - base, base - part.first + before))
+        (t1, low, high1, _), (t2, _, high, _) = spans[0], spans[-1]
+        task, nth = F.col("_task"), F.col("_nth")
+        if len(spans) == 1:
+            wanted = (task == t1) & nth.between(low, high1)
+        else:
+            wanted = ((task == t1) & (nth >= low)) | ((task > t1) & (task < t2)) | ((task == t2) & (nth <= high))
+        rows = self.store.spark.read.parquet(self._path(part.number)).where(wanted)
+        if len(spans) == 1:
+            counted = rows.withColumn("_from", F.lit(spans[0][3]).cast("bigint"))
+        else:
+            table = self.store.spark.createDataFrame([(s[0], s[3]) for s in spans], "_task bigint, _from bigint")
+            counted = rows.join(F.broadcast(table), "_task")  # a row for each task
+        return counted.withColumn("seq", F.col("_from") + nth).drop("_task", "_nth", "_from", "_arrived")
 
     # -- when to publish ---------------------------------------------------------------------------
     def _oldest(self) -> float | None:
-        return self._parts[0].at if self._parts else None
+        return min((p.at for p in self._parts), default=None)
 
     def _batch(self, batch: DataFrame, number: int) -> None:
+        self._ready.wait()
         with self._lock:
             if self._failure:
                 raise self._failure
             if number > self._last:
-                n = self._land(batch, number)
+                part = self._land(batch, number)
                 self._last = number
-                self.accepted += n
-                if n:
-                    self._parts.append(_Part(number, 0, n, self.now()))
-                    self.pending += n
+                self.accepted += part.size
+                if part.size:
+                    self._parts.append(part)
+                    self.pending += part.size
             bound = self.controller.bound()
             while bound is not None and self.pending >= bound:
                 self._publish(bound)
@@ -277,24 +315,20 @@ class Ingestion:
         while rest:
             part = taken[0]
             m = min(rest, part.size - part.first)
-            slices.append(self._slice(part, part.first + m))
+            slices.append(self._slice(part, part.first + m, n - rest))
             self.worst = max(self.worst, began - part.at)
             rest -= m
-            taken[0] = _Part(part.number, part.first + m, part.size, part.at)
+            taken[0] = _Part(part.number, part.first + m, part.size, part.tasks)
             if taken[0].first == part.size:
                 del taken[0]
         at = (taken[0].number, taken[0].first) if taken else (self._last + 1, 0)
         said = {"batch": at[0], "row": at[1], "published": self.published + n, "publishes": self.publishes + 1}
-        self.store.write(f"pending-progress/{self.store.version + 1}", json.dumps(said))
         out = slices[0]
         for s in slices[1:]:
             out = out.unionByName(s)
-        self.store.upsert(out)
+        self.store.upsert(out, note=(self._id, said))
         for old in {p.number for p in self._parts} - {p.number for p in taken}:
-            self.store.delete(f"pending/batch={old}")
-        for old in self.store.numbers("pending-progress"):
-            if old < self.store.version:
-                self.store.delete(f"pending-progress/{old}")
+            self.store.delete(self._name(old))
         self._parts = taken
         took = self.now() - began
         self.pending -= n

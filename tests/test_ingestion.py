@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.operators.facets import Range
 from lexgrove.sources.store import IndexStore
+from lexgrove.streaming import ingest
 from lexgrove.streaming.ingest import Controller, Ingestion, Options, Policy, publish_plan
 
 
@@ -156,3 +157,77 @@ def test_versions_expire(spark, tmp_path):
         store.add_entry(i, f"word{i}")
     store.expire(2)
     assert sorted(store.numbers("", "v=")) == [2, 3] and store.entry_count() == 4 and IndexStore(spark, store.path).entry_count() == 4
+
+
+def rows_in(spark, folder, rows):
+    df = spark.createDataFrame([(i, f"word{i}", i) for i in rows], "id bigint, search_text string, seq bigint")
+    df.coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(df.schema).parquet(str(folder))
+
+
+def test_another_feed_and_another_checkpoint(spark, tmp_path):
+    """Each checkpoint has numbers of its own: what a second feed brings is no repeat of the first one's."""
+    store, results = IndexStore(spark, str(tmp_path / "index")), []
+    options = Options(Policy.FIXED_BATCH, batch_size=4, max_staleness=1000)
+    for name, rows in (("a", range(10)), ("b", range(10, 20))):
+        ingestion = Ingestion(IndexStore(spark, store.path), options)
+        ingestion.start(rows_in(spark, tmp_path / name, rows), str(tmp_path / f"checkpoint-{name}"), available_now=True)
+        results.append(ingestion.finish())
+    assert [(r.accepted, r.published, r.publishes) for r in results] == [(10, 10, 3)] * 2 and results[1].indexed == 20
+    again = Ingestion(store, options)  # the first feed from its beginning, under a new checkpoint: its entries come again and replace
+    again.start(rows_in(spark, tmp_path / "a", [77]), available_now=True, source="again")
+    assert again.finish().accepted == 11 and store.entry_count() == 21
+    assert len(store.refresh().ledger) == 3
+    more = Ingestion(store, options)  # and the second one where it ended
+    more.start(rows_in(spark, tmp_path / "b", [88]), str(tmp_path / "checkpoint-b"), available_now=True)
+    result = more.finish()
+    assert (result.accepted, result.published, result.indexed) == (11, 11, 22)
+
+
+def test_two_feeds_at_once(spark, tmp_path):
+    path, out = str(tmp_path / "index"), []
+    both = [Ingestion(IndexStore(spark, path), Options(Policy.FIXED_BATCH, batch_size=3, max_staleness=1000)) for _ in range(2)]
+    for i, x in enumerate(both):
+        x.start(rows_in(spark, tmp_path / f"feed{i}", range(i * 100, i * 100 + 7)), available_now=True, source=f"feed{i}")
+    for x in both:
+        out.append(x.finish())
+    assert [(r.accepted, r.published) for r in out] == [(7, 7)] * 2 and IndexStore(spark, path).entry_count() == 14
+
+
+def test_places_do_not_grow_with_the_number_of_the_batch(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    ingestion = Ingestion(store, Options(Policy.FIXED_BATCH, batch_size=5, max_staleness=1000))
+    ingestion.start(rows_in(spark, tmp_path / "feed", range(10)), available_now=True)
+    ingestion._query.awaitTermination()
+    for number in (5_000, 2**40):
+        ingestion._batch(spark.createDataFrame([(number + i, "late", i) for i in range(5)], "id bigint, search_text string, seq bigint"), number)
+    assert ingestion.finish().published == 20 and store.refresh().next == 20
+    assert sorted(x.ordinal for x in store.current.docs.select("ordinal").collect()) == list(range(20))
+
+
+def test_staleness_counts_from_when_an_entry_came(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"word{i}", i) for i in range(6)], "id bigint, search_text string, seq bigint")
+    df = df.withColumn("arrived", F.current_timestamp() - F.expr("make_interval(0, 0, 0, 0, 0, 100 - id, 0)"))
+    df.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream, store = spark.readStream.schema(df.schema).parquet(str(tmp_path / "feed")), IndexStore(spark, str(tmp_path / "index"))
+    options = Options(Policy.FIXED_BATCH, batch_size=4, max_staleness=10**6, flush_on_stop=False)
+    first = Ingestion(store, options)
+    first.start(stream, str(tmp_path / "checkpoint"))
+    assert waiting(lambda: first.published == 4)
+    result = first.stop()
+    assert 100 * 60 <= result.worst_staleness < 102 * 60 and result.published == 4
+    second = Ingestion(store, options)
+    second.start(stream, str(tmp_path / "checkpoint"), available_now=True)
+    result = second.finish()
+    assert 95 * 60 <= result.worst_staleness < 103 * 60 and result.published == 6 and store.entry_count() == 6
+
+
+def test_a_slice_reads_its_own_rows(spark, tmp_path):
+    ingestion = Ingestion(IndexStore(spark, str(tmp_path / "index")), Options(Policy.TIME_DEBOUNCE, min_interval=1000, max_staleness=1000))
+    ingestion.start(rows_in(spark, tmp_path / "feed", range(40)), available_now=True)
+    ingestion._query.awaitTermination()
+    part = ingestion._parts[0]
+    for first, end in ((0, 40), (0, 1), (7, 33), (39, 40)):
+        rows = ingestion._slice(ingest._Part(part.number, first, part.size, part.tasks), end, 100)
+        assert sorted((r.id, r.seq) for r in rows.collect()) == [(i, 100 + i - first) for i in range(first, end)]
+    assert ingestion.finish().published == 40
