@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from lexgrove.functions.natural_sort import natural_key
 from lexgrove.functions.text import DEFAULT, FILE_MASK, Tokenization, all_tokens, is_separator, name_tokens, tokens, words_by_length
 from lexgrove.operators import facets as fc
 from lexgrove.operators import postings as inverted
-from lexgrove.operators.index import NATURAL, SNAPSHOT, SearchIndex, ranked
+from lexgrove.operators.index import NATURAL, SNAPSHOT, SearchIndex
 from lexgrove.operators.matching import EXACT, REGEX, WITHIN
+from lexgrove.operators.ranks import ranked
 from lexgrove.sources.store import IndexStore, Registry
 from lexgrove.streaming.ingest import Ingestion, Options, Policy, publish_plan
 
@@ -217,30 +219,37 @@ def ingest_stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("ingest_stream_final", ingest_stream_final, "SELECT event_id AS id FROM events WHERE regexp_matches(lower(event_type), 'click|view')")
 
 
-def _plan(policy: Policy, batch: int, growing: bool = True) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        numbered = ranked(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), ["id"])
-        return numbered.select(publish_plan(F.col("rank"), policy, batch, growing).alias("sequence")).groupBy("sequence").agg(F.count("*").alias("entries"))
+_N = "(SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)"
 
-    return query
 
+def ingest_plan_per_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which publish each event would land if each had its own; ``ingest_run_per_entry`` publishes so."""
+    numbered = ranked(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), ["id"])
+    return numbered.select(publish_plan(F.col("rank"), Policy.PER_ENTRY, 1).alias("sequence")).groupBy("sequence").agg(F.count("*").alias("entries"))
 
-_N = "(SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)"
-_add("ingest_plan_per_entry", _plan(Policy.PER_ENTRY, 1), f"SELECT n - 1 AS sequence, CAST(1 AS BIGINT) AS entries FROM {_N}")
-_add("ingest_plan_fixed", _plan(Policy.FIXED_BATCH, 400), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
-_add("ingest_plan_adaptive_growth", _plan(Policy.ADAPTIVE, 200), f"SELECT CAST(CASE WHEN n <= 200 THEN 0 ELSE ceil(log2(n / 200.0)) END AS BIGINT) AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
-_add("ingest_plan_adaptive_fixed", _plan(Policy.ADAPTIVE, 400, False), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
 
+_add("ingest_plan_per_entry", ingest_plan_per_entry, f"SELECT n - 1 AS sequence, CAST(1 AS BIGINT) AS entries FROM {_N}")
 
-def _run(table: str, id: str, text: str, options: Options) -> Query:
-    """The engine itself over a table as a stream: each publish with its entries and what is then indexed."""
+
+def _run(table: str, id: str, text: str, options: Options, timed: bool = False) -> Query:
+    """The engine itself over a table as a stream: each publish with its entries and what is then indexed.
+
+    ``timed``: the stream stays open until its timer has published what came; nothing is published at the end.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stream = spark.readStream.schema(_table(spark, sf_dir, table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+        rows = _table(spark, sf_dir, table)
+        stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
         store, events = IndexStore(spark), []
         ingestion = Ingestion(store, options, on_published=events.append)
-        ingestion.start(stream.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("search_text"), F.col(id).cast("bigint").alias("seq")), available_now=True)
-        ingestion.finish()
+        running = ingestion.start(stream.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("search_text"), F.col(id).cast("bigint").alias("seq")), available_now=not timed)
+        if timed:
+            n = rows.count()
+            while ingestion.published < n and running.isActive:
+                time.sleep(0.05)
+            ingestion.stop()
+        else:
+            ingestion.finish()
         said = spark.createDataFrame([(e.sequence, e.entries, e.indexed) for e in events], "sequence bigint, entries bigint, indexed bigint")
         # what is found is read from the published version
         return said.crossJoin(store.current.docs.agg(F.count("*").alias("found"), F.min("id").alias("first"), F.max("id").alias("last")))  # a row for each publish, and one
@@ -253,16 +262,26 @@ def _run_sql(table: str, id: str, sequence: str) -> str:
     SELECT sequence, entries, CAST(sum(entries) OVER (ORDER BY sequence) AS BIGINT) AS indexed, (SELECT count(*) FROM {table}) AS found, (SELECT min({id}) FROM {table}) AS first, (SELECT max({id}) FROM {table}) AS last FROM p"""
 
 
+def _published(options: Options) -> Query:
+    """All events through the engine: the entries of each publish."""
+    run = _run("events", "event_id", "event_type", options)
+    return lambda spark, sf_dir: run(spark, sf_dir).select("sequence", "entries")
+
+
 _LATE = {"max_staleness": 1e6}
+_add("ingest_plan_fixed", _published(Options(Policy.FIXED_BATCH, batch_size=400, **_LATE)), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
+_add("ingest_plan_adaptive_growth", _published(Options(batch_size=200, min_interval=1e6, **_LATE)), f"SELECT CAST(CASE WHEN n <= 200 THEN 0 ELSE ceil(log2(n / 200.0)) END AS BIGINT) AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
+_add("ingest_plan_adaptive_fixed", _published(Options(batch_size=400, growing_cap=False, min_interval=1e6, **_LATE)), f"SELECT (n - 1) // 400 AS sequence, count(*) AS entries FROM {_N} GROUP BY 1")
 for _name, _of, _how, _sequence in (
     ("per_entry", ("region", "r_regionkey", "r_name"), Options(Policy.PER_ENTRY, **_LATE), "n - 1"),
     ("fixed", ("supplier", "s_suppkey", "s_name"), Options(Policy.FIXED_BATCH, batch_size=30, **_LATE), "(n - 1) // 30"),
     ("adaptive_growth", ("supplier", "s_suppkey", "s_name"), Options(batch_size=5, min_interval=1e6, **_LATE), "CAST(CASE WHEN n <= 5 THEN 0 ELSE ceil(log2(n / 5.0)) END AS BIGINT)"),
     ("adaptive_fixed", ("supplier", "s_suppkey", "s_name"), Options(batch_size=30, growing_cap=False, min_interval=1e6, **_LATE), "(n - 1) // 30"),
-    ("time_debounce", ("nation", "n_nationkey", "n_name"), Options(Policy.TIME_DEBOUNCE, min_interval=1e6, **_LATE), "0"),
-    ("staleness", ("nation", "n_nationkey", "n_name"), Options(Policy.FIXED_BATCH, batch_size=10**6, max_staleness=1e-6), "0"),
+    ("time_debounce", ("events", "event_id", "event_type"), Options(Policy.TIME_DEBOUNCE, min_interval=1.0, flush_on_stop=False, **_LATE), "0"),
+    ("adaptive_timer", ("events", "event_id", "event_type"), Options(batch_size=10**9, min_interval=1.0, min_timer_batch=100, flush_on_stop=False, **_LATE), "0"),
+    ("staleness", ("events", "event_id", "event_type"), Options(Policy.FIXED_BATCH, batch_size=10**9, max_staleness=1.0, flush_on_stop=False), "0"),
 ):
-    _add(f"ingest_run_{_name}", _run(*_of, _how), _run_sql(_of[0], _of[1], _sequence))
+    _add(f"ingest_run_{_name}", _run(*_of, _how, timed=not _how.flush_on_stop), _run_sql(_of[0], _of[1], _sequence))
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> IndexStore:

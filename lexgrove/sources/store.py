@@ -57,12 +57,14 @@ def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -
 
 @dataclass(frozen=True)
 class Segment:
-    """Rows of one change or merge, and the number of older rows that it took away."""
+    """Rows of one change or merge, the number of older rows that it took away, and the range of its rows' ids."""
 
     name: str
     rows: int
     gone: int = 0
     facets: tuple[str, ...] = ()
+    low: int = 0
+    high: int = -1
 
     @property
     def level(self) -> int:
@@ -227,8 +229,9 @@ class IndexStore(Folder):
         takers, gone = [s for s in newest if s.gone], 0
         if takers and first:  # without older segments nothing is left to take away
             gone = self._write(self.spark.read.schema(GONE).parquet(*(self._where(s.name, "gone") for s in takers)).dropDuplicates(["id"]), name, "gone")
-        facets = tuple(sorted({f for s in newest for f in s.facets}))
-        return self._merged((*segments[:first], Segment(name, n, gone, facets)) if n or gone else segments[:first])
+        facets, held = tuple(sorted({f for s in newest for f in s.facets})), [s for s in newest if s.rows]
+        low, high = min((s.low for s in held), default=0), max((s.high for s in held), default=-1)
+        return self._merged((*segments[:first], Segment(name, n, gone, facets, low, high)) if n or gone else segments[:first])
 
     # -- changes -----------------------------------------------------------------------------------
     @staticmethod
@@ -259,7 +262,7 @@ class IndexStore(Folder):
         held = [c for c in new.columns if c != "id"]
         last = new.groupBy("id").agg(F.max_by(F.struct(*held), "seq").alias("e"), F.min("seq").alias("first")).select("id", "e.*", F.col("first"))
         last, gone = last.withColumn("place", F.col("first") - F.lit(told.first) + F.lit(next)), 0
-        if base:
+        if any(s.rows and s.low <= told.high and s.high >= told.low for s in base):
             there = self._docs(base).where(F.col("id").between(told.low, told.high)).select("id", "ordinal")
             gone = self._write(there.join(new.select("id").distinct(), "id", "left_semi"), name, "gone")
             if gone:
@@ -267,7 +270,7 @@ class IndexStore(Folder):
                 last = last.join(places, "id", "left").withColumn("place", F.coalesce("_old", "place"))
         rows = prepare(last, sort="sort_text", facets="facets", ordinal="place", preset=self.preset, names=names)
         n = self._write(rows.sortWithinPartitions("id"), name, "rows")
-        segments = self._merged((*base, Segment(name, n, gone, names)))
+        segments = self._merged((*base, Segment(name, n, gone, names, told.low, told.high)))
         return replace(old, segments=segments, entries=entries + n - gone, next=next + told.last - told.first + 1)
 
     def rebuild(self, new: DataFrame) -> SearchIndex:
@@ -300,8 +303,13 @@ class IndexStore(Folder):
         stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{landed}-checkpoint").trigger(availableNow=True).start().awaitTermination()
         return self.rebuild(self.spark.read.parquet(landed).drop("batch"))
 
-    def upsert(self, new: DataFrame, note: tuple[str, dict] | None = None) -> SearchIndex:
-        """Add or replace entries; one publish. ``note`` is what a feed has published with it, by the feed's name."""
+    def upsert(self, new: DataFrame) -> SearchIndex:
+        """Add or replace entries; one publish."""
+        self.publish(new)
+        return self.current
+
+    def publish(self, new: DataFrame, note: tuple[str, dict] | None = None) -> None:
+        """The same; ``note`` is what a feed has published with it, by the feed's name."""
         new, told = self._ready(new)
 
         def make(old: Version) -> Version:
@@ -309,7 +317,6 @@ class IndexStore(Folder):
             return replace(out, ledger=old.ledger | {note[0]: note[1]}) if note else out
 
         self._change(make)
-        return self.current
 
     def remove(self, ids: Iterable[int] | DataFrame) -> int:
         """Delete entries; the number that there were. Nothing is published for none."""

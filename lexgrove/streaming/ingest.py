@@ -18,7 +18,7 @@ import math
 import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -140,12 +140,13 @@ class Controller:
 
 @dataclass
 class _Part:
-    """Rows ``first`` to ``size`` of a landed micro-batch are pending. ``tasks`` has the number of each task that wrote it, the rows of those before, and when its oldest entry came."""
+    """Rows ``first`` to ``size`` of a landed micro-batch, ``rows``, are pending. ``tasks`` has the number of each task that wrote it, the rows of those before, and when its oldest entry came."""
 
     number: int
     first: int
     size: int
     tasks: list[tuple[int, int, float]]
+    rows: DataFrame
 
     @property
     def at(self) -> float:
@@ -230,10 +231,11 @@ class Ingestion:
     def _landed(self, number: int, first: int = 0) -> _Part:
         """A landed table as what is pending."""
         tasks, total, wall = [], 0, time.time()
-        for r in self.store.spark.read.parquet(self._path(number)).groupBy("_task").agg(F.count("*").alias("n"), F.min("_arrived").alias("at")).orderBy("_task").collect():  # a row for each task
+        rows = self.store.spark.read.parquet(self._path(number))
+        for r in rows.groupBy("_task").agg(F.count("*").alias("n"), F.min("_arrived").alias("at")).orderBy("_task").collect():  # a row for each task
             tasks.append((r["_task"], total, self.now() - max(0.0, wall - r["at"])))
             total += r["n"]
-        return _Part(number, first, total, tasks)
+        return _Part(number, first, total, tasks, rows)
 
     def _land(self, batch: DataFrame, number: int) -> _Part:
         """Write a micro-batch in arrival order; a row's place is its task and its place there."""
@@ -261,7 +263,7 @@ class Ingestion:
             wanted = (task == t1) & nth.between(low, high1)
         else:
             wanted = ((task == t1) & (nth >= low)) | ((task > t1) & (task < t2)) | ((task == t2) & (nth <= high))
-        rows = self.store.spark.read.parquet(self._path(part.number)).where(wanted)
+        rows = part.rows.where(wanted)
         if len(spans) == 1:
             counted = rows.withColumn("_from", F.lit(spans[0][3]).cast("bigint"))
         else:
@@ -318,7 +320,7 @@ class Ingestion:
             slices.append(self._slice(part, part.first + m, n - rest))
             self.worst = max(self.worst, began - part.at)
             rest -= m
-            taken[0] = _Part(part.number, part.first + m, part.size, part.tasks)
+            taken[0] = replace(part, first=part.first + m)
             if taken[0].first == part.size:
                 del taken[0]
         at = (taken[0].number, taken[0].first) if taken else (self._last + 1, 0)
@@ -326,7 +328,7 @@ class Ingestion:
         out = slices[0]
         for s in slices[1:]:
             out = out.unionByName(s)
-        self.store.upsert(out, note=(self._id, said))
+        self.store.publish(out, note=(self._id, said))
         for old in {p.number for p in self._parts} - {p.number for p in taken}:
             self.store.delete(self._name(old))
         self._parts = taken
