@@ -84,7 +84,11 @@ class SearchIndex:
 
     def find(self, text: str | None, method: str = EXACT, operators: bool = False, sort: str = SNAPSHOT, facets: Facets | Range | Mask | None = None) -> DataFrame:
         """Ids of the documents found, in snapshot order or in natural order with ties by id."""
-        found, order = self._ordered(self.matching(text, method, operators, facets), sort)
+        return self.in_order(self.matching(text, method, operators, facets), sort)
+
+    def in_order(self, found: DataFrame, sort: str = SNAPSHOT) -> DataFrame:
+        """Ids of rows of the index, in an order."""
+        found, order = self._ordered(found, sort)
         return found.orderBy(*order).select("id")
 
     def find_ranked(self, text: str | None, method: str = EXACT, operators: bool = False, sort: str = SNAPSHOT, facets: Facets | Range | Mask | None = None, limit: int | None = None) -> DataFrame:

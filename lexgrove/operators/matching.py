@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions.text import DEFAULT, Tokenization
 from lexgrove.operators.expression import fold_tree, parse
-from lexgrove.operators.patterns import bounded, repeats_groups
+from lexgrove.operators.patterns import bounded, quick
 
 EXACT, WITHIN, REGEX = "exact", "within", "regex"
 
@@ -90,8 +90,8 @@ def valid_pattern(spark: SparkSession, pattern: str) -> bool:
 
 
 def pattern_matches(pattern: str, tokens: str = "tokens") -> Column:
-    """Whether a regular expression is found in some token, whatever the case; see ``patterns`` for repeated groups."""
-    test = bounded(pattern) if repeats_groups(pattern) else None
+    """Whether a regular expression is found in some token, whatever the case; see ``patterns`` for who looks."""
+    test = None if quick(pattern) else bounded(pattern)
     if test is not None:
         return test(tokens)
     return F.exists(F.col(tokens), lambda t: t.rlike("(?iuU)" + pattern))

@@ -1,10 +1,12 @@
 """Regular expressions that a backtracking engine may never finish.
 
-Java's engine stays inside generated code and takes all patterns but those with a repeated group, such
-as ``(a+)+$``, whose steps can grow with a power of two of a token's length. These go to a linear
-engine, in Arrow batches of tokens. What that cannot express (lookaround, back references, word
-borders) goes to a backtracking engine with a limit of ``SECONDS`` for each token; a token at which
-the limit is reached does not match.
+Java's engine stays inside generated code and takes the patterns that repeat one character or class at
+most (``quick``): their steps are at most the square of a token's length. All others, such as ``(a+)+$`` or
+``a*a*a*b``, go to a linear engine, in Arrow batches of tokens. What that cannot express (lookaround,
+back references, word borders) goes to a backtracking engine with a limit of ``SECONDS`` for each
+token; a token at which the limit is reached does not match. Patterns that only Java's engine has stay there.
+
+``required`` is a piece of text that all matches contain, by which words are left out before any engine sees them.
 """
 
 from __future__ import annotations
@@ -31,6 +33,40 @@ def repeats_groups(pattern: str) -> bool:
     return re.search(r"\)[*+{]", plain) is not None
 
 
+def quick(pattern: str) -> bool:
+    """Whether a pattern has one repetition at most, and that of a single character or class."""
+    plain = re.sub(r"\\.", "x", pattern, flags=re.DOTALL)
+    plain = re.sub(r"\[\^?\]?[^\]]*\]", "x", plain)
+    plain = re.sub(r"\(\?", "(", plain)  # the mark of a special group repeats nothing
+    repeated = re.findall(r"(.)(?:[*+?]|\{\d*,?\d*\})[?+]?", plain, re.DOTALL)
+    return not repeated or (len(repeated) == 1 and repeated[0] != ")")
+
+
+#: Characters that no others match, whatever the case: of these a required piece is made.
+PLAIN = set("0123456789abcdefghjlmnopqrtuvwxyz")
+
+
+def required(pattern: str) -> str:
+    """The longest piece of lower-case text that each match has for certain; empty if none is known."""
+    if "|" in pattern or "\\Q" in pattern or re.search(r"\(\?[a-zA-Z-]", pattern):
+        return ""
+    parts, best, run, depth, until = PART.findall(pattern), "", "", 0, ""
+    for part, after in zip(parts, [*parts[1:], ""]):
+        if until:  # within a class or a number of times
+            until, run = "" if part == until else until, ""
+        elif part in "[{":
+            until, run = {"[": "]", "{": "}"}[part], ""
+        elif part.lower() in PLAIN and depth == 0:
+            if after in ("*", "?", "{"):
+                run = ""
+            else:
+                run += part.lower()
+                best = max(best, run, key=len)
+        else:
+            run, depth = "", depth + (part == "(") - (part == ")")
+    return best
+
+
 def linear(pattern: str) -> str | None:
     """The pattern as the linear engine has it, or None where it has no such pattern."""
     out, inside = [], False

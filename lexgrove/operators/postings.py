@@ -4,22 +4,26 @@
 A batch of queries tests its distinct terms on the vocabulary only, joins what matches with the
 postings, and gathers for each query and document which of the query's terms it has, as bits. For
 each query, the combinations of bits for which it holds are worked out beforehand.
+
+A single query on saved tables is planned by the vocabulary: it takes the postings of the words that match if
+they are fewer than the documents, and a scan of the documents otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import bigrams, normal_text
-from lexgrove.operators.expression import fold_tree, parse, terms
+from lexgrove.operators.expression import Term, fold_tree, parse, terms
 from lexgrove.operators.facets import Facets, Mask, Range
-from lexgrove.operators.index import SearchIndex
-from lexgrove.operators.matching import EXACT, REGEX, has_wildcards, least_length, term_matches, term_shape
+from lexgrove.operators.index import SNAPSHOT, SearchIndex
+from lexgrove.operators.matching import EXACT, REGEX, has_wildcards, least_length, pattern_matches, term_matches, term_shape, valid_pattern
+from lexgrove.operators.patterns import required
 
 #: Terms of a query up to which all combinations are worked out.
 MOST_TERMS = 10
@@ -67,6 +71,14 @@ class Query:
     facets: Facets | Range | Mask | None = None
 
 
+@dataclass(frozen=True)
+class Plan:
+    """``postings`` or ``scan``, and the postings that the words which match have, where they were counted."""
+
+    how: str
+    rows: int | None = None
+
+
 @dataclass
 class Batch:
     """The inverted tables of an index, written or persisted by the caller, and queries on them.
@@ -80,6 +92,8 @@ class Batch:
     vocabulary: DataFrame
     bigrams: DataFrame | None = None
 
+    _count: int | None = field(default=None, repr=False)
+
     @classmethod
     def of(cls, index: SearchIndex) -> Batch:
         return cls(index, postings(index), vocabulary(index))
@@ -116,9 +130,8 @@ class Batch:
             Facets.combine(q.facets).column(self.index.facets)  # unknown facets are refused first
         by_terms, by_scan = [], []
         for q in queries:
-            tree = None if q.method == REGEX else parse(q.text, q.operators, self.index.preset) if q.text.strip() else None
-            direct = q.method == REGEX or not q.text.strip() or (tree is not None and (len(terms(tree)) > MOST_TERMS or "*" in terms(tree)))
-            if direct:
+            tree = self._tree(q)
+            if not q.text.strip() or (tree is not None and (len(terms(tree)) > MOST_TERMS or (q.method != REGEX and "*" in terms(tree)))):
                 by_scan.append(q)
             elif tree is not None:
                 by_terms.append((q, tree))
@@ -126,15 +139,75 @@ class Batch:
         parts += [self._by_scan(by_scan[i : i + TOGETHER]) for i in range(0, len(by_scan), TOGETHER)]
         return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query bigint, id bigint")
 
+    def _tree(self, q: Query):
+        """What a query says, or None if it finds nothing. A regular expression is one term, whatever is in it."""
+        if q.method == REGEX:
+            return Term(q.text) if q.text.strip() and valid_pattern(self.index.docs.sparkSession, q.text) else None
+        return parse(q.text, q.operators, self.index.preset) if q.text.strip() else None
+
+    # -- one query ---------------------------------------------------------------------------------
+    def plan(self, text: str, method: str = EXACT, operators: bool = False) -> Plan:
+        """How to find one query: by postings, or by a scan of the documents, and what of the vocabulary says so."""
+        query = Query(0, text, method, operators)
+        tree = self._tree(query)
+        own = terms(tree) if tree is not None else []
+        if not text.strip() or tree is None or len(own) > MOST_TERMS or (method != REGEX and "*" in own):
+            return Plan("scan")
+        if fold_tree(tree, lambda w: False, lambda a: not a, lambda a, b: a and b, lambda a, b: a or b):
+            return Plan("scan")  # holds for documents without any of its terms
+        leaves = {leaf: n for n, leaf in enumerate(self._leaf(query, w) for w in own)}
+        if len(leaves) == 1 and method != REGEX and term_shape(*next(iter(leaves)))[0] == "equal":
+            return Plan("postings")  # its postings are what it finds
+        words, literals = self._words(leaves)
+        if literals:
+            exact = self.vocabulary.where(F.col("word").isin([w for _, w in literals]) & F.col("length").isin(sorted({len(w) for _, w in literals}))).select("word")
+            words.append(exact.select(F.lit(-1).cast("bigint").alias("leaf"), "word"))
+        if not words:
+            return Plan("postings", 0)
+        rows = reduce(DataFrame.union, words).join(self.vocabulary, "word").agg(F.sum("documents")).first()[0] or 0
+        return Plan("postings" if rows <= self.documents() else "scan", rows)
+
+    def documents(self) -> int:
+        if self._count is None:
+            self._count = self.index.document_count()
+        return self._count
+
+    def matching(self, text: str, method: str = EXACT, operators: bool = False, facets: Facets | Range | Mask | None = None) -> DataFrame:
+        """(id) of the documents that one query finds, by its plan."""
+        wanted = Facets.combine(facets)
+        wanted.column(self.index.facets)
+        if self.plan(text, method, operators).how == "scan":
+            return self.index.matching(text, method, operators, facets).select("id")
+        tree = self._tree(Query(0, text, method, operators))
+        if method == EXACT and isinstance(tree, Term) and term_shape(tree.word, EXACT)[0] == "equal" and wanted.is_empty:
+            none = any(c in self.index.preset.index for c in tree.word)
+            return self.postings.where(F.lit(False) if none else F.col("word") == tree.word).select("id")
+        return self.find_many([Query(0, text, method, operators, facets)]).select("id")
+
+    def find(self, text: str, method: str = EXACT, operators: bool = False, sort: str = SNAPSHOT, facets: Facets | Range | Mask | None = None) -> DataFrame:
+        """Ids in an order; of the documents only keys and places are read where postings say which they are."""
+        if self.plan(text, method, operators).how == "scan":
+            return self.index.find(text, method, operators, sort, facets)
+        found = self.index.docs.join(self.matching(text, method, operators, facets), "id", "left_semi")
+        return self.index.in_order(found, sort)
+
+    # -- many --------------------------------------------------------------------------------------
     def _by_scan(self, queries: Sequence[Query]) -> DataFrame:
         """One pass over the documents that tests each query."""
         each = [F.when(self.index.condition(q.text, q.method, q.operators, q.facets), F.lit(q.number).cast("bigint")) for q in queries]
         return self.index.docs.select(F.explode(F.array_compact(F.array(*each))).alias("query"), "id")
 
-    def _hits(self, leaves: dict[tuple[str, str], int]) -> DataFrame:
-        """(leaf, id) for the distinct terms of a batch: a document for each of its words that matches."""
-        spark, literals, looked_up, others = self.index.docs.sparkSession, [], [], []
+    @staticmethod
+    def _leaf(q: Query, term: str) -> tuple[str, str]:
+        return term, q.method if q.method == REGEX else EXACT if has_wildcards(term) else q.method
+
+    def _words(self, leaves: dict[tuple[str, str], int]) -> tuple[list[DataFrame], list[tuple[int, str]]]:
+        """Tables of (leaf, word) of the words that match, and the terms that are words themselves."""
+        spark, literals, looked_up, others, words = self.index.docs.sparkSession, [], [], [], []
         for (term, method), n in leaves.items():
+            if method == REGEX:
+                words.append(self._pattern_words(term).select(F.lit(n).cast("bigint").alias("leaf"), "word"))
+                continue
             kind, text = term_shape(term, method)
             if any(c in self.index.preset.index for c in term):
                 continue  # no token has such a character
@@ -144,9 +217,6 @@ class Batch:
                 looked_up.append((n, kind, text, text[:2]))
             else:
                 others.append((n, term, method))
-        hits, words = [], []
-        if literals:
-            hits.append(self.postings.join(_asked(spark, literals, "leaf bigint, word string"), "word").select("leaf", "id"))
         if looked_up:
             word, text = F.col("word"), F.col("text")
             test = F.when(F.col("kind") == "contains", F.contains(word, text)).when(F.col("kind") == "starts", F.startswith(word, text)).otherwise(F.endswith(word, text))
@@ -158,6 +228,23 @@ class Batch:
             vocabulary = self.vocabulary.where(F.col("length") >= least_length(group[0][1])).select("word", "length", normal_text("word", self.index.preset).alias("norm"))
             tests = [F.when((F.col("length") >= least_length(w)) & term_matches(w, m, self.index.preset), F.lit(n).cast("bigint")) for n, w, m in group]
             words.append(vocabulary.select(F.explode(F.array_compact(F.array(*tests))).alias("leaf"), "word"))
+        return words, literals
+
+    def _pattern_words(self, pattern: str) -> DataFrame:
+        """Words in which a regular expression is found: of those with its required text, looked up if there are bigrams."""
+        text = required(pattern)
+        if len(text) > 1 and self.bigrams is not None:
+            able = self.bigrams.where((F.col("bigram") == text[:2]) & F.col("word").contains(text)).select("word")
+        else:
+            able = self.vocabulary.where(F.col("word").contains(text)).select("word") if text else self.vocabulary.select("word")
+        return able.withColumn("_tokens", F.array("word")).where(pattern_matches(pattern, "_tokens")).select("word")
+
+    def _hits(self, leaves: dict[tuple[str, str], int]) -> DataFrame:
+        """(leaf, id) for the distinct terms of a batch: a document for each of its words that matches."""
+        spark, hits = self.index.docs.sparkSession, []
+        words, literals = self._words(leaves)
+        if literals:
+            hits.append(self.postings.join(_asked(spark, literals, "leaf bigint, word string"), "word").select("leaf", "id"))
         if words:
             hits.append(reduce(DataFrame.union, words).join(self.postings, "word").select("leaf", "id"))
         return reduce(DataFrame.union, hits) if hits else spark.createDataFrame([], "leaf bigint, id bigint")
@@ -169,7 +256,7 @@ class Batch:
         for q, tree in queries:
             own = terms(tree)
             for bit, w in enumerate(own):
-                leaf = leaves.setdefault((w, EXACT if has_wildcards(w) else q.method), len(leaves))
+                leaf = leaves.setdefault(self._leaf(q, w), len(leaves))
                 uses.append((leaf, q.number, 1 << bit))
             true = [m for m in range(1 << len(own)) if fold_tree(tree, lambda w: bool(m >> own.index(w) & 1), lambda a: not a, lambda a, b: a and b, lambda a, b: a or b)]
             if 0 in true:  # holds without any term: all documents but those whose bits say no

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from lexgrove.operators import postings as inverted
 from lexgrove.operators.index import NATURAL, SNAPSHOT, SearchIndex
 from lexgrove.operators.matching import EXACT, REGEX, WITHIN
 from lexgrove.operators.ranks import ranked
+from lexgrove.shared import shared_folder
 from lexgrove.sources.store import IndexStore, Registry
 from lexgrove.streaming.ingest import Ingestion, Options, Policy, publish_plan
 
@@ -182,6 +184,23 @@ _BATCH_SQL = [_x("the"), _w("tion"), f"{sql_term('text', 'glob', 'ver.*')} OR {s
 _add("find_many", lambda s, d: inverted.Batch.of(documents(s, d)).find_many(BATCH), " UNION ALL ".join(f"SELECT CAST({q.number} AS BIGINT) AS query, doc_id AS id FROM documents WHERE {w}" for q, w in zip(BATCH, _BATCH_SQL)))
 
 
+def _saved(name: str, expr: str, where: str, method: str = EXACT, operators: bool = True) -> None:
+    """One query by its plan on the saved tables of an index."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/lexgrove-saved-{uuid.uuid4().hex}"
+        return inverted.Batch.of(documents(spark, sf_dir)).save(path).matching(expr, method, operators)
+
+    _add(name, query, f"SELECT doc_id AS id FROM documents WHERE {where}")
+
+
+_saved("saved_exact", "the", _x("the"))
+_saved("saved_glob", "*shwh*", sql_term("text", "glob", ".*shwh.*"))
+_saved("saved_bool", "(und OR avec) AND NOT tion*", f"({_x('und')} OR {_x('avec')}) AND NOT {sql_term('text', 'glob', 'tion.*')}")
+_saved("saved_regex", "^th.*ing$", sql_term("text", "regex", "^th.*ing$"), REGEX)
+_saved("saved_regex_repeated", "^(th|sh)+e?$", sql_term("text", "regex", "^(th|sh)+e?$"), REGEX)
+
+
 # -- changes and publishing ------------------------------------------------------------------------
 def _entries(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").alias("id"), F.col("text").alias("search_text"), F.create_map(F.lit("n_chars"), F.col("n_chars")).alias("facets"), F.col("doc_id").alias("seq"))
