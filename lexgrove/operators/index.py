@@ -12,6 +12,7 @@ from lexgrove.functions.text import DEFAULT, Tokenization, normal_text, tokens
 from lexgrove.operators.facets import NONE, PREFIX, Facets, Mask, Range
 from lexgrove.operators.matching import EXACT, matches
 from lexgrove.operators.natural_order import WholeOrder
+from lexgrove.operators.progress import told
 from lexgrove.operators.ranks import ranked
 
 SNAPSHOT, NATURAL = "snapshot", "natural"
@@ -53,11 +54,12 @@ class SearchIndex:
     docs: DataFrame
     preset: Tokenization = DEFAULT
     natural: object = None  # who has the natural order; by default it is worked out when first asked for
+    counts: object = None  # who has the numbers of documents by word; by default they are counted
     _known: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def build(cls, df: DataFrame, *, preset: Tokenization = DEFAULT, progress: Callable[[float], None] | None = None, **columns) -> SearchIndex:
-        """Index a table; see ``prepare`` for the columns. ``progress`` hears 0.0 to 1.0."""
+        """Index a table; see ``prepare`` for the columns. Nothing runs yet: ``written`` tells how a build goes on."""
         if progress:
             progress(0.0)
         out = cls(prepare(df, preset=preset, **columns), preset)
@@ -65,6 +67,12 @@ class SearchIndex:
             progress(1.0)
         return out
 
+    def written(self, path: str, progress: Callable[[float], None] | None = None) -> SearchIndex:
+        """The index as a table of its own, read again; ``progress`` hears how far the build is, from 0.0 to 1.0."""
+        with told(self.docs.sparkSession, progress):
+            self.docs.write.mode("overwrite").parquet(path)
+        return SearchIndex(self.docs.sparkSession.read.schema(self.docs.schema).parquet(path), self.preset)
+
     @property
     def facets(self) -> list[str]:
         return [c.removeprefix(PREFIX) for c in self.docs.columns if c.startswith(PREFIX)]
@@ -117,6 +125,8 @@ class SearchIndex:
         return self.docs.count()
 
     def unique_word_count(self) -> int:
+        if self.counts is not None:
+            return self.counts.words().count()
         return self.docs.select(F.explode("tokens").alias("word")).agg(F.count_distinct("word")).first()[0]
 
 

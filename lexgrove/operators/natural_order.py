@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions.natural_sort import natural_key
@@ -68,15 +68,8 @@ class SegmentOrders:
         self.store, self.segments = store, list(segments)
 
     def _table(self, segment: str) -> DataFrame:
-        spark: SparkSession = self.store.spark
-        said = f"order/{segment}.json"
-        if not self.store.exists(said):
-            name = uuid.uuid4().hex
-            rows = spark.read.schema("id bigint, sort_text string").parquet(f"{self.store.path}/segments/{segment}/rows")
-            order_table(rows).write.parquet(f"{self.store.path}/order/{segment}/{name}")
-            if not self.store.claim(said, name):
-                self.store.delete(f"order/{segment}/{name}")  # another driver was first
-        return spark.read.schema(TABLE).parquet(f"{self.store.path}/order/{segment}/{self.store.read(said)}")
+        rows = lambda: order_table(self.store.rows_of(segment).select("id", "sort_text"))
+        return self.store.derived("order", segment, rows, TABLE)
 
     def ordered(self, found: DataFrame) -> tuple[DataFrame, Sequence[str]]:
         if len(self.segments) == 1:

@@ -15,6 +15,7 @@ the version.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import random
@@ -33,6 +34,7 @@ from lexgrove.functions.text import DEFAULT, Tokenization
 from lexgrove.operators.facets import PREFIX
 from lexgrove.operators.index import SearchIndex, prepare, ranked
 from lexgrove.operators.natural_order import SegmentOrders
+from lexgrove.operators.progress import told as progress_told
 from lexgrove.shared import shared_folder
 from lexgrove.sources.files import Folder
 
@@ -105,6 +107,38 @@ def due_for_merge(segments: tuple[Segment, ...]) -> int | None:
     return None
 
 
+class WordCounts:
+    """Numbers of documents by word, added up from those of the segments; what is gone is counted by itself and taken off."""
+
+    TABLE = "word string, documents bigint"
+
+    def __init__(self, store: IndexStore, segments: tuple[Segment, ...]):
+        self.store, self.segments = store, segments
+
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
+
+    def words(self) -> DataFrame:
+        """(word, length, documents), as ``postings.vocabulary`` has them."""
+        parts, later = [], []
+        for s in reversed(self.segments):
+            if s.rows:
+                rows = self.store.rows_of(s.name)
+                parts.append(self.store.derived("words", s.name, lambda rows=rows: self._counted(rows), self.TABLE))
+                if later:
+                    gone = self._counted(rows.join(self.store.gone_of(later).select("id").distinct(), "id", "left_semi"))
+                    parts.append(gone.select("word", (-F.col("documents")).alias("documents")))
+            if s.gone:
+                later.append(s.name)
+        if not parts:
+            return self.store.spark.createDataFrame([], "word string, length bigint, documents bigint")
+        out = functools.reduce(DataFrame.union, parts)
+        if len(parts) > 1:
+            out = out.groupBy("word").agg(F.sum("documents").alias("documents")).where("documents > 0")
+        return out.select("word", F.length("word").cast("bigint").alias("length"), "documents")
+
+
 class IndexStore(Folder):
     """An index that can be changed; ``current`` is the published version."""
 
@@ -144,7 +178,7 @@ class IndexStore(Folder):
             version = self.refresh()
             if self._current is None:
                 held = [s.name for s in version.segments if s.rows]
-                self._current = SearchIndex(self._docs(version.segments), self.preset, SegmentOrders(self, held) if held else None)
+                self._current = SearchIndex(self._docs(version.segments), self.preset, SegmentOrders(self, held) if held else None, WordCounts(self, version.segments))
             return self._current
 
     def _change(self, make: Callable[[Version], Version | None]) -> Version | None:
@@ -177,13 +211,30 @@ class IndexStore(Folder):
             if n <= newest - keep:
                 self.delete(f"v={n}")
                 for name in {s.name for s in v.segments} - held:
-                    for what in (f"segments/{name}", f"order/{name}", f"order/{name}.json"):
-                        self.delete(what)
+                    self.delete(f"segments/{name}")
 
     # -- segments ----------------------------------------------------------------------------------
     def _where(self, name: str, what: str = "rows") -> str:
         return f"{self.path}/segments/{name}/{what}"
 
+    def rows_of(self, name: str) -> DataFrame:
+        """The rows of a segment as they were written, without facets."""
+        return self.spark.read.schema(ROW).parquet(self._where(name))
+
+    def gone_of(self, names: Iterable[str]) -> DataFrame:
+        """(id, ordinal) of the rows that segments took away."""
+        return self.spark.read.schema(GONE).parquet(*(self._where(n, "gone") for n in names))
+
+    def derived(self, kind: str, name: str, make: Callable[[], DataFrame], schema: str) -> DataFrame:
+        """A table made of a segment's rows when first asked for, and kept with it; the first driver's holds."""
+        said = f"segments/{name}/{kind}.json"
+        if not self.exists(said):
+            own = f"{kind}-{uuid.uuid4().hex}"
+            make().write.parquet(self._where(name, own))
+            if not self.claim(said, own):
+                self.delete(f"segments/{name}/{own}")
+        return self.spark.read.schema(schema).parquet(self._where(name, self.read(said)))
+
     def _docs(self, segments: tuple[Segment, ...]) -> DataFrame:
         """The rows that are there: those of each segment without what later ones took away."""
         facets = sorted({f for s in segments for f in s.facets})
@@ -205,7 +256,7 @@ class IndexStore(Folder):
             lacking = [f for f in facets if any(f not in s.facets for s in held)]
             rows = rows.withColumns({PREFIX + f: F.coalesce(F.col(f"`{PREFIX}{f}`"), F.lit(0).cast("bigint")) for f in lacking})
             if takers:
-                gone = self.spark.read.schema(GONE).parquet(*(self._where(s.name, "gone") for s in takers)).select("id")
+                gone = self.gone_of(s.name for s in takers).select("id")
                 few = sum(s.gone for s in takers) <= MOST_SENT
                 rows = rows.join(F.broadcast(gone) if few else gone, "id", "left_anti")
             out = rows if out is None else out.unionByName(rows)
@@ -228,7 +279,7 @@ class IndexStore(Folder):
         n = self._write(rows, name, "rows") if any(s.rows for s in newest) else 0
         takers, gone = [s for s in newest if s.gone], 0
         if takers and first:  # without older segments nothing is left to take away
-            gone = self._write(self.spark.read.schema(GONE).parquet(*(self._where(s.name, "gone") for s in takers)).dropDuplicates(["id"]), name, "gone")
+            gone = self._write(self.gone_of(s.name for s in takers).dropDuplicates(["id"]), name, "gone")
         facets, held = tuple(sorted({f for s in newest for f in s.facets})), [s for s in newest if s.rows]
         low, high = min((s.low for s in held), default=0), max((s.high for s in held), default=-1)
         return self._merged((*segments[:first], Segment(name, n, gone, facets, low, high)) if n or gone else segments[:first])
@@ -266,23 +317,24 @@ class IndexStore(Folder):
             there = self._docs(base).where(F.col("id").between(told.low, told.high)).select("id", "ordinal")
             gone = self._write(there.join(new.select("id").distinct(), "id", "left_semi"), name, "gone")
             if gone:
-                places = self.spark.read.schema(GONE).parquet(self._where(name, "gone")).withColumnRenamed("ordinal", "_old")
+                places = self.gone_of([name]).withColumnRenamed("ordinal", "_old")
                 last = last.join(places, "id", "left").withColumn("place", F.coalesce("_old", "place"))
         rows = prepare(last, sort="sort_text", facets="facets", ordinal="place", preset=self.preset, names=names)
         n = self._write(rows.sortWithinPartitions("id"), name, "rows")
         segments = self._merged((*base, Segment(name, n, gone, names, told.low, told.high)))
         return replace(old, segments=segments, entries=entries + n - gone, next=next + told.last - told.first + 1)
 
-    def rebuild(self, new: DataFrame) -> SearchIndex:
-        """Replace everything by the entries (id, search_text[, sort_text, facets, seq])."""
-        new, told = self._ready(new)
+    def rebuild(self, new: DataFrame, progress: Callable[[float], None] | None = None) -> SearchIndex:
+        """Replace everything by the entries (id, search_text[, sort_text, facets, seq]); ``progress`` hears how far it is."""
+        with progress_told(self.spark, progress):
+            new, told = self._ready(new)
 
-        def make(old: Version) -> Version:
-            if told.low is None:
-                return replace(old, segments=(), entries=0, next=0)
-            return self._append(old, new, told, (), 0, 0)
+            def make(old: Version) -> Version:
+                if told.low is None:
+                    return replace(old, segments=(), entries=0, next=0)
+                return self._append(old, new, told, (), 0, 0)
 
-        self._change(make)
+            self._change(make)
         return self.current
 
     def _ready(self, new: DataFrame):

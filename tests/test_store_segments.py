@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions.text import FILE_MASK, Tokenization
 from lexgrove.operators.facets import Range
-from lexgrove.operators.index import NATURAL
+from lexgrove.operators.index import NATURAL, SearchIndex
 from lexgrove.operators.matching import WITHIN
+from lexgrove.operators.postings import vocabulary
 from lexgrove.sources import store as stored
 from lexgrove.sources.store import IndexStore, Registry, Segment, due_for_merge, entries
 
@@ -63,6 +64,9 @@ def test_random_changes_are_those_of_a_dictionary(spark, tmp_path, monkeypatch,
     pad = lambda t: "|".join(f"0:{p:0>12}" if p.isdigit() else f"1:{p}" for p in t.replace("n", "n ").split())
     assert ids(index.find("*", sort=NATURAL)) == sorted(want, key=lambda k: (pad(want[k][1]), k))
     assert len(segments(store)) <= 3 * 4
+    counted = {(x.word, x.length, x.documents) for x in vocabulary(SearchIndex(index.docs)).collect()}
+    assert {tuple(x) for x in index.counts.words().select("word", "length", "documents").collect()} == counted
+    assert index.unique_word_count() == len(counted)
 
 
 def test_merges_keep_few_segments_and_expiry_only_what_is_named(spark, tmp_path, monkeypatch):
@@ -197,3 +201,24 @@ def test_places_of_one_claim(spark, tmp_path):
         t.join()
     assert [n for n, ok in won if ok] == [stored.Version.of(store.read("v=0")).entries] and len(won) == 8
     assert store.names() == ["v=0"] and entries(spark, {}).count() == 0
+
+
+def test_words_are_counted_once_for_each_segment(spark, tmp_path, monkeypatch):
+    store, counted, count = IndexStore(spark, str(tmp_path / "index")), [], stored.WordCounts._counted
+    store.rebuild_from({i: f"common word{i}" for i in range(20)})
+    monkeypatch.setattr(stored.WordCounts, "_counted", staticmethod(lambda rows: counted.append(1) or count(rows)))
+    assert store.current.unique_word_count() == store.current.unique_word_count() == 21 and len(counted) == 1
+    store.add_entry(20, "common new")
+    assert IndexStore(spark, store.path).current.unique_word_count() == 22 and len(counted) == 2
+    plan = store.current.counts.words()._jdf.queryExecution().executedPlan().toString()
+    assert "tokens" not in plan  # no texts are taken apart
+
+
+def test_a_build_tells_how_far_it_is(spark, tmp_path):
+    slow = spark.range(0, 64, 1, 16).select("id", F.concat(F.lit("w"), F.expr("CAST(aggregate(sequence(1, 60000), 0L, (a, x) -> a + (x * id) % 7) AS STRING)")).alias("search_text"))
+    heard = []
+    SearchIndex.build(slow, id="id", text="search_text").written(str(tmp_path / "built"), heard.append)
+    assert heard[0] == 0.0 and heard[-1] == 1.0 and heard == sorted(heard) and any(0 < x < 1 for x in heard)
+    told = []
+    assert IndexStore(spark, str(tmp_path / "index")).rebuild(slow, told.append).document_count() == 64
+    assert told[0] == 0.0 and told[-1] == 1.0 and told == sorted(told) and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
