@@ -182,7 +182,9 @@ def _compare_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def links(nodes: DataFrame, tables: Tables, name: str = "fp") -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect whatever links connect."""
     fp = F.col(name)
-    entries = nodes.select(F.explode(_half_entries(fp)).alias("key"), fp.alias("fp"))
+    # a file of nodes is read by one task, which would make 64 rows of each: they are dealt out first
+    dealt = nodes.select(fp.alias("fp")).repartition("fp")
+    entries = dealt.select(F.explode(_half_entries(F.col("fp"))).alias("key"), "fp")
     found = tables.keep(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_halves, EDGES), "halves", few=True)
     crowded = tables.keep(found.where("a = b").select("a").distinct(), "crowded")
     finer = crowded.mapInArrow(_segment_entries, "which bigint, kept bigint, fp bigint")
