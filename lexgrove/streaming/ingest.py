@@ -37,7 +37,7 @@ class Policy(Enum):
 
 @dataclass(frozen=True)
 class Options:
-    """Times are in seconds. ``capacity`` is for sources that take a limit per trigger."""
+    """Times are in seconds. ``capacity`` is for sources that take a limit per trigger; ``feed.Feed`` holds producers back."""
 
     policy: Policy = Policy.ADAPTIVE
     batch_size: int = 2_000
