@@ -332,6 +332,8 @@ def test_design_follows_the_numbers():
 # -- the pipeline ----------------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline
+    from test_near import plain_kept
+
     from lexgrove.llm.language import train
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -349,10 +351,7 @@ def test_pipeline(spark):
             plain = plain_lines({r["doc_id"]: r["text"] for r in kept if len((r["text"] or "").split("\n")) < 400}, lines.MIN_WORDS)
             assert all(got[k]["text"] == v[0] for k, v in plain.items())
         elif name == "near_dedup":
-            fp = [plain_fingerprint(r["text"]) for r in sorted(kept, key=lambda r: r["doc_id"])]
-            at = sorted(r["doc_id"] for r in kept)
-            root = plain_components(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 3])
-            want = {at[i] for i in set(root)}
+            want = plain_kept({r["doc_id"]: r["text"] for r in kept})
         else:
             want = {r["doc_id"] for r in kept}
             assert not any(re.search(r"token = \"[0-9a-f]{24}", r["text"]) for r in got.values())
