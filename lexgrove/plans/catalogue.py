@@ -18,6 +18,7 @@ from lexgrove.operators.matching import EXACT, REGEX, WITHIN
 from lexgrove.operators.ranks import ranked
 from lexgrove.shared import shared_folder
 from lexgrove.sources.store import IndexStore, Registry
+from lexgrove.streaming.feed import Feed
 from lexgrove.streaming.ingest import Ingestion, Options, Policy, publish_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,6 +345,126 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("registry", registry, "SELECT 'first' AS name, count(*) AS entries FROM nation UNION ALL VALUES ('second', 1), ('transient', 1)")
+
+
+def vocabulary_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by documents after removals and an upsert, from the counts of the segments."""
+    docs, store = _table(spark, sf_dir, "documents"), IndexStore(spark)
+    store.rebuild(_entries(docs))
+    store.remove(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id")))
+    store.upsert(_entries(docs.where("doc_id % 7 = 0")).withColumn("search_text", F.lit("replaced Entry")))
+    return store.current.counts.words()
+
+
+_add("vocabulary_after_changes", vocabulary_after_changes, f"""SELECT word, length(word) AS length, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest({sql_tokens('t')}) AS word
+    FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'replaced Entry' ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0)) GROUP BY word""")
+
+
+def natural_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural order over several segments: parts by name, every third of them by brand instead, some gone."""
+    parts, store = _table(spark, sf_dir, "part"), IndexStore(spark)
+    rows = parts.select(F.col("p_partkey").cast("bigint").alias("id"), F.col("p_name").alias("search_text"), F.col("p_partkey").cast("bigint").alias("seq"))
+    store.rebuild(rows)
+    store.upsert(parts.where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("bigint").alias("id"), F.col("p_brand").alias("search_text")))
+    store.remove(rows.where("id % 10 = 1").select("id"))
+    return store.current.find_ranked("*", sort=NATURAL)
+
+
+_add("natural_after_changes", natural_after_changes, f"SELECT p_partkey AS id, row_number() OVER (ORDER BY {NATURAL_SQL.format('t')}, p_partkey) AS rank FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS t FROM part WHERE p_partkey % 10 <> 1)")
+
+
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers that take turns on one index, and a reader that follows."""
+    first = IndexStore(spark)
+    second, reader = IndexStore(spark, first.path), IndexStore(spark, first.path)
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_orderpriority").alias("search_text"), F.col("o_orderkey").cast("bigint").alias("seq"))
+    seen = []
+    for writer, part in ((first, 0), (second, 1), (first, 2)):
+        writer.upsert(orders.where(F.col("id") % 3 == part))
+        seen.append(reader.version)
+    return reader.current.matching("urgent", WITHIN).select("id", F.lit(seen == [0, 1, 2]).alias("followed"))
+
+
+_add("two_writers", two_writers, "SELECT o_orderkey AS id, true AS followed FROM orders WHERE contains(lower(o_orderpriority), 'urgent')")
+
+
+def ingest_run_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of a customer under its key, in three publishes: the last one holds."""
+    orders = _table(spark, sf_dir, "orders")
+    stream = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    store = IndexStore(spark)
+    ingestion = Ingestion(store, Options(Policy.FIXED_BATCH, batch_size=orders.count() // 3 + 1, max_staleness=1e6))
+    ingestion.start(stream.select(F.col("o_custkey").cast("bigint").alias("id"), F.col("o_orderpriority").alias("search_text"), F.col("o_orderkey").cast("bigint").alias("seq")), available_now=True)
+    result = ingestion.finish()
+    told = {"publishes": result.publishes, "accepted": result.accepted, "indexed": result.indexed}
+    return store.current.docs.select("id", F.col("search_text").alias("priority"), *(F.lit(v).cast("bigint").alias(k) for k, v in told.items()))
+
+
+_add("ingest_run_duplicates", ingest_run_duplicates, "SELECT o_custkey AS id, arg_max(o_orderpriority, o_orderkey) AS priority, CAST(3 AS BIGINT) AS publishes, (SELECT count(*) FROM orders) AS accepted, (SELECT count(DISTINCT o_custkey) FROM orders) AS indexed FROM orders GROUP BY o_custkey")
+
+
+def ingest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers put in four chunks into a feed with room for three: the last one has to wait until some are published."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_mktsegment").alias("search_text"))
+    sizes = [r["n"] for r in rows.groupBy((F.col("id") % 4).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()]
+    store = IndexStore(spark)
+    feed, options = Feed(store, capacity=sum(sizes) - min(sizes)), Options(Policy.FIXED_BATCH, batch_size=max(sizes), max_staleness=1.0)
+    held = []
+    for part in range(3):
+        feed.put(rows.where(F.col("id") % 4 == part))
+        held.append(feed.pending())
+    try:
+        feed.put(rows.where("id % 4 = 3"), timeout=0)
+        waited = feed.pending() <= feed.capacity and sizes[3] <= min(sizes)
+    except TimeoutError:
+        waited = True
+    ingestion = Ingestion(store, options)
+    feed.start(ingestion)
+    if feed.put_so_far() < sum(sizes):
+        feed.put(rows.where("id % 4 = 3"), timeout=600)
+    while ingestion.published < sum(sizes):
+        time.sleep(0.05)
+    ingestion.stop()
+    return store.current.matching("building").select("id", F.lit(waited and max(held) <= feed.capacity and feed.pending() == 0).alias("bounded"))
+
+
+_add("ingest_feed", ingest_feed, "SELECT c_custkey AS id, true AS bounded FROM customer WHERE lower(c_mktsegment) = 'building'")
+
+
+def registry_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index made by one registry, opened by name and changed by another."""
+    base = f"{shared_folder(spark)}/lexgrove-registry-{uuid.uuid4().hex}"
+    Registry(spark, base).register("customers", FILE_MASK).upsert(_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_name").alias("search_text")))
+    again = Registry(spark, base)
+    again["customers"].remove(_table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")))
+    return Registry(spark, base)["customers"].current.matching("customer#00000000?").select("id")
+
+
+_add("registry_reopened", registry_reopened, "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 <> 0 AND regexp_full_match(lower(c_name), 'customer#00000000.')")
+
+
+def build_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written build of the documents, and whether what it told rose from 0 to 1."""
+    heard: list[float] = []
+    index = documents(spark, sf_dir).written(f"{shared_folder(spark)}/lexgrove-built-{uuid.uuid4().hex}", heard.append)
+    return index.docs.agg(F.count("*").alias("documents"), F.sum(F.size("tokens")).cast("bigint").alias("words")).withColumn("rose", F.lit(heard[0] == 0.0 and heard[-1] == 1.0 and heard == sorted(heard)))
+
+
+_add("build_progress", build_progress, f"SELECT count(*) AS documents, CAST(sum(len(list_distinct({sql_tokens('text')}))) AS BIGINT) AS words, true AS rose FROM documents")
+
+
+def facet_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found by facets that the index has, and how many that it does not have are refused."""
+    index, refused = parts(spark, sf_dir), 0
+    for name in ("size", "weight", "Size"):
+        try:
+            index.condition(None, facets=fc.Range(name, 1, 5))
+        except ValueError:
+            refused += 1
+    return index.matching(None, facets=fc.Range("size", 1, 5)).select("id", F.lit(refused).alias("refused"))
+
+
+_add("facet_unknown", facet_unknown, "SELECT p_partkey AS id, 2 AS refused FROM part WHERE p_size BETWEEN 1 AND 5")
 _add("separators", lambda s, d: _table(s, d, "part").select("p_partkey", F.explode(F.split("p_name", "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n")).withColumns({"by_default": is_separator(F.col("letter")), "in_masks": is_separator(F.col("letter"), FILE_MASK)}), f"SELECT letter, count(*) AS n, regexp_full_match(letter, '{SEPARATORS}') AS by_default, false AS in_masks FROM (SELECT unnest(string_split(p_name, '')) AS letter FROM part) GROUP BY letter")
 
 
