@@ -36,6 +36,8 @@ from lexgrove.llm.graph import components
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of an entry that are compared pair by pair at most.
 CROWD = 32
+#: Fingerprints whose entries one task makes, about.
+DEALT = 1 << 15
 HALF = 32
 SEGMENTS, SEGMENT = 16, 4
 LEFT_OUT = list(combinations(range(SEGMENTS), 3))
@@ -182,8 +184,8 @@ def _compare_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def links(nodes: DataFrame, tables: Tables, name: str = "fp") -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect whatever links connect."""
     fp = F.col(name)
-    # a file of nodes is read by one task, which would make 64 rows of each: they are dealt out first
-    dealt = nodes.select(fp.alias("fp")).repartition("fp")
+    # nodes are few bytes, but make 64 rows each: they are dealt out by their number, which no rule about bytes undoes
+    dealt = nodes.select(fp.alias("fp")).repartition(max(1, -(-nodes.count() // DEALT)), "fp")
     entries = dealt.select(F.explode(_half_entries(F.col("fp"))).alias("key"), "fp")
     found = tables.keep(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_halves, EDGES), "halves", few=True)
     crowded = tables.keep(found.where("a = b").select("a").distinct(), "crowded")
