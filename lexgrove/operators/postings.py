@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,14 @@ MOST_SENT = 8 << 20
 
 
 def _asked(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of what the queries ask for: broadcast up to ``MOST_SENT``; how a larger one is joined is left to Spark."""
-    table = spark.createDataFrame(rows, schema)
+    """A table of what the queries ask for: broadcast up to ``MOST_SENT``; how a larger one is joined is left to Spark.
+
+    It is made from columns, so that it is a part of the plan and no Python worker is asked for it.
+    """
+    fields = [c.split() for c in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    columns = zip(*rows) if rows else [()] * len(fields)
+    table = spark.createDataFrame(pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns)}))
     size = sum(len(x) * 4 if isinstance(x, str) else 8 for r in rows for x in r)
     return F.broadcast(table) if size <= MOST_SENT else table
 
@@ -135,7 +142,11 @@ class Batch:
                 by_scan.append(q)
             elif tree is not None:
                 by_terms.append((q, tree))
-        parts = [self._by_terms(by_terms)] if by_terms else []
+        words = [(q, tree.word) for q, tree in by_terms if isinstance(tree, Term) and q.method != REGEX and term_shape(tree.word, q.method)[0] == "equal"]
+        by_word = {q.number for q, _ in words}
+        by_terms = [(q, tree) for q, tree in by_terms if q.number not in by_word]
+        parts = [self._by_words(words)] if words else []
+        parts += [self._by_terms(by_terms)] if by_terms else []
         parts += [self._by_scan(by_scan[i : i + TOGETHER]) for i in range(0, len(by_scan), TOGETHER)]
         return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query bigint, id bigint")
 
@@ -249,6 +260,23 @@ class Batch:
             hits.append(reduce(DataFrame.union, words).join(self.postings, "word").select("leaf", "id"))
         return reduce(DataFrame.union, hits) if hits else spark.createDataFrame([], "leaf bigint, id bigint")
 
+    def _by_words(self, queries: Sequence[tuple[Query, str]]) -> DataFrame:
+        """Queries that are a word: its postings, which name each document once, so that nothing is gathered."""
+        asked = [(q.number, w) for q, w in queries if not any(c in self.index.preset.index for c in w)]
+        found = self.postings.join(_asked(self.index.docs.sparkSession, asked, "query bigint, word string"), "word").select("query", "id")
+        return self._allowed(found, [q for q, _ in queries])
+
+    def _allowed(self, found: DataFrame, queries: Sequence[Query]) -> DataFrame:
+        """What was found, where queries have facets only the documents that these allow."""
+        limited = [q for q in queries if not Facets.combine(q.facets).is_empty]
+        if not limited:
+            return found
+        allowed = [F.when(Facets.combine(q.facets).column(self.index.facets), F.lit(q.number).cast("bigint")) for q in limited]
+        able = self.index.docs.select(F.explode(F.array_compact(F.array(*allowed))).alias("query"), "id")
+        ids = [q.number for q in limited]
+        kept = found.where(F.col("query").isin(ids)).join(able, ["query", "id"], "left_semi")
+        return kept if len(limited) == len(queries) else found.where(~F.col("query").isin(ids)).union(kept)
+
     def _by_terms(self, queries: Sequence[tuple[Query, object]]) -> DataFrame:
         spark = self.index.docs.sparkSession
         leaves: dict[tuple[str, str], int] = {}
@@ -270,13 +298,7 @@ class Batch:
         if numbers:
             everything = self.index.docs.select(F.explode(F.array(*(F.lit(n).cast("bigint") for n in numbers))).alias("query"), "id")
             out = out.union(everything.join(kept, ["query", "id"], "left_anti"))
-        limited = [q for q, _ in queries if not Facets.combine(q.facets).is_empty]
-        if limited:
-            allowed = [F.when(Facets.combine(q.facets).column(self.index.facets), F.lit(q.number).cast("bigint")) for q in limited]
-            able = self.index.docs.select(F.explode(F.array_compact(F.array(*allowed))).alias("query"), "id")
-            ids = [q.number for q in limited]
-            out = out.where(~F.col("query").isin(ids)).union(out.where(F.col("query").isin(ids)).join(able, ["query", "id"], "left_semi"))
-        return out
+        return self._allowed(out, [q for q, _ in queries])
 
 
 def combine(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
