@@ -26,6 +26,7 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,12 @@ def entries(spark: SparkSession, rows: Mapping[int, object] | Iterable[tuple]) -
     """Entries from {id: text} or {id: (text, sort text or None, facets or None)}; the last of an id holds."""
     pairs = dict(rows.items() if isinstance(rows, Mapping) else rows)
     full = [(i, e, None, None) if isinstance(e, str) or e is None else (i, *e, *[None] * (3 - len(e))) for i, e in pairs.items()]
-    return spark.createDataFrame([(*r, n) for n, r in enumerate(full)], ENTRY + ", seq bigint")
+    ids, texts, sorts, facets = (list(c) for c in zip(*full)) if full else ([], [], [], [])
+    table = {
+        "id": pa.array(ids, pa.int64()), "search_text": pa.array(texts, pa.string()), "sort_text": pa.array(sorts, pa.string()),
+        "facets": pa.array([None if f is None else list(f.items()) for f in facets], pa.map_(pa.string(), pa.int64())), "seq": pa.array(range(len(full)), pa.int64()),
+    }
+    return spark.createDataFrame(pa.table(table))  # a part of the plan, for which no Python worker is asked
 
 
 @dataclass(frozen=True)
