@@ -6,19 +6,24 @@ A distributed suffix sort, cut at ``length`` bytes, by difference covers.
   ``GRAM``-byte strings is sampled. Equal windows have equal samples at the same place, so they meet
   where their sample goes. Samples whose name is unique leave no work behind.
 * Of samples whose windows cover the same bytes, the later ones are settled: their windows have all
-  come before. Those that a task finds again are settled there, so copies do not travel.
+  come before. Hashes find them, bytes decide: a task compares those that it finds again, and settles
+  them there, so copies do not travel; what meets elsewhere claims bytes of an earlier document, and
+  a claim counts once the bytes of both places, fetched in blocks, have been found to be the same.
 * The remaining contexts, a sample's windows with differing surroundings, are suffix-sorted in
   parts by the skew algorithm: triples at positions 1 and 2 modulo 3 are sorted and named, the names'
   suffixes sorted by recursion, the suffixes at positions 0 merged into them. Windows that are
   neighbours in this order are compared byte by byte; of equal ones all but the first are removed.
 
-A sample with very many contexts is dealt out by its windows instead. It is known as such from a look
-at some documents, or when its rows arrive; that decides the way of the work only, never the result.
+A sample with very many contexts is dealt out by its windows instead, whose bytes are compared as well.
+It is known as such from a look at some documents, or when its rows arrive; that decides the way of the
+work only, never the result. Where hashes agree and bytes do not, all windows of the samples concerned
+are grouped by their bytes.
 
 Cases: a null text is empty; texts shorter than ``length`` have no strings; rows that agree in key
 and text are one document and fare alike; texts of one key are in the order of their hashes; rows
-without a key come first; an empty table gives none; other columns pass through, and columns that
-have the names of results are replaced.
+without a key come first; a key has to be a whole number, or text of one; a text of any length is
+sampled in slices of ``SLICE`` bytes that overlap by a window; an empty table gives none; other columns
+pass through, and columns that have the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from lexgrove.llm.common import Tables, bounded_batches
 LENGTH, GRAM = 100, 32
 #: Samples that a task holds before it settles the copies among them, and bytes of texts that are sampled at once about.
 HELD, CHUNK = 400_000, 100_000
+#: Bytes of a long text that are sampled at once, and bytes of a block in which claims are compared.
+SLICE, BLOCK = 4_000_000, 4096
 #: Of one in so many documents it is seen which samples are hot: those that hold more than one in
 #: ``HOT`` of the samples seen, and so at most ``HOT`` in number, and more than ``LEAST_HOT``.
 LOOK, HOT, LEAST_HOT = 32, 20_000, 64
@@ -99,7 +106,7 @@ def samples(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, sizes: np.n
 
 #: key: a sample's name, or where a settled or hot one goes; at: position, distances, kind.
 SAMPLE = "key bigint, fine bigint, d bigint, h bigint, at bigint"
-SAMPLED, SETTLED, WIDE = 0, 1, 2
+SAMPLED, SETTLED, WIDE, CLAIMED, PIECE = 0, 1, 2, 3, 4
 
 
 def _pack(a: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -115,53 +122,83 @@ def _batch(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _sample(hot: np.ndarray, length: int) -> Callable:
-    """Documents (d, h, text) to samples; of those with the same refined name the task's first travels."""
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``raw`` from ``a`` on are those from ``b`` on."""
+    same = size == size_b
+    step = np.arange(size.max(initial=0))
+    for i in range(0, len(a), 10_000):
+        s = slice(i, i + 10_000)
+        inside = step < size[s, None]
+        x, y = (raw[np.minimum(at[s, None] + step, len(raw) - 1)] for at in (a, b))
+        same[s] &= ((x == y) | ~inside).all(axis=1)
+    return same
+
+
+def _sample(hot: np.ndarray, length: int, bits: int = 64, named: bool = False) -> Callable:
+    """Documents (d, h, text) to samples; of those whose windows cover the same bytes the task's first travels.
+
+    ``bits``: how many of a name's bits count. ``named``: all samples travel, with their names as ``fine``.
+    """
+    mask = U(2**64 - 1 if bits >= 64 else 2**bits - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(7)]
-        n = 0
+        held: list[list[np.ndarray]] = [[] for _ in range(8)]
+        texts: list[np.ndarray] = []
+        n = size_held = 0
 
         def settle() -> pa.RecordBatch:
-            d, h, a, first, last, name, fine = (np.concatenate(x) for x in held)
-            # only names that occur twice need an order
-            order = np.argsort(name)
-            same = name[order][1:] == name[order][:-1]
-            twice = order[np.append(False, same) | np.append(same, False)]
-            twice = twice[np.lexsort((a[twice], h[twice], d[twice], fine[twice], name[twice]))]
+            d, h, a, first, last, name, fine, place = (np.concatenate(x) for x in held)
+            name, fine = name & mask, fine & mask
             again = np.zeros(len(name), bool)
-            again[twice[1:]] = (name[twice][1:] == name[twice][:-1]) & (fine[twice][1:] == fine[twice][:-1])
+            if not named:
+                # only names that occur twice need an order
+                order = np.argsort(name)
+                same = name[order][1:] == name[order][:-1]
+                twice = order[np.append(False, same) | np.append(same, False)]
+                twice = twice[np.lexsort((a[twice], h[twice], d[twice], fine[twice], name[twice]))]
+                later, before = twice[1:], twice[:-1]
+                like = (name[later] == name[before]) & (fine[later] == fine[before]) & (place[later] != place[before])
+                later, before = later[like], before[like]
+                size = last - first + length
+                again[later] = _same_bytes(np.concatenate(texts), place[later] - (a - first)[later], place[before] - (a - first)[before], size[later], size[before])
             wide = np.isin(name, hot) & ~again
             key = np.where(again, _mix(d.astype(U), a.astype(U)), np.where(wide, _mix(name, fine), name))
             kind = np.where(again, SETTLED, np.where(wide, WIDE, SAMPLED))
-            return _batch(["key", "fine", "d", "h", "at"], [key.view(np.int64), fine.view(np.int64), d, h, _pack(a, first, last, kind)])
+            return _batch(["key", "fine", "d", "h", "at"], [key.view(np.int64), (name if named else fine).view(np.int64), d, h, _pack(a, first, last, kind)])
 
-        def add(ds: list[int], hs: list[int], raws: list[np.ndarray]) -> int:
+        def add(ds: list[int], hs: list[int], offsets: list[int], raws: list[np.ndarray]) -> int:
+            nonlocal size_held
             sizes = np.array([len(raw) for raw in raws])
-            found = samples(np.concatenate(raws), length, sizes=sizes)
+            together = np.concatenate(raws)
+            found = samples(together, length, sizes=sizes)
             ends = np.cumsum(sizes)
             text = np.searchsorted(ends, found[0], "right")
-            places = [x - (ends - sizes)[text] for x in found[:3]]
             if len(text):
-                for x, v in zip(held, (np.array(ds)[text], np.array(hs)[text], *places, *found[3:])):
+                places = [x - (ends - sizes - np.array(offsets))[text] for x in found[:3]]
+                for x, v in zip(held, (np.array(ds)[text], np.array(hs)[text], *places, *found[3:], found[0] + size_held)):
                     x.append(v)
+                texts.append(together)
+                size_held += len(together)
             return len(text)
 
         for batch in batches:
-            together: tuple[list, list, list] = ([], [], [])
+            together: tuple[list, list, list, list] = ([], [], [], [])
             size = 0
             for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if not text.is_valid or len(text.as_buffer()) < length:
                     continue
-                for x, v in zip(together, (d, h, np.frombuffer(text.as_buffer(), np.uint8))):
-                    x.append(v)
-                size += len(together[2][-1])
-                if size >= CHUNK:
-                    n += add(*together)
-                    together, size = ([], [], []), 0
-                if n >= HELD:
-                    yield settle()
-                    held, n = [[] for _ in range(7)], 0
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                for at in range(0, len(raw) - length + 1, SLICE):
+                    for x, v in zip(together, (d, h, at, raw[at : at + SLICE + length - 1])):
+                        x.append(v)
+                    size += len(together[3][-1])
+                    if size >= CHUNK:
+                        n += add(*together)
+                        together, size = ([], [], [], []), 0
+                    if n >= HELD:
+                        yield settle()
+                        held, texts = [[] for _ in range(8)], []
+                        n = size_held = 0
             if size:
                 n += add(*together)
         if n:
@@ -170,19 +207,20 @@ def _sample(hot: np.ndarray, length: int) -> Callable:
     return run
 
 
-FOUND = "kind int, key bigint, d bigint, h bigint, at bigint"
+#: d2, h2, at2: the sample whose bytes a claim's are said to be.
+FOUND = "kind int, key bigint, d bigint, h bigint, at bigint, d2 bigint, h2 bigint, at2 bigint"
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Samples sorted by key to settled ones, and to those that share their name with another context."""
-    names = ["kind", "key", "d", "h", "at"]
+    """Samples sorted by key to settled ones, claims, and those that share their name with another context."""
+    names = ["kind", "key", "d", "h", "at", "d2", "h2", "at2"]
     held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(5)]
     crowd: int | None = None  # the name, already passed on in part, of more samples than are held
 
     def wide(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, _, d, h, at = rows
         kind = np.where((at & 255) == SETTLED, SETTLED, WIDE).astype(np.int32)
-        return _batch(names, [kind, key, d, h, at])
+        return _batch(names, [kind, key, d, h, at, *[np.zeros(len(key), np.int64)] * 3])
 
     def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if crowd is not None and len(rows[0]) and rows[0][0] == crowd:
@@ -197,12 +235,17 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fine, d, h, at = (r[order] for r in rows)
         kind = kind[order]
         same = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])
-        again = (kind == SETTLED) | np.append(False, same & (fine[1:] == fine[:-1]))
+        begins = np.append(True, ~(same & (fine[1:] == fine[:-1])))
+        # the first sample of a name and a refined name
+        least = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+        itself = (d == d[least]) & (h == h[least]) & (at >> 24 == at[least] >> 24)
+        claimed = (kind != SETTLED) & ~begins & ~itself
+        again = (kind == SETTLED) | claimed
         run = np.cumsum(np.append(0, ~same))
         contexts = np.bincount(run, weights=~again)[run]
         keep = again | (kind == WIDE) | (contexts > 1)
-        out = np.where(again, SETTLED, kind)[keep].astype(np.int32)
-        yield _batch(names, [out, key[keep], d[keep], h[keep], at[keep]])
+        out = np.where(claimed, CLAIMED, kind)[keep].astype(np.int32)
+        yield _batch(names, [out, key[keep], d[keep], h[keep], at[keep], *(np.where(claimed, x[least], 0)[keep] for x in (d, h, at))])
 
     for batch in batches:
         held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
@@ -218,11 +261,11 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(held)
 
 
-CONTEXT = "wide boolean, key bigint, d bigint, h bigint, at bigint, bytes binary"
+CONTEXT = "kind int, key bigint, d bigint, h bigint, at bigint, bytes binary"
 
 
 def _contexts(length: int) -> Callable:
-    """(d, h, text, ats, keys, kinds) to the bytes that each sample's windows cover."""
+    """(d, h, text, found) to the bytes that each sample's windows cover, and to pieces for the claims on (key, h) at ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,10 +273,15 @@ def _contexts(length: int) -> Callable:
             for d, h, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = (text or "").encode()
                 for s in found:
-                    _, first, last, _ = _unpack(s["at"])
-                    for x, v in zip(out, (s["kind"] == WIDE, s["key"], d, h, s["at"], raw[first : last + length])):
+                    if s["kind"] == PIECE:
+                        row = (PIECE, s["key"], s["n"], s["h2"], s["at"], raw[s["p"] : s["p"] + s["n"]])
+                    else:
+                        _, first, last, _ = _unpack(s["at"])
+                        row = (s["kind"], s["key"], d, h, s["at"], raw[first : last + length])
+                    for x, v in zip(out, row):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["wide", "key", "d", "h", "at", "bytes"])
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["kind", "key", "d", "h", "at", "bytes"])
 
     return run
 
@@ -351,15 +399,17 @@ def _merge(length: int) -> Callable:
     return run
 
 
-WINDOWS = "x bigint, y bigint, d bigint, h bigint, p bigint"
+WINDOWS = "x bigint, y bigint, d bigint, h bigint, p bigint, bytes binary"
 
 
-def _windows(length: int, gram: int) -> Callable:
-    """Contexts of hot samples to their windows, each with two hashes."""
+def _windows(length: int, gram: int, bits: int = 64, whole: bool = True) -> Callable:
+    """Contexts of hot samples to their windows, each with two hashes, and its bytes if ``whole``."""
+    mask = U(2**64 - 1 if bits >= 64 else 2**bits - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            texts: list[bytes | None] = []
             for d, h, at, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 _, first, last, _ = _unpack(np.int64(at))
                 g = gram_hashes(np.frombuffer(raw, np.uint8), gram)
@@ -368,40 +418,106 @@ def _windows(length: int, gram: int) -> Callable:
                 x, y = np.full(len(p), 1, U), np.full(len(p), 2, U)
                 for v in parts:
                     x, y = _mix(x, v), _mix(v, y ^ (v >> U(17)))
-                for o, v in zip(out, (x.view(np.int64), y.view(np.int64), np.full(len(p), d), np.full(len(p), h), p + first)):
+                for o, v in zip(out, ((x & mask).view(np.int64), (y & mask).view(np.int64), np.full(len(p), d), np.full(len(p), h), p + first)):
                     o.append(v)
+                texts += [raw[i : i + length] if whole else None for i in range(len(p))]
             if out[0]:
-                yield _batch(["x", "y", "d", "h", "p"], [np.concatenate(o) for o in out])
+                columns = [pa.array(np.concatenate(o)) for o in out]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=["x", "y", "d", "h", "p", "bytes"])
 
     return run
 
 
-def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, tables: Tables | None = None) -> DataFrame:
-    """(d, h, spans): for each document with repeats the merged spans (first, end) to remove."""
+def _later(windows: DataFrame, by: list[str], length: int) -> DataFrame:
+    """Spans of the windows (d, h, p) that share ``by`` with an earlier one."""
+    first = windows.groupBy(*by).agg(F.min(F.struct("d", "h", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, by).where(F.struct("d", "h", "p") > F.col("first"))
+    return later.select("d", "h", F.col("p").alias("first"), (F.col("p") + length).alias("end"))
+
+
+#: Claims of one document on another, at one distance: they are compared together.
+CLAIM = ["d", "h", "d2", "h2", "off"]
+
+
+def _pieces(claims: DataFrame) -> DataFrame:
+    """Blocks of what each document claims: ``n`` bytes from ``p`` on are those of (d2, h2) from ``q`` on."""
+    spans = claims.groupBy(*CLAIM).agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"))
+    spans = spans.select(*CLAIM, F.explode(_merged(F.col("s"))).alias("s")).select(*CLAIM, (F.col("s.first") - F.col("off")).alias("b"), (F.col("s.end") - F.col("off")).alias("e"))
+    # blocks end at multiples in the document that is claimed, so that claims share them
+    block = F.floor(F.col("b") / BLOCK)
+    spans = spans.select("*", F.explode(F.sequence(block, F.floor((F.col("e") - 1) / BLOCK))).alias("i"))
+    q, e = F.greatest("b", F.col("i") * BLOCK), F.least("e", (F.col("i") + 1) * BLOCK)
+    return spans.select(*CLAIM, q.alias("q"), (e - q).alias("n"), (q + F.col("off")).alias("p"))
+
+
+def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, tables: Tables | None = None, bits: int = 64) -> DataFrame:
+    """(d, h, spans): for each document with repeats the merged spans (first, end) to remove.
+
+    ``bits``: how many of a hash's bits tell samples apart; fewer make more work, never other results.
+    """
     if not GRAM <= length <= 255 + GRAM:
         raise ValueError(f"length has to be between {GRAM} and {255 + GRAM}")
     bounded_batches(df.sparkSession)
     tables = tables or Tables(df.sparkSession, "substrings")
     docs = _documents(df, key, text)
-    look = docs.where(F.pmod(F.xxhash64("d", "h"), F.lit(LOOK)) == 0).mapInArrow(_sample(np.empty(0, U), length), SAMPLE).where(F.col("at").bitwiseAND(F.lit(255)) == SAMPLED)
+    look = docs.where(F.pmod(F.xxhash64("d", "h"), F.lit(LOOK)) == 0).mapInArrow(_sample(np.empty(0, U), length, bits), SAMPLE).where(F.col("at").bitwiseAND(F.lit(255)) == SAMPLED)
     seen = tables.keep(look.groupBy("key").agg(F.count("*").alias("n")), "look")
     total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = np.array(sorted(r[0] for r in seen.where(F.col("n") > max(LEAST_HOT, total / HOT)).select("key").collect()), np.int64).view(U)
 
-    sampled = docs.mapInArrow(_sample(hot, length), SAMPLE)
+    sampled = docs.mapInArrow(_sample(hot, length, bits), SAMPLE)
     named = tables.keep(sampled.repartition("key").sortWithinPartitions("key").mapInArrow(_name, FOUND), "named")
     unpacked = [F.shiftright("at", 24).alias("a"), F.shiftright("at", 16).bitwiseAND(F.lit(255)).alias("b"), F.shiftright("at", 8).bitwiseAND(F.lit(255)).alias("e")]
-    settled = named.where(F.col("kind") == SETTLED).select("d", "h", *unpacked).selectExpr("d", "h", "a - b AS first", f"a - e + {length} AS end")
-
-    open_ = named.where(F.col("kind") != SETTLED).groupBy("d", "h").agg(F.collect_list(F.struct("kind", "key", "at")).alias("found"))
-    contexts = tables.keep(docs.join(tables.keep(open_, "open"), ["d", "h"]).select("d", "h", "text", "found").mapInArrow(_contexts(length), CONTEXT), "contexts")
-    merged = contexts.where("NOT wide").select("key", "d", "h", "at", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(length), SPAN)
+    covered = named.select("kind", "key", "d", "h", *unpacked, "d2", "h2", F.shiftright("at2", 24).alias("a2"))
+    covered = covered.selectExpr("kind", "key", "d", "h", "a - b AS first", f"a - e + {length} AS end", "d2", "h2", "a - a2 AS off")
+    settled = covered.where(F.col("kind") == SETTLED).select("d", "h", "first", "end")
+    claims = covered.where(F.col("kind") == CLAIMED).drop("kind")
+
+    # a document's open samples, and the pieces that it claims or that are claimed of it, are fetched together
+    pieces = tables.keep(_pieces(claims), "pieces")
+    none = F.lit(0).cast("bigint")
+    of_it = [F.lit(PIECE).alias("kind"), F.col("d2").alias("key"), F.col("q").alias("at")]
+    wanted = named.where(F.col("kind").isin(SAMPLED, WIDE)).select("d", "h", "kind", "key", "at", none.alias("h2"), none.alias("p"), none.alias("n"))
+    wanted = wanted.union(pieces.select("d", "h", *of_it, "h2", "p", "n"))
+    wanted = wanted.union(pieces.select("d2", "h2", "q", "n").distinct().select(F.col("d2").alias("d"), F.col("h2").alias("h"), *of_it, "h2", F.col("q").alias("p"), "n"))
+    open_ = tables.keep(wanted.groupBy("d", "h").agg(F.collect_list(F.struct("kind", "key", "at", "h2", "p", "n")).alias("found")), "open")
+
+    def fetched(open_: DataFrame, label: str) -> DataFrame:
+        # sorted and merged at every size: what is fetched grows with the texts
+        return tables.keep(docs.join(open_.hint("merge"), ["d", "h"]).select("d", "h", "text", "found").mapInArrow(_contexts(length), CONTEXT), label)
+
+    contexts = fetched(open_, "contexts")
+    merged = contexts.where(F.col("kind") == SAMPLED).select("key", "d", "h", "at", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(length), SPAN)
     found = settled.union(merged)
-    if not contexts.where("wide").isEmpty():
-        windows = tables.keep(contexts.where("wide").select("d", "h", "at", "bytes").mapInArrow(_windows(length, GRAM), WINDOWS), "windows")
-        first = tables.keep(windows.groupBy("x", "y").agg(F.min(F.struct("d", "h", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-        later = windows.join(first, ["x", "y"]).where(F.struct("d", "h", "p") > F.col("first")).select("d", "h", F.col("p").alias("first"), (F.col("p") + length).alias("end"))
+
+    # what is claimed is among the pieces: all of a block are the same if the least and the greatest are
+    block = [F.col("key").alias("d2"), F.col("h").alias("h2"), F.col("at").alias("q"), F.col("d").alias("n")]
+    compared = contexts.where(F.col("kind") == PIECE).groupBy(*block).agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
+    differ = tables.keep(compared.where("least <> greatest").select("d2", "h2", "q", "n"), "differ")
+    if differ.isEmpty():
+        found = found.union(claims.select("d", "h", "first", "end"))
+    else:
+        wrong = tables.keep(pieces.join(differ, ["d2", "h2", "q", "n"]).select(*CLAIM).distinct(), "wrong")
+        found = found.union(claims.join(wrong, CLAIM, "left_anti").select("d", "h", "first", "end"))
+        # all samples of the names concerned, by the bytes of their windows
+        keys = claims.join(wrong, CLAIM, "left_semi").select("key").distinct()
+        every = tables.keep(docs.mapInArrow(_sample(hot, length, bits, named=True), SAMPLE), "every")
+        names = every.join(keys, "key", "left_semi").select("fine").distinct()
+        again = every.join(names, "fine", "left_semi").select("d", "h", F.lit(WIDE).alias("kind"), "key", "at", none.alias("h2"), none.alias("p"), none.alias("n"))
+        again = fetched(again.groupBy("d", "h").agg(F.collect_list(F.struct("kind", "key", "at", "h2", "p", "n")).alias("found")), "again")
+        found = found.union(_later(again.select("d", "h", "at", "bytes").mapInArrow(_windows(length, GRAM, bits), WINDOWS), ["bytes"], length))
+
+    wide = contexts.where(F.col("kind") == WIDE).select("d", "h", "at", "bytes")
+    if not wide.isEmpty():
+        by = ["x", "y"]
+        classes = wide.mapInArrow(_windows(length, GRAM, bits), WINDOWS).groupBy(*by).agg(F.min(F.struct("d", "h", "p")).alias("first"), F.min("bytes").alias("least"), F.max("bytes").alias("greatest"), F.count("*").alias("n"))
+        first = tables.keep(classes.where("n > 1").selectExpr("x", "y", "first", "least = greatest AS same"), "first")
+        windows = wide.mapInArrow(_windows(length, GRAM, bits, whole=False), WINDOWS).drop("bytes")
+        later = windows.join(first.where("same"), by).where(F.struct("d", "h", "p") > F.col("first")).select("d", "h", F.col("p").alias("first"), (F.col("p") + length).alias("end"))
         found = found.union(later)
+        if not first.where("NOT same").isEmpty():
+            unlike = wide.mapInArrow(_windows(length, GRAM, bits), WINDOWS).join(first.where("NOT same").select(*by), by, "left_semi")
+            found = found.union(_later(unlike, ["bytes"], length))
     listed = found.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"))
     return tables.keep(listed.select("d", "h", _merged(F.col("s")).alias("spans")), "spans")
 
@@ -420,10 +536,10 @@ def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.dropDuplicates(["d", "h"]) if several else rows
 
 
-def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, bits: int = 64) -> DataFrame:
     """Add ``n_bytes``, ``spans`` (first, end) removed, and ``kept``, the bytes that remain."""
     tables = Tables(df.sparkSession, "substrings")
-    found = spans(df, key, text, length, tables)
+    found = spans(df, key, text, length, tables, bits)
     several = not found.where("h <> 0").isEmpty()
     out = df.drop("n_bytes", "spans", "kept").withColumn("_d", F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)).cast("bigint")))
     out = out.withColumn("_h", F.xxhash64(text) if several else F.lit(0).cast("bigint"))

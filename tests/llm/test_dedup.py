@@ -185,6 +185,50 @@ def test_substrings(spark, length, hot, monkeypatch):
     assert got == plain_substrings(texts, length)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("bits", [1, 4, 8])
+def test_substrings_whose_names_collide(spark, bits, hot, monkeypatch):
+    """Names of few bits agree where bytes do not: in a task, in claims on other documents, and in windows of hot samples."""
+    if hot:
+        monkeypatch.setattr(substrings, "LOOK", 1)
+        monkeypatch.setattr(substrings, "LEAST_HOT", 1)
+        monkeypatch.setattr(substrings, "HOT", 10**9)
+    r = random.Random(bits)
+    passage = ["".join(r.choices("abcdé ", k=r.randint(60, 400))) for _ in range(5)]
+    texts = {i: "".join(r.choice([r.choice(passage), "".join(r.choices("xyz ", k=r.randint(0, 120)))]) for _ in range(r.randint(1, 6))) for i in range(50)}
+    texts |= {50: texts[7] * 2, 51: texts[7], 52: "ab" * 300, 53: "ab" * 300, 54: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5, "doc_id")
+    got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["first"] for s in x["spans"]), len(x["spans"]), bytes(x["kept"])) for x in rows_of(substrings.remove(df, bits=bits))}
+    assert got == plain_substrings(texts, 100)
+
+
+def test_claims_on_long_texts_are_compared_in_blocks(spark):
+    """Copies of a text of many blocks, one of them within a longer text, and one that differs in a byte."""
+    r = random.Random(21)
+    t = "".join(r.choices("abcdefgh ", k=30_000))
+    texts = {1: t, 2: "x" + t[5_000:], 3: t, 4: t[:20_000] + "#" + t[20_001:], 5: t[100:9_000] + t[:3_000]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5, "doc_id")
+    got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["first"] for s in x["spans"]), len(x["spans"]), bytes(x["kept"])) for x in rows_of(substrings.remove(df))}
+    assert got == plain_substrings(texts, 100)
+
+
+def test_long_texts_are_sampled_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(22)
+    text = "".join(r.choices("ab ", k=5_000)) + "a" * 700 + "".join(r.choices("ab ", k=400))
+    for size in (150, 1_000, 10**7):
+        monkeypatch.setattr(substrings, "SLICE", size)
+        batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([0]), pa.array([text])], names=["d", "h", "text"])
+        out = [x for b in substrings._sample(np.empty(0, np.uint64), 100)(iter([batch])) for x in b.column(4).to_pylist()]
+        starts = sorted(s for at in out for s in range(substrings._unpack(at)[1], substrings._unpack(at)[2] + 1))
+        assert starts == list(range(len(text) - 99))  # each window once
+        where = {s: substrings._unpack(at)[0] for at in out for s in range(substrings._unpack(at)[1], substrings._unpack(at)[2] + 1)}
+        if size == 150:
+            least = where
+        assert where == least  # and its sample where it lies, however the text is cut
+
+
 def test_suffix_order():
     r = random.Random(11)
     for _ in range(2000):
