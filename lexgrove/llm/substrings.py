@@ -402,14 +402,14 @@ def _merge(length: int) -> Callable:
 WINDOWS = "x bigint, y bigint, d bigint, h bigint, p bigint, bytes binary"
 
 
-def _windows(length: int, gram: int, bits: int = 64, whole: bool = True) -> Callable:
-    """Contexts of hot samples to their windows, each with two hashes, and its bytes if ``whole``."""
+def _windows(length: int, gram: int, bits: int = 64) -> Callable:
+    """Contexts of hot samples to their windows, each with two hashes and its bytes."""
     mask = U(2**64 - 1 if bits >= 64 else 2**bits - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            texts: list[bytes | None] = []
+            texts: list[bytes] = []
             for d, h, at, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 _, first, last, _ = _unpack(np.int64(at))
                 g = gram_hashes(np.frombuffer(raw, np.uint8), gram)
@@ -420,7 +420,7 @@ def _windows(length: int, gram: int, bits: int = 64, whole: bool = True) -> Call
                     x, y = _mix(x, v), _mix(v, y ^ (v >> U(17)))
                 for o, v in zip(out, ((x & mask).view(np.int64), (y & mask).view(np.int64), np.full(len(p), d), np.full(len(p), h), p + first)):
                     o.append(v)
-                texts += [raw[i : i + length] if whole else None for i in range(len(p))]
+                texts += [raw[i : i + length] for i in range(len(p))]
             if out[0]:
                 columns = [pa.array(np.concatenate(o)) for o in out]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=["x", "y", "d", "h", "p", "bytes"])
@@ -509,15 +509,14 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     wide = contexts.where(F.col("kind") == WIDE).select("d", "h", "at", "bytes")
     if not wide.isEmpty():
-        by = ["x", "y"]
-        classes = wide.mapInArrow(_windows(length, GRAM, bits), WINDOWS).groupBy(*by).agg(F.min(F.struct("d", "h", "p")).alias("first"), F.min("bytes").alias("least"), F.max("bytes").alias("greatest"), F.count("*").alias("n"))
+        # windows of one context follow each other by a byte, so with their bytes they take little room
+        by, windows = ["x", "y"], tables.keep(wide.mapInArrow(_windows(length, GRAM, bits), WINDOWS), "windows")
+        classes = windows.groupBy(*by).agg(F.min(F.struct("d", "h", "p")).alias("first"), F.min("bytes").alias("least"), F.max("bytes").alias("greatest"), F.count("*").alias("n"))
         first = tables.keep(classes.where("n > 1").selectExpr("x", "y", "first", "least = greatest AS same"), "first")
-        windows = wide.mapInArrow(_windows(length, GRAM, bits, whole=False), WINDOWS).drop("bytes")
-        later = windows.join(first.where("same"), by).where(F.struct("d", "h", "p") > F.col("first")).select("d", "h", F.col("p").alias("first"), (F.col("p") + length).alias("end"))
-        found = found.union(later)
+        later = windows.select(*by, "d", "h", "p").join(first.where("same"), by).where(F.struct("d", "h", "p") > F.col("first"))
+        found = found.union(later.select("d", "h", F.col("p").alias("first"), (F.col("p") + length).alias("end")))
         if not first.where("NOT same").isEmpty():
-            unlike = wide.mapInArrow(_windows(length, GRAM, bits), WINDOWS).join(first.where("NOT same").select(*by), by, "left_semi")
-            found = found.union(_later(unlike, ["bytes"], length))
+            found = found.union(_later(windows.join(first.where("NOT same").select(*by), by, "left_semi"), ["bytes"], length))
     listed = found.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"))
     return tables.keep(listed.select("d", "h", _merged(F.col("s")).alias("spans")), "spans")
 
