@@ -542,7 +542,8 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     several = not found.where("h <> 0").isEmpty()
     out = df.drop("n_bytes", "spans", "kept").withColumn("_d", F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)).cast("bigint")))
     out = out.withColumn("_h", F.xxhash64(text) if several else F.lit(0).cast("bigint"))
-    out = out.join(found.withColumnsRenamed({"d": "_d", "h": "_h"}), ["_d", "_h"], "left").drop("_d", "_h")
+    # merged at every size, as when texts are fetched: spans grow with the texts
+    out = out.join(found.withColumnsRenamed({"d": "_d", "h": "_h"}).hint("merge"), ["_d", "_h"], "left").drop("_d", "_h")
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     out = out.withColumn("n_bytes", F.octet_length(raw).cast("bigint")).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:bigint,end:bigint>>")))
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["end"]))
