@@ -23,12 +23,12 @@ def facet_names(df: DataFrame, facets: str) -> list[str]:
     return sorted(r[0] for r in df.select(F.explode(F.map_keys(facets))).distinct().collect())
 
 
-def prepare(df: DataFrame, id: str = "id", text: str = "search_text", sort: str | None = None, facets: str | dict[str, Column] | None = None, ordinal: str | None = None, preset: Tokenization = DEFAULT, names: Iterable[str] | None = None) -> DataFrame:
+def prepare(df: DataFrame, id: str = "id", text: str = "search_text", sort: str | None = None, facets: str | dict[str, Column] | None = None, ordinal: str | None = None, preset: Tokenization = DEFAULT, names: Iterable[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of an index from rows of a table.
 
     ``sort`` is the text of the natural order, by default the indexed text. ``facets`` is a map
     column, or a column for each name; what is missing is 0. ``ordinal`` is the snapshot order, by
-    default that of the ids.
+    default that of the ids. Columns to ``keep`` stay as they are.
     """
     source = F.col(text)
     if isinstance(facets, str):
@@ -44,6 +44,7 @@ def prepare(df: DataFrame, id: str = "id", text: str = "search_text", sort: str
         normal_text(source, preset).alias("norm"),
         tokens(source, preset).alias("tokens"),
         *(F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(PREFIX + n) for n, c in sorted(columns.items())),
+        *keep,
     )
 
 

@@ -11,11 +11,15 @@ rows. When enough segments of a size have gathered they become one (``merged``),
 written again as often as the logarithm of the number of rows. Documents keep their place in the snapshot
 order when they are updated; one that comes again after a removal is appended. Places come from a counter in
 the version.
+
+Versions that are due at once are written together: one segment has the rows that hold after the last of them, with the
+publish that each came with, and beside these the rows that were replaced on the way. Their file has the name of the first, and each is read by its number (``at``).
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import math
 import random
@@ -27,7 +31,8 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +51,8 @@ GONE = "id bigint, ordinal bigint"
 FANOUT, LEAST = 8, 1000
 #: Ids of removed rows, up to which they are broadcast to where rows are read.
 MOST_SENT = 500_000
+#: Versions that are written together at most, as the driver keeps a number for each.
+TOGETHER = 10_000
 #: Sequence numbers of a change that are far apart become dense ones beyond this range.
 SPREAD = 1 << 40
 ATTEMPTS = 40
@@ -81,13 +88,23 @@ class Segment:
 
 @dataclass(frozen=True)
 class Version:
-    """What a version's file says. ``next`` is the place of the next new document; ``ledger`` is what feeds have published."""
+    """What a version's file says. ``next`` is the place of the next new document; ``ledger`` is what feeds have published.
+
+    A file of versions that were written together has the entries of each in ``steps``, and in ``during`` the segments before them and their own.
+    """
 
     number: int = -1
     segments: tuple[Segment, ...] = ()
     entries: int = 0
     next: int = 0
     ledger: dict[str, dict] = field(default_factory=dict)
+    steps: tuple[int, ...] = ()
+    during: tuple[Segment, ...] = ()
+
+    @property
+    def first(self) -> int:
+        """The first of the versions that were written together, which names their file."""
+        return self.number - max(len(self.steps), 1) + 1
 
     @property
     def facets(self) -> list[str]:
@@ -99,7 +116,8 @@ class Version:
     @classmethod
     def of(cls, text: str) -> Version:
         said = json.loads(text)
-        return cls(**said | {"segments": tuple(Segment(**s | {"facets": tuple(s["facets"])}) for s in said["segments"])})
+        held = {k: tuple(Segment(**s | {"facets": tuple(s["facets"])}) for s in said.get(k, ())) for k in ("segments", "during")}
+        return cls(**said | held | {"steps": tuple(said.get("steps", ()))})
 
 
 def due_for_merge(segments: tuple[Segment, ...]) -> int | None:
@@ -159,13 +177,15 @@ class IndexStore(Folder):
     def refresh(self) -> Version:
         """Look for newer versions."""
         with self._lock:
-            at = newest = self._version.number
-            if at < 0 or not self.exists(f"v={at}"):  # the first time, or where versions have been removed
-                newest = max(self.numbers("", "v="), default=-1)
-            while self.exists(f"v={newest + 1}"):
-                newest += 1
-            if newest > at:
-                self._adopt(Version.of(self.read(f"v={newest}")))
+            newest, at = self._version, None
+            if newest.number < 0 or not self.exists(f"v={newest.first}"):  # the first time, or where versions have been removed
+                at = max((n for n in self.numbers("", "v=") if n > newest.number), default=None)
+            elif self.exists(f"v={newest.number + 1}"):
+                at = newest.number + 1
+            while at is not None:
+                newest = Version.of(self.read(f"v={at}"))
+                at = newest.number + 1 if self.exists(f"v={newest.number + 1}") else None
+            self._adopt(newest)
             return self._version
 
     def _adopt(self, version: Version) -> None:
@@ -187,19 +207,29 @@ class IndexStore(Folder):
                 self._current = SearchIndex(self._docs(version.segments), self.preset, SegmentOrders(self, held) if held else None, WordCounts(self, version.segments))
             return self._current
 
+    def at(self, number: int) -> SearchIndex:
+        """A version by its number, one that was written together with later ones too. A facet that only a later one of these brought is 0 in it."""
+        first = max((n for n in self.numbers("", "v=") if n <= number), default=None)
+        version = None if first is None else Version.of(self.read(f"v={first}"))
+        if version is None or version.number < number:
+            raise ValueError(f"{self.path}: there is no version {number}")
+        if version.number == number or not version.during:
+            return SearchIndex(self._docs(version.segments), self.preset)
+        return SearchIndex(self._docs_during(version.during[:-1], version.during[-1], number - first), self.preset)
+
     def _change(self, make: Callable[[Version], Version | None]) -> Version | None:
         """Publish what ``make`` makes of the newest version; again, if another writer came before."""
         with self._writing:
             for attempt in range(ATTEMPTS):
                 self._written, old = [], self.refresh()
-                new, kept = make(old), set()
+                new, kept = make(replace(old, steps=(), during=())), set()
                 try:
                     if new is None:
                         return None
-                    new = replace(new, number=old.number + 1)
-                    if self.claim(f"v={new.number}", new.text()):
+                    new = replace(new, number=old.number + max(len(new.steps), 1))
+                    if self.claim(f"v={new.first}", new.text()):
                         self._adopt(new)
-                        kept = {s.name for s in new.segments}
+                        kept = {s.name for s in (*new.segments, *new.during)}
                         return new
                 finally:
                     for name in set(self._written) - kept:  # of an attempt that lost, or merged at once
@@ -212,11 +242,11 @@ class IndexStore(Folder):
         newest = self.refresh().number
         numbers = self.numbers("", "v=")
         known = {n: Version.of(self.read(f"v={n}")) for n in numbers}
-        held = {s.name for n, v in known.items() if n > newest - keep for s in v.segments}
+        held = {s.name for v in known.values() if v.number > newest - keep for s in (*v.segments, *v.during)}
         for n, v in known.items():
-            if n <= newest - keep:
+            if v.number <= newest - keep:
                 self.delete(f"v={n}")
-                for name in {s.name for s in v.segments} - held:
+                for name in {s.name for s in (*v.segments, *v.during)} - held:
                     self.delete(f"segments/{name}")
 
     # -- segments ----------------------------------------------------------------------------------
@@ -268,6 +298,20 @@ class IndexStore(Folder):
             out = rows if out is None else out.unionByName(rows)
         return self.spark.createDataFrame([], T.StructType([*shape.fields, T.StructField("segment", T.StringType())])) if out is None else out
 
+    def _docs_during(self, base: tuple[Segment, ...], own: Segment, step: int) -> DataFrame:
+        """The rows that were there after a publish of those that wrote the segment ``own`` together, from 0."""
+        docs = self._docs(base)
+        if own.gone:
+            gone = self.spark.read.schema(GONE + ", _step bigint").parquet(self._where(own.name, "gone")).where(F.col("_step") <= step)
+            docs = docs.join(gone.select("id"), "id", "left_anti")
+        facets = [PREFIX + f for f in own.facets]
+        shape = T.StructType([*T.StructType.fromDDL(ROW).fields, *(T.StructField(f, T.LongType()) for f in facets), *T.StructType.fromDDL("_step bigint, _until bigint").fields])
+        for what in ("rows", "past"):
+            rows = self.spark.read.schema(shape).parquet(self._where(own.name, what))
+            came = (F.col("_step") <= step) & (F.col("_until").isNull() | (F.col("_until") > step))
+            docs = docs.unionByName(rows.where(came).drop("_step", "_until").withColumn("segment", F.lit(own.name)), allowMissingColumns=True)
+        return docs.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("bigint")) for c in docs.columns if c.startswith(PREFIX)})
+
     def _write(self, df: DataFrame, name: str, what: str) -> int:
         """Write a table of a segment; its rows."""
         self._written.append(name)
@@ -330,6 +374,36 @@ class IndexStore(Folder):
         segments = self._merged((*base, Segment(name, n, gone, names, told.low, told.high)))
         return replace(old, segments=segments, entries=entries + n - gone, next=next + told.last - told.first + 1)
 
+    def _append_steps(self, old: Version, new: DataFrame, told, n: int) -> Version:
+        """Versions after ``old``, one for each of ``n`` values of ``_step``, by one segment of all their entries."""
+        name, names = uuid.uuid4().hex, tuple(sorted(told.facets))
+        own = Window.partitionBy("id")
+        held = [c for c in new.columns if c not in ("id", "_step")]
+        each = new.groupBy("id", "_step").agg(F.max_by(F.struct(*held), "seq").alias("e"), F.min("seq").alias("first")).select("id", "_step", "e.*", F.col("first"))
+        place = F.min("first").over(own) - F.lit(told.first) + F.lit(old.next)
+        each, gone = each.withColumns({"_until": F.lead("_step").over(own.orderBy("_step")), "_came": F.min("_step").over(own), "place": place}), 0
+        if any(s.rows and s.low <= told.high and s.high >= told.low for s in old.segments):
+            there = self._docs(old.segments).where(F.col("id").between(told.low, told.high)).select("id", "ordinal")
+            gone = self._write(there.join(new.groupBy("id").agg(F.min("_step").alias("_step")), "id"), name, "gone")
+            if gone:
+                places = self.gone_of([name]).withColumnRenamed("ordinal", "_old")
+                each = each.join(places, "id", "left").withColumn("place", F.coalesce("_old", "place"))
+        rows = prepare(each, sort="sort_text", facets="facets", ordinal="place", preset=self.preset, names=names, keep=("_step", "_until", "_came"))
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            count = self._write(rows.where("_until IS NULL").sortWithinPartitions("id"), name, "rows")
+            self._write(rows.where("_until IS NOT NULL"), name, "past")
+        finally:
+            rows.unpersist()
+        added = dict.fromkeys(range(n), 0)
+        for what, column, sign in (("rows", "_came", 1), *([("gone", "_step", -1)] if gone else [])):
+            counted = self.spark.read.schema(f"{column} bigint").parquet(self._where(name, what)).groupBy(column).agg(F.count("*").alias("n"))
+            for r in counted.collect():  # a row for each publish
+                added[r[column]] += sign * r["n"]
+        steps = tuple(itertools.accumulate(added.values(), initial=old.entries))[1:]
+        during = (*old.segments, Segment(name, count, gone, names, told.low, told.high))
+        return replace(old, segments=self._merged(during), entries=steps[-1], next=old.next + told.last - told.first + 1, steps=steps, during=during)
+
     def rebuild(self, new: DataFrame, progress: Callable[[float], None] | None = None) -> SearchIndex:
         """Replace everything by the entries (id, search_text[, sort_text, facets, seq]); ``progress`` hears how far it is."""
         with progress_told(self.spark, progress):
@@ -366,15 +440,27 @@ class IndexStore(Folder):
         self.publish(new)
         return self.current
 
-    def publish(self, new: DataFrame, note: tuple[str, dict] | None = None) -> None:
-        """The same; ``note`` is what a feed has published with it, by the feed's name."""
+    def publish(self, new: DataFrame, note: tuple[str, dict] | None = None, each: int | None = None, versions: int = 1) -> list[int]:
+        """The same; ``note`` is what a feed has published with it, by the feed's name. The entries of each new version.
+
+        With ``each``, several ``versions`` are written together: the first has the entries whose ``seq`` is below ``each``, the next those below
+        twice as much, and so on. ``seq`` counts the entries from 0.
+        """
+        if versions > 1:
+            new = new.withColumn("_step", F.least(F.floor(F.col("seq") / each), F.lit(versions - 1)).cast("bigint"))
         new, told = self._ready(new)
 
         def make(old: Version) -> Version:
-            out = old if told.low is None else self._append(old, new, told, old.segments, old.entries, old.next)
+            if told.low is None:
+                out = old if versions == 1 else replace(old, steps=(old.entries,) * versions)
+            elif versions == 1:
+                out = self._append(old, new, told, old.segments, old.entries, old.next)
+            else:
+                out = self._append_steps(old, new, told, versions)
             return replace(out, ledger=old.ledger | {note[0]: note[1]}) if note else out
 
-        self._change(make)
+        made = self._change(make)
+        return list(made.steps) or [made.entries]
 
     def remove(self, ids: Iterable[int] | DataFrame) -> int:
         """Delete entries; the number that there were. Nothing is published for none."""

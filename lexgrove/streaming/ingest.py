@@ -5,6 +5,9 @@ entries become a new version of the index, by number or by time. A timer asks it
 arrives. Pending entries that a batch bound splits are published in arrival order: a landed row has its
 place, so a slice is a filter. The source's own limits bound what is pending.
 
+Where more is pending than a publish takes, and what the next ones take is known, several are written together, first one, then four times as many
+each time: each is a version of its own, with its own entries, but the jobs that write them grow only with the logarithm of their number.
+
 What has been published of a feed is said in the version that has it, by the id of the streaming query and the number of
 the micro-batch. A run that starts again on the same store and checkpoint goes on from there: landed entries are pending
 again, and a micro-batch that comes again is known by its number. Another feed, or another
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexgrove.sources.store import IndexStore
+from lexgrove.sources.store import TOGETHER, IndexStore
 
 
 class Policy(Enum):
@@ -100,6 +103,11 @@ class Controller:
         """Pending entries from which to publish, whatever the time."""
         return {Policy.PER_ENTRY: 1, Policy.FIXED_BATCH: self.options.batch_size, Policy.TIME_DEBOUNCE: None, Policy.ADAPTIVE: self.cap}[self.options.policy]
 
+    @property
+    def steady(self) -> bool:
+        """Whether a publish leaves the bound as it is."""
+        return self.options.policy is not Policy.ADAPTIVE or not self.options.growing_cap
+
     def interval(self) -> float:
         if self.options.policy is Policy.TIME_DEBOUNCE:
             return self.options.min_interval
@@ -287,10 +295,10 @@ class Ingestion:
                 if part.size:
                     self._parts.append(part)
                     self.pending += part.size
-            bound = self.controller.bound()
+            bound, most = self.controller.bound(), 1
             while bound is not None and self.pending >= bound:
-                self._publish(bound)
-                bound = self.controller.bound()
+                self._publish(bound, min(most, self.pending // bound) if self.controller.steady else 1)
+                bound, most = self.controller.bound(), min(4 * most, TOGETHER)
             if self.controller.due(self.pending, self._oldest()):
                 self._publish(self.pending)
             self._changed.notify_all()
@@ -311,8 +319,9 @@ class Ingestion:
                     self._failure = e  # the next micro-batch, or the end, raises it
                     return
 
-    def _publish(self, n: int) -> None:
-        """Make the first ``n`` pending entries searchable."""
+    def _publish(self, each: int, versions: int = 1) -> None:
+        """Make the first ``each`` pending entries searchable, and as many more in each further version."""
+        n = each * versions
         began, rest, slices, taken = self.now(), n, [], list(self._parts)
         while rest:
             part = taken[0]
@@ -324,11 +333,11 @@ class Ingestion:
             if taken[0].first == part.size:
                 del taken[0]
         at = (taken[0].number, taken[0].first) if taken else (self._last + 1, 0)
-        said = {"batch": at[0], "row": at[1], "published": self.published + n, "publishes": self.publishes + 1}
+        said = {"batch": at[0], "row": at[1], "published": self.published + n, "publishes": self.publishes + versions}
         out = slices[0]
         for s in slices[1:]:
             out = out.unionByName(s)
-        self.store.publish(out, note=(self._id, said))
+        indexed = self.store.publish(out, (self._id, said), each, versions)
         for old in {p.number for p in self._parts} - {p.number for p in taken}:
             self.store.delete(self._name(old))
         self._parts = taken
@@ -336,12 +345,12 @@ class Ingestion:
         self.pending -= n
         self.published += n
         self.rebuild_seconds += took
-        indexed = self.store.entry_count()
-        self.controller.done(took, indexed)
-        event = Published(n, indexed, took, self.publishes)
-        self.publishes += 1
-        if self.on_published:
-            self.on_published(event)
+        self.controller.done(took, indexed[-1])
+        for entries in indexed:
+            event = Published(each, entries, took / versions, self.publishes)
+            self.publishes += 1
+            if self.on_published:
+                self.on_published(event)
 
     # -- the end -----------------------------------------------------------------------------------
     def finish(self, timeout: float | None = None) -> Result:

@@ -231,3 +231,19 @@ def test_a_slice_reads_its_own_rows(spark, tmp_path):
         rows = ingestion._slice(replace(part, first=first), end, 100)
         assert sorted((r.id, r.seq) for r in rows.collect()) == [(i, 100 + i - first) for i in range(first, end)]
     assert ingestion.finish().published == 40
+
+
+@pytest.mark.parametrize("options", [Options(Policy.FIXED_BATCH, batch_size=3, max_staleness=1000), Options(Policy.ADAPTIVE, batch_size=3, growing_cap=False, min_interval=1000, max_staleness=1000), Options(Policy.PER_ENTRY, max_staleness=1000)])
+def test_many_due_publishes_take_few_jobs_and_are_versions_of_their_own(spark, tmp_path, options, monkeypatch):
+    each, n = 1 if options.policy is Policy.PER_ENTRY else 3, 32
+    store, events, calls, publish = IndexStore(spark, str(tmp_path / "index")), [], [], IndexStore.publish
+    monkeypatch.setattr(IndexStore, "publish", lambda self, *a, **k: calls.append(1) or publish(self, *a, **k))
+    ingestion = Ingestion(store, options, on_published=events.append)
+    ingestion.start(rows_in(spark, tmp_path / "feed", range(n)), available_now=True)
+    result = ingestion.finish()
+    sizes = [each] * (n // each) + [n % each] * (n % each > 0)
+    assert [e.entries for e in events] == sizes and [e.indexed for e in events] == [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    assert result.publishes == len(sizes) == store.version + 1 and len(calls) <= 5  # one for each publish before
+    for number in (0, 1, 4, 6, store.version):
+        assert sorted(x.id for x in store.at(number).docs.select("id").collect()) == list(range(sum(sizes[: number + 1])))
+    assert IndexStore(spark, store.path).refresh().ledger == store.refresh().ledger and store.refresh().ledger[ingestion._id]["publishes"] == len(sizes)

@@ -222,3 +222,33 @@ def test_a_build_tells_how_far_it_is(spark, tmp_path):
     told = []
     assert IndexStore(spark, str(tmp_path / "index")).rebuild(slow, told.append).document_count() == 64
     assert told[0] == 0.0 and told[-1] == 1.0 and told == sorted(told) and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+@pytest.mark.parametrize("start", [0, 9])
+def test_versions_written_together_are_those_written_one_by_one(spark, tmp_path, start):
+    """Entries, rows, places and facets of each version, with ids that come again within it, in a later one, and from before."""
+    r, both = random.Random(start), [IndexStore(spark, str(tmp_path / n)) for n in ("one", "together")]
+    rows = [(r.randrange(25), f"text{i}", None, {"size": i} if i % 3 else None, i) for i in range(60)]
+    shape = "id bigint, search_text string, sort_text string, facets map<string,bigint>, seq bigint"
+    for store in both:
+        if start:
+            store.rebuild_from({i: f"old{i}" for i in range(start)})
+    one, together = both
+    told = [one.publish(spark.createDataFrame(rows[i : i + 6], shape))[0] for i in range(0, 60, 6)]
+    assert together.publish(spark.createDataFrame(rows, shape), each=6, versions=10) == told
+    assert together.version == one.version and len(together.numbers("", "v=")) == bool(start) + 1
+    size = stored.PREFIX + "size"
+    for number in range(together.version + 1):
+        want, got = one.at(number), together.at(number)
+        assert {(x.id, x.search_text, x[size] if size in want.docs.columns else 0) for x in want.docs.collect()} == {(x.id, x.search_text, x[size] if size in got.docs.columns else 0) for x in got.docs.collect()}
+        assert ids(got.find("*")) == ids(want.find("*"))
+    for store in both:
+        store.add_entry(1, "later")
+        store.remove_entry(2)
+    assert together.version == one.version and {x.search_text for x in together.current.docs.collect()} == {x.search_text for x in one.current.docs.collect()}
+    follower = IndexStore(spark, together.path)
+    assert follower.version == one.version and follower.entry_count() == one.entry_count()
+    with pytest.raises(ValueError):
+        together.at(together.version + 1)
+    together.expire(1)
+    assert set(together.names("segments")) == {s.name for s in segments(together)} and IndexStore(spark, together.path).entry_count() == one.entry_count()
