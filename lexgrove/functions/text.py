@@ -70,7 +70,7 @@ def all_tokens(text: Column | str, preset: Tokenization = DEFAULT) -> Column:
     low = F.lower(_text(text))
     if preset.whole:
         return F.when(low != "", F.array(low)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.split(low, _class(preset.index) + "+"), lambda t: t != "")
+    return F.array_remove(F.split(low, _class(preset.index) + "+"), "")
 
 
 def tokens(text: Column | str, preset: Tokenization = DEFAULT) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import bigrams, normal_text
@@ -49,17 +49,33 @@ def _asked(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def postings(index: SearchIndex) -> DataFrame:
     """(word, id): each token of each document once."""
-    return index.docs.select(F.explode("tokens").alias("word"), "id")
+    return _rows(index.docs, F.col("tokens"), "word", "id")
+
+
+def _rows(docs: DataFrame, array: Column, name: str, *others: str) -> DataFrame:
+    """A row for each element of an array without nulls. For a plain ``explode`` Spark works the array out a second time, to leave out empty ones."""
+    return docs.select(F.explode_outer(array).alias(name), *others).where(F.col(name).isNotNull())
 
 
 def vocabulary(index: SearchIndex) -> DataFrame:
     """(word, length, documents) of each distinct token."""
-    return postings(index).groupBy("word").agg(F.count("*").alias("documents")).select("word", F.length("word").cast("bigint").alias("length"), "documents")
+    return _counted(postings(index))
+
+
+def _counted(table: DataFrame) -> DataFrame:
+    return table.groupBy("word").agg(F.count("*").alias("documents")).select("word", F.length("word").cast("bigint").alias("length"), "documents")
 
 
 def bigram_table(words: DataFrame) -> DataFrame:
     """(bigram, word): each word once for each of its bigrams."""
-    return words.select("word").distinct().select(F.explode(bigrams(F.col("word"))).alias("bigram"), "word")
+    return _pairs(words.select("word").distinct())
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """What ``bigrams`` says, in generated code: the pair at each place of a word, unless it has come before in it."""
+    at = words.where(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("_at"))
+    pairs = at.select(F.substring("word", F.col("_at"), F.lit(2)).alias("bigram"), "word", "_at")
+    return pairs.where(F.position(F.col("bigram"), F.col("word")) == F.col("_at")).select("bigram", "word")
 
 
 def within_by_bigram(table: DataFrame, part: str) -> DataFrame:
@@ -80,10 +96,11 @@ class Query:
 
 @dataclass(frozen=True)
 class Plan:
-    """``postings`` or ``scan``, and the postings that the words which match have, where they were counted."""
+    """``postings`` or ``scan``, and the postings that the words which match have, where they were counted; whether these words are ``few`` enough to be sent."""
 
     how: str
     rows: int | None = None
+    few: bool = field(default=False, compare=False)
 
 
 @dataclass
@@ -117,10 +134,17 @@ class Batch:
                 df.unpersist()
 
     def save(self, path: str) -> Batch:
-        """Write the tables sorted, so that a scan for few words, or for long enough ones, reads few row groups."""
-        self.postings.repartitionByRange("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocabulary.repartitionByRange("length", "word").sortWithinPartitions("length", "word").write.mode("overwrite").parquet(f"{path}/vocabulary")
-        bigram_table(self.vocabulary).repartitionByRange("bigram").sortWithinPartitions("bigram", "word").write.mode("overwrite").parquet(f"{path}/bigrams")
+        """Write the tables sorted, so that a scan for few words, or for long enough ones, reads few pages.
+
+        The texts are read once, for the postings: words are counted in the postings as written, and bigrams made of the vocabulary as written.
+        Rows are dealt out by hash, as a range would have to be found by a reading of its own.
+        """
+        read = self.index.docs.sparkSession.read
+        self.postings.repartition("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        words = _counted(read.schema(self.postings.schema).parquet(f"{path}/postings"))
+        words.sortWithinPartitions("length", "word").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        pairs = _pairs(read.schema(words.schema).parquet(f"{path}/vocabulary"))
+        pairs.repartition("bigram").sortWithinPartitions("bigram", "word").write.mode("overwrite").parquet(f"{path}/bigrams")
         return Batch.load(self.index, path)
 
     @classmethod
@@ -128,8 +152,8 @@ class Batch:
         spark = index.docs.sparkSession
         return cls(index, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocabulary", "bigrams")))
 
-    def find_many(self, queries: Sequence[Query]) -> DataFrame:
-        """(query, id) of all that the queries find."""
+    def find_many(self, queries: Sequence[Query], few: bool = False) -> DataFrame:
+        """(query, id) of all that the queries find; ``few`` says that the words which match are known to be few enough to be sent to all executors."""
         spark = self.index.docs.sparkSession
         if len({q.number for q in queries}) != len(queries):
             raise ValueError("queries share a number")
@@ -146,7 +170,7 @@ class Batch:
         by_word = {q.number for q, _ in words}
         by_terms = [(q, tree) for q, tree in by_terms if q.number not in by_word]
         parts = [self._by_words(words)] if words else []
-        parts += [self._by_terms(by_terms)] if by_terms else []
+        parts += [self._by_terms(by_terms, few)] if by_terms else []
         parts += [self._by_scan(by_scan[i : i + TOGETHER]) for i in range(0, len(by_scan), TOGETHER)]
         return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query bigint, id bigint")
 
@@ -175,8 +199,9 @@ class Batch:
             words.append(exact.select(F.lit(-1).cast("bigint").alias("leaf"), "word"))
         if not words:
             return Plan("postings", 0)
-        rows = reduce(DataFrame.union, words).join(self.vocabulary, "word").agg(F.sum("documents")).first()[0] or 0
-        return Plan("postings" if rows <= self.documents() else "scan", rows)
+        sizes = F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum(F.octet_length("word") + 8), F.lit(0))
+        rows, size = reduce(DataFrame.union, words).join(self.vocabulary, "word").agg(*sizes).first()
+        return Plan("postings" if rows <= self.documents() else "scan", rows, size <= MOST_SENT)
 
     def documents(self) -> int:
         if self._count is None:
@@ -187,13 +212,14 @@ class Batch:
         """(id) of the documents that one query finds, by its plan."""
         wanted = Facets.combine(facets)
         wanted.column(self.index.facets)
-        if self.plan(text, method, operators).how == "scan":
+        plan = self.plan(text, method, operators)
+        if plan.how == "scan":
             return self.index.matching(text, method, operators, facets).select("id")
         tree = self._tree(Query(0, text, method, operators))
         if method == EXACT and isinstance(tree, Term) and term_shape(tree.word, EXACT)[0] == "equal" and wanted.is_empty:
             none = any(c in self.index.preset.index for c in tree.word)
             return self.postings.where(F.lit(False) if none else F.col("word") == tree.word).select("id")
-        return self.find_many([Query(0, text, method, operators, facets)]).select("id")
+        return self.find_many([Query(0, text, method, operators, facets)], plan.few).select("id")
 
     def find(self, text: str, method: str = EXACT, operators: bool = False, sort: str = SNAPSHOT, facets: Facets | Range | Mask | None = None) -> DataFrame:
         """Ids in an order; of the documents only keys and places are read where postings say which they are."""
@@ -206,7 +232,7 @@ class Batch:
     def _by_scan(self, queries: Sequence[Query]) -> DataFrame:
         """One pass over the documents that tests each query."""
         each = [F.when(self.index.condition(q.text, q.method, q.operators, q.facets), F.lit(q.number).cast("bigint")) for q in queries]
-        return self.index.docs.select(F.explode(F.array_compact(F.array(*each))).alias("query"), "id")
+        return _rows(self.index.docs, F.array_compact(F.array(*each)), "query", "id")
 
     @staticmethod
     def _leaf(q: Query, term: str) -> tuple[str, str]:
@@ -232,7 +258,9 @@ class Batch:
             word, text = F.col("word"), F.col("text")
             test = F.when(F.col("kind") == "contains", F.contains(word, text)).when(F.col("kind") == "starts", F.startswith(word, text)).otherwise(F.endswith(word, text))
             asked = _asked(spark, looked_up, "leaf bigint, kind string, text string, bigram string")
-            words.append(self.bigrams.join(asked, "bigram").where(test).select("leaf", "word"))
+            firsts = sorted({x[3] for x in looked_up})
+            able = self.bigrams.where(F.col("bigram").isin(firsts)) if len(firsts) <= TOGETHER else self.bigrams  # few are looked up in the pages that have them
+            words.append(able.join(asked, "bigram").where(test).select("leaf", "word"))
         others.sort(key=lambda x: least_length(x[1]))  # terms that short words cannot match are tested together
         for i in range(0, len(others), TOGETHER):
             group = others[i : i + TOGETHER]
@@ -250,14 +278,15 @@ class Batch:
             able = self.vocabulary.where(F.col("word").contains(text)).select("word") if text else self.vocabulary.select("word")
         return able.withColumn("_tokens", F.array("word")).where(pattern_matches(pattern, "_tokens")).select("word")
 
-    def _hits(self, leaves: dict[tuple[str, str], int]) -> DataFrame:
+    def _hits(self, leaves: dict[tuple[str, str], int], few: bool = False) -> DataFrame:
         """(leaf, id) for the distinct terms of a batch: a document for each of its words that matches."""
         spark, hits = self.index.docs.sparkSession, []
         words, literals = self._words(leaves)
         if literals:
             hits.append(self.postings.join(_asked(spark, literals, "leaf bigint, word string"), "word").select("leaf", "id"))
         if words:
-            hits.append(reduce(DataFrame.union, words).join(self.postings, "word").select("leaf", "id"))
+            wanted = reduce(DataFrame.union, words)
+            hits.append(self.postings.join(F.broadcast(wanted) if few else wanted, "word").select("leaf", "id"))
         return reduce(DataFrame.union, hits) if hits else spark.createDataFrame([], "leaf bigint, id bigint")
 
     def _by_words(self, queries: Sequence[tuple[Query, str]]) -> DataFrame:
@@ -277,7 +306,7 @@ class Batch:
         kept = found.where(F.col("query").isin(ids)).join(able, ["query", "id"], "left_semi")
         return kept if len(limited) == len(queries) else found.where(~F.col("query").isin(ids)).union(kept)
 
-    def _by_terms(self, queries: Sequence[tuple[Query, object]]) -> DataFrame:
+    def _by_terms(self, queries: Sequence[tuple[Query, object]], few: bool = False) -> DataFrame:
         spark = self.index.docs.sparkSession
         leaves: dict[tuple[str, str], int] = {}
         uses, holds, inverse = [], [], []
@@ -291,7 +320,7 @@ class Batch:
                 inverse.append(q)
                 true = sorted(set(range(1 << len(own))) - set(true))
             holds += [(q.number, m) for m in true]
-        has = self._hits(leaves).join(_asked(spark, uses, "leaf bigint, query bigint, bit bigint"), "leaf").groupBy("query", "id").agg(F.bit_or("bit").alias("bits"))
+        has = self._hits(leaves, few).join(_asked(spark, uses, "leaf bigint, query bigint, bit bigint"), "leaf").groupBy("query", "id").agg(F.bit_or("bit").alias("bits"))
         kept = has.join(_asked(spark, holds, "query bigint, bits bigint"), ["query", "bits"]).select("query", "id")
         numbers = [q.number for q in inverse]
         out = kept.where(~F.col("query").isin(numbers)) if numbers else kept

@@ -117,3 +117,41 @@ def test_planned_queries_on_whole_names(spark, tmp_path):
     batch = inverted.Batch.of(index(spark, {1: "report-final.pdf", 2: "System", 3: "my-system.zip", 4: None}, FILE_MASK)).save(str(tmp_path / "names"))
     for text, method in (("system", EXACT), ("*system*", EXACT), ("system", WITHIN), (r"\.(pdf|zip)$", REGEX), ("report-final.pd?", EXACT)):
         assert set(ids(batch.matching(text, method))) == set(ids(batch.index.matching(text, method)))
+
+
+def counted_rows(spark, n):
+    """An index of ``n`` documents, and a number that grows by one whenever a text is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        seen.add(1)
+        return None if i == 3 else f"word{i} common {'even' if i % 2 == 0 else 'odd'} item{i % 10}"
+
+    rows = spark.range(0, n, 1, 3).select("id", F.udf(text, "string")("id").alias("t"))
+    return SearchIndex.build(rows, id="id", text="t", facets={"size": F.col("id")}), seen
+
+
+def test_texts_are_read_once_to_save_tables(spark, tmp_path):
+    index, seen = counted_rows(spark, 50)
+    saved = inverted.Batch.of(index).save(str(tmp_path / "saved"))
+    assert seen.value == 50  # several hundred before
+    for table, want in (("postings", inverted.postings(index)), ("vocabulary", inverted.vocabulary(index)), ("bigrams", inverted.bigram_table(inverted.vocabulary(index)))):
+        got = getattr(saved, table)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_of_words_are_their_bigrams(spark):
+    words = ["", "a", "ab", "aaaa", "abab", "banana", "é", "éé", "ßaß", "𝒳𝒴𝒳𝒴", "a𝒳", "日本日本", "x" * 300, "%_%_"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    want = df.select(F.explode(inverted.bigrams(F.col("word"))).alias("bigram"), "word")
+    assert sorted(map(tuple, inverted.bigram_table(df).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_a_few_words_are_sent_to_the_postings(spark, saved):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(saved.matching("*rd19*"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "postings" in plan and "EqualTo(bigram,rd)" in plan
