@@ -109,18 +109,20 @@ class Batch:
 
     With a table of bigrams, words that contain, start or end with a literal of two characters or
     more are looked up by its first bigram; without one, each is tested on the whole vocabulary.
+    Tables that are not ``kept`` would be made again wherever they are read, so up to ``TOGETHER`` queries go through the documents once instead.
     """
 
     index: SearchIndex
     postings: DataFrame
     vocabulary: DataFrame
     bigrams: DataFrame | None = None
+    kept: bool = True
 
     _count: int | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, index: SearchIndex) -> Batch:
-        return cls(index, postings(index), vocabulary(index))
+        return cls(index, postings(index), vocabulary(index), kept=False)
 
     @classmethod
     def cached(cls, index: SearchIndex) -> Batch:
@@ -159,6 +161,8 @@ class Batch:
             raise ValueError("queries share a number")
         for q in queries:
             Facets.combine(q.facets).column(self.index.facets)  # unknown facets are refused first
+        if not self.kept and 0 < len(queries) <= TOGETHER:
+            return self._by_scan(queries)
         by_terms, by_scan = [], []
         for q in queries:
             tree = self._tree(q)
